@@ -1,4 +1,12 @@
 """Imports every query module, which registers its queries."""
 
-from driver import catalog_queries, health_queries, run_queries  # noqa: F401
+from driver import (  # noqa: F401
+    catalog_queries,
+    contract_queries,
+    health_queries,
+    run_queries,
+    signal_queries,
+    stream_queries,
+    validate_queries,
+)
 from driver.registry import QUERIES, SQL  # noqa: F401

@@ -162,8 +162,8 @@ def alert_routing(t):
     return catalog.route(raised, ownership(t), feeds).groupBy("routed_to").agg(F.count(F.lit(1)).alias("alerts"))
 
 
-@query("data_age", f"""WITH beats AS (SELECT user_id, max(ts) AS at FROM events GROUP BY user_id)
-SELECT c_custkey AS source_id, c_mktsegment AS segment, {i.ts_sql('at')} AS as_of FROM customer LEFT JOIN beats ON user_id = c_custkey""")
+@query("data_age", f"""WITH beats AS (SELECT user_id, max(ts) AS beat FROM events GROUP BY user_id)
+SELECT c_custkey AS source_id, c_mktsegment AS segment, {i.ts_sql('beat')} AS as_of FROM customer LEFT JOIN beats ON user_id = c_custkey""")
 def data_age(t):
     beats = health.last_heartbeats(t.events.select(F.col("user_id").alias("source_id"), F.col("ts").alias("at")))
     view = t.customer.select(F.col("c_custkey").alias("source_id"), F.col("c_mktsegment").alias("segment"))

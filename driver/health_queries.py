@@ -71,9 +71,9 @@ def purge_gap(t):
     return health.purge_gap(e.filter("d >= 20"), marks)
 
 
-@query("stale_sources", f"""WITH beats AS (SELECT user_id, max(ts) AS at FROM events GROUP BY user_id)
-SELECT c_custkey AS source_id, {i.ts_sql('at')} AS last_heartbeat,
-  at IS NULL OR at < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 6 HOUR AS stale
+@query("stale_sources", f"""WITH beats AS (SELECT user_id, max(ts) AS beat FROM events GROUP BY user_id)
+SELECT c_custkey AS source_id, {i.ts_sql('beat')} AS last_heartbeat,
+  beat IS NULL OR beat < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 6 HOUR AS stale
 FROM customer LEFT JOIN beats ON user_id = c_custkey""")
 def stale_sources(t):
     beats = health.last_heartbeats(t.events.select(F.col("user_id").alias("source_id"), i.utc("ts").alias("at")))
@@ -107,10 +107,10 @@ _ALERTS_SQL = """ev AS (SELECT 'JobFailed|' || user_id AS k, arg_max(event_type,
   count(*) FILTER (event_type = 'error') AS raises, min(ts) FILTER (event_type = 'error') AS a, max(ts) FILTER (event_type = 'error') AS b
   FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id),
 st AS (SELECT 'JobFailed|' || c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'Firing' WHEN 1 THEN 'Acknowledged' ELSE 'Resolved' END AS status,
-  TIMESTAMP '2023-12-01' AS at, c_custkey % 5 + 1 AS n FROM customer WHERE c_custkey % 4 = 0),
+  TIMESTAMP '2023-12-01' AS old, c_custkey % 5 + 1 AS n FROM customer WHERE c_custkey % 4 = 0),
 merged AS (SELECT coalesce(st.k, ev.k) AS k, CASE WHEN last_kind = 'error' THEN 'Firing'
     WHEN last_kind = 'purchase' AND (raises > 0 OR status = 'Firing') THEN 'Resolved' ELSE status END AS status,
-  coalesce(at, a) AS first_seen, coalesce(b, at) AS last_occurrence, coalesce(n, 0) + coalesce(raises, 0) AS occurrences
+  coalesce(old, a) AS first_seen, coalesce(b, old) AS last_occurrence, coalesce(n, 0) + coalesce(raises, 0) AS occurrences
   FROM st FULL JOIN ev ON ev.k = st.k WHERE st.k IS NOT NULL OR raises > 0)"""
 
 
