@@ -17,13 +17,14 @@ PLACE_SLICE = 64
 def sync(store: Store, directory: str, batch: int, now: str) -> DataFrame:
     """Read, check, number and store; returns one result row per file."""
     at = F.lit(now).cast("timestamp")
+    past = store.before(batch)
     checked = session.cut(contracts.check_rules(files.read(store.spark, directory)))
     good = contracts.with_hash(checked.filter(F.col("error").isNull()))
     chunk = F.substring("place", 1, PLACE_SLICE)
     numbered = session.cut(
-        contracts.next_versions(good, store.current("contract_version"), ["place"], chunk)
+        contracts.next_versions(good, past.current("contract_version"), ["place"], chunk)
     )
     created = numbered.filter("created").withColumn("effective_from", at)
-    feeds = contracts.merge_feeds(store.current("feed"), good, ["place"])
+    feeds = contracts.merge_feeds(past.current("feed"), good, ["place"])
     store.commit(batch, {"contract_version": created, "feed": feeds})
     return contracts.sync_results(checked, numbered)

@@ -54,22 +54,28 @@ def run(spark: SparkSession, root: str, contracts: DataFrame, day: str, as_of: s
 
 
 def _headers(spark: SparkSession, root: str, came: DataFrame) -> DataFrame:
-    """arrival_id, header, declared. Fixed-width names are cut to their width, so both sides are."""
-    mine = came.filter(F.col("feed_name").isNotNull()).select("arrival_id", "columns")
-    delimited = landing.delimited_headers(spark, root).join(mine, "arrival_id").select(
-        "arrival_id", "header", F.transform("columns", lambda c: c["name"]).alias("declared")
+    """arrival_id, header, declared. A file without a line has an empty header.
+
+    Fixed-width names are cut to their width, so both sides are.
+    """
+    mine = came.filter(F.col("feed_name").isNotNull()).select("arrival_id", "key", "columns")
+    none = F.array().cast("array<string>")
+    fixed = fn.is_fixed_width(F.col("key"))
+    delimited = mine.filter(~fixed).join(landing.delimited_headers(spark, root), "arrival_id", "left").select(
+        "arrival_id", F.coalesce("header", none).alias("header"), F.transform("columns", lambda c: c["name"]).alias("declared")
     )
-    fixed = (
-        landing.fixed_width_headers(spark, root).join(mine, "arrival_id")
+    lines = (
+        mine.filter(fixed).join(landing.fixed_width_headers(spark, root), "arrival_id", "left")
         .withColumn("sized", landing.with_offsets(F.col("columns")))
         .withColumn("declared", F.transform("sized", lambda c: landing.fit_name(c["name"], c["width"])))
         .withColumn("expected", F.array_join(F.transform("sized", lambda c: fn.fit(c["name"], c["width"])), ""))
         .withColumn("same", F.rtrim("header_line") == F.rtrim("expected"))
     )
     return delimited.unionByName(
-        fixed.select(
+        lines.select(
             "arrival_id",
-            F.when(F.col("same"), F.col("declared")).otherwise(_walk_header()).alias("header"),
+            F.when(F.col("header_line").isNull(), none).when(F.col("same"), F.col("declared"))
+            .otherwise(_walk_header()).alias("header"),
             "declared",
         )
     )

@@ -40,14 +40,15 @@ def cycle(store: Store, source_id: int, source_name: str, batch: int, now: str,
     checks raised before are kept. ``batch`` names the commit: running a batch again replaces it.
     """
     at = F.lit(now).cast("timestamp")
+    past = store.before(batch)
     kept: dict[str, DataFrame] = {}
     try:
-        jobs, reports, new_watermark = collect(watermark(store, source_id))
+        jobs, reports, new_watermark = collect(watermark(past, source_id))
         jobs, reports = session.cut(jobs), session.cut(reports)
         job_count = jobs.count()
-        raised = _health_events(store, source_id, source_name, job_count, batch, at, purged)
-        kept["alert"] = alerts.merge(store.current("alert"), raised)
-        tables, result = _merge(store, source_id, batch, at, jobs, reports)
+        raised = _health_events(past, source_id, source_name, job_count, batch, at, purged)
+        kept["alert"] = alerts.merge(past.current("alert"), raised)
+        tables, result = _merge(past, source_id, batch, at, jobs, reports)
         result.jobs = job_count
         _commit(store, source_id, batch, at, vocab.COMPLETED, result, {**kept, **tables}, new_watermark)
         return result
@@ -123,7 +124,7 @@ def _commit(
 ) -> None:
     """Sync row, heartbeat and watermark join the batch. Without a new watermark the old one stays."""
     one = store.spark.range(1)
-    mark = F.lit(new_watermark if new_watermark is not None else watermark(store, source_id)).cast("string")
+    mark = F.lit(new_watermark if new_watermark is not None else watermark(store.before(batch), source_id)).cast("string")
     sync = one.select(
         F.lit(batch).cast("bigint").alias("sync_id"), F.lit(source_id).alias("source_id"), at.alias("started_at"),
         F.current_timestamp().alias("completed_at"), F.lit(status).alias("status"),

@@ -12,9 +12,10 @@ from opslake.store import Store
 def sweep(store: Store, batch: int, now: str, stale_after_seconds: int) -> DataFrame:
     """Raise for sources that went quiet, resolve for those that came back; returns the alerts."""
     at = F.lit(now).cast("timestamp")
-    beats = store.current("source_state").select("source_id", "last_heartbeat")
-    sources = store.current("source").join(beats, "source_id", "left")
+    past = store.before(batch)
+    beats = past.current("source_state").select("source_id", "last_heartbeat")
+    sources = past.current("source").join(beats, "source_id", "left")
     swept = health.stale_sources(sources, at, stale_after_seconds)
     events = health.stale_events(swept, at, F.lit(batch).cast("bigint"))
-    store.commit(batch, {"alert": alerts.merge(store.current("alert"), events)})
+    store.commit(batch, {"alert": alerts.merge(past.current("alert"), events)})
     return store.current("alert")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslake.functions import contract as fn
+from opslake.sources.landing import empty_files
 
 _DECODED = (
     "path string, feed_id string, owner string, landing_prefix string, file_mask string, start string, `end` string, "
@@ -95,6 +96,7 @@ def read(spark: SparkSession, directory: str) -> DataFrame:
         spark.read.format("binaryFile").option("pathGlobFilter", "*.{yaml,yml}")
         .option("recursiveFileLookup", True).load(directory)
     )
-    return decode(files).withColumn("place", F.upper("path"))
+    nothing = empty_files(files).select(F.col("key").alias("path"), F.lit("").cast("binary").alias("content"))
+    return decode(files.select("path", "content").unionByName(nothing)).withColumn("place", F.upper("path"))
 
 

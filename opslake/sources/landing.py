@@ -10,11 +10,31 @@ from opslake.functions import contract as fn
 
 
 def arrivals(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """What lies in the landing zone. Contents are not read."""
+    """What lies in the landing zone, files without a byte included. Contents are not read."""
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     )
-    return as_arrivals(listing)
+    empty = empty_files(listing).withColumn("size_bytes", F.lit(0).cast("bigint"))
+    return as_arrivals(listing).unionByName(empty)
+
+
+def empty_files(listing: DataFrame) -> DataFrame:
+    """arrival_id, key, arrived_at of the zero-byte files, which Spark's readers pass over.
+
+    They are what the reader's own file listing has beyond the rows it gives.
+    """
+    spark = listing.sparkSession
+    one_slash = F.regexp_replace("path", "^([a-zA-Z0-9]+):///", "$1:/")
+    listed = spark.createDataFrame([(p,) for p in listing.inputFiles()], "path string").select(one_slash.alias("path"))
+    seen = listing.select(F.col("_metadata.file_path").alias("path"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for row in listed.join(seen, "path", "left_anti").collect():
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row.path))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append((row.path, path.toString(), status.getModificationTime()))
+    rows = spark.createDataFrame(found, "arrival_id string, key string, modified bigint")
+    return rows.select("arrival_id", "key", F.timestamp_millis("modified").alias("arrived_at"))
 
 
 def arrival_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -29,7 +49,7 @@ def arrival_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
 
 def as_arrivals(listing: DataFrame) -> DataFrame:
     return listing.select(
-        F.col("_metadata.file_path").alias("arrival_id"), F.col("_metadata.file_path").alias("key"),
+        F.col("_metadata.file_path").alias("arrival_id"), F.col("path").alias("key"),
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("arrived_at"),
     )
@@ -42,10 +62,20 @@ def relative_key(arrivals: DataFrame, root: str) -> DataFrame:
     return arrivals.withColumn("key", F.when(at > 0, tail).otherwise(F.col("key")))
 
 
-def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+def _kind(rows: DataFrame, fixed: bool, glob: str | None) -> DataFrame:
+    """Rows of the files asked for: by glob, or else the ``.txt`` files or all others.
+
+    A condition on a file's name is applied when files are listed; the others are not opened.
+    """
+    is_fixed = fn.is_fixed_width(F.col("_metadata.file_name"))
+    return rows if glob else rows.filter(is_fixed if fixed else ~is_fixed)
+
+
+def _lines(spark: SparkSession, path: str, fixed: bool, glob: str | None) -> DataFrame:
     """Lines with their file and a number that grows along each file block."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob or "*").text(path)
     return (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+        _kind(text, fixed, glob)
         .select(
             F.col("_metadata.file_path").alias("arrival_id"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -71,22 +101,24 @@ def _split(line: Column) -> Column:
     )
 
 
-def delimited_headers(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+def delimited_headers(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """arrival_id and the column names each file itself declares."""
-    return _first_lines(_lines(spark, path, glob)).select("arrival_id", _split(F.col("header_line")).alias("header"))
+    return _first_lines(_lines(spark, path, False, glob)).select("arrival_id", _split(F.col("header_line")).alias("header"))
 
 
-def delimited_rows(spark: SparkSession, path: str, width: int, glob: str = "*.csv") -> DataFrame:
+def delimited_rows(spark: SparkSession, path: str, width: int, glob: str | None = None) -> DataFrame:
     """arrival_id and values of each data line, for files of up to ``width`` columns.
 
     The CSV reader drops each file's own header line; an empty field is null.
     """
     names = [f"c{i}" for i in range(width)]
-    return (
+    rows = (
         spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", True)
         .option("enforceSchema", True).option("mode", "PERMISSIVE").option("escape", '"')
-        .option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(path)
-        .select(F.col("_metadata.file_path").alias("arrival_id"), F.array(*names).alias("values"))
+        .option("recursiveFileLookup", True).option("pathGlobFilter", glob or "*").csv(path)
+    )
+    return _kind(rows, False, glob).select(
+        F.col("_metadata.file_path").alias("arrival_id"), F.array(*names).alias("values")
     )
 
 
@@ -115,9 +147,9 @@ def fit_name(name: Column, width: Column) -> Column:
     return F.rtrim(fn.fit(name, width))
 
 
-def fixed_width_lines(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+def fixed_width_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """arrival_id, header_line and line for each data line. Header lines are told apart by position."""
-    lines = _lines(spark, path, glob)
+    lines = _lines(spark, path, True, glob)
     first = _first_lines(lines)
     return (
         lines.join(first, "arrival_id")
@@ -126,9 +158,9 @@ def fixed_width_lines(spark: SparkSession, path: str, glob: str = "*.txt") -> Da
     )
 
 
-def fixed_width_headers(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+def fixed_width_headers(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """arrival_id and header line of every fixed-width file, also of those without data lines."""
-    return _first_lines(_lines(spark, path, glob)).select("arrival_id", "header_line")
+    return _first_lines(_lines(spark, path, True, glob)).select("arrival_id", "header_line")
 
 
 def render_fixed_width(df: DataFrame, columns: list[dict]) -> Column:

@@ -15,17 +15,22 @@ from opslake import schemas
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, limit: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.limit = limit
+
+    def before(self, batch: int) -> Store:
+        """The store as it was before a batch: what the batch merges into, also when it runs again."""
+        return Store(self.spark, self.root, batch)
 
     def _exists(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def committed(self) -> list[tuple[int, int]]:
-        """(batch, base) records that count: the last compaction and the commits after it.
+    def committed(self) -> list[tuple[int, set[str]]]:
+        """(batch, tables) that count: the last compaction and the commits after it.
 
         One small record per batch; compaction keeps their number down.
         """
@@ -33,6 +38,8 @@ class Store:
         if not self._exists(path):
             return []
         log = self.spark.read.schema("batch bigint, base boolean, tables array<string>").json(path)
+        if self.limit is not None:
+            log = log.filter(F.col("batch") < self.limit)
         rows = log.orderBy("batch").collect()
         start = max((i for i, r in enumerate(rows) if r.base), default=0)
         return [(r.batch, set(r.tables)) for r in rows[start:]]
