@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
             return fn(Tables(spark, sf_dir))
 
         QUERIES[name] = run

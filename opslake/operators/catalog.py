@@ -156,11 +156,8 @@ def gap_list(ownership: DataFrame, syncs: DataFrame) -> DataFrame:
 
 def ownership_changes(ownership: DataFrame, chunk: Column) -> DataFrame:
     """Rows at which a job's team differs from its previous snapshot, the first one included."""
-    marked = scan.running(
-        ownership, ["job_id"], ["sync_id"], chunk, {"before": scan.last(F.struct(F.col("team_id").alias("team")))}
-    )
-    same = F.col("before").isNotNull() & F.col("team_id").eqNullSafe(F.col("before.team"))
-    return marked.filter(~same).select(*ownership.columns, F.col("before.team").alias("previous_team"))
+    marked = scan.numbered_changes(ownership, ["job_id"], ["sync_id"], chunk, F.col("team_id"))
+    return marked.filter("changed").select(*ownership.columns, F.col("previous").alias("previous_team"))
 
 
 def current_ownership(ownership: DataFrame) -> DataFrame:

@@ -42,19 +42,11 @@ def next_versions(specs: DataFrame, versions: DataFrame, order: list[str], chunk
     Specs of a feed are taken in ``order``; before the first of them stands the stored latest
     version. So A, B, A makes three versions. Adds ``created`` and ``version``.
     """
-    base = latest_versions(versions).withColumnRenamed("feed_id", "__feed")
-    started = specs.join(base, F.col("feed_id") == F.col("__feed"), "left").drop("__feed")
-    compared = scan.running(
-        started, ["feed_id"], order, chunk, {"__prev": scan.last(F.struct(F.col("spec_hash").alias("h")))}
+    stored = latest_versions(versions).select(
+        "feed_id", F.col("latest_hash").alias("start_value"), F.col("latest_version").alias("start_number")
     )
-    before = F.when(F.col("__prev").isNull(), F.col("latest_hash")).otherwise(F.col("__prev.h"))
-    marked = compared.withColumn("created", ~F.col("spec_hash").eqNullSafe(before)).drop("__prev")
-    counted = scan.running(
-        marked, ["feed_id"], order, chunk, {"__made": scan.total(F.col("created").cast("int"))}, inclusive=True
-    )
-    return counted.withColumn(
-        "version", (F.coalesce("latest_version", F.lit(0)) + F.col("__made")).cast("bigint")
-    ).drop("__made", "latest_version", "latest_hash")
+    numbered = scan.numbered_changes(specs, ["feed_id"], order, chunk, F.col("spec_hash"), stored)
+    return numbered.withColumnsRenamed({"changed": "created", "number": "version"}).drop("previous")
 
 
 def sync_results(checked: DataFrame, numbered: DataFrame) -> DataFrame:

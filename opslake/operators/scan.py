@@ -22,7 +22,7 @@ CHUNK_SECONDS = 86400
 def id_chunk(column: Column | str, width: int = CHUNK_ROWS) -> Column:
     """Slices of a unique whole number: at most ``width`` rows each."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.floor(column / width)
+    return F.call_function("div", column.cast("bigint"), F.lit(width).cast("bigint"))
 
 
 def time_chunk(column: Column | str, seconds: int = CHUNK_SECONDS) -> Column:
@@ -35,7 +35,7 @@ def day_chunk(day: Column | str, tie: Column | str, slices: int = 64, tie_span:
     """Slices for coarse dates: a day, cut again by the id that breaks ties within the day."""
     day = F.col(day) if isinstance(day, str) else day
     tie = F.col(tie) if isinstance(tie, str) else tie
-    return F.struct(day.cast("date").alias("d"), F.floor(tie / max(1, tie_span // slices)).alias("s"))
+    return F.struct(day.cast("date").alias("d"), id_chunk(tie, max(1, tie_span // slices)).alias("s"))
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,16 @@ def low(value: Column) -> Running:
     return Running("low", value)
 
 
+def partition(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """Add ``__part``, the group and chunk of each row, for ``running_within``.
+
+    One struct, so that null keys are keys like any other and equality on them is plain equality:
+    the window and the join that follow then share one shuffle.
+    """
+    group = F.struct(*[F.col(k) for k in keys])
+    return df.withColumn("__part", F.struct(group.alias("group"), chunk.alias("chunk")))
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -74,58 +84,94 @@ def running(
 
     ``order`` must be a total order within a group, and ``chunk`` must not decrease along it.
     """
-    inputs = {name: f"__in_{name}" for name in values}
-    rows = df.withColumn("__chunk", chunk).withColumns({inputs[n]: r.value for n, r in values.items()})
-    within = (
-        W.partitionBy(*keys, "__chunk").orderBy(*order)
-        .rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    )
-    across = W.partitionBy(*[F.col(f"__k_{k}") for k in keys]).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
-    place = F.struct(*order)
+    return running_within(partition(df, keys, chunk), order, values, inclusive).drop("__part")
 
-    local, totals, carried = {}, [], []
-    for name, r in values.items():
-        col = F.col(inputs[name])
-        if r.kind == "last":
-            local[f"__l_{name}"] = F.last(col, ignorenulls=True).over(within)
-            totals.append(F.max_by(col, F.when(col.isNotNull(), place)).alias(name))
-            carried.append(F.last(F.col(name), ignorenulls=True).over(across).alias(f"__p_{name}"))
-        elif r.kind == "total":
-            local[f"__l_{name}"] = F.sum(col).over(within)
-            totals.append(F.sum(col).alias(name))
-            carried.append(F.sum(F.col(name)).over(across).alias(f"__p_{name}"))
-        else:
-            extreme = F.max if r.kind == "high" else F.min
-            local[f"__l_{name}"] = extreme(col).over(within)
-            totals.append(extreme(col).alias(name))
-            carried.append(extreme(F.col(name)).over(across).alias(f"__p_{name}"))
-
-    before = (
-        rows.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__chunk").alias("__c"))
-        .agg(*totals)
-        .select(*[f"__k_{k}" for k in keys], "__c", *carried)
-    )
-    known = None
-    for name in values:
-        has = F.col(f"__p_{name}").isNotNull()
-        known = has if known is None else known | has
-    before = before.filter(known)
 
-    on = F.col("__chunk").eqNullSafe(F.col("__c"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    joined = rows.withColumns(local).join(before, on, "left")
+def running_within(
+    parted: DataFrame, order: list[str], values: dict[str, Running], inclusive: bool = False
+) -> DataFrame:
+    """``running`` over rows that carry ``__part``; keeps it, so a next pass needs no new shuffle."""
+    rows = parted.withColumns({f"__in_{n}": r.value for n, r in values.items()})
+    within = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    across = W.partitionBy("__of.group").orderBy("__of.chunk").rowsBetween(W.unboundedPreceding, -1)
+    place = F.struct(*order)
 
-    result = {}
+    local, totals, carried, result = {}, [], [], {}
     for name, r in values.items():
+        value, chunk_value = F.col(f"__in_{name}"), F.col(f"__t_{name}")
         here, prior = F.col(f"__l_{name}"), F.col(f"__p_{name}")
         if r.kind == "last":
+            local[f"__l_{name}"] = F.last(value, ignorenulls=True).over(within)
+            totals.append(F.max_by(value, F.when(value.isNotNull(), place)).alias(f"__t_{name}"))
+            carried.append(F.last(chunk_value, ignorenulls=True).over(across).alias(f"__p_{name}"))
             result[name] = F.coalesce(here, prior)
         elif r.kind == "total":
+            local[f"__l_{name}"] = F.sum(value).over(within)
+            totals.append(F.sum(value).alias(f"__t_{name}"))
+            carried.append(F.sum(chunk_value).over(across).alias(f"__p_{name}"))
             result[name] = F.coalesce(here + prior, here, prior, F.lit(0))
         else:
-            result[name] = (F.greatest if r.kind == "high" else F.least)(here, prior)
-    return joined.select(*df.columns, *[c.alias(n) for n, c in result.items()])
+            extreme, pick = (F.max, F.greatest) if r.kind == "high" else (F.min, F.least)
+            local[f"__l_{name}"] = extreme(value).over(within)
+            totals.append(extreme(value).alias(f"__t_{name}"))
+            carried.append(extreme(chunk_value).over(across).alias(f"__p_{name}"))
+            result[name] = pick(here, prior)
+
+    before = rows.groupBy(F.col("__part").alias("__of")).agg(*totals).select("__of", *carried)
+    known = F.lit(False)
+    for name in values:
+        known = known | F.col(f"__p_{name}").isNotNull()
+    joined = rows.withColumns(local).join(before.filter(known), F.col("__part") == F.col("__of"), "left")
+    return joined.select(*parted.columns, *[c.alias(n) for n, c in result.items()])
+
+
+def numbered_changes(
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column, start: DataFrame | None = None
+) -> DataFrame:
+    """Add ``changed`` (value differs from the row before), ``number`` (changes so far) and ``previous``.
+
+    ``start`` (keys, start_value, start_number) says what stands before a group's first row; without
+    it the first row is a change. The rows are shuffled once; ``start`` meets one row per chunk.
+    """
+    w = W.partitionBy("__part").orderBy(*order)
+    local = (
+        partition(df, keys, chunk)
+        .withColumn("__now", F.struct(value.alias("v")))
+        .withColumn("__lag", F.lag("__now").over(w))
+        .withColumn("__step", F.when(F.col("__lag").isNull(), 0).otherwise((F.col("__lag") != F.col("__now")).cast("int")))
+        .withColumn("__steps", F.sum("__step").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    )
+    place = F.struct(*order)
+    chunks = local.groupBy(F.col("__part").alias("__of")).agg(
+        F.min_by("__now", place).alias("__first"), F.max_by("__now", place).alias("__last"), F.sum("__step").alias("__sum")
+    )
+    if start is None:
+        chunks = chunks.withColumn("__base", F.lit(0))
+    else:
+        group = F.struct(*[F.col(k) for k in keys])
+        known = start.select(
+            group.alias("__group"), F.struct(F.col("start_value").alias("v")).alias("__begin"),
+            F.col("start_number").alias("__base"),
+        )
+        chunks = chunks.join(known, F.col("__of.group") == F.col("__group"), "left")
+    across = W.partitionBy("__of.group").orderBy("__of.chunk")
+    before = F.lag("__last").over(across)
+    if start is not None:
+        before = F.coalesce(before, F.col("__begin"))
+    chunks = chunks.withColumn("__before", before).withColumn(
+        "__turn", F.coalesce((F.col("__before") != F.col("__first")).cast("int"), F.lit(1))
+    )
+    made = F.sum(F.col("__turn") + F.col("__sum")).over(across.rowsBetween(W.unboundedPreceding, 0)) - F.col("__sum")
+    chunks = chunks.select(
+        "__of", "__turn", (F.coalesce("__base", F.lit(0)) + made).alias("__number"), F.col("__before.v").alias("__v")
+    )
+    joined = local.join(chunks, F.col("__part") == F.col("__of"))
+    return joined.select(
+        *df.columns,
+        (F.when(F.col("__lag").isNull(), F.col("__turn")).otherwise(F.col("__step")) == 1).alias("changed"),
+        (F.col("__number") + F.col("__steps")).cast("bigint").alias("number"),
+        F.when(F.col("__lag").isNull(), F.col("__v")).otherwise(F.col("__lag.v")).alias("previous"),
+    )
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str = "rank") -> DataFrame:

@@ -79,7 +79,7 @@ def attribute(arrivals: DataFrame, feeds: DataFrame) -> DataFrame:
     longer prefix, then the feed name; ``feed_name`` is null where no feed qualifies. The key is cut
     at every length a prefix can have and its name reduced to an outline, so feeds are found by
     equality on (prefix, outline), not by testing pairs; one more row per prefix, with an empty
-    outline, stands for "prefix only".
+    outline, stands for "prefix only". The empty prefix is always tried, which keeps every arrival.
     """
     by_mask = feeds.select(
         F.col("landing_prefix").alias("__prefix"),
@@ -90,22 +90,25 @@ def attribute(arrivals: DataFrame, feeds: DataFrame) -> DataFrame:
         F.max("feed_name").alias("feed_name"), F.max_by("file_mask", "feed_name").alias("file_mask")
     ).select("__prefix", F.lit("").alias("__outline"), "feed_name", "file_mask")
     pieces = F.transform(
-        F.filter(F.col("__lengths"), lambda n: n <= F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n)
+        F.array_union(F.filter(F.col("__lengths"), lambda n: n <= F.length("key")), F.array(F.lit(0))),
+        lambda n: F.substring(F.col("key"), F.lit(1), n),
     )
     cuts = (
-        arrivals.select("arrival_id", "key").withColumn("__lengths", _prefix_lengths(feeds))
-        .select("arrival_id", "key", F.explode(pieces).alias("__prefix"))
+        arrivals.withColumn("__lengths", _prefix_lengths(feeds))
+        .withColumn("__prefix", F.explode(pieces)).drop("__lengths")
         .withColumn("__outline", F.explode(F.array(_outline(file_name(F.col("key"))), F.lit(""))))
     )
-    candidates = cuts.join(by_mask.unionByName(by_prefix), ["__prefix", "__outline"]).withColumn(
+    candidates = cuts.join(by_mask.unionByName(by_prefix), ["__prefix", "__outline"], "left").withColumn(
         "name_fit", classify_name(file_name(F.col("key")), F.col("file_mask"))
     )
     strength = F.when(F.col("name_fit") == "exact", 3).when(F.col("name_fit").isNotNull(), 2).otherwise(1)
     order = F.struct(strength.alias("s"), F.length("__prefix").alias("l"), F.col("feed_name").alias("f"))
+    # The rows of one arrival lie side by side, so this adds up before the shuffle.
     best = candidates.groupBy("arrival_id").agg(
-        F.max_by(F.struct("feed_name", "file_mask", "name_fit"), order).alias("b")
-    ).select("arrival_id", "b.*")
-    return arrivals.join(best, "arrival_id", "left")
+        F.any_value(F.struct(*arrivals.columns)).alias("a"),
+        F.max_by(F.struct("feed_name", "file_mask", "name_fit"), F.when(F.col("feed_name").isNotNull(), order)).alias("b"),
+    )
+    return best.select("a.*", "b.*")
 
 
 def mask_findings(attributed: DataFrame) -> DataFrame:
@@ -257,15 +260,13 @@ def judged_fields(fields: DataFrame) -> DataFrame:
 def duplicate_rows(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """Rows of a file that repeat an earlier one in every column: how many, and of how many kinds.
 
-    First counts 64-bit row hashes, which moves little; only rows whose hash repeats are then
-    compared in full, so hash collisions cannot count as duplicates.
+    Rows are told apart by the SHA-256 of their values, nulls and column borders included, so 32
+    bytes a row are shuffled whatever its width, and a hot file spreads over all tasks.
     """
-    hashed = rows.select(by, *[c for c in columns if c != by], F.xxhash64(*columns).alias("__h"))
-    suspect = hashed.groupBy(by, "__h").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).drop("__n")
-    keys = list(dict.fromkeys([by, *columns]))
-    exact = hashed.join(suspect, [by, "__h"], "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    identity = F.unhex(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+    counted = rows.select(by, identity.alias("__row")).groupBy(by, "__row").agg(F.count(F.lit(1)).alias("n"))
     return (
-        exact.filter(F.col("n") > 1)
+        counted.filter(F.col("n") > 1)
         .groupBy(by)
         .agg(F.sum(F.col("n") - 1).cast("bigint").alias("extra_rows"), F.count(F.lit(1)).alias("repeated_kinds"))
     )

@@ -136,13 +136,14 @@ def _judgeable(came: DataFrame, headers: DataFrame) -> DataFrame:
 
 def _fields(spark: SparkSession, root: str, judgeable: DataFrame, width: int) -> DataFrame:
     """arrival_id, values, columns of every data line."""
-    delimited = landing.delimited_rows(spark, root, width).join(judgeable, "arrival_id").withColumn(
-        "values", F.slice("values", F.lit(1), F.size("columns"))
-    )
-    fixed = (
-        landing.fixed_width_lines(spark, root).join(judgeable, "arrival_id")
-        .withColumn("values", landing.cut_fields(F.col("line"), landing.with_offsets(F.col("columns"))))
-    )
+    judgeable = session.cut(judgeable)
+    row_bytes = 2 * F.length("arrival_id") + 128 * F.size("columns")
+    delimited = session.lookup(
+        landing.delimited_rows(spark, root, width), judgeable, "arrival_id", row_bytes
+    ).withColumn("values", F.slice("values", F.lit(1), F.size("columns")))
+    fixed = session.lookup(
+        landing.fixed_width_lines(spark, root), judgeable, "arrival_id", row_bytes
+    ).withColumn("values", landing.cut_fields(F.col("line"), landing.with_offsets(F.col("columns"))))
     return delimited.unionByName(fixed.select("arrival_id", "values", "columns"))
 
 

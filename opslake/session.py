@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build(app: str = "opslake", master: str | None = None, **conf: str) -> SparkSession:
@@ -14,6 +15,8 @@ def build(app: str = "opslake", master: str | None = None, **conf: str) -> Spark
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Split hot join keys also where a grouping on the same keys follows.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.ui.enabled": "false",
         **conf,
@@ -49,3 +52,14 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def lookup(big: DataFrame, small: DataFrame, key: str, row_bytes: Column, limit: int = 128 << 20) -> DataFrame:
+    """Join a table with one row per key to a big one whose keys may be hot.
+
+    ``row_bytes`` measures the small side, which should be cut or cheap. Up to ``limit`` bytes it is
+    broadcast and the big side is not moved. Beyond, it is an ordinary join, in which adaptive
+    execution splits hot keys.
+    """
+    size = small.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).cast("bigint")).first()[0]
+    return big.join(F.broadcast(small) if size <= limit else small, key)
