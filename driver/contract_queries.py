@@ -137,3 +137,15 @@ def expected_names(t):
         "o_orderkey", fn.expected_name(i.text("N", f, "_ELIG_{yyyyMMdd}.csv"), F.col("o_orderdate")).alias("expected_name"),
         i.ts_text(fn.window_close(F.col("o_orderdate"), 4 * 3600 + f * 600)).alias("closes_at"),
     )
+
+
+@query("feed_schemas", """SELECT p_partkey, 'S' || (p_size % 60) AS schema_id, CASE WHEN p_size % 60 >= 40 THEN 'unknown schema: S' || (p_size % 60) END AS error FROM part""")
+def feed_schemas(t):
+    feeds = t.part.select("p_partkey", i.text("S", F.col("p_size") % 60).alias("schema_id"))
+    known = t.part.filter("p_size < 40").select(i.text("S", F.col("p_size")).alias("schema_id")).distinct()
+    return contracts.with_schema(feeds, known.withColumn("columns", F.array(F.lit("a")))).select("p_partkey", "schema_id", "error")
+
+
+@query("feeds_by_carrier", "SELECT p_brand AS carrier_name, count(*) AS feeds FROM part WHERE p_partkey % 5 <> 0 GROUP BY p_brand")
+def feeds_by_carrier(t):
+    return contracts.by_carrier(t.part.select(F.col("p_brand").alias("carrier_name"), (F.col("p_partkey") % 5 != 0).alias("is_active")))

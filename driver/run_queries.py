@@ -35,7 +35,7 @@ def grouped_failures(t):
 
 
 @query("history_positions", f"""WITH {i.HISTORY_SQL},
-done AS (SELECT job_id, max(CASE WHEN step_id = 0 AND run_date > 0 THEN instance_id END) AS consumed FROM hist GROUP BY job_id),
+done AS (SELECT job_id, max(CASE WHEN step_id = 0 AND run_date > 0 THEN instance_id END) AS consumed FROM hist WHERE instance_id <= 5000 GROUP BY job_id),
 top AS (SELECT max(CASE WHEN step_id = 0 THEN instance_id END) AS seen FROM hist),
 lowest AS (SELECT min(h.instance_id) - 1 AS p FROM hist h JOIN done d USING (job_id), top
   WHERE h.step_id <> 0 AND h.instance_id <= 5000 AND (d.consumed IS NULL OR h.instance_id > d.consumed))

@@ -83,6 +83,18 @@ def merge_feeds(feeds: DataFrame, specs: DataFrame, order: list[str]) -> DataFra
     )
 
 
+def with_schema(feeds: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Attach columns by schema id; a feed whose schema is unknown gets an ``error``."""
+    known = schemas.select("schema_id", "columns")
+    missing = F.concat(F.lit("unknown schema: "), F.coalesce("schema_id", F.lit("(none)")))
+    return feeds.join(known, "schema_id", "left").withColumn("error", F.when(F.col("columns").isNull(), missing))
+
+
+def by_carrier(feeds: DataFrame) -> DataFrame:
+    """Active feeds per carrier."""
+    return feeds.filter("is_active").groupBy("carrier_name").agg(F.count(F.lit(1)).alias("feeds"))
+
+
 def version_in_force(
     arrivals: DataFrame, versions: DataFrame, chunk_seconds: int = scan.CHUNK_SECONDS
 ) -> DataFrame:

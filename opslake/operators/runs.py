@@ -74,13 +74,13 @@ def read_position(history: DataFrame, since: int) -> DataFrame:
     """Where the next read has to start so that no pending step is lost.
 
     One watermark serves all jobs, so another job's outcome can overtake steps whose own outcome is
-    still to come. Per job the first step after its last usable outcome is pending; the read starts
-    before the lowest of these that lies at or below ``since``.
+    still to come. As of the watermark, a job's steps after its last usable outcome are pending; the
+    read starts before the lowest of them.
     """
+    read = history.filter(F.col("instance_id") <= since)
     consumed = F.max(F.when((F.col("step_id") == 0) & (F.col("run_date") > 0), F.col("instance_id")))
-    per_job = history.groupBy("job_id").agg(consumed.alias("consumed"))
-    steps = history.filter((F.col("step_id") != 0) & (F.col("instance_id") <= since))
-    pending = steps.join(per_job, "job_id").filter(
+    per_job = read.groupBy("job_id").agg(consumed.alias("consumed"))
+    pending = read.filter(F.col("step_id") != 0).join(per_job, "job_id").filter(
         F.col("consumed").isNull() | (F.col("instance_id") > F.col("consumed"))
     )
     return pending.agg(F.coalesce(F.min("instance_id") - 1, F.lit(since)).cast("bigint").alias("read_from"))
@@ -110,8 +110,11 @@ def in_flight(activity: DataFrame, sessions: DataFrame, zone: str = "UTC") -> Da
     )
 
 
-def dag_runs_to_runs(dag_runs: DataFrame, poll_started: Column) -> DataFrame:
-    """DAG runs to runs. Run ids are unique per DAG only, so the key carries the DAG id."""
+def dag_runs_to_runs(dag_runs: DataFrame, poll_started: Column, keep: list[str] | None = None) -> DataFrame:
+    """DAG runs to runs. Run ids are unique per DAG only, so the key carries the DAG id.
+
+    ``keep`` names columns to pass on.
+    """
     status = states.dag_state(F.col("state"))
     return dag_runs.select(
         F.col("dag_id").alias("native_job_id"),
@@ -123,6 +126,7 @@ def dag_runs_to_runs(dag_runs: DataFrame, poll_started: Column) -> DataFrame:
             status == vocab.FAILED,
             states.describe_dag_failure(F.col("dag_id"), F.col("run_type"), F.col("note")),
         ).alias("error_text"),
+        *(keep or []),
     )
 
 

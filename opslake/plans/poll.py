@@ -14,6 +14,19 @@ from opslake.store import Store
 RUN_KEY = ["source_id", "native_run_id"]
 
 
+@dataclass
+class Collected:
+    """What one poll brought: jobs, runs with ``seq`` (from 0, the order of reports), the new watermark.
+
+    ``purged`` holds the purge gaps found in the source's history, if that was checked.
+    """
+
+    jobs: DataFrame
+    runs: DataFrame
+    watermark: str | None
+    purged: DataFrame | None = None
+
+
 @dataclass
 class Result:
     ok: bool
@@ -31,26 +44,25 @@ def watermark(store: Store, source_id: int) -> str | None:
     return row.watermark if row else None
 
 
-def cycle(store: Store, source_id: int, source_name: str, batch: int, now: str, collect, purged=None) -> Result:
+def cycle(store: Store, source_id: int, source_name: str, batch: int, now: str, collect) -> Result:
     """Collect and persist.
 
-    ``collect(watermark)`` gives (jobs, runs, new watermark or None); runs carry ``seq``, from 0, the
-    order they were reported in. ``purged`` is an optional frame of purge gaps of this source. If
-    anything fails, the sync is stored as Failed and the watermark stays; alerts that the health
-    checks raised before are kept. ``batch`` names the commit: running a batch again replaces it.
+    ``collect(watermark)`` gives a ``Collected``. If anything fails, the sync is stored as Failed and
+    the watermark stays; alerts that the health checks raised before are kept. ``batch`` names the
+    commit: running a batch again replaces it.
     """
     at = F.lit(now).cast("timestamp")
     past = store.before(batch)
     kept: dict[str, DataFrame] = {}
     try:
-        jobs, reports, new_watermark = collect(watermark(past, source_id))
-        jobs, reports = session.cut(jobs), session.cut(reports)
+        got = collect(watermark(past, source_id))
+        jobs, reports = session.cut(got.jobs), session.cut(got.runs)
         job_count = jobs.count()
-        raised = _health_events(past, source_id, source_name, job_count, batch, at, purged)
+        raised = _health_events(past, source_id, source_name, job_count, batch, at, got.purged)
         kept["alert"] = alerts.merge(past.current("alert"), raised)
         tables, result = _merge(past, source_id, batch, at, jobs, reports)
         result.jobs = job_count
-        _commit(store, source_id, batch, at, vocab.COMPLETED, result, {**kept, **tables}, new_watermark)
+        _commit(store, source_id, batch, at, vocab.COMPLETED, result, {**kept, **tables}, got.watermark)
         return result
     except Exception as problem:  # noqa: BLE001 - whatever goes wrong is the result of the sync
         failed = Result(False, error=str(problem))

@@ -86,10 +86,11 @@ def _lines(spark: SparkSession, path: str, fixed: bool, glob: str | None) -> Dat
 
 
 def _first_lines(lines: DataFrame) -> DataFrame:
-    """First line of every file: the lowest number within the block that starts at byte 0."""
-    return lines.filter(F.col("block") == 0).groupBy("arrival_id").agg(
-        F.min("n").alias("first_n"), F.min_by("value", "n").alias("header_line")
-    )
+    """First line of every file: the lowest number within the block that starts at byte 0.
+
+    That block is read by one task, so the number tells the order whatever the other tasks do.
+    """
+    return lines.filter(F.col("block") == 0).groupBy("arrival_id").agg(F.min_by("value", "n").alias("header_line"))
 
 
 def _split(line: Column) -> Column:
@@ -106,15 +107,18 @@ def delimited_headers(spark: SparkSession, path: str, glob: str | None = None) -
     return _first_lines(_lines(spark, path, False, glob)).select("arrival_id", _split(F.col("header_line")).alias("header"))
 
 
-def delimited_rows(spark: SparkSession, path: str, width: int, glob: str | None = None) -> DataFrame:
+def delimited_rows(
+    spark: SparkSession, path: str, width: int, glob: str | None = None, multi_line: bool = False
+) -> DataFrame:
     """arrival_id and values of each data line, for files of up to ``width`` columns.
 
-    The CSV reader drops each file's own header line; an empty field is null.
+    The CSV reader drops each file's own header line; an empty field is null. ``multi_line`` allows
+    line breaks inside quotes, at the price of one task per file.
     """
     names = [f"c{i}" for i in range(width)]
     rows = (
         spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", True)
-        .option("enforceSchema", True).option("mode", "PERMISSIVE").option("escape", '"')
+        .option("enforceSchema", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line)
         .option("recursiveFileLookup", True).option("pathGlobFilter", glob or "*").csv(path)
     )
     return _kind(rows, False, glob).select(
@@ -147,20 +151,30 @@ def fit_name(name: Column, width: Column) -> Column:
     return F.rtrim(fn.fit(name, width))
 
 
+# Never part of a line, so the CSV reader sees one column
+_NO_SEPARATOR = "\u0001\u0002\u0001\u0002"
+
+
 def fixed_width_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """arrival_id, header_line and line for each data line. Header lines are told apart by position."""
-    lines = _lines(spark, path, True, glob)
-    first = _first_lines(lines)
-    return (
-        lines.join(first, "arrival_id")
-        .filter((F.col("block") != 0) | (F.col("n") != F.col("first_n")))
-        .select("arrival_id", F.col("value").alias("line"))
+    """arrival_id and line for each data line.
+
+    The CSV reader drops each file's own header line, whatever the splits; it also drops lines of
+    blanks, which are rows without a value here, so these are added from the text.
+    """
+    lines = (
+        spark.read.schema("line string").option("header", True).option("enforceSchema", True)
+        .option("sep", _NO_SEPARATOR).option("quote", "").option("escape", "")
+        .option("recursiveFileLookup", True).option("pathGlobFilter", glob or "*").csv(path)
+    )
+    blanks = _lines(spark, path, True, glob).filter(F.col("value").rlike(r"\A\s+\z"))
+    return _kind(lines, True, glob).select(F.col("_metadata.file_path").alias("arrival_id"), "line").unionByName(
+        blanks.select("arrival_id", F.col("value").alias("line"))
     )
 
 
 def fixed_width_headers(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """arrival_id and header line of every fixed-width file, also of those without data lines."""
-    return _first_lines(_lines(spark, path, True, glob)).select("arrival_id", "header_line")
+    return _first_lines(_lines(spark, path, True, glob))
 
 
 def render_fixed_width(df: DataFrame, columns: list[dict]) -> Column:

@@ -183,6 +183,7 @@ FILES = {
     "fremoved": ("txt", fixed([("MemberId", 8), ("EffectiveDate", 10), ("Grp", 4)], [("M1", "2026-09-01", "G1")])),
     "fadded": ("txt", fixed([*WIDTHS, ("Unexpected_Column_12", 20)], [("M1", "2026-09-01", "1", "G1", "UNEXPECTED")])),
     "fnulls": ("txt", fixed(rows=[("", "2026-09-01", "1", "G1"), ("M2", "NOT_A_DATE", "1", "G1")])),
+    "fblank": ("txt", fixed(rows=[("M1", "2026-09-01", "1", "G1"), ("", "", "", "")])),
     "fheader": ("txt", fixed(rows=[("MemberId", "2026-09-01", "1", "G1")])),
     "empty": ("csv", csv(rows=[])),
     "dat": ("dat", csv(rows=[",2026-09-01,1,G1"])),
@@ -204,6 +205,7 @@ EXPECTED = {
     "fremoved": {(vocab.V_REMOVED, "Amount", 1)},
     "fadded": {(vocab.V_ADDED, "Unexpected_Column_12", 1)},
     "fnulls": {(vocab.V_NULL, "MemberId", 1), (vocab.V_TYPE, "EffectiveDate", 1)},
+    "fblank": {(vocab.V_NULL, "MemberId", 1), (vocab.V_NULL, "EffectiveDate", 1)},
     "fheader": set(),
     "empty": set(),
     "dat": {(vocab.V_NULL, "MemberId", 1)},

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from opslake import schemas, vocab
 from opslake.functions.fingerprint import dedup_key
 from opslake.operators import catalog, runs
-from opslake.plans import poll, sweep
-from opslake.sources import scheduler
+from opslake.plans import collect, poll, sweep
+from opslake.sources import landing, scheduler
 from opslake.store import Store
 from opslake.streaming import timers
 from opslake.streaming.changes import ChangeLog, start
@@ -28,7 +28,7 @@ def store(spark, tmp_path):
 def batch(spark, jobs, reports, mark):
     job_rows = [(n, name, d, True, None, [], None, None) for n, name, d in jobs]
     report_rows = [(*r, i) for i, r in enumerate(reports)]
-    return spark.createDataFrame(job_rows, schemas.JOB), spark.createDataFrame(report_rows, RUN), mark
+    return poll.Collected(spark.createDataFrame(job_rows, schemas.JOB), spark.createDataFrame(report_rows, RUN), mark)
 
 
 def test_first_sync(spark, store):
@@ -113,6 +113,75 @@ def test_sharp_drop_between_cycles(spark, store):
     assert [(a.type, a.message) for a in store.current("alert").collect()] == [(vocab.SHARP_DROP, "fake job count dropped from a baseline of 8 to 3")]
 
 
+AGENT = {
+    "sysjobs": [("A", "load A", 1, "Owner: LPDE"), ("B", "load B", 1, None)],
+    "sysjobservers": [("A", 0, 20260903, 20000), ("B", 1, 20260903, 1)],
+    "sysjobactivity": [("A", 1, T0, None, None), ("B", 2, T0 + dt.timedelta(hours=1), None, T0 + dt.timedelta(days=1))],
+    "syssessions": [(1,), (2,)],
+}
+STEP = lambda i, job, text: (i, job, 1, "s", 0, 20260903, 30000, 5, text)
+OUTCOME = lambda i, job, status, clock: (i, job, 0, "(outcome)", status, 20260903, clock, 10, f"job {job} ended")
+
+
+def export(spark, root, history):
+    for name, rows in {**AGENT, "sysjobhistory": history}.items():
+        spark.createDataFrame(rows, scheduler.AGENT_TABLES[name]).write.mode("overwrite").parquet(f"{root}/{name}")
+
+
+def test_agent_cycles_pair_runs_and_lose_no_step(spark, store, tmp_path):
+    root = str(tmp_path / "agent")
+    read = collect.agent(spark, root, 7)
+    # A's step comes before B's outcome, A's own outcome only with the next poll.
+    export(spark, root, [STEP(10, "A", "disk full"), OUTCOME(11, "B", 1, 20000)])
+    first = poll.cycle(store, 7, "agent", 1, "2026-09-03 03:10:00", read)
+    assert first.ok, first.error
+    assert (first.jobs, first.inserted, first.closed) == (2, 2, 0) and poll.watermark(store, 7) == "11"
+    open_run = store.current("run").filter("ended_at is null").first()
+    assert (open_run.native_run_id, open_run.status) == ("b:20260903030000", "Running")
+    export(spark, root, [STEP(10, "A", "disk full"), OUTCOME(11, "B", 1, 20000), OUTCOME(12, "A", 0, 30000), OUTCOME(13, "B", 3, 30000)])
+    second = poll.cycle(store, 7, "agent", 2, "2026-09-03 03:11:00", read)
+    assert (second.inserted, second.closed) == (1, 1) and poll.watermark(store, 7) == "13"
+    got = {r.native_run_id: (r.status, r.error_text) for r in store.current("run").collect()}
+    assert got == {
+        "a:20260903030000": ("Failed", "disk full"), "b:20260903020000": ("Succeeded", None), "b:20260903030000": ("Cancelled", None),
+    }
+    assert store.current("alert").isEmpty()
+    export(spark, root, [OUTCOME(40, "A", 1, 40000)])
+    assert poll.cycle(store, 7, "agent", 3, "2026-09-03 04:10:00", read).ok
+    alert = store.current("alert").first()
+    assert alert.type == vocab.PURGE_GAP and "26 rows missed" in alert.message
+
+
+def test_dag_cycles(spark, store, tmp_path):
+    dag = {"dag_id": "d", "owners": ["data-eng"], "tags": []}
+    runs_of = lambda **kw: {"dag_runs": [{"dag_id": "d", "dag_run_id": "r", "run_type": "manual", **kw}], "total_entries": 1}
+    for place, page in (("dags", {"dags": [dag], "total_entries": 1}), ("runs", runs_of(state="queued", execution_date="2026-09-03T01:00:00Z"))):
+        (tmp_path / place).mkdir()
+        (tmp_path / place / "1.json").write_text(json.dumps(page))
+    read = lambda at: collect.dags(spark, str(tmp_path / "dags"), str(tmp_path / "runs"), at)
+    assert poll.cycle(store, 8, "flow", 1, "2026-09-03 02:00:00", read("2026-09-03 02:00:00")).inserted == 1
+    done = runs_of(state="failed", start_date="2026-09-03T01:30:00Z", end_date="2026-09-03T02:30:00Z", updated_at="2026-09-03T02:30:01Z")
+    (tmp_path / "runs" / "1.json").write_text(json.dumps(done))
+    assert poll.cycle(store, 8, "flow", 2, "2026-09-03 03:00:00", read("2026-09-03 03:00:00")).closed == 1
+    run = store.current("run").first()
+    assert (run.native_run_id, run.status, run.started_at) == ("d:r", "Failed", dt.datetime(2026, 9, 3, 1, 30))
+    assert run.error_text == "Airflow DAG d run failed (manual)" and poll.watermark(store, 8) == "2026-09-03 03:00:00"
+    # Not updated since the last poll: not read again. A short listing fails the sync.
+    assert poll.cycle(store, 8, "flow", 3, "2026-09-03 04:00:00", read("2026-09-03 04:00:00")).runs == 0
+    (tmp_path / "dags" / "1.json").write_text(json.dumps({"dags": [dag], "total_entries": 2}))
+    failed = poll.cycle(store, 8, "flow", 4, "2026-09-03 05:00:00", read("2026-09-03 05:00:00"))
+    assert failed.error == "DAG listing is incomplete" and poll.watermark(store, 8) == "2026-09-03 04:00:00"
+
+
+def test_arrivals_as_a_stream(spark, tmp_path):
+    (tmp_path / "in" / "a").mkdir(parents=True)
+    (tmp_path / "in" / "a" / "x y.csv").write_text("h\n1\n")
+    log = ChangeLog(str(tmp_path / "out"), ["arrival_id"])
+    start(landing.arrival_stream(spark, str(tmp_path / "in")), log.write, str(tmp_path / "checkpoint"), "append").awaitTermination()
+    row = log.latest(spark).first()
+    assert row.key.endswith("/a/x y.csv") and row.size_bytes == 4
+
+
 def test_sweep_raises_and_resolves(spark, store):
     sources = [(n, "SQLAgent", name, "{}") for n, name in ((1, "old"), (2, "never"), (3, "fresh"))]
     beats = [(1, None, T0 - dt.timedelta(minutes=10)), (3, None, T0 - dt.timedelta(seconds=30))]
