@@ -82,10 +82,10 @@ def current_ownership(t):
 
 
 @query("job_merge", """WITH known AS (SELECT c_nationkey AS source_id, 'Job-' || c_custkey AS native_id, 'J' || c_custkey AS job_id,
-    c_name AS name, true AS is_active, '2024-01-01' AS first_seen FROM customer WHERE c_custkey % 3 <> 0),
+    c_name AS name, true AS is_active, '2024-01-01' AS first_seen FROM customer WHERE c_mktsegment <> 'FURNITURE'),
 batch AS (SELECT c_nationkey AS source_id, 'job-' || c_custkey AS native_id,
     CASE WHEN c_custkey % 5 = 0 THEN upper(c_name) ELSE c_name END AS name, c_custkey % 7 <> 0 AS is_active
-  FROM customer WHERE c_custkey % 4 <> 0)
+  FROM customer WHERE c_acctbal > 500)
 SELECT coalesce(k.source_id, b.source_id) AS source_id, coalesce(k.native_id, b.native_id) AS native_id,
   k.job_id, k.job_id IS NULL AS minted, CASE WHEN b.native_id IS NULL THEN k.name ELSE b.name END AS name,
   CASE WHEN b.native_id IS NULL THEN k.is_active ELSE b.is_active END AS is_active,
@@ -94,12 +94,12 @@ FROM known k FULL JOIN batch b ON b.source_id = k.source_id AND lower(k.native_i
 def job_merge(t):
     k = F.col("c_custkey")
     old = F.lit("2024-01-01").cast("timestamp")
-    known = t.customer.filter(k % 3 != 0).select(
+    known = t.customer.filter(F.col("c_mktsegment") != "FURNITURE").select(
         F.col("c_nationkey").alias("source_id"), i.text("Job-", k).alias("native_id"), i.text("J", k).alias("job_id"),
         F.col("c_name").alias("name"), F.lit(True).alias("is_active"), old.alias("first_seen"), old.alias("last_seen"),
         old.alias("bound_at"),
     )
-    batch = t.customer.filter(k % 4 != 0).select(
+    batch = t.customer.filter(F.col("c_acctbal") > 500).select(
         F.col("c_nationkey").alias("source_id"), i.text("job-", k).alias("native_id"),
         F.when(k % 5 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("native_name"),
         (k % 7 != 0).alias("is_active"),
@@ -113,9 +113,9 @@ def job_merge(t):
     )
 
 
-@query("register_sources", """WITH known AS (SELECT s_suppkey + 1 AS source_id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0),
+@query("register_sources", """WITH known AS (SELECT s_suppkey + 1 AS source_id, s_name AS name FROM supplier WHERE s_acctbal <= 4000),
 fresh AS (SELECT s_name AS name, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 3 = 0 THEN 'Airflow' ELSE 'SQLAgent' END, s_name) AS n
-  FROM supplier WHERE s_suppkey % 2 = 1)
+  FROM supplier WHERE s_acctbal > 4000)
 SELECT CAST(source_id AS INTEGER) AS source_id, CASE WHEN s_suppkey % 3 = 0 THEN 'Airflow' ELSE 'SQLAgent' END AS type, s_name AS name,
   'db' || s_nationkey AS config FROM supplier JOIN known ON name = s_name
 UNION ALL SELECT CAST((SELECT max(source_id) FROM known) + n AS INTEGER), CASE WHEN s_suppkey % 3 = 0 THEN 'Airflow' ELSE 'SQLAgent' END,
@@ -123,7 +123,7 @@ UNION ALL SELECT CAST((SELECT max(source_id) FROM known) + n AS INTEGER), CASE W
 def register_sources(t):
     k = F.col("s_suppkey")
     kind = F.when(k % 3 == 0, "Airflow").otherwise("SQLAgent")
-    known = t.supplier.filter(k % 2 == 0).select(
+    known = t.supplier.filter(F.col("s_acctbal") <= 4000).select(
         (k + 1).cast("int").alias("source_id"), kind.alias("type"), F.col("s_name").alias("name"), F.lit("old").alias("config")
     )
     wanted = t.supplier.select(kind.alias("type"), F.col("s_name").alias("name"), i.text("db", F.col("s_nationkey")).alias("config"))
@@ -131,9 +131,9 @@ def register_sources(t):
 
 
 @query("rebind", """WITH b AS (SELECT 'J' || c_custkey AS job_id, c_nationkey AS source_id, 'n' || c_custkey AS native_id,
-    c_custkey, '2024-01-01' AS bound_at FROM customer)
-SELECT job_id, source_id, native_id, bound_at, CASE WHEN c_custkey % 10 = 0 THEN '2024-03-01' END AS unbound_at FROM b
-UNION ALL SELECT job_id, 99, 'dag_' || c_custkey, '2024-03-01', NULL FROM b WHERE c_custkey % 10 = 0""")
+    c_custkey, c_mktsegment, '2024-01-01' AS bound_at FROM customer)
+SELECT job_id, source_id, native_id, bound_at, CASE WHEN c_mktsegment = 'BUILDING' THEN '2024-03-01' END AS unbound_at FROM b
+UNION ALL SELECT job_id, 99, 'dag_' || c_custkey, '2024-03-01', NULL FROM b WHERE c_mktsegment = 'BUILDING'""")
 def rebind(t):
     k = F.col("c_custkey")
     bindings = t.customer.select(
@@ -141,7 +141,7 @@ def rebind(t):
         F.col("c_name").alias("native_name"), F.lit("2024-01-01").cast("timestamp").alias("bound_at"),
         F.lit(None).cast("timestamp").alias("unbound_at"),
     )
-    commands = t.customer.filter(k % 10 == 0).select(
+    commands = t.customer.filter(F.col("c_mktsegment") == "BUILDING").select(
         i.text("J", k).alias("job_id"), F.lit(99).alias("source_id"), i.text("dag_", k).alias("native_id"),
         F.col("c_name").alias("native_name"), F.lit("2024-03-01").cast("timestamp").alias("at"),
     )

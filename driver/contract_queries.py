@@ -56,14 +56,14 @@ def contract_hash(t):
 
 def order_specs(t):
     return t.orders.select(
-        i.text("FEED-", F.col("o_custkey")).alias("feed_id"), "o_orderkey", "o_orderdate",
+        i.text("FEED-", F.col("o_custkey")).alias("feed_id"), "o_orderkey", "o_orderdate", "o_totalprice",
         F.upper(F.sha2(F.concat_ws("|", "o_orderstatus", "o_orderpriority"), 256)).alias("spec_hash"),
     )
 
 
 def stored_versions(t):
     k = F.col("c_custkey")
-    old = t.customer.filter(k % 3 == 0).select(
+    old = t.customer.filter(F.col("c_acctbal") < 2500).select(
         i.text("FEED-", k).alias("feed_id"), F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("version")
     )
     return old.withColumn(
@@ -71,11 +71,12 @@ def stored_versions(t):
     )
 
 
-@query("contract_versions", """WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, upper(sha256(o_orderstatus || '|' || o_orderpriority)) AS spec_hash FROM orders),
-c AS (SELECT *, coalesce(lag(spec_hash) OVER w, CASE WHEN o_custkey % 3 = 0 THEN upper(sha256('O|1-URGENT')) END) AS prev
+@query("contract_versions", """WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, upper(sha256(o_orderstatus || '|' || o_orderpriority)) AS spec_hash,
+    c_acctbal IS NOT NULL AS stored FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal < 2500),
+c AS (SELECT *, coalesce(lag(spec_hash) OVER w, CASE WHEN stored THEN upper(sha256('O|1-URGENT')) END) AS prev
   FROM s WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
 m AS (SELECT *, spec_hash IS DISTINCT FROM prev AS created FROM c)
-SELECT 'FEED-' || o_custkey AS feed_id, o_orderkey, created, CAST(CASE WHEN o_custkey % 3 = 0 THEN 2 ELSE 0 END
+SELECT 'FEED-' || o_custkey AS feed_id, o_orderkey, created, CAST(CASE WHEN stored THEN 2 ELSE 0 END
   + sum(CAST(created AS INTEGER)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS version FROM m""")
 def contract_versions(t):
     chunk = scan.time_chunk("o_orderdate", 90 * 86400)
@@ -83,12 +84,13 @@ def contract_versions(t):
     return numbered.select("feed_id", "o_orderkey", "created", "version")
 
 
-@query("contract_sync_summary", """WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus || '|' || o_orderpriority AS spec FROM orders WHERE o_orderkey % 20 <> 0),
-c AS (SELECT *, coalesce(lag(spec) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), CASE WHEN o_custkey % 3 = 0 THEN 'O|1-URGENT' END) AS prev FROM s)
-SELECT (SELECT count(*) FROM orders) AS synced, (SELECT count(*) FROM orders WHERE o_orderkey % 20 = 0) AS failed,
+@query("contract_sync_summary", """WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus || '|' || o_orderpriority AS spec, c_acctbal IS NOT NULL AS stored
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal < 2500 WHERE o_totalprice <= 400000),
+c AS (SELECT *, coalesce(lag(spec) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), CASE WHEN stored THEN 'O|1-URGENT' END) AS prev FROM s)
+SELECT (SELECT count(*) FROM orders) AS synced, (SELECT count(*) FROM orders WHERE o_totalprice > 400000) AS failed,
   count(*) FILTER (spec IS DISTINCT FROM prev) AS created, count(*) FILTER (spec IS NOT DISTINCT FROM prev) AS unchanged FROM c""")
 def contract_sync_summary(t):
-    bad = F.when(F.col("o_orderkey") % 20 == 0, "owner is required")
+    bad = F.when(F.col("o_totalprice") > 400000, "owner is required")
     checked = order_specs(t).withColumn("path", i.text("c/", F.col("o_orderkey"), ".yaml")).withColumn("error", bad)
     chunk = scan.time_chunk("o_orderdate", 90 * 86400)
     good = checked.filter(F.col("error").isNull())

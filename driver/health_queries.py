@@ -10,35 +10,30 @@ from driver.run_queries import folded
 from opslake import vocab
 from opslake.functions import time
 from opslake.functions.fingerprint import dedup_key
-from opslake.operators import alerts, health, signals
-
-TYPES = ["click", "error", "purchase", "signup", "view"]
-
-_SYNCS_SQL = """span AS (SELECT date_trunc('hour', min(ts)) AS a, date_trunc('hour', max(ts)) AS b FROM events),
-hours AS (SELECT CAST(s AS INTEGER) AS source_id, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS h FROM span, range(5) r(s)),
-counted AS (SELECT CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS source_id,
-  date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY ALL),
-syncs AS (SELECT source_id, h, CAST(epoch(h) AS BIGINT) // 3600 AS sync_id,
-  CASE WHEN (source_id + CAST(epoch(h) AS BIGINT) // 3600) % 13 = 0 THEN 'Failed' ELSE 'Completed' END AS status, coalesce(n, 0) AS n
-  FROM hours LEFT JOIN counted USING (source_id, h)),
+from opslake.operators import alerts, health, scan, signals
+
+_SYNCS_SQL = """span AS (SELECT date_trunc('day', min(ts)) AS a, date_trunc('day', max(ts)) AS b FROM events),
+users AS (SELECT DISTINCT user_id FROM events),
+days AS (SELECT user_id AS source_id, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS h FROM span, users),
+counted AS (SELECT user_id AS source_id, date_trunc('day', ts) AS h, count(*) AS n FROM events GROUP BY ALL),
+syncs AS (SELECT source_id, h, source_id * 100000 + CAST(epoch(h) AS BIGINT) // 86400 AS sync_id,
+  CASE WHEN (source_id + CAST(epoch(h) AS BIGINT) // 86400) % 13 = 0 THEN 'Failed' ELSE 'Completed' END AS status, coalesce(n, 0) AS n
+  FROM days LEFT JOIN counted USING (source_id, h)),
 closed AS (SELECT *, CASE WHEN status = 'Failed' THEN 0 ELSE n END AS job_count FROM syncs)"""
 
 
 def syncs(t):
-    """One sync per event type and hour; its job count is the number of events, 0 where there are none."""
-    hour = F.date_trunc("hour", i.utc("ts"))
-    kind = i.pick(F.lit(0), [F.lit(0), F.lit(0)])
-    for n, name in enumerate(TYPES):
-        kind = F.when(F.col("event_type") == name, n).otherwise(kind)
-    counted = t.events.groupBy(kind.alias("source_id"), hour.alias("started_at")).agg(F.count(F.lit(1)).alias("n"))
-    span = t.events.agg(F.min(hour).alias("a"), F.max(hour).alias("b"))
-    hours = span.select(
-        F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("started_at")
-    ).withColumn("source_id", F.explode(F.array(*[F.lit(n) for n in range(len(TYPES))])))
-    number = F.floor(F.unix_seconds("started_at") / 3600)
+    """One sync per user and day; its job count is the number of events, 0 where there are none."""
+    day = F.date_trunc("day", i.utc("ts"))
+    counted = t.events.groupBy(F.col("user_id").alias("source_id"), day.alias("started_at")).agg(F.count(F.lit(1)).alias("n"))
+    span = t.events.agg(F.sequence(F.min(day), F.max(day), F.expr("INTERVAL 1 DAY")).alias("days"))
+    days = t.events.select(F.col("user_id").alias("source_id")).distinct().select(
+        "source_id", F.explode(span.scalar()).alias("started_at")
+    )
+    number = F.floor(F.unix_seconds("started_at") / 86400)
     failed = (F.col("source_id") + number) % 13 == 0
-    return hours.join(counted, ["source_id", "started_at"], "left").select(
-        "source_id", number.alias("sync_id"), "started_at",
+    return days.join(counted, ["source_id", "started_at"], "left").select(
+        "source_id", (F.col("source_id") * 100000 + number).alias("sync_id"), "started_at",
         F.when(failed, vocab.FAILED).otherwise(vocab.COMPLETED).alias("status"),
         F.when(failed, 0).otherwise(F.coalesce("n", F.lit(0))).cast("bigint").alias("job_count"),
     )
@@ -56,7 +51,7 @@ compared AS (SELECT *, count(*) OVER w AS samples, avg(job_count) OVER w AS base
 SELECT source_id, sync_id, job_count, samples, round(baseline, 4) AS baseline FROM compared
 WHERE samples >= 3 AND job_count < baseline * 0.5""")
 def sharp_drop(t):
-    found = health.sharp_drop(syncs(t))
+    found = health.sharp_drop(syncs(t), scan.time_chunk("started_at", 8 * 86400))
     return found.select("source_id", "sync_id", "job_count", "samples", F.round("baseline", 4).alias("baseline"))
 
 
@@ -94,7 +89,7 @@ def user_alert_events(t):
 def stored_alerts(t):
     k = F.col("c_custkey")
     old = F.lit("2023-12-01").cast("timestamp")
-    return t.customer.filter(k % 4 == 0).select(
+    return t.customer.filter(F.col("c_acctbal") < 2500).select(
         dedup_key(F.lit(vocab.JOB_FAILED), k).alias("dedup_key"), F.lit(vocab.JOB_FAILED).alias("type"),
         i.pick(k % 3, [vocab.FIRING, vocab.ACKNOWLEDGED, vocab.RESOLVED]).alias("status"),
         F.lit(None).cast("string").alias("routed_to"), F.lit("old").alias("message"), old.alias("first_seen"),
@@ -107,7 +102,7 @@ _ALERTS_SQL = """ev AS (SELECT 'JobFailed|' || user_id AS k, arg_max(event_type,
   count(*) FILTER (event_type = 'error') AS raises, min(ts) FILTER (event_type = 'error') AS a, max(ts) FILTER (event_type = 'error') AS b
   FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id),
 st AS (SELECT 'JobFailed|' || c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'Firing' WHEN 1 THEN 'Acknowledged' ELSE 'Resolved' END AS status,
-  TIMESTAMP '2023-12-01' AS old, c_custkey % 5 + 1 AS n FROM customer WHERE c_custkey % 4 = 0),
+  TIMESTAMP '2023-12-01' AS old, c_custkey % 5 + 1 AS n FROM customer WHERE c_acctbal < 2500),
 merged AS (SELECT coalesce(st.k, ev.k) AS k, CASE WHEN last_kind = 'error' THEN 'Firing'
     WHEN last_kind = 'purchase' AND (raises > 0 OR status = 'Firing') THEN 'Resolved' ELSE status END AS status,
   coalesce(old, a) AS first_seen, coalesce(b, old) AS last_occurrence, coalesce(n, 0) + coalesce(raises, 0) AS occurrences

@@ -150,9 +150,9 @@ def job_catalogue(t):
 
 @query("orphan_runs", """
 SELECT 'cust-' || user_id AS native_job_id, count(*) AS runs FROM events
-WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_custkey % 3 <> 0) GROUP BY ALL""")
+WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_mktsegment <> 'FURNITURE') GROUP BY ALL""")
 def orphan_runs(t):
-    bindings = t.customer.filter("c_custkey % 3 <> 0").select(i.text("CUST-", F.col("c_custkey")).alias("native_id"))
+    bindings = t.customer.filter("c_mktsegment <> 'FURNITURE'").select(i.text("CUST-", F.col("c_custkey")).alias("native_id"))
     reported = t.events.select(i.text("Cust-", F.col("user_id")).alias("native_job_id"))
     lost = runs.orphans(reported, bindings)
     return lost.groupBy(F.lower("native_job_id").alias("native_job_id")).agg(F.count(F.lit(1)).alias("runs"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from driver import inputs as i
 from driver.registry import query
-from opslake.functions import time
+from opslake.functions import fingerprint, time
+from opslake.functions.owner import parse_owner
 from opslake.operators import signals
 
 MESSAGES = [
@@ -48,9 +49,9 @@ def classified(t):
 
 @query("classify", f"""WITH {_FAILURES_SQL}
 SELECT k AS run_id, 'F' || f AS feed_name, n AS files_arrived,
-  CASE WHEN c1 = 'code bug' AND job_id IN (SELECT c_custkey * 3 FROM customer WHERE c_custkey % 7 = 0) THEN 'upstream failed' ELSE c1 END AS class FROM classed""")
+  CASE WHEN c1 = 'code bug' AND job_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN 'upstream failed' ELSE c1 END AS class FROM classed""")
 def classify(t):
-    below = t.customer.filter("c_custkey % 7 = 0").select((F.col("c_custkey") * 3).alias("job_id"))
+    below = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("job_id"))
     enriched = signals.enrich_with_arrivals(failures(t), arrival_log(t))
     return signals.classify(enriched, below).select("run_id", "feed_name", "files_arrived", "class")
 
@@ -76,7 +77,7 @@ def trend_top5(t):
 @query("downstream_cone", """WITH RECURSIVE edges AS (
   SELECT p_partkey AS u, 2 * p_partkey + 1 AS v FROM part WHERE 2 * p_partkey + 1 < (SELECT count(*) FROM part)
   UNION ALL SELECT p_partkey, 2 * p_partkey + 2 FROM part WHERE 2 * p_partkey + 2 < (SELECT count(*) FROM part)),
-walk(job_id, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 37 = 5
+walk(job_id, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_size = 7
   UNION SELECT v, depth + 1 FROM walk JOIN edges ON u = job_id)
 SELECT job_id, min(depth) AS depth FROM walk GROUP BY job_id""")
 def downstream_cone(t):
@@ -84,4 +85,26 @@ def downstream_cone(t):
     n = t.part.agg(F.count(F.lit(1)).alias("n")).scalar()
     child = F.explode(F.array(2 * k + 1, 2 * k + 2))
     edges = t.part.select(k.alias("upstream"), child.alias("downstream")).filter(F.col("downstream") < n)
-    return signals.cone(edges, t.part.filter(k % 37 == 5).select(k.alias("job_id")))
+    return signals.cone(edges, t.part.filter(F.col("p_size") == 7).select(k.alias("job_id")))
+
+
+_KEEP = "chr(57344)"
+_SHAPE = i.shape_sql(f"replace(text, 'ß', {_KEEP})")
+
+
+@query("text_fingerprints", f"""SELECT upper(substr(sha256(replace({_SHAPE}, {_KEEP}, 'ß')), 1, 32)) AS fingerprint, count(*) AS texts, min(doc_id) AS first_doc
+FROM documents GROUP BY 1""")
+def text_fingerprints(t):
+    """Whole documents grouped by what is left of them without dates, numbers and quoted text."""
+    return t.documents.groupBy(fingerprint.fingerprint(F.col("text")).alias("fingerprint")).agg(
+        F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("first_doc")
+    )
+
+
+@query("text_owners", f"""WITH found AS (SELECT lang, {i.owner_sql('text')} AS owner FROM documents UNION ALL SELECT role, {i.owner_sql('text')} FROM conversations)
+SELECT lang, owner, count(*) AS texts FROM found GROUP BY ALL""")
+def text_owners(t):
+    both = t.documents.select("lang", "text").unionByName(t.conversations.select(F.col("role").alias("lang"), "text"))
+    return both.select("lang", parse_owner(F.col("text"))["owner"].alias("owner")).groupBy("lang", "owner").agg(
+        F.count(F.lit(1)).alias("texts")
+    )

@@ -52,12 +52,12 @@ def daily_arrivals(t):
     k = F.col("o_orderkey")
     return t.orders.select(
         i.text("N", F.col("o_custkey") % 25).alias("feed_name"), F.to_date("o_orderdate").alias("day"),
-        time.plus_seconds(i.utc("o_orderdate"), k * 7 % 86400).alias("arrived_at"), k.alias("arrival_id"),
+        time.plus_seconds(i.utc("o_orderdate"), k * 7919 % 86400).alias("arrived_at"), k.alias("arrival_id"),
     )
 
 
 @query("late_files", """SELECT 'N' || (o_custkey % 25) AS feed_name, strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS files FROM orders
-WHERE o_orderkey * 7 % 86400 > 4 * 3600 + o_custkey % 25 * 600 GROUP BY ALL""")
+WHERE o_orderkey * 7919 % 86400 > 4 * 3600 + o_custkey % 25 * 600 GROUP BY ALL""")
 def late_files(t):
     found = validate.late(daily_arrivals(t).join(daily_feeds(t), "feed_name"))
     return found.groupBy("feed_name", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("files"))
