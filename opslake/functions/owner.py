@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from opslake import vocab
+from opslake.functions.fingerprint import is_ascii
 from opslake.functions.states import is_blank
 
 # Fixed values. Flags: ignore case, "$" stops at \n only, Unicode classes.
@@ -27,12 +31,15 @@ def _found(owner: Column, is_ticket: bool) -> Column:
 def parse_owner(text: Column) -> Column:
     """``struct<owner, is_ticket>``: a declaration, else a ticket, else a tag or mention, else null.
 
-    The guards are ``rlike`` because a declaration may hold an empty owner, which still counts.
+    The guards are ``rlike`` because a declaration may hold an empty owner, which still counts. Words
+    and marks are looked for first: most long texts hold none of them.
     """
+    low = F.lower(text)
+    says = lambda *words: reduce(or_, [low.contains(w) for w in words], ~is_ascii(text))
     return (
-        F.when(text.rlike(OWNER), _found(_clean(F.regexp_extract(text, OWNER, 1)), False))
-        .when(text.rlike(TICKET), _found(_clean(F.regexp_extract(text, TICKET, 1)), True))
-        .when(text.rlike(MENTION), _found(F.regexp_extract(text, MENTION, 1), False))
+        F.when(says("owner", "team") & text.rlike(OWNER), _found(_clean(F.regexp_extract(text, OWNER, 1)), False))
+        .when(says("ticket") & text.rlike(TICKET), _found(_clean(F.regexp_extract(text, TICKET, 1)), True))
+        .when((text.contains("#") | text.contains("@")) & text.rlike(MENTION), _found(F.regexp_extract(text, MENTION, 1), False))
     )
 
 

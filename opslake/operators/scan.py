@@ -62,14 +62,36 @@ def low(value: Column) -> Running:
     return Running("low", value)
 
 
+_NEVER_NULL = {
+    "string": "", "boolean": False, "tinyint": 0, "smallint": 0, "int": 0, "bigint": 0, "float": 0, "double": 0,
+    "date": "1970-01-01", "timestamp": "1970-01-01", "timestamp_ntz": "1970-01-01",
+}
+
+
 def partition(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
-    """Add ``__part``, the group and chunk of each row, for ``running_within``.
+    """Add the group (``__g...``, ``__z``) and ``__chunk`` of each row, for ``running_within``.
 
-    One struct, so that null keys are keys like any other and equality on them is plain equality:
-    the window and the join that follow then share one shuffle.
+    Null keys are keys like any other: their columns get a stand-in value and ``__z`` says which were
+    null. So plain equality finds equal groups, and the window and the join after it share one
+    shuffle. Plain columns, because structs sort slowly.
     """
-    group = F.struct(*[F.col(k) for k in keys])
-    return df.withColumn("__part", F.struct(group.alias("group"), chunk.alias("chunk")))
+    kinds = dict(df.dtypes)
+    chunk_kind = dict(df.select(chunk.alias("c")).dtypes)["c"]
+    if chunk_kind in _NEVER_NULL:
+        first = F.lit(-(1 << 63)) if chunk_kind == "bigint" else F.lit(_NEVER_NULL[chunk_kind]).cast(chunk_kind)
+        chunk = F.coalesce(chunk, first)
+    groups, nulls = {}, F.lit(0)
+    for n, k in enumerate(keys):
+        if kinds[k] in _NEVER_NULL:
+            groups[f"__g{n}"] = F.coalesce(F.col(k), F.lit(_NEVER_NULL[kinds[k]]).cast(kinds[k]))
+            nulls = nulls + F.when(F.col(k).isNull(), 1 << n).otherwise(0)
+        else:
+            groups[f"__g{n}"] = F.struct(F.col(k))
+    return df.withColumns({**groups, "__z": nulls, "__chunk": chunk})
+
+
+def _group_columns(parted: DataFrame) -> list[str]:
+    return [c for c in parted.columns if c.startswith("__g") and c[3:].isdigit()] + ["__z"]
 
 
 def running(
@@ -84,17 +106,11 @@ def running(
 
     ``order`` must be a total order within a group, and ``chunk`` must not decrease along it.
     """
-    return running_within(partition(df, keys, chunk), order, values, inclusive).drop("__part")
-
-
-def running_within(
-    parted: DataFrame, order: list[str], values: dict[str, Running], inclusive: bool = False
-) -> DataFrame:
-    """``running`` over rows that carry ``__part``; keeps it, so a next pass needs no new shuffle."""
-    rows = parted.withColumns({f"__in_{n}": r.value for n, r in values.items()})
-    within = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    across = W.partitionBy("__of.group").orderBy("__of.chunk").rowsBetween(W.unboundedPreceding, -1)
-    place = F.struct(*order)
+    rows = partition(df, keys, chunk).withColumns({f"__in_{n}": r.value for n, r in values.items()})
+    part = [*_group_columns(rows), "__chunk"]
+    within = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    across = W.partitionBy(*[f"__of{c}" for c in part[:-1]]).orderBy("__of__chunk").rowsBetween(W.unboundedPreceding, -1)
+    place = F.struct(*order) if len(order) > 1 else F.col(order[0])
 
     local, totals, carried, result = {}, [], [], {}
     for name, r in values.items():
@@ -117,12 +133,20 @@ def running_within(
             carried.append(extreme(chunk_value).over(across).alias(f"__p_{name}"))
             result[name] = pick(here, prior)
 
-    before = rows.groupBy(F.col("__part").alias("__of")).agg(*totals).select("__of", *carried)
+    before = rows.groupBy(*[F.col(c).alias(f"__of{c}") for c in part]).agg(*totals)
+    before = before.select(*[f"__of{c}" for c in part], *carried)
     known = F.lit(False)
     for name in values:
         known = known | F.col(f"__p_{name}").isNotNull()
-    joined = rows.withColumns(local).join(before.filter(known), F.col("__part") == F.col("__of"), "left")
-    return joined.select(*parted.columns, *[c.alias(n) for n, c in result.items()])
+    joined = rows.withColumns(local).join(before.filter(known), _same_part(part), "left")
+    return joined.select(*df.columns, *[c.alias(n) for n, c in result.items()])
+
+
+def _same_part(part: list[str]) -> Column:
+    same = F.lit(True)
+    for c in part:
+        same = same & (F.col(c) == F.col(f"__of{c}"))
+    return same
 
 
 def numbered_changes(
@@ -133,39 +157,39 @@ def numbered_changes(
     ``start`` (keys, start_value, start_number) says what stands before a group's first row; without
     it the first row is a change. The rows are shuffled once; ``start`` meets one row per chunk.
     """
-    w = W.partitionBy("__part").orderBy(*order)
+    local = partition(df, keys, chunk)
+    groups = _group_columns(local)
+    part = [*groups, "__chunk"]
+    w = W.partitionBy(*part).orderBy(*order)
+    place = F.struct(*order) if len(order) > 1 else F.col(order[0])
     local = (
-        partition(df, keys, chunk)
-        .withColumn("__now", F.struct(value.alias("v")))
+        local.withColumn("__now", F.struct(value.alias("v")))
         .withColumn("__lag", F.lag("__now").over(w))
         .withColumn("__step", F.when(F.col("__lag").isNull(), 0).otherwise((F.col("__lag") != F.col("__now")).cast("int")))
         .withColumn("__steps", F.sum("__step").over(w.rowsBetween(W.unboundedPreceding, 0)))
     )
-    place = F.struct(*order)
-    chunks = local.groupBy(F.col("__part").alias("__of")).agg(
+    chunks = local.groupBy(*[F.col(c).alias(f"__of{c}") for c in part]).agg(
         F.min_by("__now", place).alias("__first"), F.max_by("__now", place).alias("__last"), F.sum("__step").alias("__sum")
     )
+    across = W.partitionBy(*[f"__of{c}" for c in groups]).orderBy("__of__chunk")
+    before = F.lag("__last").over(across)
     if start is None:
         chunks = chunks.withColumn("__base", F.lit(0))
     else:
-        group = F.struct(*[F.col(k) for k in keys])
-        known = start.select(
-            group.alias("__group"), F.struct(F.col("start_value").alias("v")).alias("__begin"),
-            F.col("start_number").alias("__base"),
+        known = partition(start, keys, F.lit(0)).select(
+            *groups, F.struct(F.col("start_value").alias("v")).alias("__begin"), F.col("start_number").alias("__base")
         )
-        chunks = chunks.join(known, F.col("__of.group") == F.col("__group"), "left")
-    across = W.partitionBy("__of.group").orderBy("__of.chunk")
-    before = F.lag("__last").over(across)
-    if start is not None:
+        chunks = chunks.join(known, _same_part(groups), "left").drop(*groups)
         before = F.coalesce(before, F.col("__begin"))
     chunks = chunks.withColumn("__before", before).withColumn(
         "__turn", F.coalesce((F.col("__before") != F.col("__first")).cast("int"), F.lit(1))
     )
     made = F.sum(F.col("__turn") + F.col("__sum")).over(across.rowsBetween(W.unboundedPreceding, 0)) - F.col("__sum")
     chunks = chunks.select(
-        "__of", "__turn", (F.coalesce("__base", F.lit(0)) + made).alias("__number"), F.col("__before.v").alias("__v")
+        *[f"__of{c}" for c in part], "__turn", (F.coalesce("__base", F.lit(0)) + made).alias("__number"),
+        F.col("__before.v").alias("__v"),
     )
-    joined = local.join(chunks, F.col("__part") == F.col("__of"))
+    joined = local.join(chunks, _same_part(part))
     return joined.select(
         *df.columns,
         (F.when(F.col("__lag").isNull(), F.col("__turn")).otherwise(F.col("__step")) == 1).alias("changed"),
