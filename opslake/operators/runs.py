@@ -204,12 +204,14 @@ def write_outcomes(events: DataFrame, keys: list[str], chunk: Column) -> DataFra
     """
     terminal = states.is_terminal(F.col("status"))
     ended = F.col("ended_at").isNotNull()
+    # The first report and whether it had an end, as one number that orders by report.
+    birth = F.col("seq") * 2 + ended.cast("int")
     step = scan.running(events, keys, ["seq"], chunk, {
         "earlier": scan.total(F.lit(1)),
         "shut": scan.high((terminal & ended).cast("int")),
-        "born_shut": scan.low(F.struct("seq", ended.alias("ended"))),
+        "birth": scan.low(birth),
     })
-    is_open = (F.coalesce(F.col("shut"), F.lit(0)) == 0) & ~F.col("born_shut.ended")
+    is_open = (F.coalesce(F.col("shut"), F.lit(0)) == 0) & (F.pmod("birth", F.lit(2)) == 0)
     return (
         step.withColumn(
             "outcome",

@@ -108,7 +108,7 @@ def _merge(
 
     bindings = merged.select("native_id", "job_id")
     bound = runs.resolve_jobs(reports, bindings).withColumn("source_id", F.lit(source_id))
-    touched = store.current("run", only=bound.select(*RUN_KEY))
+    touched = store.touched("run", bound)
     shape = [*RUN_KEY, "job_id", "started_at", "ended_at", "status", "error_text", "seq"]
     stored = touched.withColumn("seq", F.lit(-1).cast("bigint")).select(*shape)
     events = session.cut(stored.unionByName(bound.select(*shape)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslake import schemas
+from opslake import schemas, session
 
 
 class Store:
@@ -44,10 +44,9 @@ class Store:
         start = max((i for i, r in enumerate(rows) if r.base), default=0)
         return [(r.batch, set(r.tables)) for r in rows[start:]]
 
-    def log(self, table: str) -> DataFrame:
-        """All committed row versions of a table with their ``batch``."""
+    def _read(self, table: str, batches: list[int]) -> DataFrame:
         _, schema = schemas.TABLES[table]
-        paths = [f"{self.root}/{table}/batch={b}" for b, tables in self.committed() if table in tables]
+        paths = [f"{self.root}/{table}/batch={b}" for b in batches]
         if not paths:
             return self.spark.createDataFrame([], f"{schema}, batch bigint")
         return (
@@ -55,21 +54,35 @@ class Store:
             .parquet(*paths)
         )
 
-    def current(self, table: str, only: DataFrame | None = None) -> DataFrame:
-        """The last version of each row; ``only`` restricts to the keys of another frame.
+    def log(self, table: str) -> DataFrame:
+        """All committed row versions of a table with their ``batch``."""
+        return self._read(table, [b for b, tables in self.committed() if table in tables])
 
-        With ``only`` a merge reads the keys it touches: the semi-join comes before the grouping.
-        """
+    def current(self, table: str) -> DataFrame:
+        """The last version of each row."""
         keys, _ = schemas.TABLES[table]
         log = self.log(table)
-        if only is not None:
-            log = log.join(only.select(*keys).distinct(), keys, "left_semi")
         values = [c for c in log.columns if c not in keys and c != "batch"]
         return (
             log.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch")).alias("v"))
             .select(*keys, "v.*").select(*[c for c in log.columns if c != "batch"])
         )
 
+    def touched(self, table: str, rows: DataFrame) -> DataFrame:
+        """The last versions of the rows whose keys occur in ``rows``: what a merge has to read.
+
+        The whole log gives its key columns only; other columns are read from the batches that hold
+        a wanted version.
+        """
+        keys, _ = schemas.TABLES[table]
+        wanted = rows.select(*keys).distinct()
+        last = session.cut(
+            self.log(table).select(*keys, "batch").join(wanted, keys, "left_semi").groupBy(*keys)
+            .agg(F.max("batch").alias("batch"))
+        )
+        batches = [r.batch for r in last.select("batch").distinct().collect()]
+        return self._read(table, batches).join(last, [*keys, "batch"], "left_semi").drop("batch")
+
     def commit(self, batch: int, tables: dict[str, DataFrame], base: bool = False) -> None:
         for name, df in tables.items():
             _, schema = schemas.TABLES[name]
@@ -83,6 +96,20 @@ class Store:
     def last_batch(self) -> int:
         return max((b for b, _ in self.committed()), default=0)
 
+    def expire(self) -> int:
+        """Delete the batches that the last compaction has replaced; returns how many."""
+        log = self.spark.read.schema("batch bigint, base boolean, tables array<string>").json(f"{self.root}/_commits")
+        rows = log.orderBy("batch").collect()
+        base = max((r.batch for r in rows if r.base), default=0)
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        old = [r for r in rows if r.batch < base]
+        for r in old:
+            # The record goes first: without it nobody reads the rest.
+            for path in [f"{self.root}/_commits/of={r.batch}", *(f"{self.root}/{t}/batch={r.batch}" for t in r.tables)]:
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(conf).delete(p, True)
+        return len(old)
+
     def compact(self) -> int:
         """Write the current rows of all tables as one batch; readers start there from now on."""
         batch = self.last_batch() + 1

@@ -80,6 +80,10 @@ def test_second_sync_closes_the_open_run_and_keeps_identity(spark, store):
     assert [r.status for r in store.current("run").collect()] == ["Succeeded"]
     assert store.compact() == 4
     assert [r.status for r in store.current("run").collect()] == ["Succeeded"] and store.committed()[0][0] == 4
+    before = sorted(map(str, store.current("ownership").collect()))
+    assert store.expire() == 3 and store.expire() == 0
+    assert sorted(map(str, store.current("ownership").collect())) == before
+    assert poll.cycle(store, 7, "fake", 5, "2026-09-03 02:08:00", collect("Failed", end)).closed == 0
 
 
 def test_empty_source_alerts_and_failed_sync_keeps_the_watermark(spark, store):
