@@ -15,22 +15,25 @@ VOLATILE = (
 )
 # All alternatives begin with a digit or a quote, which is cheaper to look for than a word border.
 _STRIP = r"""(?=[\d'"])(?:""" + VOLATILE + ")"
-# Runs of blanks and lone blanks other than a space; single spaces are already what they should be.
-_BLANKS = r"\s{2,}|[^\S ]"
+_BLANKS = r"\s+"
 FINGERPRINT_LENGTH = 32
 
 # upper() may turn one character into several (sharp s, ligatures, ...). Fingerprints need the
 # one-to-one mapping, so these characters are set aside in the private-use area while upper() runs.
 _MANY = [chr(c) for c in range(0x80, 0xFB18) if len(chr(c).upper()) > 1]
 _ONE = [c.title() if len(c.title()) == 1 else c for c in _MANY]
+# Where those characters lie, sharp s apart, in a few ranges that are quick to look for
+_RARE = "[\u0149\u01f0\u0390\u03b0\u0587\u1e96-\u1e9a\u1f50-\u1ffc\ufb00-\ufb17]"
 _ASIDE = "".join(chr(0xE000 + i) for i in range(len(_MANY)))
 
 
 def simple_upper(text: Column) -> Column:
     """Upper case, character by character."""
+    mark = _ASIDE[0]
+    only_sharp_s = F.replace(F.upper(F.replace(text, F.lit("ß"), F.lit(mark))), F.lit(mark), F.lit("ß"))
     kept = F.translate(text, "".join(_MANY), _ASIDE)
     careful = F.translate(F.upper(kept), _ASIDE, "".join(_ONE))
-    return F.when(text.rlike("[" + "".join(_MANY) + "]"), careful).otherwise(F.upper(text))
+    return F.when(text.rlike(_RARE), careful).when(text.contains("ß"), only_sharp_s).otherwise(F.upper(text))
 
 
 def is_ascii(text: Column) -> Column:

@@ -50,30 +50,24 @@ def evidence_text(description: Column) -> Column:
     return F.when(empty, F.lit("")).otherwise(description)
 
 
-def _ownership(team: Column, source: Column | str, evidence: Column) -> Column:
-    source = F.lit(source) if isinstance(source, str) else source
-    return F.struct(team.alias("team_id"), source.alias("parsed_from"), evidence.alias("raw_evidence"))
+def first_tag_owner(tags: Column) -> Column:
+    """``struct<hit, tag>`` of the first tag that parses, else null."""
+    parsed = F.transform(tags, lambda tag: F.struct(parse_owner(tag).alias("hit"), tag.alias("tag")))
+    return F.get(F.filter(parsed, lambda t: t["hit"].isNotNull()), F.lit(0))
 
 
-def resolve_ownership(declared: Column, description: Column, tags: Column) -> Column:
+def decide_ownership(declared: Column, text: Column, from_text: Column, from_tags: Column) -> Column:
     """``struct<team_id, parsed_from, raw_evidence>``: declared owner, description, first tag that parses."""
-    text = evidence_text(description)
-    from_text = parse_owner(text)
-    parsed_tags = F.transform(tags, lambda tag: F.struct(parse_owner(tag).alias("hit"), tag.alias("tag")))
-    first_tag = F.get(F.filter(parsed_tags, lambda t: t["hit"].isNotNull()), F.lit(0))
+    def found(team: Column, source: Column, evidence: Column) -> Column:
+        return F.struct(team.alias("team_id"), source.alias("parsed_from"), evidence.alias("raw_evidence"))
+
     trimmed = F.regexp_replace(declared, r"(?U)\A\s+|\s+\z", "")
+    kind = F.when(from_text["is_ticket"], vocab.FROM_TICKET).otherwise(vocab.FROM_DESCRIPTION)
     return (
-        F.when(~is_blank(declared), _ownership(trimmed, vocab.FROM_OWNER, declared))
-        .when(
-            from_text.isNotNull(),
-            _ownership(
-                from_text["owner"],
-                F.when(from_text["is_ticket"], vocab.FROM_TICKET).otherwise(vocab.FROM_DESCRIPTION),
-                text,
-            ),
-        )
-        .when(first_tag.isNotNull(), _ownership(first_tag["hit"]["owner"], vocab.FROM_TAGS, first_tag["tag"]))
-        .otherwise(_ownership(F.lit(None).cast("string"), vocab.FROM_NONE, text))
+        F.when(~is_blank(declared), found(trimmed, F.lit(vocab.FROM_OWNER), declared))
+        .when(from_text.isNotNull(), found(from_text["owner"], kind, text))
+        .when(from_tags.isNotNull(), found(from_tags["hit"]["owner"], F.lit(vocab.FROM_TAGS), from_tags["tag"]))
+        .otherwise(found(F.lit(None).cast("string"), F.lit(vocab.FROM_NONE), text))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opslake import vocab
 from opslake.functions import identity, time
-from opslake.functions.owner import declared_dag_owner, parse_owner, resolve_ownership
+from opslake.functions.owner import declared_dag_owner, decide_ownership, evidence_text, first_tag_owner, parse_owner
 from opslake.functions.states import is_blank
 from opslake.operators import runs as run_ops
 from opslake.operators import scan
@@ -59,8 +59,17 @@ def active_bindings(bindings: DataFrame, source_id: int | None = None) -> DataFr
 
 
 def with_ownership(jobs: DataFrame) -> DataFrame:
-    owner = resolve_ownership(F.col("declared_owner"), F.col("description"), F.col("tags"))
-    return jobs.withColumn("__o", owner).select(*jobs.columns, "__o.team_id", "__o.parsed_from", "__o.raw_evidence")
+    """Add team_id, parsed_from, raw_evidence.
+
+    In steps, so that each text is parsed once, and through a generator at the end, so that a filter
+    on the result is not copied with all the parsing in it to the other side of it.
+    """
+    decided = decide_ownership(F.col("declared_owner"), F.col("__text"), F.col("__hit"), F.col("__tag"))
+    return (
+        jobs.withColumn("__text", evidence_text(F.col("description")))
+        .withColumns({"__hit": parse_owner(F.col("__text")), "__tag": first_tag_owner(F.col("tags"))})
+        .select(*jobs.columns, F.inline_outer(F.array(decided)))
+    )
 
 
 def merge_jobs(known: DataFrame, batch: DataFrame, now: Column) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,22 +31,21 @@ def name_parts(mask: Column) -> tuple[Column, Column]:
 
 
 def classify_name(name: Column, mask: Column) -> Column:
-    """How a file name relates to a mask: exact, date_format, case, case_and_date, or null.
+    """How a file name relates to a mask: exact, date_format, case, case_and_date, or null."""
+    return _fit(name, *name_parts(mask), F.locate(vocab.DATE_TOKEN, mask) > 0)
 
-    Built on prefix, suffix and the middle part, so the pattern is a constant, not one per row.
-    """
-    head, tail = name_parts(mask)
-    has_date = F.locate(vocab.DATE_TOKEN, mask) > 0
+
+def _fit(name: Column, head: Column, tail: Column, has_date: Column) -> Column:
+    """The same from a mask's parts. Patterns are constants, not one per row."""
     middle = F.substring(name, F.length(head) + 1, F.length(name) - F.length(head) - F.length(tail))
     long_enough = F.length(name) >= F.length(head) + F.length(tail)
-    same = long_enough & name.startswith(head) & name.endswith(tail)
-    same_loose = long_enough & F.lower(name).startswith(F.lower(head)) & F.lower(name).endswith(F.lower(tail))
+    same = name.startswith(head) & name.endswith(tail)
+    same_loose = F.lower(name).startswith(F.lower(head)) & F.lower(name).endswith(F.lower(tail))
     digits = F.when(has_date, middle.rlike(r"\A[0-9]{8}\z")).otherwise(middle == "")
     dashed = has_date & middle.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
-    return (
-        F.when(same & digits, "exact").when(same & dashed, "date_format")
-        .when(same_loose & digits, "case").when(same_loose & dashed, "case_and_date")
-    )
+    plain = F.when(same, "exact").when(same_loose, "case")
+    other_date = F.when(same, "date_format").when(same_loose, "case_and_date")
+    return F.when(~long_enough, None).when(digits, plain).when(dashed, other_date)
 
 
 def file_name(key: Column) -> Column:
@@ -81,25 +83,35 @@ def attribute(arrivals: DataFrame, feeds: DataFrame) -> DataFrame:
     equality on (prefix, outline), not by testing pairs; one more row per prefix, with an empty
     outline, stands for "prefix only". The empty prefix is always tried, which keeps every arrival.
     """
-    by_mask = feeds.select(
+    head, tail = name_parts(F.col("file_mask"))
+    masks = feeds.select("landing_prefix", "feed_name", "file_mask").withColumns(
+        {"__head": head, "__tail": tail, "__dated": F.locate(vocab.DATE_TOKEN, F.col("file_mask")) > 0}
+    )
+    what = ["feed_name", "file_mask", "__head", "__tail", "__dated"]
+    by_mask = masks.select(
         F.col("landing_prefix").alias("__prefix"),
-        _outline(F.replace(F.col("file_mask"), F.lit(vocab.DATE_TOKEN), F.lit("0"))).alias("__outline"),
-        "feed_name", "file_mask",
+        _outline(F.replace(F.col("file_mask"), F.lit(vocab.DATE_TOKEN), F.lit("0"))).alias("__outline"), *what,
     )
-    by_prefix = feeds.groupBy(F.col("landing_prefix").alias("__prefix")).agg(
-        F.max("feed_name").alias("feed_name"), F.max_by("file_mask", "feed_name").alias("file_mask")
-    ).select("__prefix", F.lit("").alias("__outline"), "feed_name", "file_mask")
+    by_prefix = masks.groupBy(F.col("landing_prefix").alias("__prefix")).agg(
+        F.max_by(F.struct(*what), "feed_name").alias("f")
+    ).select("__prefix", F.lit("").alias("__outline"), "f.*")
     pieces = F.transform(
         F.array_union(F.filter(F.col("__lengths"), lambda n: n <= F.length("key")), F.array(F.lit(0))),
         lambda n: F.substring(F.col("key"), F.lit(1), n),
     )
+    # Outer, as Spark tests the arrays of a plain explode for emptiness, which these never are.
     cuts = (
-        arrivals.withColumn("__lengths", _prefix_lengths(feeds))
-        .withColumn("__prefix", F.explode(pieces)).drop("__lengths")
-        .withColumn("__outline", F.explode(F.array(_outline(file_name(F.col("key"))), F.lit(""))))
+        arrivals.withColumns({"__lengths": _prefix_lengths(feeds), "__name": file_name(F.col("key"))})
+        .withColumns({"__pieces": pieces, "__outlines": F.array(_outline(F.col("__name")), F.lit(""))})
+        .withColumn("__prefix", F.explode_outer("__pieces")).withColumn("__outline", F.explode_outer("__outlines"))
+        .drop("__lengths", "__pieces", "__outlines")
     )
-    candidates = cuts.join(by_mask.unionByName(by_prefix), ["__prefix", "__outline"], "left").withColumn(
-        "name_fit", classify_name(file_name(F.col("key")), F.col("file_mask"))
+    base = (F.col("__prefix") == "") & (F.col("__outline") == "")
+    fit = _fit(F.col("__name"), F.col("__head"), F.col("__tail"), F.col("__dated"))
+    candidates = (
+        cuts.join(by_mask.unionByName(by_prefix), ["__prefix", "__outline"], "left")
+        .filter(base | F.col("feed_name").isNotNull())
+        .withColumn("name_fit", fit)
     )
     strength = F.when(F.col("name_fit") == "exact", 3).when(F.col("name_fit").isNotNull(), 2).otherwise(1)
     order = F.struct(strength.alias("s"), F.length("__prefix").alias("l"), F.col("feed_name").alias("f"))
@@ -232,28 +244,28 @@ def field_findings(fields: DataFrame, contracts: DataFrame) -> DataFrame:
 
 
 def judged_fields(fields: DataFrame) -> DataFrame:
-    """Judge rows (arrival_id, values, columns) in place.
+    """Judge rows (arrival_id, values, columns) cell by cell.
 
-    Only broken rules leave a row, so a clean row costs nothing beyond the scan, and counts add up
-    before the shuffle.
+    Only cells that break a rule go on, and their counts add up before the shuffle.
     """
-    def judge(c: Column, v: Column) -> Column:
-        rule = lambda check, bad: F.when(
-            bad, F.struct(F.lit(check).alias("check"), c["name"].alias("column_name"))
-        )
-        return F.array_compact(
-            F.array(
-                rule(vocab.V_NULL, ~F.coalesce(c["nullable"], F.lit(False)) & v.isNull()),
-                rule(vocab.V_TYPE, fn.wrong_type(v, c["type"])),
-                rule(vocab.V_LENGTH, F.coalesce(F.length(v) > c["max_length"], F.lit(False))),
-            )
-        )
-
-    found = F.flatten(F.transform(F.col("columns"), lambda c, i: judge(c, F.get(F.col("values"), i))))
+    c, v = F.col("c"), F.col("v")
+    rules = {
+        vocab.V_NULL: ~F.coalesce(c["nullable"], F.lit(False)) & v.isNull(),
+        vocab.V_TYPE: fn.wrong_type(v, c["type"]),
+        vocab.V_LENGTH: F.coalesce(F.length(v) > c["max_length"], F.lit(False)),
+    }
+    cells = fields.select("arrival_id", "values", F.posexplode("columns").alias("at", "c")).select(
+        "arrival_id", "c", F.get("values", F.col("at")).alias("v")
+    )
+    counted = (
+        cells.filter(reduce(or_, rules.values()))
+        .groupBy("arrival_id", c["name"].alias("column_name"))
+        .agg(*[F.count_if(bad).alias(check) for check, bad in rules.items()])
+    )
+    each = F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("occurrences")) for k in rules])
     return (
-        fields.select("arrival_id", F.explode(found).alias("f"))
-        .groupBy("arrival_id", "f.check", "f.column_name")
-        .agg(F.count(F.lit(1)).alias("occurrences"))
+        counted.select("arrival_id", "column_name", F.explode(each).alias("f"))
+        .select("arrival_id", "f.check", "column_name", "f.occurrences").filter(F.col("occurrences") > 0)
     )
 
 

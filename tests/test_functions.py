@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opslake import vocab
 from opslake.functions import contract, fingerprint, identity, owner, states, time
+from opslake.operators.catalog import with_ownership
 
 MONDAY = (
     "Executed as user: svc_etl. Could not find file 'C:\\landing\\BCBS_ELIG_20260901.csv' at 2026-09-01 03:15:22. "
@@ -103,8 +104,8 @@ def test_ownership_precedence(spark):
         (" Ops ", "Owner: ETL", ["#x"]), (None, "Owner: ETL", ["#x"]), (" ", "Ticket: DE-1", ["#x"]),
         (None, " no description AVAILABLE. ", ["plain", "team:etl", "#b"]), (None, "nothing", []), (None, None, None),
     ]
-    df = spark.createDataFrame(rows, "o string, d string, t array<string>")
-    got = [tuple(r[0]) for r in df.select(owner.resolve_ownership(F.col("o"), F.col("d"), F.col("t"))).collect()]
+    df = spark.createDataFrame(rows, "declared_owner string, description string, tags array<string>")
+    got = [tuple(r) for r in with_ownership(df).select("team_id", "parsed_from", "raw_evidence").collect()]
     assert got == [
         ("Ops", "Owner", " Ops "), ("ETL", "Description", "Owner: ETL"), ("DE-1", "Ticket", "Ticket: DE-1"),
         ("etl", "Tags", "team:etl"), (None, "None", "nothing"), (None, "None", ""),
@@ -120,9 +121,20 @@ def test_fingerprints(one):
     )
     assert fp("Could not   find\nstored procedure") == fp("could not find stored procedure")
     assert len(fp(MONDAY)) == 32 and fp(MONDAY) == fp(MONDAY).upper()
+    assert shape("Große \u00df 12") == "GROßE ß"
     assert shape("Straße \ufb01x é") == "STRAßE \ufb01X É"
 
 
+def test_upper_changes_one_character_into_one(spark):
+    import re
+
+    many = [c for c in map(chr, range(0x80, 0xFFFF)) if len(c.upper()) > 1]
+    assert set(many) == set(fingerprint._MANY) and all(re.match(fingerprint._RARE, c) for c in many if c != "ß")
+    rows = spark.createDataFrame([(f"aé{c}z",) for c in many], "t string")
+    got = [r[0] for r in rows.select(fingerprint.simple_upper(F.col("t"))).collect()]
+    assert got == [f"AÉ{c.title() if len(c.title()) == 1 else c}Z" for c in many]
+
+
 def test_fingerprint_only_for_failures_with_text(spark):
     df = spark.createDataFrame([("Failed", "x"), ("Failed", " "), ("Failed", None), ("Succeeded", "x")], "s string, e string")
     got = [r[0] is None for r in df.select(fingerprint.failure_fingerprint(F.col("s"), F.col("e"))).collect()]
