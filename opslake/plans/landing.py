@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from opslake import session, vocab
 from opslake.functions import contract as fn
-from opslake.operators import validate
+from opslake.operators import alerts, signals, validate
 from opslake.sources import landing
+from opslake.store import Store
 
 _SHAPE = ["arrival_id", "check", "column_name", "occurrences"]
 
@@ -53,6 +54,27 @@ def run(spark: SparkSession, root: str, contracts: DataFrame, day: str, as_of: s
     return Verdict(judged, findings, gone.select("feed_name", "day", "closes_at"))
 
 
+def keep(store: Store, batch: int, now: str, verdict: Verdict) -> None:
+    """Store arrivals, validations and alerts of a verdict as one batch.
+
+    Late and missing files raise one alert per feed, drifted columns another; the disposition says
+    which files may go on and which are set aside.
+    """
+    at, seq = F.lit(now).cast("timestamp"), F.lit(batch).cast("bigint")
+    came = session.cut(verdict.arrivals)
+    drift = verdict.findings.filter(F.col("check").isin(vocab.V_RENAMED, vocab.V_ADDED, vocab.V_REMOVED))
+    drifted = drift.select("arrival_id").distinct().join(came, "arrival_id")
+    late = came.filter(F.coalesce("is_late", F.lit(False)))
+    events = (
+        signals.feed_events(verdict.missing, vocab.FEED_LATE, at, seq)
+        .unionByName(signals.feed_events(late, vocab.FEED_LATE, at, seq))
+        .unionByName(signals.feed_events(drifted, vocab.SCHEMA_DRIFT, at, seq))
+    )
+    judged = came.filter(F.col("version").isNotNull()).withColumn("ran_at", at)
+    merged = alerts.merge(store.before(batch).current("alert"), events)
+    store.commit(batch, {"arrival": came, "validation": judged, "alert": merged})
+
+
 def _headers(spark: SparkSession, root: str, came: DataFrame) -> DataFrame:
     """arrival_id, header, declared. A file without a line has an empty header.
 

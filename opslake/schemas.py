@@ -66,6 +66,15 @@ TABLES = {
         "dedup_key string, type string, status string, routed_to string, message string, first_seen timestamp, "
         "last_occurrence timestamp, occurrences bigint, acked_by string, acked_at timestamp",
     ),
+    "arrival": (
+        ["arrival_id"],
+        "arrival_id string, feed_name string, key string, size_bytes bigint, arrived_at timestamp, disposition string",
+    ),
+    "validation": (
+        ["arrival_id", "version"],
+        "arrival_id string, version bigint, result string, "
+        "findings array<struct<check:string, column_name:string, occurrences:bigint>>, ran_at timestamp",
+    ),
     "feed": (["feed_name"], "feed_name string, team_id string, landing_prefix string, is_active boolean"),
     "contract_version": (
         ["feed_id", "version"],

@@ -31,14 +31,13 @@ def build(app: str = "opslake", master: str | None = None, **conf: str) -> Spark
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``."""
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    named = tempfile.mkdtemp(prefix="opslake-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="opslake-"))
+    return named or context.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -248,6 +248,21 @@ def test_landing_verdicts(verdict):
     assert {r.feed_name for r in verdict.missing.collect()} == {"gone", "late"}
 
 
+def test_landing_is_kept(spark, verdict, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        landing.keep(store, 1, "2026-09-03 23:00:00", verdict)
+    kept = {r.feed_name: r.disposition for r in store.current("arrival").collect()}
+    assert kept["clean"] in ("Validated", "Late") and kept["nulls"] == kept["drift"] == "Quarantined"
+    results = {r.arrival_id.split("/")[-2]: r for r in store.current("validation").collect()}
+    assert results["nulls"].result == "Failed" and [tuple(f) for f in results["nulls"].findings] == [
+        (vocab.V_NULL, "EffectiveDate", 1), (vocab.V_NULL, "MemberId", 2)
+    ]
+    raised = {r.message: r.occurrences for r in store.current("alert").collect()}
+    assert raised["gone: FeedLate"] == raised["late: FeedLate"] == raised["renamed: SchemaDrift"] == raised["bare: SchemaDrift"] == 1
+    assert "nulls: SchemaDrift" not in raised
+
+
 def test_offsets_and_cutting(spark):
     columns = spark.createDataFrame(
         [([("a", "date", True, None), ("b", "string", True, 3)],)], "columns array<struct<name:string,type:string,nullable:boolean,max_length:int>>"
