@@ -30,22 +30,83 @@ def name_parts(mask: Column) -> tuple[Column, Column]:
     return head, tail
 
 
-def classify_name(name: Column, mask: Column) -> Column:
-    """How a file name relates to a mask: exact, date_format, case, case_and_date, or null."""
-    return _fit(name, *name_parts(mask), F.locate(vocab.DATE_TOKEN, mask) > 0)
+# How a name may meet a mask: around a date, as a whole, or only by its prefix; ~ is without case.
+_DATE, _DATE_LOOSE, _NAME, _NAME_LOOSE, _PREFIX = "date", "date~", "name", "name~", "prefix"
+_FITS = {
+    (_DATE, "d8"): "exact", (_DATE, "d10"): "date_format", (_DATE_LOOSE, "d8"): "case", (_DATE_LOOSE, "d10"): "case_and_date",
+    (_NAME, ""): "exact", (_NAME_LOOSE, ""): "case",
+}
 
 
-def _fit(name: Column, head: Column, tail: Column, has_date: Column) -> Column:
-    """The same from a mask's parts. Patterns are constants, not one per row."""
-    middle = F.substring(name, F.length(head) + 1, F.length(name) - F.length(head) - F.length(tail))
-    long_enough = F.length(name) >= F.length(head) + F.length(tail)
-    same = name.startswith(head) & name.endswith(tail)
-    same_loose = F.lower(name).startswith(F.lower(head)) & F.lower(name).endswith(F.lower(tail))
-    digits = F.when(has_date, middle.rlike(r"\A[0-9]{8}\z")).otherwise(middle == "")
-    dashed = has_date & middle.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
-    plain = F.when(same, "exact").when(same_loose, "case")
-    other_date = F.when(same, "date_format").when(same_loose, "case_and_date")
-    return F.when(~long_enough, None).when(digits, plain).when(dashed, other_date)
+def _key(how: str, head: Column, tail: Column, date: str = "") -> Column:
+    if how.endswith("~"):
+        head, tail = F.lower(head), F.lower(tail)
+    return F.struct(F.lit(how).alias("how"), head.alias("head"), tail.alias("tail"), F.lit(date).alias("date"))
+
+
+_WINDOWS = "array<struct<head:string,tail:string,date:string>>"
+
+
+def _windows(name: Column, parts: Column, count: Column, width: int, pattern: str, date: str) -> Column:
+    """What stands around each place of a name where a date of the pattern may stand.
+
+    ``parts`` is the name split at dates that touch no other digit, ``count`` the number of all its
+    dates. Nearly every name has one, and it touches none; only other names are searched place by place.
+    """
+    window = lambda h, t: F.struct(h.alias("head"), t.alias("tail"), F.lit(date).alias("date"))
+    places = F.filter(
+        F.sequence(F.lit(1), F.greatest(F.length(name) - width + 1, F.lit(1))),
+        lambda i: F.substring(name, i, F.lit(width)).rlike(rf"\A{pattern}\z"),
+    )
+    every = F.transform(
+        places, lambda i: window(F.substring(name, F.lit(1), i - 1), F.substring(name, i + width, F.length(name)))
+    )
+    one = F.array(window(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))))
+    return F.when(count == 0, F.array().cast(_WINDOWS)).when((count == 1) & (F.size(parts) == 2), one).otherwise(every)
+
+
+def _with_name_keys(placed: DataFrame) -> DataFrame:
+    """One row per arrival, prefix and lookup key ``__k``; a row without prefix has the prefix key only."""
+    dates = {"d8": (8, "[0-9]{8}"), "d10": (10, "[0-9]{4}-[0-9]{2}-[0-9]{2}")}
+    name, none = F.col("__name"), F.lit("")
+    rows = placed.withColumn("__name", F.when(F.col("__known").isNotNull(), file_name(F.col("key"))).otherwise(none))
+    found = []
+    for date, (width, pattern) in dates.items():
+        rows = rows.withColumns({
+            f"__parts_{date}": F.split(name, rf"(?<![0-9]){pattern}(?![0-9])", -1),
+            f"__count_{date}": F.regexp_count(name, F.lit(pattern)),
+        })
+        found.append(_windows(name, F.col(f"__parts_{date}"), F.col(f"__count_{date}"), width, pattern, date))
+    whole = F.struct(name.alias("head"), none.alias("tail"), none.alias("date"))
+    rows = rows.withColumn("__w", F.explode_outer(F.concat(*found, F.array(whole))))
+    dated = F.col("__w.date") != ""
+    head, tail, date = F.col("__w.head"), F.col("__w.tail"), F.col("__w.date")
+    key = lambda how, h, t: F.struct(how.alias("how"), h.alias("head"), t.alias("tail"), date.alias("date"))
+    exact = key(F.when(dated, _DATE).otherwise(_NAME), head, tail)
+    loose = key(F.when(dated, _DATE_LOOSE).otherwise(_NAME_LOOSE), F.lower(head), F.lower(tail))
+    prefix = key(F.lit(_PREFIX), none, none)
+    keys = F.when(name == "", F.array(prefix)).when(dated, F.array(exact, loose)).otherwise(F.array(exact, loose, prefix))
+    drop = ["__name", "__w", *[f"__{what}_{d}" for what in ("parts", "count") for d in dates]]
+    return rows.withColumn("__k", F.explode_outer(keys)).drop(*drop)
+
+
+def mask_keys(feeds: DataFrame) -> DataFrame:
+    """One feed per prefix and key: the last by name where several say the same."""
+    head, tail = name_parts(F.col("file_mask"))
+    dated = F.locate(vocab.DATE_TOKEN, F.col("file_mask")) > 0
+    none = F.lit("")
+    keys = F.concat(
+        F.when(dated, F.array(_key(_DATE, head, tail), _key(_DATE_LOOSE, head, tail))).otherwise(
+            F.array(_key(_NAME, head, none), _key(_NAME_LOOSE, head, none))
+        ),
+        F.array(_key(_PREFIX, none, none)),
+    )
+    return (
+        feeds.select("landing_prefix", "feed_name", "file_mask", F.explode(keys).alias("k"))
+        .groupBy("landing_prefix", "k.how", "k.head", "k.tail")
+        .agg(F.max_by(F.struct("feed_name", "file_mask"), "feed_name").alias("f"))
+        .select("landing_prefix", "how", "head", "tail", "f.*")
+    )
 
 
 def file_name(key: Column) -> Column:
@@ -66,55 +127,47 @@ def landed(arrivals: DataFrame) -> DataFrame:
     return arrivals.filter(~F.col("key").endswith(vocab.LATE_SUFFIX))
 
 
-def _outline(name: Column) -> Column:
-    """A name with every run of digits and dashes drawn as one mark.
-
-    A name that fits a mask, in any drift, has the outline of that mask.
-    """
-    return F.regexp_replace(F.lower(name), r"[0-9-]+", "#")
-
-
 def attribute(arrivals: DataFrame, feeds: DataFrame) -> DataFrame:
     """Attach to each arrival its feed and how its name fits the mask.
 
     A feed qualifies if its landing prefix starts the key. Among those a fitting mask wins, then the
-    longer prefix, then the feed name; ``feed_name`` is null where no feed qualifies. The key is cut
-    at every length a prefix can have and its name reduced to an outline, so feeds are found by
-    equality on (prefix, outline), not by testing pairs; one more row per prefix, with an empty
-    outline, stands for "prefix only". The empty prefix is always tried, which keeps every arrival.
+    longer prefix, then the feed name; ``feed_name`` is null where no feed qualifies. ``name_fit`` is
+    exact, date_format, case, case_and_date, or null. Prefixes are found by cutting the key at every
+    length a prefix can have, masks by what stands around the date in the name; both are lookups of
+    unique keys, so the number of feeds that share a prefix does not matter.
     """
-    head, tail = name_parts(F.col("file_mask"))
-    masks = feeds.select("landing_prefix", "feed_name", "file_mask").withColumns(
-        {"__head": head, "__tail": tail, "__dated": F.locate(vocab.DATE_TOKEN, F.col("file_mask")) > 0}
-    )
-    what = ["feed_name", "file_mask", "__head", "__tail", "__dated"]
-    by_mask = masks.select(
-        F.col("landing_prefix").alias("__prefix"),
-        _outline(F.replace(F.col("file_mask"), F.lit(vocab.DATE_TOKEN), F.lit("0"))).alias("__outline"), *what,
-    )
-    by_prefix = masks.groupBy(F.col("landing_prefix").alias("__prefix")).agg(
-        F.max_by(F.struct(*what), "feed_name").alias("f")
-    ).select("__prefix", F.lit("").alias("__outline"), "f.*")
     pieces = F.transform(
         F.array_union(F.filter(F.col("__lengths"), lambda n: n <= F.length("key")), F.array(F.lit(0))),
         lambda n: F.substring(F.col("key"), F.lit(1), n),
     )
-    # Outer, as Spark tests the arrays of a plain explode for emptiness, which these never are.
-    cuts = (
-        arrivals.withColumns({"__lengths": _prefix_lengths(feeds), "__name": file_name(F.col("key"))})
-        .withColumns({"__pieces": pieces, "__outlines": F.array(_outline(F.col("__name")), F.lit(""))})
-        .withColumn("__prefix", F.explode_outer("__pieces")).withColumn("__outline", F.explode_outer("__outlines"))
-        .drop("__lengths", "__pieces", "__outlines")
+    prefixes = feeds.select(F.col("landing_prefix").alias("__known")).distinct()
+    # Outer, as Spark tests the arrays of a plain explode for emptiness, which these never are. The
+    # empty piece is kept without a match, and with it every arrival.
+    placed = (
+        arrivals.withColumn("__lengths", _prefix_lengths(feeds))
+        .withColumn("__piece", F.explode_outer(pieces)).drop("__lengths")
+        .join(prefixes, F.col("__piece") == F.col("__known"), "left")
+        .filter(F.col("__known").isNotNull() | (F.col("__piece") == ""))
     )
-    base = (F.col("__prefix") == "") & (F.col("__outline") == "")
-    fit = _fit(F.col("__name"), F.col("__head"), F.col("__tail"), F.col("__dated"))
+    known = mask_keys(feeds)
     candidates = (
-        cuts.join(by_mask.unionByName(by_prefix), ["__prefix", "__outline"], "left")
-        .filter(base | F.col("feed_name").isNotNull())
-        .withColumn("name_fit", fit)
+        _with_name_keys(placed).join(
+            known,
+            (F.col("__known") == known["landing_prefix"]) & (F.col("__k.how") == known["how"])
+            & (F.col("__k.head") == known["head"]) & (F.col("__k.tail") == known["tail"]),
+            "left",
+        )
+        .filter(F.col("feed_name").isNotNull() | (F.col("__k.how") == _PREFIX))
     )
+    fit = F.lit(None).cast("string")
+    for (how, date), name in _FITS.items():
+        fit = F.when((F.col("__k.how") == how) & (F.col("__k.date") == date), name).otherwise(fit)
+    candidates = candidates.withColumn("name_fit", fit)
     strength = F.when(F.col("name_fit") == "exact", 3).when(F.col("name_fit").isNotNull(), 2).otherwise(1)
-    order = F.struct(strength.alias("s"), F.length("__prefix").alias("l"), F.col("feed_name").alias("f"))
+    order = F.struct(
+        strength.alias("s"), F.length("__piece").alias("l"), F.col("feed_name").alias("f"),
+        (~F.col("__k.how").endswith("~")).alias("same_case"),
+    )
     # The rows of one arrival lie side by side, so this adds up before the shuffle.
     best = candidates.groupBy("arrival_id").agg(
         F.any_value(F.struct(*arrivals.columns)).alias("a"),

@@ -107,7 +107,9 @@ def test_versions_flip_within_and_across_batches(spark):
 
 
 def names(spark, name, mask):
-    return spark.range(1).select(validate.classify_name(F.lit(name), F.lit(mask))).first()[0]
+    feeds = spark.createDataFrame([("F", "in/", mask)], "feed_name string, landing_prefix string, file_mask string")
+    came = spark.createDataFrame([("1", f"in/{name}")], "arrival_id string, key string")
+    return validate.attribute(came, feeds).first().name_fit
 
 
 @pytest.mark.parametrize(
@@ -121,9 +123,27 @@ def test_names(spark, name, fit):
     assert names(spark, name, "A1_{yyyyMMdd}.csv") == fit
 
 
+def test_undated_mask(spark):
+    assert [names(spark, n, "MEMBERS.csv") for n in ("MEMBERS.csv", "members.csv", "MEMBERS2.csv")] == ["exact", "case", None]
+
+
+def test_many_masks_below_one_prefix(spark):
+    feeds = spark.range(3000).select(
+        F.concat(F.lit("F"), "id").alias("feed_name"), F.lit("in/").alias("landing_prefix"),
+        F.concat(F.lit("F"), F.col("id") % 1500, F.lit("_{yyyyMMdd}.csv")).alias("file_mask"),
+    )
+    came = spark.range(2000).select("id", F.col("id").alias("arrival_id"), F.concat(F.lit("in/f"), F.col("id"), F.lit("_20260903.csv")).alias("key"))
+    got = validate.attribute(came, feeds)
+    counts = got.groupBy("name_fit").count().collect()
+    assert {r.name_fit: r["count"] for r in counts} == {"case": 1500, None: 500}
+    wrong = got.filter("name_fit is not null").filter(F.col("feed_name") != F.greatest(F.concat(F.lit("F"), "id"), F.concat(F.lit("F"), F.col("id") + 1500)))
+    assert wrong.isEmpty()
+
+
 def test_digits_next_to_the_date(spark):
     feeds = spark.createDataFrame([("F", "in/", "A1{yyyyMMdd}9.csv")], "feed_name string, landing_prefix string, file_mask string")
-    came = spark.createDataFrame([("1", "in/A1202609039.csv"), ("2", "in/A12026-09-039.csv"), ("3", "out/A1202609039.csv"), ("4", "in/zzz")], "arrival_id string, key string")
+    keys = ["in/A1202609039.csv", "in/A12026-09-039.csv", "out/A1202609039.csv", "in/zzz"]
+    came = spark.createDataFrame([(str(n), k) for n, k in enumerate(keys, 1)], "arrival_id string, key string")
     got = {r.arrival_id: (r.feed_name, r.name_fit) for r in validate.attribute(came, feeds).collect()}
     assert got == {"1": ("F", "exact"), "2": ("F", "date_format"), "3": (None, None), "4": ("F", None)}
 
