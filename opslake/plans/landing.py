@@ -71,7 +71,7 @@ def keep(store: Store, batch: int, now: str, verdict: Verdict) -> None:
         .unionByName(signals.feed_events(drifted, vocab.SCHEMA_DRIFT, at, seq))
     )
     judged = came.filter(F.col("version").isNotNull()).withColumn("ran_at", at)
-    merged = alerts.merge(store.before(batch).current("alert"), events)
+    merged = alerts.merge(store.before(batch).touched("alert", events), events)
     store.commit(batch, {"arrival": came, "validation": judged, "alert": merged})
 
 

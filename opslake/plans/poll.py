@@ -59,7 +59,7 @@ def cycle(store: Store, source_id: int, source_name: str, batch: int, now: str,
         jobs, reports = session.cut(got.jobs), session.cut(got.runs)
         job_count = jobs.count()
         raised = _health_events(past, source_id, source_name, job_count, batch, at, got.purged)
-        kept["alert"] = alerts.merge(past.current("alert"), raised)
+        kept["alert"] = alerts.merge(past.touched("alert", raised), raised)
         tables, result = _merge(past, source_id, batch, at, jobs, reports)
         result.jobs = job_count
         _commit(store, source_id, batch, at, vocab.COMPLETED, result, {**kept, **tables}, got.watermark)
@@ -82,7 +82,12 @@ def _health_events(
         health.zero_rows(now), vocab.ZERO_ROWS,
         F.lit(f"{name} returned 0 jobs: check permissions and configuration"), at, seq,
     )
-    earlier = store.current("sync").filter(F.col("source_id") == source_id).select(*now.columns)
+    # The baseline needs the last few filled syncs only.
+    filled = (F.col("source_id") == source_id) & (F.col("status") == vocab.COMPLETED) & (F.col("job_count") > 0)
+    earlier = (
+        store.current("sync").filter(filled).select(*now.columns)
+        .orderBy(F.col("started_at").desc(), F.col("sync_id").desc()).limit(vocab.BASELINE_SYNCS)
+    )
     dropped = health.sharp_drop(earlier.unionByName(now)).filter(F.col("sync_id") == batch)
     message = F.concat(
         F.lit(f"{name} job count dropped from a baseline of "), F.format_number("baseline", 0), F.lit(" to "),

@@ -17,5 +17,5 @@ def sweep(store: Store, batch: int, now: str, stale_after_seconds: int) -> DataF
     sources = past.current("source").join(beats, "source_id", "left")
     swept = health.stale_sources(sources, at, stale_after_seconds)
     events = health.stale_events(swept, at, F.lit(batch).cast("bigint"))
-    store.commit(batch, {"alert": alerts.merge(past.current("alert"), events)})
+    store.commit(batch, {"alert": alerts.merge(past.touched("alert", events), events)})
     return store.current("alert")

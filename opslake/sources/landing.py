@@ -21,7 +21,8 @@ def arrivals(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def empty_files(listing: DataFrame) -> DataFrame:
     """arrival_id, key, arrived_at of the zero-byte files, which Spark's readers pass over.
 
-    They are what the reader's own file listing has beyond the rows it gives.
+    They are what the reader's own file listing has beyond the rows it gives: the driver holds one
+    path per file there already.
     """
     spark = listing.sparkSession
     one_slash = F.regexp_replace("path", "^([a-zA-Z0-9]+):///", "$1:/")
