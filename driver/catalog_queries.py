@@ -8,7 +8,7 @@ from driver import inputs as i
 from driver.registry import query
 from opslake import vocab
 from opslake.functions import time
-from opslake.operators import catalog, health, scan
+from opslake.operators import catalog, health, invariants, scan
 from opslake.sources import scheduler
 
 
@@ -211,3 +211,28 @@ def page_completeness(t):
     pages = slots.groupBy(F.col("c_nationkey").alias("listing"), "page").agg(F.collect_list("dag_id").alias("items"))
     announced = (F.col("n") + F.when(F.col("listing") % 4 == 0, 1).otherwise(0)).cast("int")
     return scheduler.completeness(pages.join(size, "listing").withColumn("total_entries", announced), ["listing"])
+
+
+@query("edge_invariants", """WITH e AS (SELECT l_partkey % 2000 AS u, l_suppkey AS d FROM lineitem)
+SELECT 'self' AS rule, u AS upstream, d AS downstream, count(*) AS rows FROM e WHERE u = d GROUP BY ALL
+UNION ALL SELECT 'repeated', u, d, count(*) FROM e GROUP BY ALL HAVING count(*) > 1""")
+def edge_invariants(t):
+    edges = t.lineitem.select((F.col("l_partkey") % 2000).alias("upstream"), F.col("l_suppkey").alias("downstream"))
+    own = invariants.self_edges(edges).groupBy("upstream", "downstream").agg(F.count(F.lit(1)).alias("rows"))
+    return own.withColumn("rule", F.lit("self")).unionByName(
+        invariants.repeated_edges(edges).withColumn("rule", F.lit("repeated"))
+    )
+
+
+@query("binding_invariants", """WITH b AS (SELECT o_custkey % 25 AS s, 'J' || o_custkey AS j, lower('N' || (o_orderkey // 3)) AS n FROM orders WHERE o_orderstatus <> 'F')
+SELECT 'job' AS shared, s AS source_id, j AS id, count(*) AS rows FROM b GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'native', s, n, count(*) FROM b GROUP BY ALL HAVING count(*) > 1""")
+def binding_invariants(t):
+    k = F.col("o_orderkey")
+    native = F.call_function("div", k, F.lit(3))
+    bindings = t.orders.select(
+        (F.col("o_custkey") % 25).alias("source_id"), i.text("J", F.col("o_custkey")).alias("job_id"),
+        F.when(k % 2 == 0, i.text("N", native)).otherwise(i.text("n", native)).alias("native_id"),
+        F.when(F.col("o_orderstatus") == "F", i.utc("o_orderdate")).alias("unbound_at"),
+    )
+    return invariants.double_bindings(bindings)

@@ -36,6 +36,7 @@ class Result:
     inserted: int = 0
     closed: int = 0
     orphans: int = 0
+    orphan_ids: tuple[str, ...] = ()
     error: str | None = None
 
 
@@ -122,13 +123,15 @@ def _merge(
         F.count_if(F.col("outcome") == runs.INSERTED).alias("inserted"),
         F.count_if(F.col("outcome") == runs.CLOSED).alias("closed"),
     ).first()
+    lost = runs.orphans(reports, bindings)
     result = Result(
         True,
         unowned=owned.filter(F.col("team_id").isNull()).count(),
         runs=reports.count(),
         inserted=counts.inserted,
         closed=counts.closed,
-        orphans=runs.orphans(reports, bindings).select(F.count_distinct(F.lower("native_job_id"))).first()[0],
+        orphans=lost.select(F.count_distinct(F.lower("native_job_id"))).first()[0],
+        orphan_ids=tuple(r.native_job_id for r in runs.orphan_report(lost).collect()),
     )
     seen = merged.filter(F.col("last_seen") == at)
     state = runs.merge_lifecycle(events, RUN_KEY, ["job_id"])

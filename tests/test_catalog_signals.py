@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from opslake.operators import catalog, scan, signals
+from opslake.operators import catalog, invariants, scan, signals
 
 T0 = dt.datetime(2026, 9, 3, 2, 0)
 KNOWN = (
@@ -54,6 +54,15 @@ def test_ownership_changes(spark):
     assert [(r.sync_id, r.team_id, r.previous_team) for r in got] == [(0, "a", None), (2, None, "a"), (4, "b", None)]
 
 
+def test_invariants(spark):
+    edges = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1)], "upstream int, downstream int")
+    assert [tuple(r) for r in invariants.self_edges(edges).collect()] == [(1, 1)]
+    assert [tuple(r) for r in invariants.repeated_edges(edges).collect()] == [(1, 2, 2)]
+    rows = [(1, "J1", "a", None), (1, "J1", "b", None), (1, "J2", "C", None), (1, "J3", "c", None), (1, "J4", "d", T0), (1, "J4", "d", None)]
+    bound = spark.createDataFrame(rows, "source_id int, job_id string, native_id string, unbound_at timestamp")
+    assert sorted(tuple(r) for r in invariants.double_bindings(bound).collect()) == [("job", 1, "J1", 2), ("native", 1, "c", 2)]
+
+
 def cone_of(edges, failed):
     depth = {f: 0 for f in failed}
     layer = list(depth)

@@ -13,7 +13,7 @@ from opslake.operators import catalog, runs
 from opslake.plans import collect, poll, sweep
 from opslake.sources import landing, scheduler
 from opslake.store import Store
-from opslake.streaming import timers
+from opslake.streaming import cycles, timers
 from opslake.streaming.changes import ChangeLog, start
 
 T0 = dt.datetime(2026, 9, 3, 2, 0)
@@ -107,7 +107,7 @@ def test_empty_source_alerts_and_failed_sync_keeps_the_watermark(spark, store):
 def test_unknown_job_is_skipped(spark, store):
     collected = batch(spark, [("job-a", "n", "")], [("deleted-job", "run-9", T0, T0, "Succeeded", None)], None)
     result = poll.cycle(store, 7, "fake", 1, "2026-09-03 02:05:00", lambda _: collected)
-    assert result.ok and result.orphans == 1 and store.current("run").count() == 0
+    assert result.ok and result.orphans == 1 and result.orphan_ids == ("deleted-job",) and store.current("run").count() == 0
 
 
 def test_sharp_drop_between_cycles(spark, store):
@@ -186,6 +186,25 @@ def test_arrivals_as_a_stream(spark, tmp_path):
     assert row.key.endswith("/a/x y.csv") and row.size_bytes == 4
 
 
+def test_cycles_from_a_stream(spark, store, tmp_path):
+    minute = lambda n: T0 + dt.timedelta(minutes=n)
+    pieces = [
+        [("job-a", "r1", minute(0), None, "Running", None), ("job-b", "r2", minute(1), minute(2), "Failed", "boom 1")],
+        [("JOB-A", "r1", minute(0), minute(5), "Succeeded", None), ("job-b", "r2", minute(1), minute(9), "Succeeded", None)],
+        [("job-a", "r1", minute(0), minute(7), "Failed", "late"), ("job-a", "r3", minute(6), None, "Queued", None)],
+    ]
+    schema = RUN + ", reported_at timestamp"
+    for n, piece in enumerate(pieces):
+        rows = [(*r, 10 * n + k, minute(10 * n)) for k, r in enumerate(piece)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    jobs = batch(spark, [("job-a", "A", "Owner: ETL"), ("job-b", "B", "")], [], None).jobs
+    reports = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start(reports, cycles.cycle_sink(store, 7, "flow", lambda: jobs), str(tmp_path / "checkpoint"), "append").awaitTermination()
+    got = {r.native_run_id: (r.status, r.ended_at) for r in store.current("run").collect()}
+    assert got == {"r1": ("Succeeded", minute(5)), "r2": ("Failed", minute(2)), "r3": ("Queued", None)}
+    assert store.current("sync").count() == 3 and store.current("ownership").count() == 6
+
+
 def test_sweep_raises_and_resolves(spark, store):
     sources = [(n, "SQLAgent", name, "{}") for n, name in ((1, "old"), (2, "never"), (3, "fresh"))]
     beats = [(1, None, T0 - dt.timedelta(minutes=10)), (3, None, T0 - dt.timedelta(seconds=30))]
