@@ -56,7 +56,7 @@ def spec_hash(json: Column) -> Column:
 
 
 def rule_error(spec: dict[str, Column]) -> Column:
-    """Message of the first rule a contract breaks, null for a good contract."""
+    """Message of the first rule a contract breaks, null for a good contract. The texts are fixed values."""
     feed = F.concat(F.lit("feed '"), spec["feed_id"], F.lit("': "))
 
     def message(text: str) -> Column:

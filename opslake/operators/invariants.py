@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opslake.operators import catalog
+
 
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with how often."""
@@ -21,7 +23,7 @@ def repeated_edges(edges: DataFrame) -> DataFrame:
 
 def double_bindings(bindings: DataFrame) -> DataFrame:
     """Active bindings that share a job and source, or a source and native id without case."""
-    active = bindings.filter(F.col("unbound_at").isNull())
+    active = catalog.active_bindings(bindings)
     by_job = repeated(active, ["source_id", "job_id"]).select(
         F.lit("job").alias("shared"), "source_id", F.col("job_id").alias("id"), "rows"
     )

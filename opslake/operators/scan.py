@@ -32,10 +32,13 @@ def time_chunk(column: Column | str, seconds: int = CHUNK_SECONDS) -> Column:
 
 
 def day_chunk(day: Column | str, tie: Column | str, slices: int = 64, tie_span: int = 1 << 40) -> Column:
-    """Slices for coarse dates: a day, cut again by the id that breaks ties within the day."""
+    """Slices for coarse dates: a day, cut again by the id that breaks ties within the day.
+
+    ``tie_span`` is about the highest id; ids beyond it share the day's last slice.
+    """
     day = F.col(day) if isinstance(day, str) else day
-    tie = F.col(tie) if isinstance(tie, str) else tie
-    return F.struct(day.cast("date").alias("d"), id_chunk(tie, max(1, tie_span // slices)).alias("s"))
+    part = F.least(id_chunk(tie, max(1, tie_span // slices)), F.lit(slices - 1))
+    return F.unix_date(day.cast("date")).cast("bigint") * slices + F.greatest(part, F.lit(0))
 
 
 @dataclass(frozen=True)

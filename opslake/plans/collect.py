@@ -44,7 +44,9 @@ def agent(spark: SparkSession, root: str, source_id: int, zone: str = "UTC") ->
     return collect
 
 
-def dags(spark: SparkSession, dag_pages: str, run_pages: str, poll_started: str, lookback_seconds: int = 86400) -> Callable[[str | None], Collected]:
+def dags(
+    spark: SparkSession, dag_pages: str, run_pages: str, poll_started: str, lookback_seconds: int = 86400
+) -> Callable[[str | None], Collected]:
     """Reader of landed listing pages.
 
     A listing with pages missing is an error, not a small catalogue. The new watermark is the start

@@ -188,12 +188,12 @@ def json_structure(lines: DataFrame, declared: list[str]) -> DataFrame:
     """Structural check of JSON feed lines (arrival_id, value): unreadable lines, missing and extra keys."""
     keys = F.json_object_keys("value")
     names = F.array(*[F.lit(n) for n in declared])
-    marks = F.when(keys.isNull(), F.array(F.struct(F.lit("unreadable").alias("check"), F.lit("").alias("column_name")))).otherwise(
-        F.concat(
-            F.transform(F.array_except(names, keys), lambda n: F.struct(F.lit(vocab.V_REMOVED).alias("check"), n.alias("column_name"))),
-            F.transform(F.array_except(keys, names), lambda n: F.struct(F.lit(vocab.V_ADDED).alias("check"), n.alias("column_name"))),
-        )
+    mark = lambda check, column: F.struct(F.lit(check).alias("check"), column.alias("column_name"))
+    drifted = F.concat(
+        F.transform(F.array_except(names, keys), lambda n: mark(vocab.V_REMOVED, n)),
+        F.transform(F.array_except(keys, names), lambda n: mark(vocab.V_ADDED, n)),
     )
+    marks = F.when(keys.isNull(), F.array(mark("unreadable", F.lit("")))).otherwise(drifted)
     return (
         lines.select("arrival_id", F.explode(marks).alias("f")).groupBy("arrival_id", "f.check", "f.column_name")
         .agg(F.count(F.lit(1)).alias("occurrences"))

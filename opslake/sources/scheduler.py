@@ -59,7 +59,8 @@ def completeness(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     A short listing, or one with no readable page, must fail the sync: it is not an empty catalogue.
     """
-    landed = F.coalesce(F.sum(F.coalesce(F.size(F.coalesce("items", F.array().cast(pages.schema["items"].dataType))), F.lit(0))), F.lit(0)).cast("bigint")
+    none = F.array().cast(pages.schema["items"].dataType)
+    landed = F.coalesce(F.sum(F.size(F.coalesce("items", none))), F.lit(0)).cast("bigint")
     return pages.groupBy(*(keys or [])).agg(
         landed.alias("landed"), F.max("total_entries").cast("bigint").alias("announced")
     ).withColumn("complete", F.coalesce(F.col("landed") >= F.col("announced"), F.lit(False)))

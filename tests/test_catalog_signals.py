@@ -58,6 +58,8 @@ def test_invariants(spark):
     edges = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1)], "upstream int, downstream int")
     assert [tuple(r) for r in invariants.self_edges(edges).collect()] == [(1, 1)]
     assert [tuple(r) for r in invariants.repeated_edges(edges).collect()] == [(1, 2, 2)]
+    runs = spark.createDataFrame([(1, "r"), (1, "r"), (2, "r")], "source_id int, native_run_id string")
+    assert [tuple(r) for r in invariants.repeated_runs(runs).collect()] == [(1, "r", 2)]
     rows = [(1, "J1", "a", None), (1, "J1", "b", None), (1, "J2", "C", None), (1, "J3", "c", None), (1, "J4", "d", T0), (1, "J4", "d", None)]
     bound = spark.createDataFrame(rows, "source_id int, job_id string, native_id string, unbound_at timestamp")
     assert sorted(tuple(r) for r in invariants.double_bindings(bound).collect()) == [("job", 1, "J1", 2), ("native", 1, "c", 2)]

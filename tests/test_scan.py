@@ -44,6 +44,15 @@ def test_trailing_equals_window(rows, block):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize(("slices", "span"), [(1, 10), (7, 1500), (64, 1 << 40)])
+def test_day_chunks_follow_the_order(rows, slices, span):
+    dated = rows.withColumn("d", F.date_add(F.lit("1969-12-30").cast("date"), (F.col("id") * 7 % 5).cast("int")))
+    chunk = scan.day_chunk("d", "id", slices, span)
+    got = scan.ranked(dated, ["k"], ["d", "id"], chunk, "n")
+    want = dated.withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("d", "id")).cast("bigint"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_ranked_without_loss(rows):
     got = scan.ranked(rows, ["k"], ["id"], scan.id_chunk("id", 11), "n").groupBy("k").agg(
         F.count("*").alias("c"), F.max("n").alias("m"), F.count_distinct("n").alias("d")
