@@ -16,7 +16,7 @@ class ChangeLog:
         rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", self.root).parquet(f"{self.root}/batch=*")
+        return spark.read.parquet(self.root)
 
     def latest(self, spark: SparkSession) -> DataFrame:
         """Last update of every key."""
