@@ -17,14 +17,18 @@ def local_to_utc(local: Column, zone: str) -> Column:
     """Local wall-clock time to UTC.
 
     A time in a spring gap takes the standard offset, as Spark does already. A time in an autumn
-    overlap also takes the standard offset, the later of the two instants; Spark takes the earlier.
+    overlap, of an hour or of half an hour, also takes the standard offset, the later of the two
+    instants; Spark takes the earlier.
     """
     local = local.cast("timestamp")
     if zone.upper() in ("UTC", "ETC/UTC", "Z"):
         return local
     first = F.to_utc_timestamp(local, zone)
-    later = first + F.expr("INTERVAL '1' HOUR")
-    return F.when(F.from_utc_timestamp(later, zone) == local, later).otherwise(first)
+    result = first
+    for shift in ("INTERVAL '30' MINUTE", "INTERVAL '1' HOUR"):
+        later = first + F.expr(shift)
+        result = F.when(F.from_utc_timestamp(later, zone) == local, later).otherwise(result)
+    return result
 
 
 def packed_to_utc(date: Column, time: Column, zone: str = "UTC") -> Column:

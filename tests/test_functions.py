@@ -30,6 +30,8 @@ LOGIN = "Executed as user: svc_etl. Login failed for user 'carrier_ro'. [SQLSTAT
         (20261101, 13000, "America/Chicago", dt.datetime(2026, 11, 1, 7, 30)),
         (20261101, 3000, "America/Chicago", dt.datetime(2026, 11, 1, 5, 30)),
         (20261101, 23000, "America/Chicago", dt.datetime(2026, 11, 1, 8, 30)),
+        (20260405, 14500, "Australia/Lord_Howe", dt.datetime(2026, 4, 4, 15, 15)),
+        (20260405, 11500, "Australia/Lord_Howe", dt.datetime(2026, 4, 4, 14, 15)),
         (20261025, 23000, "Europe/Berlin", dt.datetime(2026, 10, 25, 1, 30)),
     ],
 )
