@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslake import session, vocab
+from opslake.functions.fingerprint import dedup_key
 from opslake.operators import alerts, catalog, health, runs, scan
 from opslake.store import Store
 
@@ -60,7 +61,8 @@ def cycle(store: Store, source_id: int, source_name: str, batch: int, now: str,
         jobs, reports = session.cut(got.jobs), session.cut(got.runs)
         job_count = jobs.count()
         raised = _health_events(past, source_id, source_name, job_count, batch, at, got.purged)
-        kept["alert"] = alerts.merge(past.touched("alert", raised), raised)
+        if raised is not None:
+            kept["alert"] = alerts.merge(past.touched("alert", raised), raised)
         tables, result = _merge(past, source_id, batch, at, jobs, reports)
         result.jobs = job_count
         _commit(store, source_id, batch, at, vocab.COMPLETED, result, {**kept, **tables}, got.watermark)
@@ -73,28 +75,26 @@ def cycle(store: Store, source_id: int, source_name: str, batch: int, now: str,
 
 def _health_events(
     store: Store, source_id: int, name: str, job_count: int, batch: int, at: Column, purged: DataFrame | None
-) -> DataFrame:
-    now = store.spark.range(1).select(
-        F.lit(source_id).alias("source_id"), F.lit(batch).cast("bigint").alias("sync_id"),
-        at.alias("started_at"), F.lit(vocab.COMPLETED).alias("status"), F.lit(job_count).cast("bigint").alias("job_count"),
-    )
+) -> DataFrame | None:
+    """Alerts about this one sync; ``health`` has the same rules over a whole log of syncs."""
+    raised = []
+    if job_count == 0:
+        raised.append((vocab.ZERO_ROWS, f"{name} returned 0 jobs: check permissions and configuration"))
+    else:
+        filled = (F.col("source_id") == source_id) & (F.col("status") == vocab.COMPLETED) & (F.col("job_count") > 0)
+        latest = store.current("sync").filter(filled).orderBy(F.col("started_at").desc(), F.col("sync_id").desc())
+        base = latest.limit(vocab.BASELINE_SYNCS).agg(
+            F.count("job_count").alias("samples"), F.avg("job_count").alias("mean")
+        ).first()
+        if base.samples >= vocab.BASELINE_MIN_SAMPLES and job_count < base.mean * vocab.SHARP_DROP_FRACTION:
+            raised.append((vocab.SHARP_DROP, f"{name} job count dropped from a baseline of {base.mean:.0f} to {job_count}"))
+    if not raised and purged is None:
+        return None
     seq = F.lit(batch).cast("bigint")
-    empty = health.source_events(
-        health.zero_rows(now), vocab.ZERO_ROWS,
-        F.lit(f"{name} returned 0 jobs: check permissions and configuration"), at, seq,
-    )
-    # The baseline needs the last few filled syncs only.
-    filled = (F.col("source_id") == source_id) & (F.col("status") == vocab.COMPLETED) & (F.col("job_count") > 0)
-    earlier = (
-        store.current("sync").filter(filled).select(*now.columns)
-        .orderBy(F.col("started_at").desc(), F.col("sync_id").desc()).limit(vocab.BASELINE_SYNCS)
-    )
-    dropped = health.sharp_drop(earlier.unionByName(now)).filter(F.col("sync_id") == batch)
-    message = F.concat(
-        F.lit(f"{name} job count dropped from a baseline of "), F.format_number("baseline", 0), F.lit(" to "),
-        F.col("job_count").cast("string"),
+    events = store.spark.createDataFrame(raised, "type string, message string").select(
+        dedup_key(F.col("type"), F.lit(source_id)).alias("dedup_key"), "type", F.lit(alerts.RAISE).alias("kind"),
+        at.alias("at"), seq.alias("seq"), "message",
     )
-    events = empty.unionByName(health.source_events(dropped, vocab.SHARP_DROP, message, at, seq))
     if purged is not None:
         lost = F.concat(F.lit(f"{name}: history purged past the watermark; up to "), F.col("missed"), F.lit(" rows missed"))
         events = events.unionByName(health.source_events(purged, vocab.PURGE_GAP, lost, at, seq))
