@@ -30,13 +30,13 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Cut rows into runs of at most ``limit`` bytes of text, or of one longer row: (first row, end row)."""
+def pieces(column: pa.Array, limit: int = PIECE_BYTES, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Cut rows into runs of at most ``rows`` and ``limit`` bytes of text, or of one longer row: (first row, end row)."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(sizes):
         before = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, before + limit, side="right")))
+        end = min(start + rows, max(start + 1, int(np.searchsorted(sizes, before + limit, side="right"))))
         yield start, end
         start = end
 

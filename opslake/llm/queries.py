@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, decontaminate
-from opslake.llm.common import table
+from opslake.llm import bpe, decontaminate, language
+from opslake.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,3 +33,15 @@ def ranks(name: str = "byte_bpe_50k.tiktoken") -> bytes:
 @query
 def op9_overlapping_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN, digest=True)
+
+
+def language_model(docs: DataFrame) -> language.Model | None:
+    """Fitted on rows whose crc32 of the id is not 1 modulo 3; of ids, only which rows those are is looked at."""
+    return language.fit(*language.sample(docs, crc_mod("doc_id", 3) != 1))
+
+
+@query
+def op4_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language_model(docs))
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
