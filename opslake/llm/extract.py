@@ -206,7 +206,7 @@ def training_pages() -> list[tuple[list[Block], list[int]]]:
     """Blocks and labels of the labelled pages: a block has the label of the fragment in which its text begins."""
     out = []
     for page in labelled():
-        marked = "".join(re.sub(r"(?<=>)(?=[^<\s])", _MARKS[label], fragment) if fragment else "\ue000\ue001" for fragment, label in page)
+        marked = "".join(re.sub(r"(?<=>)(?=[^<\s])", _MARKS[label], fragment) if fragment else "" for fragment, label in page)
         blocks, labels = [], []
         for block in read_blocks(f"<html><head><title>x</title></head><body>{marked}</body></html>"):
             sign = next((c for c in block.text if c in _MARKS), None)

@@ -105,18 +105,19 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
             of.append(languages.index(label))
     rows = lowered(pa.array(pieces_of, pa.string()))
     # the n-grams: those that most of the whole texts' languages differ in how often they show
-    shown_by = np.zeros((len(languages), 256 + 256**2 + 256**3), np.int32)
     base = [0, 256, 256 + 256**2]
-    many = np.maximum(np.bincount([languages.index(x) for x in labels], minlength=len(languages)), 1)
+    seen: list[list[np.ndarray]] = [[] for _ in languages]
     for text, label in zip(rows[::3], labels, strict=True):
         data = np.frombuffer(text.as_py().encode(), np.uint8)
-        for n in (1, 2, 3):
-            shown_by[languages.index(label), np.unique(codes(data, n)) + base[n - 1]] += 1
-    share = shown_by / many[:, None].astype(np.float32)
+        seen[languages.index(label)] += [np.unique(codes(data, n)) + base[n - 1] for n in (1, 2, 3)]
+    counted = [np.unique(np.concatenate(x), return_counts=True) for x in seen]
+    grams = np.unique(np.concatenate([g for g, _ in counted]))
+    share = np.zeros((len(languages), len(grams)), np.float32)
+    for i, (gram, count) in enumerate(counted):
+        share[i, np.searchsorted(grams, gram)] = count / labels.count(languages[i])
     spread = share.max(axis=0) - share.min(axis=0) if len(languages) > 1 else share[0]
     at = np.sort(np.argsort(-spread, kind="stable")[:GRAMS])
-    at = at[spread[at] > 0] if (spread > 0).any() else at[:1]
-    del shown_by, share
+    at = grams[at[spread[at] > 0]] if (spread > 0).any() else grams[:1]
     n = np.searchsorted(base, at, "right")
     model = Model(languages, np.stack([at - np.array(base)[n - 1], n], axis=1), np.zeros((len(at), 0), np.float32), np.zeros((0, 0)))
     shown = np.concatenate([presence(rows[i : i + 512], model.tables(), len(at)) for i in range(0, len(rows), 512)])
