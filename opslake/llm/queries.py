@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslake.llm import bpe, decontaminate, extract, language, neighbours, pseudonyms, quotes, toxicity
+from opslake.llm import bpe, decontaminate, extract, language, near_copies, neighbours, pseudonyms, quotes, toxicity
 from opslake.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_shifted_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.classes_of(table(spark, sf_dir, "documents"))
