@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslake.llm import bpe, decontaminate, extract, language, near_copies, neighbours, pseudonyms, quotes, toxicity
+from opslake.llm import bpe, decontaminate, extract, language, near_copies, neighbours, pseudonyms, quotes, repeats, toxicity
 from opslake.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op7_shifted_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.classes_of(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
