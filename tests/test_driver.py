@@ -5,11 +5,12 @@ import pathlib
 import pytest
 
 import __spark_entry__ as entry
+from driver import all_queries
 
 SF = pathlib.Path("/root/testdata/sf0.001")
 TABLES = [p.stem for p in SF.glob("*.parquet")] if SF.exists() else []
 pytestmark = pytest.mark.skipif(not TABLES, reason="no test tables")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries.QUERIES, all_queries.SQL
 
 
 @pytest.fixture(scope="module")
