@@ -13,7 +13,8 @@ all components have earlier ones.
 Texts of one multiset are one entry. Bands of components put entries into buckets. In a bucket each entry is compared
 with the smallest one only; verified pairs make classes; then entries of a bucket that are in different classes are
 compared with one another, in blocks, so that no link between classes is missed. Pairs whose signatures are far from
-the threshold are passed over; the rest are verified on the multisets themselves.
+the threshold are passed over; the rest are verified on the multisets themselves, the most similar ones first: what
+those link needs no further pairs.
 """
 
 from __future__ import annotations
@@ -33,9 +34,12 @@ from opslake.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8^5)^24, below one in ten thousand.
 BANDS, ROWS = 24, 5
-COMPONENTS = BANDS * ROWS
+#: Components of a signature; the first of them make the bands, and all of them the sketch.
+COMPONENTS = 360
 #: Share of components that a pair has to agree in to be verified: four deviations below the threshold.
 LIKELY = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / COMPONENTS) ** 0.5
+#: Candidates of other classes that an entry is verified with, round by round; the last round takes all that are left.
+ROUNDS = (2, 16, None)
 #: Entries of a bucket that meet in one task.
 BLOCK = 1024
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +55,7 @@ def counted_shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarr
         run = W.runs(read.hash, n)
         at = np.arange(len(run))
         inside = (at + n <= read.first[1:][text[: len(run)]]) & ((size == n) if n < SHINGLE else (size >= n))[text[: len(run)]]
-        found.append(run[inside] + np.uint64(n) * _GOLDEN)
+        found.append(run[inside] ^ mix(np.full(1, n, np.uint64)))
         of.append(text[: len(run)][inside])
     shingle, of = np.concatenate(found), np.concatenate(of)
     order = np.lexsort((shingle, of))
@@ -95,13 +99,13 @@ def signatures(text: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts:
 
 
 def agreement(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the bands, and sixteen bits of each component."""
+    """Hashes of the bands, and eight bits of each component."""
     bits = mix(signature.view(np.uint64))
     bands = np.zeros((len(bits), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for row in range(ROWS):
             bands = mix(bands * _GOLDEN + bits[:, row * BANDS : (row + 1) * BANDS])
-    return bands, (bits >> np.uint64(48)).astype(np.uint16)
+    return bands, (bits >> np.uint64(56)).astype(np.uint8)
 
 
 def units(text: np.ndarray, shingle: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +152,7 @@ def _likely(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     joined = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, COMPONENTS) for i in (2, 3))
+        one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COMPONENTS) for i in (2, 3))
         yield batch.filter(pa.array((one == two).mean(axis=1) >= LIKELY)).select(["a", "b"])
 
     return map_batches(joined.select("a", "b", "sketch_a", "sketch_b"), run, "a long, b long")
@@ -175,8 +179,8 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.where(shared >= THRESHOLD * (F.size("one") + F.size("two") - shared)).select("a", "b")
 
 
-def _across(buckets: DataFrame, classes: DataFrame, entries: DataFrame) -> DataFrame:
-    """(a, b): likely pairs of entries that share a bucket and are of different classes.
+def _across(buckets: DataFrame, classes: DataFrame, entries: DataFrame, most: int | None) -> DataFrame:
+    """(a, b): likely pairs of entries that share a bucket and are of different classes; of an entry the ``most`` similar ones.
 
     In each bucket the entries outside its most frequent class are asked against all entries of the bucket, in blocks.
     """
@@ -193,10 +197,13 @@ def _across(buckets: DataFrame, classes: DataFrame, entries: DataFrame) -> DataF
         out_a, out_b = [], []
         if asked.num_rows and block.num_rows:
             ids, cls, n = (block[c].to_numpy() for c in ("id", "class", "n"))
-            sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint16).reshape(-1, COMPONENTS)
+            sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(-1, COMPONENTS)
             for i, c, m, s in zip(asked["id_"].to_pylist(), asked["class_"].to_pylist(), asked["n_"].to_pylist(), asked["sketch_"].to_pylist(), strict=True):
                 fits = np.flatnonzero((cls != c) & (np.minimum(n, m) >= THRESHOLD * np.maximum(n, m)))
-                near = fits[(sketch[fits] == np.frombuffer(s, np.uint16)).mean(axis=1) >= LIKELY]
+                agreed = (sketch[fits] == np.frombuffer(s, np.uint8)).mean(axis=1)
+                near = fits[agreed >= LIKELY]
+                if most is not None and len(near) > most:
+                    near = near[np.argsort(-agreed[agreed >= LIKELY], kind="stable")[:most]]
                 out_a += np.minimum(ids[near], i).tolist()
                 out_b += np.maximum(ids[near], i).tolist()
         return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
@@ -222,10 +229,11 @@ def classes_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     buckets = session.cut(banded.join(hubs, ["band", "bucket"]))
     first = session.cut(_likely(buckets.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), entries))
     links = session.cut(verified(first, known))
-    found = components(links)
-    second = session.cut(_across(buckets, found, entries))
-    if not second.isEmpty():
-        links = links.unionAll(verified(second, known))
+    for most in ROUNDS:
+        more = session.cut(_across(buckets, components(links), entries, most))
+        if more.isEmpty():  # nor does a later round find any
+            break
+        links = session.cut(links.unionAll(verified(more, known)))
     several = membership.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     found = components(links.unionAll(several.where("a != b").select("a", "b")))
     named = several.join(found, F.col("a") == F.col("node"), "left").select("id", F.coalesce("class", "a").alias("class"))
