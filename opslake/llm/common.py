@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once, besides one text that is longer.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and take Arrow batches of few texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[2])
 
 

@@ -31,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslake import session
-from opslake.llm.common import PIECE_BYTES, Bitmap, map_batches, mix, pieces, single, text_bytes
+from opslake.llm.common import Bitmap, map_batches, mix, pieces, single, text_bytes
 
 #: Bytes of a string that counts as repeated, and of a trigger. They differ by less than 127.
 LENGTH, TRIGGER = 100, 32
 #: Places that a trigger has at least to be split, and such triggers at most.
 HOT, HOT_TRIGGERS = 20_000, 1_000_000
 #: Bits of the bitmaps.
-BITS = 26
+BITS = 25
+#: Bytes that a task parses at once.
+PIECE_BYTES = 512 << 10
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _LETTERS = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)).reshape(2, 256)
@@ -119,7 +121,7 @@ def _phrases(batch: pa.RecordBatch, length: int, trigger: int) -> Iterator[tuple
     """(phrases, id, place, bytes) of each piece of a batch of (id, version, text). A long text is read in pieces that overlap by a string."""
     ids, versions = (single(batch.column(i)).to_numpy(zero_copy_only=False) for i in (0, 1))
     texts = single(batch.column(2))
-    for first, end in pieces(texts):
+    for first, end in pieces(texts, PIECE_BYTES):
         data, offsets = text_bytes(texts[first:end])
         step = len(data) if end - first > 1 else PIECE_BYTES
         for at in range(0, max(len(data), 1), max(step, 1)):

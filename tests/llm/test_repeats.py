@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from opslake.llm import common
 from opslake.llm import repeats as R
 
 
@@ -42,7 +41,6 @@ def corpus(pick):
 @pytest.mark.parametrize(("length", "trigger", "hot", "piece"), [(20, 6, 20_000, 1 << 20), (20, 6, 3, 1 << 20), (100, 32, 20_000, 150), (33, 8, 5, 97)])
 def test_against_scan(docs, monkeypatch, length, trigger, hot, piece):
     monkeypatch.setattr(R, "PIECE_BYTES", piece)
-    monkeypatch.setattr(R, "pieces", lambda c: common.pieces(c, piece))
     texts = list(enumerate(corpus(random.Random(length + hot)), -3))
     got = {r.doc_id: (bytes(r.kept), r.n_removed, r.n_spans) for r in R.without_repeats(docs(texts).repartition(5), length=length, trigger=trigger, hot=hot).collect()}
     expected = brute(texts, length)
