@@ -83,8 +83,9 @@ def current_ownership(t):
 
 @query("job_merge", """WITH known AS (SELECT c_nationkey AS source_id, 'Job-' || c_custkey AS native_id, 'J' || c_custkey AS job_id,
     c_name AS name, true AS is_active, '2024-01-01' AS first_seen FROM customer WHERE c_mktsegment <> 'FURNITURE'),
-batch AS (SELECT c_nationkey AS source_id, 'job-' || c_custkey AS native_id,
-    CASE WHEN c_custkey % 5 = 0 THEN upper(c_name) ELSE c_name END AS name, c_custkey % 7 <> 0 AS is_active
+batch AS (SELECT c_nationkey AS source_id, CASE WHEN c_custkey % 3 = 0 THEN 'JOB-' ELSE 'job-' END || c_custkey AS native_id,
+    CASE WHEN c_custkey % 3 = 0 THEN 'again ' || c_custkey WHEN c_custkey % 5 = 0 THEN upper(c_name) ELSE c_name END AS name,
+    c_custkey % 7 <> 0 AS is_active
   FROM customer WHERE c_acctbal > 500)
 SELECT coalesce(k.source_id, b.source_id) AS source_id, coalesce(k.native_id, b.native_id) AS native_id,
   k.job_id, k.job_id IS NULL AS minted, CASE WHEN b.native_id IS NULL THEN k.name ELSE b.name END AS name,
@@ -102,8 +103,14 @@ def job_merge(t):
     batch = t.customer.filter(F.col("c_acctbal") > 500).select(
         F.col("c_nationkey").alias("source_id"), i.text("job-", k).alias("native_id"),
         F.when(k % 5 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("native_name"),
-        (k % 7 != 0).alias("is_active"),
+        (k % 7 != 0).alias("is_active"), F.lit(1).alias("place"),
     )
+    # the same ids in other letters, some listed before and some after
+    again = batch.withColumns({
+        "native_id": F.upper("native_id"), "native_name": F.concat(F.lit("again "), F.substring("native_id", 5, 20)),
+        "place": F.when(F.substring("native_id", 5, 20).cast("bigint") % 3 == 0, 2).otherwise(0),
+    })
+    batch = batch.unionByName(again)
     merged = catalog.merge_jobs(known, batch, F.lit("2024-02-01").cast("timestamp"))
     minted = F.col("job_id").rlike(r"\A[0-9A-HJKMNP-TV-Z]{26}\z")
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)

@@ -79,7 +79,7 @@ m AS (SELECT *, spec_hash IS DISTINCT FROM prev AS created FROM c)
 SELECT 'FEED-' || o_custkey AS feed_id, o_orderkey, created, CAST(CASE WHEN stored THEN 2 ELSE 0 END
   + sum(CAST(created AS INTEGER)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS version FROM m""")
 def contract_versions(t):
-    chunk = scan.day_chunk("o_orderdate", "o_orderkey")
+    chunk = scan.day_chunk("o_orderdate", "o_orderkey", **scan.bounds(t.orders, "o_orderkey"))
     numbered = contracts.next_versions(order_specs(t), stored_versions(t), ["o_orderdate", "o_orderkey"], chunk)
     return numbered.select("feed_id", "o_orderkey", "created", "version")
 
@@ -92,7 +92,7 @@ SELECT (SELECT count(*) FROM orders) AS synced, (SELECT count(*) FROM orders WHE
 def contract_sync_summary(t):
     bad = F.when(F.col("o_totalprice") > 400000, "owner is required")
     checked = order_specs(t).withColumn("path", i.text("c/", F.col("o_orderkey"), ".yaml")).withColumn("error", bad)
-    chunk = scan.day_chunk("o_orderdate", "o_orderkey")
+    chunk = scan.day_chunk("o_orderdate", "o_orderkey", **scan.bounds(t.orders, "o_orderkey"))
     good = checked.filter(F.col("error").isNull())
     numbered = contracts.next_versions(good, stored_versions(t), ["o_orderdate", "o_orderkey"], chunk)
     return contracts.sync_summary(contracts.sync_results(checked, numbered))

@@ -28,23 +28,33 @@ def run_fold(t):
 @query("grouped_failures", f"""WITH {i.HISTORY_SQL}
 SELECT fingerprint, count(*) AS occurrences, {i.ts_sql('min(started_at)')} AS first_seen,
   {i.ts_sql('max(started_at)')} AS last_seen, count(DISTINCT native_job_id) AS jobs
-FROM runs WHERE fingerprint IS NOT NULL GROUP BY fingerprint ORDER BY occurrences DESC, fingerprint LIMIT 100""")
+FROM runs WHERE fingerprint IS NOT NULL GROUP BY fingerprint""")
 def grouped_failures(t):
-    groups = signals.grouped_failures(folded(t), top=100)
+    groups = signals.grouped_failures(folded(t))
     return groups.withColumns({c: i.ts_text(c) for c in ("first_seen", "last_seen")})
 
 
+@query("top_failures", f"""WITH {i.HISTORY_SQL}
+SELECT fingerprint, count(*) AS occurrences FROM runs WHERE fingerprint IS NOT NULL GROUP BY fingerprint
+ORDER BY occurrences DESC, fingerprint LIMIT 20""")
+def top_failures(t):
+    return signals.grouped_failures(folded(t), top=20).select("fingerprint", "occurrences")
+
+
 @query("history_positions", f"""WITH {i.HISTORY_SQL},
-done AS (SELECT job_id, max(CASE WHEN step_id = 0 AND run_date > 0 THEN instance_id END) AS consumed FROM hist WHERE instance_id <= 5000 GROUP BY job_id),
+mark AS (SELECT CAST(max(instance_id) // 2 AS BIGINT) AS since FROM hist),
+done AS (SELECT job_id, max(CASE WHEN step_id = 0 AND run_date > 0 THEN instance_id END) AS consumed FROM hist, mark WHERE instance_id <= since GROUP BY job_id),
 top AS (SELECT max(CASE WHEN step_id = 0 THEN instance_id END) AS seen FROM hist),
-lowest AS (SELECT min(h.instance_id) - 1 AS p FROM hist h JOIN done d USING (job_id), top
-  WHERE h.step_id <> 0 AND h.instance_id <= 5000 AND (d.consumed IS NULL OR h.instance_id > d.consumed))
-SELECT CASE WHEN seen > 100 THEN CAST(seen AS VARCHAR) ELSE '100' END AS watermark,
-  CAST(coalesce(p, 5000) AS BIGINT) AS read_from FROM top, lowest""")
+lowest AS (SELECT min(h.instance_id) - 1 AS p FROM hist h JOIN done d USING (job_id), mark
+  WHERE h.step_id <> 0 AND h.instance_id <= since AND (d.consumed IS NULL OR h.instance_id > d.consumed))
+SELECT CASE WHEN seen > since THEN CAST(seen AS VARCHAR) ELSE CAST(since AS VARCHAR) END AS watermark,
+  CAST(coalesce(p, since) AS BIGINT) AS read_from FROM top, lowest, mark""")
 def history_positions(t):
+    """The mark of the last poll is half-way through the history."""
     h = i.history(t.events)
-    position = runs.read_position(h, 5000)
-    return runs.history_watermark(h, F.lit("100")).withColumn("read_from", position.scalar())
+    since = scan.bounds(h, "instance_id")["high"] // 2
+    position = runs.read_position(h, since)
+    return runs.history_watermark(h, F.lit(str(since))).withColumn("read_from", position.scalar())
 
 
 @query("packed_time", """WITH p AS (

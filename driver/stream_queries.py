@@ -14,21 +14,21 @@ from opslake.streaming.changes import ChangeLog, start
 
 
 class Streamed(Tables):
-    """Tables whose ``events`` come as a stream of files, a few at a time, in event order."""
+    """Tables whose ``events`` come as a stream: ``pieces`` in event order, each as eight files of shuffled rows."""
 
-    def __init__(self, t: Tables, pieces: int = 4):
+    def __init__(self, t: Tables, pieces: int = 2):
         super().__init__(t.spark, t.sf_dir)
         self.root = session.scratch(t.spark, "stream")
         source = Tables(t.spark, t.sf_dir).events
         self.schema = source.schema
-        # Files come in the order of their times: one write per piece keeps the pieces in event order.
+        # Files come in the order of their times; batches of five files do not end where pieces do.
         piece = F.floor(F.col("event_id") * pieces / (source.agg(F.max("event_id") + 1).scalar()))
         for n in range(pieces):
-            source.filter(piece == n).write.mode("append").parquet(f"{self.root}/in")
+            source.filter(piece == n).repartition(8, F.xxhash64("event_id")).write.mode("append").parquet(f"{self.root}/in")
 
     @property
     def events(self):
-        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 2).parquet(f"{self.root}/in")
+        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 5).parquet(f"{self.root}/in")
 
     def run(self, updates, sink, mode="update"):
         start(updates, sink, f"{self.root}/checkpoint", mode).awaitTermination()
@@ -37,9 +37,9 @@ class Streamed(Tables):
 @query("stream_run_lifecycle", SQL["run_lifecycle"])
 def stream_run_lifecycle(t):
     s = Streamed(t)
-    log = ChangeLog(f"{s.root}/runs", ["source_id", "native_run_id"])
-    s.run(state.run_updates(i.reports(s.events), log.keys, ["job_id"]), log.write)
-    rows = log.latest(t.spark).drop("last_seq")
+    merge = state.RunMerge(f"{s.root}/runs", ["source_id", "native_run_id"], ["job_id"])
+    s.run(i.reports(s.events), merge, "append")
+    rows = merge.rows(t.spark).drop("last_seq")
     return rows.withColumns({c: i.ts_text(c) for c in ("started_at", "ended_at")})
 
 
@@ -48,7 +48,7 @@ def stream_run_fold(t):
     s = Streamed(t)
     fold = state.HistoryFold(t.spark, f"{s.root}/fold")
     s.run(i.history(s.events), fold, "append")
-    rows = runs.with_fingerprint(fold.runs.read(t.spark).drop("batch"))
+    rows = runs.with_fingerprint(fold.rows(t.spark))
     return rows.withColumns({c: i.ts_text(c) for c in ("started_at", "ended_at")})
 
 
@@ -70,9 +70,8 @@ def stream_without_overlap(t):
     """Every third report is read twice, as by overlapping polls, and counts once."""
     s = Streamed(t)
     twice = s.events.withColumn("n", F.explode(F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
-    once = state.without_overlap(twice.withColumn("at", i.utc("ts")), ["event_id"], "at", "2 days")
-    log = ChangeLog(f"{s.root}/once", ["event_id"])
-    s.run(once.select("event_id", "event_type"), log.write, "append")
-    return log.read(t.spark).groupBy("event_type").agg(
+    once = state.Once(f"{s.root}/once", ["event_id"])
+    s.run(twice.select("event_id", "event_type"), once, "append")
+    return once.log.read(t.spark).groupBy("event_type").agg(
         F.count(F.lit(1)).alias("reports"), F.count_distinct("event_id").alias("distinct_reports")
     )

@@ -96,6 +96,10 @@ def is_fixed_width(mask: Column) -> Column:
     return F.lower(mask).endswith(".txt")
 
 
+def is_json(mask: Column) -> Column:
+    return F.lower(mask).endswith(".json")
+
+
 def field_width(kind: Column, max_length: Column) -> Column:
     width = F.coalesce(max_length, F.lit(vocab.DEFAULT_WIDTH))
     for name, fixed in vocab.TYPE_WIDTH.items():

@@ -72,14 +72,28 @@ def with_ownership(jobs: DataFrame) -> DataFrame:
     )
 
 
+def one_per_native_id(rows: DataFrame) -> DataFrame:
+    """One row for each (source_id, native_id), whose ids compare without case: the last by ``place``.
+
+    ``place`` says where a row stands in its listing. Without it, the row with the greatest id and name
+    counts, so that the choice is the same each time.
+    """
+    order = ["place"] if "place" in rows.columns else []
+    values = [c for c in rows.columns if c != "source_id"]
+    chosen = F.max_by(F.struct(*values), F.struct(*order, "native_id", "native_name")).alias("v")
+    one = rows.groupBy("source_id", F.lower("native_id").alias("__key")).agg(chosen)
+    return one.select("source_id", "v.*").select(*rows.columns)
+
+
 def merge_jobs(known: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     """Next state of the bound jobs of the sources in ``batch``.
 
     ``known``: source_id, native_id, job_id, name, is_active, first_seen, last_seen, bound_at.
     ``batch``: source_id, native_id, native_name, is_active. Native ids compare without case. Known
-    jobs get name, state and last-seen refreshed; new ones get an id; absent ones stay as they are.
+    jobs get name, state and last-seen refreshed; new ones get an id; absent ones stay as they are. Rows
+    of one id in the batch are one job (see ``one_per_native_id``).
     """
-    new = batch.select(
+    new = one_per_native_id(batch).select(
         F.col("source_id").alias("b_source"), F.lower("native_id").alias("b_key"), F.col("native_id").alias("b_native"),
         F.col("native_name").alias("b_name"), F.col("is_active").alias("b_active"),
     )
@@ -103,9 +117,18 @@ def merge_jobs(known: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
 def rebind(bindings: DataFrame, commands: DataFrame) -> DataFrame:
     """Deliberate moves: close the job's active bindings, open the one the command names.
 
-    ``commands``: job_id, source_id, native_id, native_name, at; one per job.
+    ``commands``: job_id, source_id, native_id, native_name, at; one per job. A command whose target is
+    bound to a job that stays is not carried out, as a native id has one active binding at most.
     """
     moves = commands.select("job_id", F.col("at").alias("__at"))
+    taken = bindings.join(
+        commands.select(F.col("source_id").alias("__s"), F.lower("native_id").alias("__n"), F.col("job_id").alias("__j")),
+        (F.col("source_id") == F.col("__s")) & (F.lower("native_id") == F.col("__n")) & (F.col("job_id") != F.col("__j")),
+    ).filter("unbound_at is null")
+    # a target that another job holds is not opened, unless that job moves as well
+    held = taken.join(moves, "job_id", "left_anti").select(F.col("__j").alias("job_id"))
+    commands = commands.join(held, "job_id", "left_anti")
+    moves = commands.select("job_id", F.col("at").alias("__at"))
     closed = (
         bindings.join(moves, "job_id", "left")
         .withColumn("unbound_at", F.coalesce("unbound_at", "__at"))
@@ -130,10 +153,7 @@ def register_sources(known: DataFrame, wanted: DataFrame) -> DataFrame:
         "source_id", "type", "name", F.coalesce("w_config", "config").alias("config")
     )
     top = known.agg(F.coalesce(F.max("source_id"), F.lit(0)).alias("top")).scalar()
-    slices = F.struct("w_type", F.substring("w_name", 1, 12).alias("s"))
-    fresh = scan.ranked(
-        w.join(known, same, "left_anti").withColumn("all", F.lit(1)), ["all"], ["w_type", "w_name"], slices, "n"
-    ).select(
+    fresh = scan.numbered(w.join(known, same, "left_anti"), ["w_type", "w_name"], "n").select(
         (top + F.col("n")).cast("int").alias("source_id"),
         F.col("w_type").alias("type"), F.col("w_name").alias("name"), F.col("w_config").alias("config"),
     )

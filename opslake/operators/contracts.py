@@ -106,14 +106,14 @@ def version_in_force(
     """
     known = versions.select(
         "feed_id", F.col("effective_from").alias("at"), F.lit(0).alias("kind"), F.col("version").alias("tie"),
-        F.col("version").alias("v"), F.lit(None).alias("arrival"),
+        F.lit("").alias("id"), F.col("version").alias("v"), F.lit(None).alias("arrival"),
     )
     came = arrivals.select(
-        "feed_id", F.col("arrived_at").alias("at"), F.lit(1).alias("kind"), F.col("arrival_id").alias("tie"),
-        F.lit(None).cast("bigint").alias("v"), F.struct(*arrivals.columns).alias("arrival"),
+        "feed_id", F.col("arrived_at").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("tie"),
+        F.col("arrival_id").cast("string").alias("id"), F.lit(None).cast("bigint").alias("v"), F.struct(*arrivals.columns).alias("arrival"),
     )
     seen = scan.running(
-        known.unionByName(came), ["feed_id"], ["at", "kind", "tie"], scan.time_chunk("at", chunk_seconds),
+        known.unionByName(came), ["feed_id"], ["at", "kind", "tie", "id"], scan.time_chunk("at", chunk_seconds),
         {"version": scan.last(F.col("v"))},
     )
     return seen.filter(F.col("kind") == 1).select("arrival.*", "version")

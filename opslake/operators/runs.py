@@ -131,8 +131,11 @@ def dag_runs_to_runs(dag_runs: DataFrame, poll_started: Column, keep: list[str]
 
 
 def resolve_jobs(runs: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Attach the canonical job of the active binding; native ids compare without case."""
-    known = bindings.select(F.lower("native_id").alias("__native"), "job_id")
+    """Attach the canonical job of the active binding; native ids compare without case.
+
+    Should several bindings differ by case only, the smallest job counts, so that no run multiplies.
+    """
+    known = bindings.groupBy(F.lower("native_id").alias("__native")).agg(F.min("job_id").alias("job_id"))
     return runs.join(known, F.lower("native_job_id") == F.col("__native")).drop("__native")
 
 
@@ -168,26 +171,43 @@ def merge_lifecycle(events: DataFrame, keys: list[str], carry: list[str] | None
     without one, the first report. ``seq`` orders the reports; a stored run takes part as the report
     with the lowest ``seq``. ``carry`` columns (job id) always come from the first report.
 
-    One grouped aggregation, so it pre-aggregates before the shuffle and runs as it is on a stream.
+    One grouped aggregation, so it pre-aggregates before the shuffle.
     """
-    carry = carry or []
-    report = F.struct(*_REPORT)
+    return lifecycle_of(lifecycle_parts(events, keys, carry), keys, carry)
+
+
+def lifecycle_parts(events: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
+    """The reports that decide about each run; ``combine_parts`` adds up those of disjoint sets of reports."""
+    report = F.struct("seq", *_REPORT)
     terminal = states.is_terminal(F.col("status"))
     ended = F.col("ended_at").isNotNull()
-    grouped = events.groupBy(*keys).agg(
-        F.min_by(F.struct(*carry, *_REPORT), F.col("seq")).alias("first"),
+    return events.groupBy(*keys).agg(
+        F.min_by(F.struct("seq", *(carry or []), *_REPORT), F.col("seq")).alias("first"),
         F.min_by(report, F.when(terminal & ended, F.col("seq"))).alias("closing"),
         F.max_by(report, F.when(terminal, F.col("seq"))).alias("last_terminal"),
         F.max("seq").alias("last_seq"),
         F.count(F.lit(1)).alias("reports"),
     )
-    first = F.struct(*[F.col(f"first.{c}").alias(c) for c in _REPORT])
-    state = F.when(F.col("first.ended_at").isNotNull(), first).otherwise(
-        F.coalesce(F.col("closing"), F.col("last_terminal"), first)
+
+
+def combine_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    return parts.groupBy(*keys).agg(
+        F.min_by("first", "first.seq").alias("first"), F.min_by("closing", "closing.seq").alias("closing"),
+        F.max_by("last_terminal", "last_terminal.seq").alias("last_terminal"),
+        F.max("last_seq").alias("last_seq"), F.sum("reports").alias("reports"),
+    )
+
+
+def lifecycle_of(parts: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
+    """The run rows that ``lifecycle_parts`` lead to."""
+    chosen = lambda name: F.struct(*[F.col(f"{name}.{c}").alias(c) for c in _REPORT])
+    known = lambda name: F.when(F.col(name).isNotNull(), chosen(name))
+    state = F.when(F.col("first.ended_at").isNotNull(), chosen("first")).otherwise(
+        F.coalesce(known("closing"), known("last_terminal"), chosen("first"))
     )
     return with_fingerprint(
-        grouped.withColumn("state", state).select(
-            *keys, *[F.col(f"first.{c}").alias(c) for c in carry],
+        parts.withColumn("state", state).select(
+            *keys, *[F.col(f"first.{c}").alias(c) for c in carry or []],
             *[F.col(f"state.{c}").alias(c) for c in _REPORT], "reports", "last_seq",
         )
     )

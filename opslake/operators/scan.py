@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from opslake import session
+
 CHUNK_ROWS = 1 << 20
 CHUNK_SECONDS = 86400
 
@@ -31,16 +33,40 @@ def time_chunk(column: Column | str, seconds: int = CHUNK_SECONDS) -> Column:
     return F.floor(F.unix_micros(column.cast("timestamp")) / (seconds * 1_000_000))
 
 
-def day_chunk(day: Column | str, tie: Column | str, slices: int = 64, tie_span: int = 1 << 40) -> Column:
+def day_chunk(day: Column | str, tie: Column | str, slices: int = 64, low: int = 0, high: int = (1 << 40) - 1) -> Column:
     """Slices for coarse dates: a day, cut again by the id that breaks ties within the day.
 
-    ``tie_span`` is about the highest id; ids beyond it share the day's last slice.
+    ``low`` and ``high`` are the least and the greatest id (see ``bounds``); ids beyond them share the
+    first or the last slice of the day.
     """
     day = F.col(day) if isinstance(day, str) else day
-    part = F.least(id_chunk(tie, max(1, tie_span // slices)), F.lit(slices - 1))
+    tie = F.col(tie) if isinstance(tie, str) else tie
+    part = F.least(id_chunk(tie - low, max(1, -(-(high - low + 1) // slices))), F.lit(slices - 1))
     return F.unix_date(day.cast("date")).cast("bigint") * slices + F.greatest(part, F.lit(0))
 
 
+def bounds(df: DataFrame, column: str) -> dict[str, int]:
+    """``low`` and ``high`` of a whole number, in one aggregation; an empty table has 0 and 0."""
+    row = df.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    return {"low": row.low or 0, "high": row.high or 0}
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add the position (from 1) of each row in the order of the whole table.
+
+    Rows are sorted into ranges that follow the data, so names with a common beginning spread as well
+    as any; only the number of rows per range meets in one place. ``order`` must be a total order.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # written down, as the ranges are drawn from a sample
+    rows = session.cut(rows.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__n")))
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("many"), F.min("__n").alias("first"))
+    earlier = F.sum("many").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select(F.col("__part").alias("__of"), (F.coalesce(earlier, F.lit(0)) - F.col("first") + 1).alias("__base"))
+    joined = rows.join(F.broadcast(counts), F.col("__part") == F.col("__of"))
+    return joined.select(*df.columns, (F.col("__n") + F.col("__base")).alias(name))
+
+
 @dataclass(frozen=True)
 class Running:
     """One running value: ``kind`` is last (non-null), total, high or low of ``value``."""

@@ -184,6 +184,28 @@ def mask_findings(attributed: DataFrame) -> DataFrame:
     )
 
 
+def without_number(key: Column) -> Column:
+    """A key without the number that tells several files of one day apart: it follows the date in the name."""
+    return F.regexp_replace(key, r"(\d{8}|\d{4}-\d{2}-\d{2})_\d{1,3}(\.[^./]*)?\z", "$1$2")
+
+
+def extra_files(came: DataFrame) -> DataFrame:
+    """Files of a feed and day beyond the first one that came. Needs arrival_id, feed_name, day, arrived_at."""
+    place = F.struct("arrived_at", "arrival_id")
+    mine = came.filter(F.col("feed_name").isNotNull())
+    first = mine.groupBy("feed_name", "day").agg(F.min(place).alias("f")).select("f.arrival_id")
+    return mine.join(first, "arrival_id", "left_anti").select(
+        "arrival_id", F.lit(vocab.V_EXTRA).alias("check"), F.lit("").alias("column_name"),
+        F.lit(1).cast("bigint").alias("occurrences"),
+    )
+
+
+def ragged_rows(fields: DataFrame) -> DataFrame:
+    """Lines with more or fewer fields than their file's header, by file. Needs arrival_id, n_fields, columns."""
+    counted = fields.filter(F.col("n_fields") != F.size("columns")).groupBy("arrival_id").agg(F.count(F.lit(1)).alias("occurrences"))
+    return counted.select("arrival_id", F.lit(vocab.V_RAGGED).alias("check"), F.lit("").alias("column_name"), "occurrences")
+
+
 # ---- when files come ---------------------------------------------------------------------------
 
 
@@ -305,7 +327,7 @@ def judged_fields(fields: DataFrame) -> DataFrame:
     rules = {
         vocab.V_NULL: ~F.coalesce(c["nullable"], F.lit(False)) & v.isNull(),
         vocab.V_TYPE: fn.wrong_type(v, c["type"]),
-        vocab.V_LENGTH: F.coalesce(F.length(v) > c["max_length"], F.lit(False)),
+        vocab.V_LENGTH: F.coalesce(F.length(v) > F.nullif(c["max_length"], F.lit(0)), F.lit(False)),
     }
     cells = fields.select("arrival_id", "values", F.posexplode("columns").alias("at", "c")).select(
         "arrival_id", "c", F.get("values", F.col("at")).alias("v")

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslake import session
-from opslake.operators import contracts
+from opslake.operators import contracts, scan
 from opslake.sources import contracts as files
 from opslake.store import Store
 
-# Order of a sync: by path. Files of one feed are few; a slice is one leading part of the path.
-PLACE_SLICE = 64
+# Order of a sync: by path. So many files, in that order, are one slice of a feed.
+SLICE_FILES = 1 << 16
 
 
 def sync(store: Store, directory: str, batch: int, now: str) -> DataFrame:
@@ -20,9 +20,9 @@ def sync(store: Store, directory: str, batch: int, now: str) -> DataFrame:
     past = store.before(batch)
     checked = session.cut(contracts.check_rules(files.read(store.spark, directory)))
     good = contracts.with_hash(checked.filter(F.col("error").isNull()))
-    chunk = F.substring("place", 1, PLACE_SLICE)
+    good = session.cut(scan.numbered(good, ["place"], "file"))
     numbered = session.cut(
-        contracts.next_versions(good, past.current("contract_version"), ["place"], chunk)
+        contracts.next_versions(good, past.current("contract_version"), ["place"], scan.id_chunk("file", SLICE_FILES))
     )
     created = numbered.filter("created").withColumn("effective_from", at)
     feeds = contracts.merge_feeds(past.current("feed"), good, ["place"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opslake import session, vocab
 from opslake.functions import contract as fn
 from opslake.operators import alerts, signals, validate
+from opslake.operators import contracts as rules
 from opslake.sources import landing
 from opslake.store import Store
 
@@ -23,35 +24,89 @@ class Verdict:
     missing: DataFrame
 
 
-def run(spark: SparkSession, root: str, contracts: DataFrame, day: str, as_of: str) -> Verdict:
-    """Judge all files below ``root`` that came for ``day``.
+def run(
+    spark: SparkSession, root: str, contracts: DataFrame, day: str, as_of: str,
+    judged: DataFrame | None = None, since: str | None = None,
+) -> Verdict:
+    """Judge the files below ``root`` that nobody has judged yet.
 
-    ``contracts``: one row per feed, the version in force: SPEC columns plus ``version``.
+    ``contracts``: SPEC columns and ``version``, and with several versions of a feed
+    ``effective_from``. A file is judged by the version that was in force when it came; its feed is
+    found by the latest one. ``judged``: arrival_id and arrived_at of the files that were judged
+    before; their contents are not read again. A file without a day in its name counts for ``day``.
+    Files of ``day`` are missing once their window has closed, after ``since`` if given.
     Order of checks: name, window, columns, then values. Where the columns drifted, a fixed-width
     file's offsets mean nothing, so its values are not judged; delimited values are matched by name.
     """
-    feeds = contracts.withColumnRenamed("feed_id", "feed_name").withColumn("is_active", F.lit(True))
-    listed = landing.relative_key(landing.arrivals(spark, root), root)
-    came = validate.attribute(validate.landed(listed), feeds)
-    spec = feeds.select("feed_name", "version", "window_end", "columns", "file_mask").withColumnRenamed("file_mask", "mask")
-    came = session.cut(
-        came.join(spec, "feed_name", "left").withColumn(
+    specs = contracts.withColumnRenamed("feed_id", "feed_name")
+    feeds = _latest(specs).withColumn("is_active", F.lit(True))
+    listed = landing.relative_key(landing.arrivals(spark, root), root).withColumn("listed", F.col("key"))
+    listed = listed.withColumn("key", validate.without_number("key"))
+    every = validate.attribute(validate.landed(listed), feeds)
+    mask = feeds.select("feed_name", F.col("file_mask").alias("mask"))
+    every = session.cut(
+        every.join(mask, "feed_name", "left").withColumn(
             "day", F.coalesce(validate.file_day(validate.file_name(F.col("key")), F.col("mask")), F.lit(day).cast("date"))
-        )
+        ).withColumn("key", F.col("listed")).drop("listed")
     )
+    came = every if judged is None else every.join(judged.select("arrival_id", "arrived_at"), ["arrival_id", "arrived_at"], "left_anti")
+    came = session.cut(_in_force(came, specs))
     too_late = validate.late(came).select("arrival_id", F.lit(True).alias("is_late"))
     headers = session.cut(_headers(spark, root, came))
-    fields = _fields(spark, root, _judgeable(came, headers), _width(headers))
+    delimited, fixed = _fields(spark, root, _judgeable(came, headers), _width(headers))
+    fields = delimited.select("arrival_id", "values", "columns").unionByName(fixed)
+    # Lines of another length than their header are findings of their own and repeat nothing
+    whole = delimited.filter(F.col("n_fields") == F.size("columns")).select("arrival_id", "values", "columns").unionByName(fixed)
     findings = session.cut(
         validate.mask_findings(came).unionByName(_column_findings(headers))
+        .unionByName(validate.extra_files(every).join(came.select("arrival_id"), "arrival_id", "left_semi"))
+        .unionByName(_json_findings(spark, root, came))
         # A cut fixed-width value cannot be too long, so the length rule is silent there by itself.
         .unionByName(validate.judged_fields(fields).select(*_SHAPE))
-        .unionByName(_duplicates(fields))
+        .unionByName(validate.ragged_rows(delimited))
+        .unionByName(_duplicates(whole))
     )
-    judged = validate.verdicts(came.join(too_late, "arrival_id", "left"), findings)
+    verdicts = validate.verdicts(came.join(too_late, "arrival_id", "left"), findings)
     expected = validate.expected_days(feeds, F.lit(day).cast("date"), F.lit(day).cast("date"))
-    gone = validate.missing(expected, came.filter(F.col("feed_name").isNotNull()), F.lit(as_of).cast("timestamp"))
-    return Verdict(judged, findings, gone.select("feed_name", "day", "closes_at"))
+    gone = validate.missing(expected, every.filter(F.col("feed_name").isNotNull()), F.lit(as_of).cast("timestamp"))
+    if since is not None:
+        gone = gone.filter(F.col("closes_at") > F.lit(since).cast("timestamp"))
+    return Verdict(verdicts, findings, gone.select("feed_name", "day", "closes_at"))
+
+
+def judge(store: Store, root: str, contracts: DataFrame, day: str, as_of: str, batch: int) -> Verdict:
+    """Judge what the store does not know yet, and store the verdict: each file is judged, and raised for, once."""
+    past = store.before(batch)
+    last = past.current("validation").agg(F.max("ran_at").cast("string")).first()[0]
+    verdict = run(store.spark, root, contracts, day, as_of, past.log("arrival"), last)
+    keep(store, batch, as_of, verdict)
+    return verdict
+
+
+def _latest(specs: DataFrame) -> DataFrame:
+    values = [c for c in specs.columns if c != "feed_name"]
+    last = specs.groupBy("feed_name").agg(F.max_by(F.struct(*values), "version").alias("s"))
+    return last.select("feed_name", "s.*").select(*specs.columns)
+
+
+def _in_force(came: DataFrame, specs: DataFrame) -> DataFrame:
+    """Arrivals with version, window_end and columns of the contract that was in force when they came."""
+    spec = specs.select("feed_name", "version", "window_end", "columns")
+    if "effective_from" not in specs.columns:
+        return came.join(spec, "feed_name", "left")
+    mine = came.filter(F.col("feed_name").isNotNull()).select(F.col("feed_name").alias("feed_id"), "arrival_id", "arrived_at")
+    versions = specs.select(F.col("feed_name").alias("feed_id"), "version", "effective_from")
+    found = rules.version_in_force(mine, versions).select("arrival_id", "version")
+    return came.join(found, "arrival_id", "left").join(spec, ["feed_name", "version"], "left")
+
+
+def _json_findings(spark: SparkSession, root: str, came: DataFrame) -> DataFrame:
+    mine = session.cut(
+        came.filter(F.col("feed_name").isNotNull() & fn.is_json(F.col("key")) & F.col("columns").isNotNull())
+        .select("arrival_id", F.transform("columns", lambda c: c["name"]).alias("declared"))
+    )
+    lines = session.lookup(landing.json_lines(spark, root), mine, "arrival_id", 2 * F.length("arrival_id") + 64 * F.size("declared"))
+    return landing.json_structure(lines, F.col("declared")).select(*_SHAPE)
 
 
 def keep(store: Store, batch: int, now: str, verdict: Verdict) -> None:
@@ -80,7 +135,7 @@ def _headers(spark: SparkSession, root: str, came: DataFrame) -> DataFrame:
 
     Fixed-width names are cut to their width, so both sides are.
     """
-    mine = came.filter(F.col("feed_name").isNotNull()).select("arrival_id", "key", "columns")
+    mine = came.filter(F.col("columns").isNotNull() & ~fn.is_json(F.col("key"))).select("arrival_id", "key", "columns")
     none = F.array().cast("array<string>")
     fixed = fn.is_fixed_width(F.col("key"))
     delimited = mine.filter(~fixed).join(landing.delimited_headers(spark, root), "arrival_id", "left").select(
@@ -149,15 +204,15 @@ def _judgeable(came: DataFrame, headers: DataFrame) -> DataFrame:
     ordered = F.transform("header", lambda h: F.coalesce(by_name(h).cast(kind), unknown(h)))
     fixed = fn.is_fixed_width(F.col("key"))
     return (
-        came.filter(F.col("feed_name").isNotNull()).select("arrival_id", "key", "columns")
+        came.filter(F.col("columns").isNotNull()).select("arrival_id", "key", "columns")
         .join(headers, "arrival_id")
         .filter(~fixed | (F.col("header") == F.col("declared")))
         .select("arrival_id", F.when(fixed, F.col("columns").cast(f"array<{kind}>")).otherwise(ordered).alias("columns"))
     )
 
 
-def _fields(spark: SparkSession, root: str, judgeable: DataFrame, width: int) -> DataFrame:
-    """arrival_id, values, columns of every data line."""
+def _fields(spark: SparkSession, root: str, judgeable: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """arrival_id, values, columns of every data line of delimited (with n_fields) and of fixed-width files."""
     judgeable = session.cut(judgeable)
     row_bytes = 2 * F.length("arrival_id") + 128 * F.size("columns")
     delimited = session.lookup(
@@ -166,7 +221,7 @@ def _fields(spark: SparkSession, root: str, judgeable: DataFrame, width: int) ->
     fixed = session.lookup(
         landing.fixed_width_lines(spark, root), judgeable, "arrival_id", row_bytes
     ).withColumn("values", landing.cut_fields(F.col("line"), landing.with_offsets(F.col("columns"))))
-    return delimited.unionByName(fixed.select("arrival_id", "values", "columns"))
+    return delimited, fixed.select("arrival_id", "values", "columns")
 
 
 def _duplicates(fields: DataFrame) -> DataFrame:

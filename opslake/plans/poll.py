@@ -104,7 +104,7 @@ def _health_events(
 def _merge(
     store: Store, source_id: int, batch: int, at: Column, jobs: DataFrame, reports: DataFrame
 ) -> tuple[dict[str, DataFrame], Result]:
-    owned = catalog.with_ownership(jobs.withColumn("source_id", F.lit(source_id)))
+    owned = catalog.with_ownership(catalog.one_per_native_id(jobs.withColumn("source_id", F.lit(source_id))))
     known = store.current("job").filter(F.col("source_id") == source_id)
     merged = session.cut(catalog.merge_jobs(known, owned, at))
     ids = merged.select(F.lower("native_id").alias("native_key"), "job_id")

@@ -64,12 +64,12 @@ def relative_key(arrivals: DataFrame, root: str) -> DataFrame:
 
 
 def _kind(rows: DataFrame, fixed: bool, glob: str | None) -> DataFrame:
-    """Rows of the files asked for: by glob, or else the ``.txt`` files or all others.
+    """Rows of the files asked for: by glob, or else the ``.txt`` files or all others but JSON.
 
     A condition on a file's name is applied when files are listed; the others are not opened.
     """
-    is_fixed = fn.is_fixed_width(F.col("_metadata.file_name"))
-    return rows if glob else rows.filter(is_fixed if fixed else ~is_fixed)
+    name = F.col("_metadata.file_name")
+    return rows if glob else rows.filter(fn.is_fixed_width(name) if fixed else ~fn.is_fixed_width(name) & ~fn.is_json(name))
 
 
 def _lines(spark: SparkSession, path: str, fixed: bool, glob: str | None) -> DataFrame:
@@ -111,22 +111,34 @@ def delimited_headers(spark: SparkSession, path: str, glob: str | None = None) -
 def delimited_rows(
     spark: SparkSession, path: str, width: int, glob: str | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """arrival_id and values of each data line, for files of up to ``width`` columns.
+    """arrival_id, values and n_fields (how many the line has) of each data line, for files of up to ``width`` columns.
 
     The CSV reader drops each file's own header line; an empty field is null. ``multi_line`` allows
     line breaks inside quotes, at the price of one task per file.
     """
-    names = [f"c{i}" for i in range(width)]
+    # One column more than any file has, so that every line differs from the schema and is kept as it was
+    names = [f"c{i}" for i in range(width + 1)]
     rows = (
-        spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", True)
+        spark.read.schema(", ".join(f"{n} string" for n in [*names, "line"])).option("header", True)
         .option("enforceSchema", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line)
+        .option("columnNameOfCorruptRecord", "line").option("columnPruning", False)
         .option("recursiveFileLookup", True).option("pathGlobFilter", glob or "*").csv(path)
     )
+    plain = F.size(F.split("line", ","))
+    count = F.when(F.col("line").isNull(), width + 1).when(F.contains("line", F.lit('"')), F.size(_split(F.col("line")))).otherwise(plain)
+    # A line has a field at least; Spark reads a line as it was together with another column only
+    count = F.greatest(count, F.col("c0").isNotNull().cast("int"))
     return _kind(rows, False, glob).select(
-        F.col("_metadata.file_path").alias("arrival_id"), F.array(*names).alias("values")
+        F.col("_metadata.file_path").alias("arrival_id"), F.array(*names).alias("values"), count.alias("n_fields")
     )
 
 
+def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """arrival_id and value: the lines of all JSON files."""
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    return text.filter(fn.is_json(F.col("_metadata.file_name"))).select(F.col("_metadata.file_path").alias("arrival_id"), "value")
+
+
 def with_offsets(columns: Column) -> Column:
     """Contract columns with the width and the offset (from 1) they have in a fixed-width file."""
     sized = F.transform(
@@ -184,10 +196,13 @@ def render_fixed_width(df: DataFrame, columns: list[dict]) -> Column:
     return F.concat(*[fn.fit(F.col(c["name"]).cast("string"), width(c)) for c in columns])
 
 
-def json_structure(lines: DataFrame, declared: list[str]) -> DataFrame:
-    """Structural check of JSON feed lines (arrival_id, value): unreadable lines, missing and extra keys."""
+def json_structure(lines: DataFrame, declared: list[str] | Column) -> DataFrame:
+    """Structural check of JSON feed lines (arrival_id, value): unreadable lines, missing and extra keys.
+
+    ``declared``: the names for all lines, or a column of each line's names.
+    """
     keys = F.json_object_keys("value")
-    names = F.array(*[F.lit(n) for n in declared])
+    names = declared if isinstance(declared, Column) else F.array(*[F.lit(n) for n in declared])
     mark = lambda check, column: F.struct(F.lit(check).alias("check"), column.alias("column_name"))
     drifted = F.concat(
         F.transform(F.array_except(names, keys), lambda n: mark(vocab.V_REMOVED, n)),

@@ -18,6 +18,21 @@ class ChangeLog:
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.root)
 
+    def before(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        """The log as it was before a batch, also when the batch runs again; ``rows`` have its columns."""
+        schema = rows.drop("batch").schema.add("batch", "long")
+        if batch_id == 0:
+            return rows.sparkSession.createDataFrame([], schema)
+        log = rows.sparkSession.read.schema(schema).option("basePath", self.root).parquet(self.root)
+        return log.filter(F.col("batch") < batch_id)
+
+    def touched(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        """The last versions before a batch of the keys in ``rows``."""
+        log = self.before(rows, batch_id).join(rows.select(*self.keys).distinct(), self.keys, "left_semi")
+        values = [c for c in rows.columns if c not in self.keys]
+        last = log.groupBy(*self.keys).agg(F.max_by(F.struct(*values), F.col("batch")).alias("v"))
+        return last.select(*self.keys, "v.*")
+
     def latest(self, spark: SparkSession) -> DataFrame:
         """Last update of every key."""
         log = self.read(spark)

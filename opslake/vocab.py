@@ -60,6 +60,8 @@ V_NULL = "NullInNotNullColumn"
 V_TYPE = "DataTypeMismatch"
 V_LENGTH = "TruncatedData"
 V_DUPLICATE = "DuplicateRows"
+V_RAGGED = "RaggedRows"
+V_EXTRA = "ExtraFile"
 
 # Sharp-drop baseline
 BASELINE_SYNCS = 5

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from opslake.operators import catalog, invariants, scan, signals
+from opslake.operators import runs as run_ops
 
 T0 = dt.datetime(2026, 9, 3, 2, 0)
 KNOWN = (
@@ -24,6 +25,27 @@ def test_merge_jobs(spark):
     assert len(got["job-n"].job_id) == 26 and got["job-n"].bound_at == now
 
 
+def test_ids_that_differ_by_case_are_one_job(spark):
+    known = spark.createDataFrame([], KNOWN)
+    batch = spark.createDataFrame([(1, "Load", "a", True), (1, "load", "b", False), (2, "LOAD", "c", True)], "source_id int, native_id string, native_name string, is_active boolean")
+    got = sorted((r.source_id, r.native_id, r.name) for r in catalog.merge_jobs(known, batch, F.lit(T0)).collect())
+    assert got == [(1, "load", "b"), (2, "LOAD", "c")]
+    first = catalog.merge_jobs(known, batch.withColumn("place", F.when(F.col("native_name") == "a", 9).otherwise(1)), F.lit(T0))
+    assert {(r.source_id, r.name) for r in first.collect()} == {(1, "a"), (2, "c")}
+    bindings = spark.createDataFrame([("Load", "J1"), ("load", "J2")], "native_id string, job_id string")
+    ran = spark.createDataFrame([("LOAD", "r1"), ("load", "r2")], "native_job_id string, native_run_id string")
+    assert sorted((r.native_run_id, r.job_id) for r in run_ops.resolve_jobs(ran, bindings).collect()) == [("r1", "J1"), ("r2", "J1")]
+
+
+def test_rebind_leaves_bound_targets(spark):
+    schema = "job_id string, source_id int, native_id string, native_name string, bound_at timestamp, unbound_at timestamp"
+    bindings = spark.createDataFrame([("A", 1, "x", "x", T0, None), ("B", 1, "Y", "y", T0, None), ("C", 1, "z", "z", T0, None)], schema)
+    later = T0 + dt.timedelta(hours=1)
+    commands = spark.createDataFrame([("A", 1, "y", "y", later), ("C", 1, "w", "w", later)], "job_id string, source_id int, native_id string, native_name string, at timestamp")
+    got = catalog.rebind(bindings, commands)
+    assert sorted((r.job_id, r.native_id, r.unbound_at is None) for r in got.collect()) == [("A", "x", True), ("B", "Y", True), ("C", "w", True), ("C", "z", False)]
+
+
 def test_binding_at_start_equals_brute_force(spark):
     r = random.Random(4)
     bindings = []

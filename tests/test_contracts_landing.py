@@ -295,3 +295,49 @@ def test_late_uses_the_window(spark):
     rows = [("x", dt.date(2026, 9, 3), 21600, dt.datetime(2026, 9, 3, 6, 0)), ("y", dt.date(2026, 9, 3), 21600, dt.datetime(2026, 9, 3, 6, 0, 1))]
     df = spark.createDataFrame(rows, "arrival_id string, day date, window_end int, arrived_at timestamp")
     assert [r.arrival_id for r in validate.late(df).collect()] == ["y"]
+
+
+JSON = '{"MemberId": "M1", "EffectiveDate": "2026-09-01", "Amount": 1, "Grp": "G"}\n{"MemberId": "M2", "Extra": 1}\n{broken\n'
+
+
+def test_each_file_is_judged_once_by_its_version(spark, tmp_path):
+    import os
+
+    texts, zone_dir = tmp_path / "contracts", tmp_path / "landing"
+    for name, kind in (("a", "csv"), ("j", "json"), ("r", "csv")):
+        put(texts, f"{name}.yaml", yaml(name, dir=name, mask=f"{name.upper()}_{{yyyyMMdd}}.{kind}"))
+    first = contracts.check_rules(files.read(spark, str(texts))).filter("error is null").withColumn("version", F.lit(1).cast("bigint"))
+    first = first.withColumn("effective_from", F.lit("2026-09-01").cast("timestamp"))
+    # the second version of feed a has no Grp
+    second = first.filter("feed_id = 'a'").withColumns({
+        "version": F.lit(2).cast("bigint"), "effective_from": F.lit("2026-09-04 12:00:00").cast("timestamp"),
+        "columns": F.filter("columns", lambda c: c["name"] != "Grp"),
+    })
+    specs = first.unionByName(second)
+    store = Store(spark, str(tmp_path / "store"))
+
+    def lands(path, content, at):
+        put(zone_dir / path.split("/")[0], path.split("/")[1], content)
+        stamp = dt.datetime.fromisoformat(at + "+00:00").timestamp()
+        os.utime(zone_dir / path, (stamp, stamp))
+
+    short = "MemberId,EffectiveDate,Amount"
+    days = [("2026-09-03", csv()), ("2026-09-04", csv()), ("2026-09-05", csv(short, ["M1,2026-09-01,1.5"]))]
+    for n, (day, content) in enumerate(days, 1):
+        lands(f"a/A_{day.replace('-', '')}.csv", content, f"{day} 23:00:00" if n == 1 else f"{day} 01:00:00")
+        if n == 2:
+            lands("a/A_20260904_2.csv", csv(), "2026-09-04 02:00:00")
+            lands("j/J_20260904.json", JSON, "2026-09-04 01:00:00")
+            lands("r/R_20260904.csv", csv(rows=["M1,2026-09-01,2.5,G,surplus", "M1,2026-09-01,2.5,G,other", "M2,2026-09-02", 'M3,2026-09-03,1,"G,3"']), "2026-09-04 01:00:00")
+        landing.judge(store, str(tmp_path), specs, day, f"{day} 23:30:00", n)
+        landing.judge(store, str(tmp_path), specs, day, f"{day} 23:30:00", n)  # a replayed batch changes nothing
+    rows = store.log("validation").collect()
+    assert len(rows) == len({r.arrival_id for r in rows}) == 6
+    by = {r.arrival_id.split("/")[-1]: (r.version, [tuple(f) for f in r.findings or []]) for r in rows}
+    assert by["A_20260903.csv"] == (1, []) and by["A_20260904.csv"] == (1, []) and by["A_20260905.csv"] == (2, [])
+    assert by["A_20260904_2.csv"] == (1, [("ExtraFile", "", 1)])
+    assert by["R_20260904.csv"] == (1, [("RaggedRows", "", 3)])
+    gone = [(vocab.V_REMOVED, c, 1) for c in ("Amount", "EffectiveDate", "Grp")]
+    assert sorted(by["J_20260904.json"][1]) == sorted([*gone, (vocab.V_ADDED, "Extra", 1), ("unreadable", "", 1)])
+    late = {r.message: r.occurrences for r in store.current("alert").collect() if r.type == vocab.FEED_LATE}
+    assert late["a: FeedLate"] == 1 and late["j: FeedLate"] == 2  # missing on the first and the third day

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from opslake import schemas, vocab
 from opslake.functions.fingerprint import fingerprint
 from opslake.operators import runs, scan
-from opslake.streaming.state import HistoryFold, pending_steps
+from opslake.streaming.state import HistoryFold, Once, RunMerge, pending_steps
 
 T0 = dt.datetime(2026, 9, 3, 2, 0)
 
@@ -81,11 +81,38 @@ def test_fold_in_pieces_equals_fold_at_once(spark, tmp_path):
         piece = whole.filter((F.col("instance_id") > a) & (F.col("instance_id") <= b))
         fold(piece, n)
         fold(piece, n)  # a replayed batch changes nothing
-    got = sorted(map(str, fold.runs.read(spark).drop("batch").collect()))
+    got = sorted(map(str, fold.rows(spark).collect()))
     assert got == sorted(map(str, runs.fold_history(whole).collect()))
     assert pending_steps(whole).groupBy("job_id").count().filter("count > 1").isEmpty()
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fold_of_any_layout_equals_fold_at_once(spark, tmp_path, seed):
+    rows = history_rows(seed, 400)
+    whole = spark.createDataFrame(rows, schemas.SYSJOBHISTORY)
+    random.Random(seed).shuffle(rows)
+    fold = HistoryFold(spark, str(tmp_path / "fold"))
+    for n in range(4):
+        fold(spark.createDataFrame(rows[n::4], schemas.SYSJOBHISTORY), n)
+    assert sorted(map(str, fold.rows(spark).collect())) == sorted(map(str, runs.fold_history(whole).collect()))
+
+
+def test_runs_and_repeats_of_any_layout(spark, tmp_path, reports):
+    rows = list(reports[:1500])
+    schema = "native_run_id string, started_at timestamp, ended_at timestamp, status string, error_text string, seq bigint"
+    whole = spark.createDataFrame(rows, schema)
+    random.Random(1).shuffle(rows)
+    merge, once = RunMerge(str(tmp_path / "runs"), ["native_run_id"]), Once(str(tmp_path / "once"), ["seq"])
+    for n in range(4):
+        piece = spark.createDataFrame(rows[n::4] + rows[: 40 * n], schema)
+        once(piece, n)
+        once(piece, n)  # a replayed batch changes nothing
+        merge(spark.createDataFrame(rows[n::4], schema), n)
+        merge(spark.createDataFrame(rows[n::4], schema), n)
+    assert sorted(map(str, merge.rows(spark).collect())) == sorted(map(str, runs.merge_lifecycle(whole, ["native_run_id"]).collect()))
+    assert sorted(r.seq for r in once.log.read(spark).collect()) == sorted(r[-1] for r in rows)
+
+
 def replay(events):
     """Reports one after the other: outcome of each, and the rows that result."""
     rows, outcomes = {}, []

@@ -44,10 +44,11 @@ def test_trailing_equals_window(rows, block):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-@pytest.mark.parametrize(("slices", "span"), [(1, 10), (7, 1500), (64, 1 << 40)])
-def test_day_chunks_follow_the_order(rows, slices, span):
+@pytest.mark.parametrize(("slices", "low", "high"), [(1, 0, 10), (7, 100, 1500), (64, 0, 1 << 40), (16, None, None)])
+def test_day_chunks_follow_the_order(rows, slices, low, high):
     dated = rows.withColumn("d", F.date_add(F.lit("1969-12-30").cast("date"), (F.col("id") * 7 % 5).cast("int")))
-    chunk = scan.day_chunk("d", "id", slices, span)
+    ends = scan.bounds(rows, "id") if low is None else {"low": low, "high": high}
+    chunk = scan.day_chunk("d", "id", slices, **ends)
     got = scan.ranked(dated, ["k"], ["d", "id"], chunk, "n")
     want = dated.withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("d", "id")).cast("bigint"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
@@ -85,3 +86,19 @@ def test_numbered_changes_equal_windows(spark, rows, width, started):
         want.append((k, i, v, seen != v, n, None if seen == "nothing" else seen))
         state[k] = (v, n)
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_a_hot_day_is_split(spark):
+    day = spark.range(1 << 35, (1 << 35) + 6400).select("id", F.lit("2026-09-03").cast("date").alias("d"))
+    chunks = day.groupBy(scan.day_chunk("d", "id", 64, **scan.bounds(day, "id")).alias("c")).count().collect()
+    assert len(chunks) == 64 and {r["count"] for r in chunks} == {100}
+    assert scan.bounds(day.limit(0), "id") == {"low": 0, "high": 0}
+
+
+def test_names_with_one_beginning_spread(spark):
+    names = spark.range(5000).select(F.format_string("Supplier#%012d", F.col("id")).alias("name"))
+    got = scan.numbered(names.repartition(7), ["name"], "n")
+    assert [r.n for r in got.orderBy("name").collect()] == list(range(1, 5001))
+    ranges = names.repartitionByRange(4, "name").groupBy(F.spark_partition_id()).count().count()
+    assert ranges > 1
+    assert scan.numbered(names.limit(0), ["name"], "n").count() == 0
