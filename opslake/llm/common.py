@@ -16,7 +16,11 @@ PIECE_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, and take Arrow batches of few texts at once."""
+    """Let Python workers import this package from where the driver has it, and take Arrow batches of few texts at once.
+
+    Joins split hot keys also where a grouping on the same keys stands before or after them.
+    """
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[2])
 
