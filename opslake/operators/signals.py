@@ -131,6 +131,22 @@ def detection_time(alert_rows: DataFrame, runs: DataFrame) -> DataFrame:
     return alert_rows.join(first_end, "dedup_key").withColumn("detect_seconds", lag)
 
 
+def detection_summary(alert_rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Mean time to detect by source and month of the alert, with the median and the 95th percentile.
+
+    The source is that of the first failed run of the root cause. Needs ``source_id`` in ``runs``.
+    """
+    key = fp.dedup_key(F.lit(vocab.JOB_FAILED), F.col("fingerprint")).alias("dedup_key")
+    ended = runs.filter(F.col("fingerprint").isNotNull() & F.col("ended_at").isNotNull())
+    source = ended.groupBy(key).agg(F.min_by("source_id", F.struct("ended_at", "source_id")).alias("source_id"))
+    timed = detection_time(alert_rows, runs).join(source, "dedup_key")
+    lag = F.col("detect_seconds")
+    return timed.groupBy("source_id", F.trunc(F.col("first_seen"), "month").alias("month")).agg(
+        F.count(F.lit(1)).alias("alerts"), F.avg(lag).alias("mean_seconds"),
+        F.percentile(lag, 0.5).alias("median_seconds"), F.percentile(lag, 0.95).alias("p95_seconds"),
+    )
+
+
 def cone(edges: DataFrame, failed: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every job downstream of a failed one with its distance; the failed jobs have distance 0.
 

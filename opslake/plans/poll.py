@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from opslake import session, vocab
 from opslake.functions.fingerprint import dedup_key
-from opslake.operators import alerts, catalog, health, runs, scan
+from opslake.operators import alerts, catalog, health, runs, scan, signals
 from opslake.store import Store
 
 RUN_KEY = ["source_id", "native_run_id"]
+#: Batches that readers put together before a poll folds them into one.
+COMPACT_AFTER = 256
 
 
 @dataclass
@@ -63,7 +65,7 @@ def cycle(store: Store, source_id: int, source_name: str, batch: int, now: str,
         raised = _health_events(past, source_id, source_name, job_count, batch, at, got.purged)
         if raised is not None:
             kept["alert"] = alerts.merge(past.touched("alert", raised), raised)
-        tables, result = _merge(past, source_id, batch, at, jobs, reports)
+        tables, result = _merge(past, source_id, batch, at, jobs, reports, raised)
         result.jobs = job_count
         _commit(store, source_id, batch, at, vocab.COMPLETED, result, {**kept, **tables}, got.watermark)
         return result
@@ -102,7 +104,7 @@ def _health_events(
 
 
 def _merge(
-    store: Store, source_id: int, batch: int, at: Column, jobs: DataFrame, reports: DataFrame
+    store: Store, source_id: int, batch: int, at: Column, jobs: DataFrame, reports: DataFrame, raised: DataFrame | None
 ) -> tuple[dict[str, DataFrame], Result]:
     owned = catalog.with_ownership(catalog.one_per_native_id(jobs.withColumn("source_id", F.lit(source_id))))
     known = store.current("job").filter(F.col("source_id") == source_id)
@@ -134,8 +136,32 @@ def _merge(
         orphan_ids=tuple(r.native_job_id for r in runs.orphan_report(lost).collect()),
     )
     seen = merged.filter(F.col("last_seen") == at)
-    state = runs.merge_lifecycle(events, RUN_KEY, ["job_id"])
-    return {"job": seen, "ownership": ownership, "run": state}, result
+    state = session.cut(runs.merge_lifecycle(events, RUN_KEY, ["job_id"]))
+    tables = {"job": seen, "ownership": ownership, "run": state}
+    alert = _alerts(store, batch, state, touched, ownership, raised)
+    return ({**tables, "alert": alert} if alert is not None else tables), result
+
+
+def _alerts(
+    store: Store, batch: int, state: DataFrame, before: DataFrame, ownership: DataFrame, raised: DataFrame | None
+) -> DataFrame | None:
+    """Next alert rows: one raise per run that this batch made a failure, under its root cause.
+
+    A new alert goes to the team of the first job that failed so; one that has a team keeps it.
+    """
+    failed = F.col("status") == vocab.FAILED
+    newly = session.cut(state.filter(failed).join(before.filter(failed).select(*RUN_KEY), RUN_KEY, "left_anti"))
+    events = signals.failure_events(newly, F.lit(batch).cast("bigint"))
+    if raised is not None:
+        events = events.unionByName(raised)
+    elif newly.isEmpty():
+        return None
+    owners = newly.join(ownership.select("job_id", "team_id"), "job_id").groupBy(
+        dedup_key(F.lit(vocab.JOB_FAILED), F.col("fingerprint")).alias("__key")
+    ).agg(F.min_by("team_id", F.when(F.col("team_id").isNotNull(), F.struct("started_at", "native_run_id"))).alias("__team"))
+    merged = alerts.merge(store.touched("alert", events), events)
+    routed = merged.join(owners, F.col("dedup_key") == F.col("__key"), "left")
+    return routed.withColumn("routed_to", F.coalesce("routed_to", "__team")).select(*merged.columns)
 
 
 def _commit(
@@ -147,9 +173,12 @@ def _commit(
     mark = F.lit(new_watermark if new_watermark is not None else watermark(store.before(batch), source_id)).cast("string")
     sync = one.select(
         F.lit(batch).cast("bigint").alias("sync_id"), F.lit(source_id).alias("source_id"), at.alias("started_at"),
-        F.current_timestamp().alias("completed_at"), F.lit(status).alias("status"),
+        at.alias("completed_at"), F.lit(status).alias("status"),
         F.lit(result.jobs).cast("bigint").alias("job_count"), F.lit(result.unowned).cast("bigint").alias("unowned_count"),
         F.lit(result.error).cast("string").alias("error_text"),
     )
     state = one.select(F.lit(source_id).alias("source_id"), mark.alias("watermark"), at.alias("last_heartbeat"))
     store.commit(batch, {**tables, "sync": sync, "source_state": state})
+    if len(store.committed()) > COMPACT_AFTER:
+        store.compact()
+        store.expire()

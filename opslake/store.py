@@ -1,19 +1,34 @@
 """The store: tables as logs of row versions, committed batch by batch.
 
-A commit writes the changed rows of every table under ``<table>/batch=<id>`` and then one commit
-record. Readers only look at committed batches, so all tables of a batch appear together or not at
-all, and running a batch again writes the same folders. A write costs what the batch changed, not
-what the table holds; ``compact`` folds old batches into one.
+A commit writes the changed rows of every table under ``<table>/batch=<id>/attempt=<name>`` and then
+one commit record that names the attempt. Readers only look at attempts that a record names, so all
+tables of a batch appear together or not at all. Running a batch again makes another attempt, which
+takes over once its own record stands; one that dies before leaves the old attempt as it was. A write
+costs what the batch changed, not what the table holds; ``compact`` folds old batches into one.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslake import schemas, session
 
 
+_RECORD = "batch bigint, base boolean, attempt string, tables array<string>"
+
+
+@dataclass(frozen=True)
+class Commit:
+    batch: int
+    attempt: str
+    tables: frozenset
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, limit: int | None = None):
         self.spark = spark
@@ -29,34 +44,41 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def committed(self) -> list[tuple[int, set[str]]]:
-        """(batch, tables) that count: the last compaction and the commits after it.
-
-        One small record per batch; compaction keeps their number down.
-        """
+    def _records(self) -> list:
+        """The record that counts of every batch, by batch: that of its last attempt."""
         path = f"{self.root}/_commits"
         if not self._exists(path):
             return []
-        log = self.spark.read.schema("batch bigint, base boolean, tables array<string>").json(path)
+        log = self.spark.read.schema(_RECORD).json(path)
         if self.limit is not None:
             log = log.filter(F.col("batch") < self.limit)
-        rows = log.orderBy("batch").collect()
+        last: dict = {}
+        for r in log.orderBy("batch", "attempt").collect():
+            last[r.batch] = r
+        return list(last.values())
+
+    def committed(self) -> list[Commit]:
+        """The commits that count: the last compaction and those after it.
+
+        One small record per batch; compaction keeps their number down.
+        """
+        rows = self._records()
         start = max((i for i, r in enumerate(rows) if r.base), default=0)
-        return [(r.batch, set(r.tables)) for r in rows[start:]]
+        return [Commit(r.batch, r.attempt, frozenset(r.tables)) for r in rows[start:]]
 
-    def _read(self, table: str, batches: list[int]) -> DataFrame:
+    def _read(self, table: str, commits: list[Commit]) -> DataFrame:
         _, schema = schemas.TABLES[table]
-        paths = [f"{self.root}/{table}/batch={b}" for b in batches]
+        paths = [f"{self.root}/{table}/batch={c.batch}/attempt={c.attempt}" for c in commits]
         if not paths:
             return self.spark.createDataFrame([], f"{schema}, batch bigint")
         return (
-            self.spark.read.schema(f"{schema}, batch bigint").option("basePath", f"{self.root}/{table}")
-            .parquet(*paths)
+            self.spark.read.schema(f"{schema}, batch bigint, attempt string").option("basePath", f"{self.root}/{table}")
+            .parquet(*paths).drop("attempt")
         )
 
     def log(self, table: str) -> DataFrame:
         """All committed row versions of a table with their ``batch``."""
-        return self._read(table, [b for b, tables in self.committed() if table in tables])
+        return self._read(table, [c for c in self.committed() if table in c.tables])
 
     def current(self, table: str) -> DataFrame:
         """The last version of each row."""
@@ -80,26 +102,25 @@ class Store:
             self.log(table).select(*keys, "batch").join(wanted, keys, "left_semi").groupBy(*keys)
             .agg(F.max("batch").alias("batch"))
         )
-        batches = [r.batch for r in last.select("batch").distinct().collect()]
-        return self._read(table, batches).join(last, [*keys, "batch"], "left_semi").drop("batch")
+        wanted = {r.batch for r in last.select("batch").distinct().collect()}
+        held = [c for c in self.committed() if table in c.tables and c.batch in wanted]
+        return self._read(table, held).join(last, [*keys, "batch"], "left_semi").drop("batch")
 
     def commit(self, batch: int, tables: dict[str, DataFrame], base: bool = False) -> None:
+        attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             _, schema = schemas.TABLES[name]
             columns = self.spark.createDataFrame([], schema).columns
-            df.select(*columns).write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
-        record = self.spark.createDataFrame(
-            [(batch, base, sorted(tables))], "batch bigint, base boolean, tables array<string>"
-        )
-        record.coalesce(1).write.mode("overwrite").json(f"{self.root}/_commits/of={batch}")
+            df.select(*columns).write.parquet(f"{self.root}/{name}/batch={batch}/attempt={attempt}")
+        record = self.spark.createDataFrame([(batch, base, attempt, sorted(tables))], _RECORD)
+        record.coalesce(1).write.json(f"{self.root}/_commits/of={batch}/attempt_of={attempt}")
 
     def last_batch(self) -> int:
-        return max((b for b, _ in self.committed()), default=0)
+        return max((c.batch for c in self.committed()), default=0)
 
     def expire(self) -> int:
         """Delete the batches that the last compaction has replaced; returns how many."""
-        log = self.spark.read.schema("batch bigint, base boolean, tables array<string>").json(f"{self.root}/_commits")
-        rows = log.orderBy("batch").collect()
+        rows = self._records()
         base = max((r.batch for r in rows if r.base), default=0)
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         old = [r for r in rows if r.batch < base]
@@ -111,8 +132,16 @@ class Store:
         return len(old)
 
     def compact(self) -> int:
-        """Write the current rows of all tables as one batch; readers start there from now on."""
-        batch = self.last_batch() + 1
-        names = sorted({t for _, tables in self.committed() for t in tables})
-        self.commit(batch, {name: self.current(name) for name in names}, base=True)
-        return batch
+        """Write the current rows of all tables, but for the last batch, as one; readers start there from now on.
+
+        The last batch stays a batch of its own, so that it can run again. Returns the batch that now
+        holds what went before, 0 if there is nothing to fold.
+        """
+        rows = self.committed()
+        if len(rows) < 3:
+            return 0
+        upto = rows[-2].batch
+        past = self.before(upto + 1)
+        names = sorted({t for c in past.committed() for t in c.tables})
+        self.commit(upto, {name: past.current(name) for name in names}, base=True)
+        return upto

@@ -78,10 +78,10 @@ def test_second_sync_closes_the_open_run_and_keeps_identity(spark, store):
         late = poll.cycle(store, 7, "fake", 3, "2026-09-03 02:07:00", collect("Failed", end))
         assert (late.inserted, late.closed) == (0, 0)
     assert [r.status for r in store.current("run").collect()] == ["Succeeded"]
-    assert store.compact() == 4
-    assert [r.status for r in store.current("run").collect()] == ["Succeeded"] and store.committed()[0][0] == 4
+    assert store.compact() == 2
+    assert [r.status for r in store.current("run").collect()] == ["Succeeded"] and store.committed()[0].batch == 2
     before = sorted(map(str, store.current("ownership").collect()))
-    assert store.expire() == 3 and store.expire() == 0
+    assert store.expire() == 1 and store.expire() == 0
     assert sorted(map(str, store.current("ownership").collect())) == before
     assert poll.cycle(store, 7, "fake", 5, "2026-09-03 02:08:00", collect("Failed", end)).closed == 0
 
@@ -104,6 +104,39 @@ def test_empty_source_alerts_and_failed_sync_keeps_the_watermark(spark, store):
     assert (last.status, last.error_text) == (vocab.FAILED, "msdb said no")
 
 
+def test_failures_are_raised_once_and_routed(spark, store):
+    def collect(status):
+        end = T0 + dt.timedelta(minutes=5) if status != "Running" else None
+        got = batch(spark, [("job-a", "Load", "Owner: ETL"), ("job-b", "Other", "none")], [("job-a", "r1", T0, end, status, "Login failed for user 'x'")], "1")
+        return lambda _: got
+
+    poll.cycle(store, 7, "fake", 1, "2026-09-03 02:05:00", collect("Running"))
+    assert store.current("alert").isEmpty()
+    for n in (2, 3, 3):
+        assert poll.cycle(store, 7, "fake", n, f"2026-09-03 02:0{n + 4}:00", collect("Failed")).ok
+    (alert,) = store.current("alert").collect()
+    assert (alert.type, alert.status, alert.occurrences, alert.routed_to) == (vocab.JOB_FAILED, vocab.FIRING, 1, "ETL")
+    assert [r.completed_at for r in store.current("sync").filter("sync_id = 3").collect()] == [dt.datetime(2026, 9, 3, 2, 7)]
+
+
+def test_ids_that_differ_by_case_are_one_job(spark, store):
+    got = batch(spark, [("Load", "a", "Owner: ETL"), ("load", "b", "Owner: ETL")], [("LOAD", "r1", T0, None, "Running", None)], "1")
+    result = poll.cycle(store, 7, "fake", 1, "2026-09-03 02:05:00", lambda _: got)
+    assert result.ok and [store.current(t).count() for t in ("job", "ownership", "run")] == [1, 1, 1]
+
+
+def test_a_replay_that_dies_changes_nothing(spark, store):
+    rows = spark.createDataFrame([(1, "10", T0)], schemas.TABLES["source_state"][1])
+    names = spark.createDataFrame([(1, "t", "n", "c")], schemas.TABLES["source"][1])
+    store.commit(1, {"source": names, "source_state": rows})
+    broken = rows.withColumn("watermark", F.raise_error(F.lit("dies")).cast("string"))
+    with pytest.raises(Exception, match="dies"):
+        store.commit(1, {"source": names.withColumn("name", F.lit("new")), "source_state": broken})
+    assert store.current("source").first().name == "n" and store.current("source_state").first().watermark == "10"
+    store.commit(1, {"source": names.withColumn("name", F.lit("new")), "source_state": rows})
+    assert store.current("source").first().name == "new" and len(store.committed()) == 1
+
+
 def test_unknown_job_is_skipped(spark, store):
     collected = batch(spark, [("job-a", "n", "")], [("deleted-job", "run-9", T0, T0, "Succeeded", None)], None)
     result = poll.cycle(store, 7, "fake", 1, "2026-09-03 02:05:00", lambda _: collected)
