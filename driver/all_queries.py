@@ -6,6 +6,7 @@ from driver import (  # noqa: F401
     health_queries,
     run_queries,
     signal_queries,
+    store_queries,
     stream_queries,
     validate_queries,
 )

@@ -160,6 +160,24 @@ def detection_time(t):
     return signals.detection_time(alerts.merge(none, raised), done).select("dedup_key", "detect_seconds")
 
 
+@query("detection_summary", f"""WITH {i.HISTORY_SQL},
+g AS (SELECT fingerprint, min(ended_at) AS e, arg_min(CAST(substr(native_job_id, 5) AS INTEGER) % 10, {{'e': ended_at, 's': CAST(substr(native_job_id, 5) AS INTEGER) % 10}}) AS source_id
+  FROM runs WHERE fingerprint IS NOT NULL GROUP BY fingerprint),
+d AS (SELECT source_id, date_trunc('hour', e) + INTERVAL 1 HOUR AS seen, epoch(date_trunc('hour', e) + INTERVAL 1 HOUR) - epoch(e) AS lag FROM g)
+SELECT CAST(source_id AS INTEGER) AS source_id, strftime(date_trunc('month', seen), '%Y-%m') AS month, count(*) AS alerts,
+  round(avg(lag), 3) AS mean_seconds, round(quantile_cont(lag, 0.5), 3) AS median_seconds, round(quantile_cont(lag, 0.95), 3) AS p95_seconds
+FROM d GROUP BY ALL""")
+def detection_summary(t):
+    """The same alerts by source (a number in the job's name) and month."""
+    done = folded(t).withColumn("source_id", (F.substring("native_job_id", 5, 20).cast("int") % 10))
+    next_poll = time.plus_seconds(F.date_trunc("hour", "at"), F.lit(3600))
+    raised = signals.failure_events(done, F.col("instance_id")).withColumn("at", next_poll)
+    none = t.spark.createDataFrame([], alerts.empty_state_schema())
+    found = signals.detection_summary(alerts.merge(none, raised), done)
+    three = lambda c: F.round(c, 3).alias(c)
+    return found.select("source_id", F.date_format("month", "yyyy-MM").alias("month"), "alerts", three("mean_seconds"), three("median_seconds"), three("p95_seconds"))
+
+
 @query("sync_log", f"""WITH ev AS (SELECT event_id // 2 AS sync_id, event_id % 2 AS closing, ts, event_type, user_id, event_id FROM events
   WHERE event_id % 2 = 0 OR event_type <> 'view')
 SELECT sync_id, {i.ts_sql('min(ts) FILTER (closing = 0)')} AS started_at, {i.ts_sql('min(ts) FILTER (closing = 1)')} AS completed_at,

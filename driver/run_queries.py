@@ -168,6 +168,17 @@ def orphan_runs(t):
     return lost.groupBy(F.lower("native_job_id").alias("native_job_id")).agg(F.count(F.lit(1)).alias("runs"))
 
 
+@query("orphan_report", """
+SELECT 'cust-' || user_id AS native_job_id, count(*) AS runs FROM events
+WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_mktsegment <> 'FURNITURE')
+GROUP BY ALL ORDER BY native_job_id LIMIT 10""")
+def orphan_report(t):
+    """The ten lowest ids, as a poll reports them."""
+    bindings = t.customer.filter("c_mktsegment <> 'FURNITURE'").select(i.text("CUST-", F.col("c_custkey")).alias("native_id"))
+    reported = t.events.select(i.text("Cust-", F.col("user_id")).alias("native_job_id"))
+    return runs.orphan_report(runs.orphans(reported, bindings))
+
+
 def order_runs(t: Tables):
     k = F.col("o_orderkey")
     start = utc_start = i.utc("o_orderdate")
