@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake import session
@@ -39,9 +39,9 @@ COMPONENTS = 360
 #: Share of components that a pair has to agree in to be verified: four deviations below the threshold.
 LIKELY = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / COMPONENTS) ** 0.5
 #: Candidates of other classes that an entry is verified with, round by round; the last round takes all that are left.
-ROUNDS = (2, 16, None)
-#: Entries of a bucket that meet in one task.
-BLOCK = 1024
+ROUNDS = (4, None)
+#: Entries of a bucket that meet in one task, and multisets of either side that do.
+BLOCK, MULTISETS = 1024, 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -158,20 +158,24 @@ def _likely(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     return map_batches(joined.select("a", "b", "sketch_a", "sketch_b"), run, "a long, b long")
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b) of the pairs of ids whose multisets are near copies. ``rows``: (id, text), one row an id."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    filter_ = rows.sparkSession.sparkContext.broadcast(Bitmap.of(needed, "id"))
+def _multisets(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, units) of at least the rows whose ids are asked for. ``rows``: (id, text)."""
+    wanted = rows.sparkSession.sparkContext.broadcast(Bitmap.of(ids, "id"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = single(batch.column(0)).to_numpy(zero_copy_only=False)
-        batch = batch.filter(pa.array(filter_.value.has(ids.astype(np.int64).view(np.uint64))))
+        batch = batch.filter(pa.array(wanted.value.has(ids.astype(np.int64).view(np.uint64))))
         ids, texts = single(batch.column(0)), single(batch.column(1))
         for low, high in pieces(texts):
             of, unit = units(*counted_shingles(texts[low:high]))
             yield pa.RecordBatch.from_arrays([ids[low:high], _lists(of, unit.view(np.int64), high - low)], names=["id", "units"])
 
-    multisets = map_batches(rows, run, "id long, units array<long>")
+    return map_batches(rows, run, "id long, units array<long>")
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b) of the pairs of ids whose multisets are near copies."""
+    multisets = _multisets(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), rows)
     one = multisets.select(F.col("id").alias("a"), F.col("units").alias("one"))
     two = multisets.select(F.col("id").alias("b"), F.col("units").alias("two"))
     joined = pairs.join(two, "b").join(one, "a")
@@ -179,8 +183,41 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.where(shared >= THRESHOLD * (F.size("one") + F.size("two") - shared)).select("a", "b")
 
 
+def verified_in_blocks(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The same for (main, a, b) with many pairs of the same entries: a multiset moves once for each block that it meets.
+
+    The entries of either side of a ``main`` are dealt over blocks; a task has a block of each and their pairs.
+    """
+    counts = pairs.groupBy("main").agg(F.count_distinct("a").alias("many_a"), F.count_distinct("b").alias("many_b"))
+    counts = counts.withColumnRenamed("main", "m")
+    block = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col(f"many_{c}") / MULTISETS))
+    dealt = session.cut(pairs.join(counts, F.col("main") == F.col("m")).select("main", block("a").alias("of_a"), block("b").alias("of_b"), "a", "b"))
+    keys = ["main", "of_a", "of_b"]
+    needed = dealt.select(*keys, F.col("a").alias("id")).unionAll(dealt.select(*keys, "b")).distinct()
+    units_of = _multisets(needed.select("id").distinct(), rows).withColumnRenamed("id", "of")
+    held = needed.join(units_of, F.col("id") == F.col("of")).select(*[F.col(k).alias(f"{k}_") for k in keys], "id", "units")
+
+    def meet(wanted: pa.Table, have: pa.Table) -> pa.Table:
+        multisets: dict[int, list[np.ndarray]] = {}
+        for i, u in zip(have["id"].to_pylist(), have["units"].combine_chunks() if have.num_rows else [], strict=True):
+            multisets.setdefault(i, []).append(np.sort(u.values.to_numpy()))
+        near = []
+        for a, b in zip(wanted["a"].to_pylist(), wanted["b"].to_pylist(), strict=True):
+            for one in multisets.get(a, []):
+                for two in multisets.get(b, []):
+                    at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+                    shared = int((two[at] == one).sum())
+                    if shared >= THRESHOLD * (len(one) + len(two) - shared):
+                        near.append((a, b))
+        return pa.table([pa.array([x[i] for x in near], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return dealt.groupBy(*keys).cogroup(held.groupBy(*[f"{k}_" for k in keys])).applyInArrow(meet, "a long, b long").distinct()
+
+
 def _across(buckets: DataFrame, classes: DataFrame, entries: DataFrame, most: int | None) -> DataFrame:
-    """(a, b): likely pairs of entries that share a bucket and are of different classes; of an entry the ``most`` similar ones.
+    """(main, a, b): likely pairs of entries that share a bucket and are of different classes; of an entry the ``most`` similar ones.
+
+    ``main`` is the class that most entries of such a bucket are of.
 
     In each bucket the entries outside its most frequent class are asked against all entries of the bucket, in blocks.
     """
@@ -194,22 +231,32 @@ def _across(buckets: DataFrame, classes: DataFrame, entries: DataFrame, most: in
     ask = ask.select(*[F.col(c).alias(f"{c}_") for c in ("band", "bucket", "block", "id", "class", "sketch", "n")])
 
     def meet(asked: pa.Table, block: pa.Table) -> pa.Table:
-        out_a, out_b = [], []
+        out_a, out_b, out_share, main = [], [], [], []
         if asked.num_rows and block.num_rows:
             ids, cls, n = (block[c].to_numpy() for c in ("id", "class", "n"))
             sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(-1, COMPONENTS)
             for i, c, m, s in zip(asked["id_"].to_pylist(), asked["class_"].to_pylist(), asked["n_"].to_pylist(), asked["sketch_"].to_pylist(), strict=True):
                 fits = np.flatnonzero((cls != c) & (np.minimum(n, m) >= THRESHOLD * np.maximum(n, m)))
                 agreed = (sketch[fits] == np.frombuffer(s, np.uint8)).mean(axis=1)
-                near = fits[agreed >= LIKELY]
+                near = np.flatnonzero(agreed >= LIKELY)
                 if most is not None and len(near) > most:
-                    near = near[np.argsort(-agreed[agreed >= LIKELY], kind="stable")[:most]]
-                out_a += np.minimum(ids[near], i).tolist()
-                out_b += np.maximum(ids[near], i).tolist()
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                    near = near[np.argsort(-agreed[near], kind="stable")[:most]]
+                out_a += [i] * len(near)
+                out_b += ids[fits[near]].tolist()
+                out_share += agreed[near].tolist()
+            main = [block["main"][0].as_py()] * len(out_a)
+        return pa.table([pa.array(main, pa.int64()), pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_share, pa.float64())], names=["main", "a", "b", "share"])
 
     keys = ["band", "bucket", "block"]
-    return ask.groupBy(*[f"{k}_" for k in keys]).cogroup(have.groupBy(*keys)).applyInArrow(meet, "a long, b long").distinct()
+    found = ask.groupBy(*[f"{k}_" for k in keys]).cogroup(have.groupBy(*keys)).applyInArrow(meet, "main long, a long, b long, share double")
+    found = found.groupBy("a", "b").agg(F.min("main").alias("main"), F.max("share").alias("share"))
+    # of two entries that ask for one another, the greater asks
+    twice = found.select(F.col("a").alias("b_"), F.col("b").alias("a_"))
+    found = found.join(twice, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left").where("a_ is null or a > b")
+    if most is not None:
+        best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("share"), "b"))
+        found = found.withColumn("place", best).where(F.col("place") <= most)
+    return found.select("main", "a", "b")
 
 
 def classes_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -233,7 +280,7 @@ def classes_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         more = session.cut(_across(buckets, components(links), entries, most))
         if more.isEmpty():  # nor does a later round find any
             break
-        links = session.cut(links.unionAll(verified(more, known)))
+        links = session.cut(links.unionAll(verified_in_blocks(more, known)))
     several = membership.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     found = components(links.unionAll(several.where("a != b").select("a", "b")))
     named = several.join(found, F.col("a") == F.col("node"), "left").select("id", F.coalesce("class", "a").alias("class"))
