@@ -224,19 +224,24 @@ def _across(buckets: DataFrame, classes: DataFrame, entries: DataFrame, most: in
     named = buckets.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("class", "id"))
     sizes = named.groupBy("band", "bucket", "class").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("band", "bucket").agg(F.max_by("class", F.struct("size", "class")).alias("main"), F.count("*").alias("classes"), F.sum("size").alias("size")).where("classes > 1")
-    members = session.cut(named.join(mixed.select("band", "bucket", "main", "size"), ["band", "bucket"]).join(entries.select("id", "sketch", "n"), "id"))
+    members = session.cut(named.join(mixed.select("band", "bucket", "main", "size"), ["band", "bucket"]).join(entries.select("id", "sketch", "n", "bands"), "id"))
     blocks = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("size") / BLOCK))
     have = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
     ask = members.where("class != main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    ask = ask.select(*[F.col(c).alias(f"{c}_") for c in ("band", "bucket", "block", "id", "class", "sketch", "n")])
+    ask = ask.select(*[F.col(c).alias(f"{c}_") for c in ("band", "bucket", "block", "id", "class", "sketch", "n", "bands")])
 
     def meet(asked: pa.Table, block: pa.Table) -> pa.Table:
         out_a, out_b, out_share, main = [], [], [], []
         if asked.num_rows and block.num_rows:
             ids, cls, n = (block[c].to_numpy() for c in ("id", "class", "n"))
             sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(-1, COMPONENTS)
-            for i, c, m, s in zip(asked["id_"].to_pylist(), asked["class_"].to_pylist(), asked["n_"].to_pylist(), asked["sketch_"].to_pylist(), strict=True):
-                fits = np.flatnonzero((cls != c) & (np.minimum(n, m) >= THRESHOLD * np.maximum(n, m)))
+            band, bands = block["band"][0].as_py(), np.array(block["bands"].to_pylist(), np.int64)
+            waits = cls == block["main"][0].as_py()
+            for i, c, m, s, b in zip(*(asked[f"{x}_"].to_pylist() for x in ("id", "class", "n", "sketch", "bands")), strict=True):
+                # a pair counts in the first bucket that it shares; of two that ask for one another, the greater asks
+                sizes = np.minimum(n, m) >= THRESHOLD * np.maximum(n, m)
+                earlier = (bands[:, :band] == np.array(b[:band], np.int64)).any(axis=1)
+                fits = np.flatnonzero((cls != c) & sizes & ~earlier & (waits | (ids < i)))
                 agreed = (sketch[fits] == np.frombuffer(s, np.uint8)).mean(axis=1)
                 near = np.flatnonzero(agreed >= LIKELY)
                 if most is not None and len(near) > most:
@@ -250,9 +255,6 @@ def _across(buckets: DataFrame, classes: DataFrame, entries: DataFrame, most: in
     keys = ["band", "bucket", "block"]
     found = ask.groupBy(*[f"{k}_" for k in keys]).cogroup(have.groupBy(*keys)).applyInArrow(meet, "main long, a long, b long, share double")
     found = found.groupBy("a", "b").agg(F.min("main").alias("main"), F.max("share").alias("share"))
-    # of two entries that ask for one another, the greater asks
-    twice = found.select(F.col("a").alias("b_"), F.col("b").alias("a_"))
-    found = found.join(twice, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left").where("a_ is null or a > b")
     if most is not None:
         best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("share"), "b"))
         found = found.withColumn("place", best).where(F.col("place") <= most)
