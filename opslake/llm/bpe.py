@@ -5,7 +5,8 @@ start amid a pre-token. The pattern reads from left to right and does not look b
 readings of a chunk and of the next one both begin a pre-token, they agree for good. The first such position in the
 overlap is the seam. A text of which an overlap has no seam (a run of letters or blanks longer than it) is read as
 one. Pre-tokens near a seam are encoded one by one, the piece between them as it stands, and the ids of all pieces
-between seams are concatenated. Ids decode to raw bytes, which are concatenated as they are.
+between seams are concatenated. The pattern does look ahead: the piece between is encoded with what follows it in its
+chunk, whose ids are then taken off. Ids decode to raw bytes, which are concatenated as they are.
 
 Texts of up to one chunk are encoded where they are. Of longer texts each chunk is a row of its own, dealt over all
 tasks; pieces then meet by text.
@@ -72,6 +73,7 @@ def read_chunk(encoder: Encoder, start: int, part: str, last: bool, size: int =
     """
     begins = [m.start() for m in encoder.pattern.finditer(part)]
     ends = [*begins[1:], len(part)]
+    left = begins[-1:] if not last else []
     if not last:
         begins, ends = begins[:-1], ends[:-1]
     head = [(a, b) for a, b in zip(begins, ends, strict=True) if a < overlap] if start else []
@@ -79,7 +81,11 @@ def read_chunk(encoder: Encoder, start: int, part: str, last: bool, size: int =
     low = head[-1][1] if head else 0
     high = tail[0][0] if tail else (ends[-1] if ends else 0)
     coded = lambda found: [(start + a, encoder.encode(part[a:b])) for a, b in found]
-    return {"start": start, "head": coded(head), "ids": encoder.encode(part[low:high]), "tail": coded(tail)}
+    after = coded(tail)
+    # the middle is encoded with what follows it, since the pattern looks ahead; the ids of what follows are taken off
+    ids = encoder.encode(part[low:]) if low < high else []
+    beyond = sum(len(got) for _, got in after) + sum(len(encoder.encode(part[a:])) for a in left)
+    return {"start": start, "head": coded(head), "ids": ids[: len(ids) - beyond] if ids else ids, "tail": after}
 
 
 def stitch(read: list[dict]) -> list[int] | None:

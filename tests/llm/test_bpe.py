@@ -43,6 +43,16 @@ def test_stitched_equals_merged(text, overlap, factor):
     assert "".join(part[:size] for _, part in found[:-1]) + found[-1][1] == text
 
 
+@pytest.mark.parametrize("blank", ["\n\n", "\n\n\n", " \n\n ", "\t\t", "  "])
+def test_blank_lines_around_the_end_of_a_chunk(blank):
+    for edge in (bpe.CHUNK, bpe.CHUNK + bpe.OVERLAP):
+        for at in range(edge - 8, edge + 8):
+            text = ("some words of a text. " * 3000)[: at - 1] + "." + blank + "Next" + " words follow" * 400
+            found = list(bpe.chunks(text))
+            read = [bpe.read_chunk(MAKER, start, part, i == len(found) - 1) for i, (start, part) in enumerate(found)]
+            assert len(read) > 1 and bpe.stitch(read) == MAKER.encode(text), (edge, at)
+
+
 def test_encode_and_decode(docs):
     pick = random.Random(5)
     long = "".join(pick.choice(["the ", "Ünï", "\n\n  ", "'re ", "9", "語", "un "]) for _ in range(900))
