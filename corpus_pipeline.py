@@ -16,9 +16,10 @@ from opslake.llm.common import prepare, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language is known."""
+    """The documents whose language the classifier tells from their whole text."""
     prepare(spark)
-    return language.keep(docs, queries.language_model(docs))
+    model = queries.language_model(docs)
+    return language.keep(docs, model, language.least_score(model))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ PER_LANGUAGE, LANGUAGES, SAMPLE_BYTES = 384, 64, 16 << 10
 #: Landmarks, n-grams that tell texts apart, weight of the ridge, and how sharply scores become shares.
 LANDMARKS, GRAMS, RIDGE, SHARPNESS = 96, 6000, 1e-3, 6.0
 UNKNOWN = "und"
+#: Of the way from equal shares to 1, how far a text's score has to be for the pipeline to know its language.
+MARGIN = 0.1
 _TABLES: dict[int, list[np.ndarray]] = {}
 
 
@@ -146,6 +148,16 @@ def sample(docs: DataFrame, learn: Column, key: str = "doc_id", label: str = "la
     return found["text"].tolist(), found["l"].tolist()
 
 
+def decided(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; null texts, and all texts if there is no model, are ``und`` with score 0."""
+    if model is None:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    shares = model.scores(lowered(texts))
+    valid = pc.is_valid(texts).to_numpy(zero_copy_only=False)
+    names = [model.languages[i] if v else UNKNOWN for i, v in zip(shares.argmax(axis=1), valid, strict=True)]
+    return names, np.where(valid, shares.max(axis=1), 0.0)
+
+
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataFrame:
     """Per row: ``key``, lang_pred, score (that language's share). Null texts and texts without letters, and all texts if there is no model, are ``und`` with score 0."""
     kind = docs.schema[key].dataType.simpleString()
@@ -154,32 +166,29 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataFr
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys, texts, known = single(batch.column(0)), single(batch.column(1)), given.value
+        keys, texts = single(batch.column(0)), single(batch.column(1))
         for low, high in pieces(texts, rows=512):
-            part = texts[low:high]
-            if known is None:
-                names, best = [UNKNOWN] * len(part), np.zeros(len(part))
-            else:
-                shares = known.scores(lowered(part))
-                valid = pc.is_valid(part).to_numpy(zero_copy_only=False)
-                names = [known.languages[i] if v else UNKNOWN for i, v in zip(shares.argmax(axis=1), valid, strict=True)]
-                best = np.where(valid, shares.max(axis=1), 0.0)
+            names, best = decided(given.value, texts[low:high])
             yield pa.RecordBatch.from_arrays([keys[low:high], pa.array(names), pa.array(best)], names=[key, "lang_pred", "score"])
 
     return map_batches(rows, run, f"{key} {kind}, lang_pred string, score double")
 
 
+def least_score(model: Model | None) -> float:
+    """The score that a text of one of the model's languages has at least: ``MARGIN`` of the way from equal shares to 1."""
+    equal = 1 / len(model.languages) if model else 1.0
+    return equal + MARGIN * (1 - equal)
+
+
 def keep(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, by at least ``least`` of the score, as they are."""
+    """The rows of ``docs`` whose text ``predict`` gives a language, by at least ``least`` of the score, as they are."""
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = single(batch.column("text"))
         for low, high in pieces(texts, rows=512):
-            fine = np.ones(high - low, bool)
-            if given.value is not None and least > 0:
-                fine = given.value.scores(lowered(texts[low:high])).max(axis=1) >= least
-            yield batch.slice(low, high - low).filter(pa.array(fine))
+            names, best = decided(given.value, texts[low:high])
+            yield batch.slice(low, high - low).filter(pa.array((np.array(names) != UNKNOWN) & (best >= least)))
 
     lettered = docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return map_batches(lettered.limit(0) if model is None else lettered, run, docs.schema)
+    return map_batches(lettered, run, docs.schema)

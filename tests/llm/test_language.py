@@ -45,6 +45,25 @@ def test_predict(spark, docs):
     assert L.fit(["only"], ["en"]).languages == ["en"]
 
 
+def test_keep_takes_the_decision_of_predict(docs):
+    model = L.fit(TEXTS, LABELS)
+    least = L.least_score(model)
+    rows = [*enumerate(TEXTS[:6]), (10, "我能吞下"), (11, None), (12, "12 !"), (13, "the dog " + "filler " * 30_000)]
+    frame = docs(rows)
+    want = {r.doc_id for r in L.predict(frame, model).collect() if r.lang_pred != "und" and r.score >= least}
+    kept = L.keep(frame, model, least)
+    assert {r.doc_id for r in kept.collect()} == want and kept.schema == frame.schema
+    assert set(range(6)) | {13} == want
+    assert L.least_score(L.fit(["only"], ["en"])) == 1.0 == L.least_score(None)
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_clean_documents_score_enough(spark):
+    docs = table(spark, str(SF), "documents")
+    model = L.fit(*L.sample(docs, crc_mod("doc_id", 3) != 1))
+    assert L.keep(docs, model, L.least_score(model)).count() == docs.where(r"text rlike '\\p{L}'").count() > 0
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
 def test_held_out_accuracy(spark):
     docs = table(spark, str(SF), "documents")

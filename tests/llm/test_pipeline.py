@@ -58,6 +58,14 @@ def test_stages(spark, corpus):
         assert changed == ({73, 74} if n == 3 else set())
 
 
+def test_languages_are_told_by_the_classifier(spark, corpus):
+    folder, rows, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    strange = spark.createDataFrame([(100, "αβγδεζη" * 50, None, "src", 350)], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.identify(spark, docs.unionAll(strange), folder).collect()}
+    assert 100 not in kept and kept == {r[0] for r in rows if r[1] and re.search(r"[^\W\d_]", r[1])}
+
+
 def test_run(spark, corpus):
     folder, rows, items = corpus
     found = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
