@@ -23,10 +23,25 @@ from pyspark.sql import DataFrame
 from opslake.llm.common import map_batches, single
 from opslake.llm.labelled_pages import labelled
 
+#: The rest of an opening tag after its name, up to its last sign.
+_REST = r"(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+#: Tags that end a drawing or formula that was left open: opening or closing ones, and closing ones only.
+_BREAK = "b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta|nobr|ol|p|pre|ruby|s|small|span|strong|strike|sub|sup|table|tt|u|ul|var"
+_BREAK_END = "article|aside|button|figure|footer|form|header|html|label|main|nav|section|td|th|tr"
+#: Elements of which everything up to the end tag, or to the end of the page, is no text. (Groups within possessive loops break re.)
+_RAW = "|".join(rf"<{t}{_REST}>.*?(?:</{t}\s*>|\Z)" for t in ("script", "style", "template", "title", "noframes"))
+#: HTML within a drawing or formula.
+_FOREIGN = "|".join(rf"<{t}{_REST}>(?:[^<]++|<(?!/?(?:foreignobject|annotation-xml|svg|math|body)[\s/>]))*+</{t}\s*>" for t in ("foreignobject", "annotation-xml"))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|textarea|iframe|noembed|svg|math|head)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    rf"|<(script|style|template|textarea|iframe|noembed|title){_REST}>.*?(?:</\1\s*>|\Z)"
+    # a head holds white space and these elements; anything else ends it, as its end tag may be left out
+    rf"|<(head){_REST}>(?:\s++|<!--.*?(?:-->|\Z)|{_RAW}|<(?:meta|link|base|basefont|bgsound){_REST}>"
+    rf"|<noscript{_REST}>(?:[^<]++|<(?!/?(?:noscript|head|body)[\s/>]))*+</noscript\s*>|</(?!(?:head|body|html|br)[\s>])[^>]*+>|<[!?][^>]*+>)*+(?:</head\s*>)?"
+    # a drawing or formula that closes itself holds nothing
+    rf"|<(svg|math){_REST}(?<!/)>(?:[^<]++|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|{_FOREIGN}"
+    rf"|<(?!/\3\s*>|/?(?:{_BREAK})[\s/>]|/(?:{_BREAK_END})[\s/>]))*+(?:</\3\s*>)?"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?/][^>]*+>|[^<]++|<",
     re.DOTALL | re.IGNORECASE,
 )
@@ -69,7 +84,7 @@ def _own(tag: str, attributes: str) -> frozenset:
 
 
 def read_blocks(page: str, known: dict | None = None) -> list[Block]:
-    """Leaf blocks in page order. Markup, comments, scripts, styles and the head have no text; white space is one space.
+    """Leaf blocks in page order. Markup, comments, scripts, styles, drawings, formulas and the head have no text; white space is one space.
 
     With ``known``, only features in it are kept, which bounds what deep pages hold.
     """
@@ -98,7 +113,7 @@ def read_blocks(page: str, known: dict | None = None) -> list[Block]:
         linked = 0
 
     for m in _TOKEN.finditer(page):
-        tag = m.group(3)
+        tag = m["tag"]
         if tag is None:
             token = m.group()
             if token[0] != "<" or len(token) == 1:
@@ -106,10 +121,10 @@ def read_blocks(page: str, known: dict | None = None) -> list[Block]:
                 parts.append(text)
                 if links:
                     linked += len(text)
-            elif m.group(1):
+            elif m.lastindex:
                 close()
             continue
-        tag, end = tag.lower(), m.group(2)
+        tag, end = tag.lower(), m["end"]
         inline = tag in _INLINE
         if tag == "br":
             parts.append(" ")
@@ -134,8 +149,8 @@ def read_blocks(page: str, known: dict | None = None) -> list[Block]:
                 pop(at)
         if tag == "a":
             links += 1
-        if tag not in _VOID and not m.group(4).endswith("/"):
-            own, above = own_features(tag, m.group(4)), stack[-1].place
+        if tag not in _VOID and not m["rest"].endswith("/"):
+            own, above = own_features(tag, m["rest"]), stack[-1].place
             stack.append(_Open(tag, above if own <= above else above | own))
             open_tags[tag] += 1
             if not inline:

@@ -22,6 +22,27 @@ def test_blocks():
     assert [b.text for b in deep] == ["text"]
 
 
+def test_heads_without_an_end():
+    texts = lambda page: [b.text for b in X.read_blocks(page)]
+    inside = "<meta charset=utf-8><title>a <b> c</title><!-- <p>no</p> --><link href='x'><script>'<p>no</p>'</script><noscript><img src=x><p>no</p></noscript><style>p{}</style>\n"
+    for end in ("<body class=x>", "</head><body>", "<body>", "", "</head>"):
+        assert texts(f"<html><head lang=en>{inside}{end}<p>one</p><header>two</header>") == ["one", "two"]
+    assert texts(f"<head>{inside}text<p>one</p>") == ["text", "one"]
+    assert texts("<head><div>one</div><title>no</title></head><body><p>two") == ["one", "two"]
+    assert texts("<head><title>no</title>") == [] == texts("<head>") == texts("<head><title>no")
+
+
+def test_drawings_and_formulas():
+    texts = lambda page: [b.text for b in X.read_blocks(page)]
+    for tag in ("svg", "math"):
+        for own in (f"<{tag}/>", f"<{tag} class='a>b' />", f"<{tag} a=1><title>no</title><x/>no</{tag}>", f"<{tag.upper()}>no</{tag}>", f"<{tag}><x>no<!-- </{tag}><p> --></{tag}>"):
+            assert texts(f"<article><p>one</p>{own}<p>two</p></article><{tag}>no</{tag}><p>three") == ["one", "two", "three"]
+        assert texts(f"<div><{tag}><x>no</div><p>one</p><{tag}>no</{tag}>") == ["one"]
+        assert texts(f"<p>one<{tag}-field>two</{tag}-field>three</p>") in (["one", "two", "three"], ["onetwothree"])
+    assert texts("<svg><foreignObject><p>no</p></foreignObject><text>no</text></svg><p>one") == ["one"]
+    assert texts("<p>one</p><svg>no") == ["one"]
+
+
 def test_viterbi_finds_the_best_labelling():
     make = np.random.default_rng(2)
     blocks = X.read_blocks("".join(f"<p>{'w ' * (i + 1)}</p><div class=ad>{i}</div>" for i in range(4)))
