@@ -5,8 +5,9 @@ three bytes of the lower-cased text x, counted by presence, k(x, y) = |G(x) & G(
 texts span a Nyström approximation of that kernel; kernel ridge regression learns one output for each language against
 the rest. Scoring a batch is a product of its presence matrix with the landmarks' and one with the weights.
 
-The model is fitted on a bounded sample of labelled texts (``PER_LANGUAGE`` of each of the ``LANGUAGES`` most frequent
-languages, of at most ``SAMPLE_BYTES``), and scores whole texts.
+The model is fitted on a bounded sample of labelled texts of every language (``PER_LANGUAGE`` of each, fewer if there
+are more than ``TEXTS`` of all), and scores whole texts. Of texts above ``SAMPLE_BYTES`` the beginning is learnt from, if
+a language has fewer than ``FEW`` others.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from opslake.llm.common import map_batches, pieces, single, text_bytes
 
-#: The labelled sample: texts of a language, languages, and bytes of a text that may be in it.
-PER_LANGUAGE, LANGUAGES, SAMPLE_BYTES = 384, 64, 16 << 10
+#: The labelled sample: texts of a language, texts of all languages together, bytes of a text in it, and how many of a
+#: language longer texts may fill up to.
+PER_LANGUAGE, TEXTS, SAMPLE_BYTES, FEW = 384, 64 * 384, 16 << 10, 32
 #: Landmarks, n-grams that tell texts apart, weight of the ridge, and how sharply scores become shares.
 LANDMARKS, GRAMS, RIDGE, SHARPNESS = 96, 6000, 1e-3, 6.0
 UNKNOWN = "und"
@@ -114,16 +116,18 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
         seen[languages.index(label)] += [np.unique(codes(data, n)) + base[n - 1] for n in (1, 2, 3)]
     counted = [np.unique(np.concatenate(x), return_counts=True) for x in seen]
     grams = np.unique(np.concatenate([g for g, _ in counted]))
-    share = np.zeros((len(languages), len(grams)), np.float32)
-    for i, (gram, count) in enumerate(counted):
-        share[i, np.searchsorted(grams, gram)] = count / labels.count(languages[i])
-    spread = share.max(axis=0) - share.min(axis=0) if len(languages) > 1 else share[0]
+    high, low = np.zeros(len(grams), np.float32), np.full(len(grams), np.inf, np.float32)
+    for language, (gram, count) in zip(languages, counted, strict=True):
+        share = np.zeros(len(grams), np.float32)
+        share[np.searchsorted(grams, gram)] = count / labels.count(language)
+        high, low = np.maximum(high, share), np.minimum(low, share)
+    spread = high - low if len(languages) > 1 else high
     at = np.sort(np.argsort(-spread, kind="stable")[:GRAMS])
     at = grams[at[spread[at] > 0]] if (spread > 0).any() else grams[:1]
     n = np.searchsorted(base, at, "right")
     model = Model(languages, np.stack([at - np.array(base)[n - 1], n], axis=1), np.zeros((len(at), 0), np.float32), np.zeros((0, 0)))
     shown = np.concatenate([presence(rows[i : i + 512], model.tables(), len(at)) for i in range(0, len(rows), 512)])
-    chosen = np.linspace(0, len(rows) // 3 - 1, min(LANDMARKS, len(rows) // 3)).astype(int) * 3
+    chosen = np.linspace(0, len(rows) // 3 - 1, min(max(LANDMARKS, len(languages)), len(rows) // 3)).astype(int) * 3
     model.landmarks = np.ascontiguousarray(normalised(shown[chosen]).T)
     kernel = np.concatenate([normalised(shown[i : i + 512]) @ model.landmarks for i in range(0, len(shown), 512)]).astype(np.float64)
     value, vector = np.linalg.eigh(kernel[chosen])
@@ -138,13 +142,15 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
 
 def sample(docs: DataFrame, learn: Column, key: str = "doc_id", label: str = "lang") -> tuple[list[str], list[str]]:
     """Texts and labels of the bounded sample, in a fixed order. ``learn`` says which rows may be learnt from."""
-    narrow = docs.where(learn & F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("string").alias("l"))
-    frequent = narrow.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES)
-    place = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
-    ids = narrow.join(F.broadcast(frequent.select("l")), "l").distinct().withColumn("place", place).where(F.col("place") <= 2 * PER_LANGUAGE)
-    texts = docs.where(learn & F.octet_length("text").between(1, SAMPLE_BYTES)).select(F.col(key).alias("k"), F.col(label).cast("string").alias("l"), "text")
-    found = texts.join(F.broadcast(ids), ["k", "l"]).toPandas().sort_values(["place", "l", "k", "text"])
-    found = found[found.groupby("l").cumcount() < PER_LANGUAGE]
+    labelled = docs.where(learn & F.col(label).isNotNull() & F.col(key).isNotNull() & (F.octet_length("text") > 0))
+    labelled = labelled.select(F.col(key).alias("k"), F.col(label).cast("string").alias("l"), (F.octet_length("text") > SAMPLE_BYTES).alias("long"), "text")
+    many = docs.where(learn & F.col(label).isNotNull()).select(F.col(label).cast("string")).distinct().count()
+    most = max(1, min(PER_LANGUAGE, TEXTS // max(many, 1)))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("long", F.xxhash64("k"), "k"))
+    ids = labelled.groupBy("k", "l").agg(F.min("long").alias("long")).withColumn("place", place).where(F.col("place") <= most).where(~F.col("long") | (F.col("place") <= FEW))
+    part = F.when(F.col("long"), F.substring("text", 1, SAMPLE_BYTES // 4)).otherwise(F.col("text"))  # a character has at most 4 bytes
+    found = labelled.withColumn("text", part).join(F.broadcast(ids), ["k", "l", "long"]).toPandas().sort_values(["place", "l", "k", "text"])
+    found = found[found.groupby("l").cumcount() < most]
     return found["text"].tolist(), found["l"].tolist()
 
 

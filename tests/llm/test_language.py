@@ -45,6 +45,19 @@ def test_predict(spark, docs):
     assert L.fit(["only"], ["en"]).languages == ["en"]
 
 
+def test_every_labelled_language_is_learnt(spark):
+    rows = [(i, f"word{i} of language l{i % 70}", f"l{i % 70}") for i in range(140)]
+    rows += [(1000 + i, "ñandú " * 4000, "long") for i in range(2)] + [(2000 + i, "", "mixed") for i in range(2 * L.PER_LANGUAGE + 300)] + [(5000, "the only text", "mixed")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, labels = L.sample(frame, L.F.lit(True))
+    assert set(labels) == {f"l{i}" for i in range(70)} | {"long", "mixed"}
+    assert labels.count("long") == 2 and labels.count("mixed") == 1 and max(len(t.encode()) for t in texts) <= L.SAMPLE_BYTES
+    assert set(L.fit(texts, labels).languages) == set(labels)
+    few = spark.createDataFrame([(i, "ñandú " * 4000 if i else "short", "one") for i in range(90)], "doc_id long, text string, lang string")
+    texts, _ = L.sample(few, L.F.lit(True))
+    assert len(texts) == L.FEW and "short" in texts
+
+
 def test_keep_takes_the_decision_of_predict(docs):
     model = L.fit(TEXTS, LABELS)
     least = L.least_score(model)
