@@ -14,6 +14,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt
@@ -31,9 +32,11 @@ CONTEXT = 8
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049
 
 _ALNUM = rb"A-Za-z0-9\x80-\xff"
+#: A character beyond ASCII.
+_WIDE = rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}"
 _OCTET = rb"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _PATTERN = re.compile(
-    rb"(?P<mail>(?<![" + _ALNUM + rb"._%+\-])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![" + _ALNUM + rb"@\-]))"
+    rb"(?P<mail>(?:[A-Za-z0-9._%+\-]|" + _WIDE + rb"){1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![" + _ALNUM + rb"@\-]))"
     rb"|(?P<account>(?<![" + _ALNUM + rb"])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![" + _ALNUM + rb"]))"
     rb"|(?P<key>(?<![" + _ALNUM + rb"])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9\-]{20,}|AIza[A-Za-z0-9_\-]{35})(?![" + _ALNUM + rb"]))"
     rb"|(?P<secret>(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z+/_\-]*\d)[A-Za-z0-9+/_\-]{8,})"
@@ -86,9 +89,9 @@ def _alphabet(c: int, hexadecimal: bool) -> bytes:
     return b"0123456789" if 48 <= c <= 57 else b"abcdefghijklmnopqrstuvwxyz" if 97 <= c <= 122 else b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" if 65 <= c <= 90 else b""
 
 
-def permute_characters(p: Permutation, raw: bytes, kind: str, fits: Callable[[bytes], bool] = lambda _: True, hexadecimal: bool = False) -> bytes:
-    """Digits to digits and letters to letters of the same case (or hexadecimal digits to such); the rest stays."""
-    alphabets = [_alphabet(c, hexadecimal) for c in raw]
+def permute_characters(p: Permutation, raw: bytes, kind: str, fits: Callable[[bytes], bool] = lambda _: True, hexadecimal: bool = False, alphabets: list[bytes] | None = None) -> bytes:
+    """Digits to digits and letters to letters of the same case (or hexadecimal digits to such); the rest stays. ``alphabets``: what each byte may become."""
+    alphabets = alphabets or [_alphabet(c, hexadecimal) for c in raw]
     size, value = 1, 0
     for c, letters in zip(raw, alphabets, strict=True):
         if letters:
@@ -233,10 +236,29 @@ def _key(p: Permutation, raw: bytes) -> bytes | None:
     return raw[:keep] + permute_characters(p, raw[keep:], "key")
 
 
+@lru_cache(maxsize=10_000)
+def _wide_alphabets(letter: str) -> list[bytes]:
+    """The alphabets of the bytes of a letter beyond ASCII: its last byte may become that of a letter of the same case."""
+    raw, kind = letter.encode(), unicodedata.category(letter)
+    if not kind.startswith("L"):
+        return [b""] * len(raw)
+    others = (chr(ord(letter) & ~63 | i) for i in range(64))
+    return [b""] * (len(raw) - 1) + [bytes(c.encode()[-1] for c in others if unicodedata.category(c) == kind)]
+
+
 def _mail(p: Permutation, raw: bytes) -> bytes | None:
-    """The local part; the domain, in lower case or not, stays."""
+    """The local part from its first letter or digit on; signs before it and the domain, in lower case or not, stay."""
     local, _, domain = raw.rpartition(b"@")
-    return permute_characters(p, local, "mail") + b"@" + domain
+    text = local.decode()
+    # a mark beyond ASCII that is neither of a word nor a number, such as a quotation mark, ends what stands before
+    start = max((i + 1 for i, c in enumerate(text) if c > "\x7f" and unicodedata.category(c)[0] not in "LMN"), default=0)
+    while start < len(text) and not text[start].isalnum():
+        start += 1
+    if start == len(text):
+        return None
+    before, text = text[:start].encode(), text[start:]
+    alphabets = [a for c in text for a in ([_alphabet(ord(c), False)] if c < "\x80" else _wide_alphabets(c))]
+    return before + permute_characters(p, text.encode(), "mail", alphabets=alphabets) + b"@" + domain
 
 
 def _social(p: Permutation, raw: bytes) -> bytes | None:
