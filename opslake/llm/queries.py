@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslake.llm import bpe, decontaminate, extract, language, near_copies, neighbours, pseudonyms, quotes, repeats, toxicity
+from opslake.llm import bpe, decontaminate, extract, language, near_copies, neighbours, periodic, pseudonyms, quotes, repeats, toxicity
 from opslake.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,37 @@ def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.without_repeats(table(spark, sf_dir, "documents"), digest=True)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def plant_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of one id in ten by crc32, the words from some place on repeat their beginning; see ``op13_suffix_tree_runs``."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    struck = docs.where(crc % 10 == 0)
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
+    struck = struck.select("doc_id", F.call_function("div", crc, F.lit(10)).alias("g"), words.alias("w")).withColumn("n", F.size("w"))
+    struck = struck.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).otherwise(0).cast("int"))
+    rest = F.col("n") - F.col("a")
+    struck = struck.withColumn("p", (1 + F.call_function("div", rest, 3 + F.col("g") % 8)).cast("int"))
+    root = F.slice("w", F.col("a") + 1, F.col("p"))
+    again = F.flatten(F.array_repeat(root, F.call_function("div", rest, F.col("p")).cast("int")))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again, F.slice("w", F.col("a") + 1, (rest % F.col("p")).cast("int"))), " ")
+    whole = docs.where(F.coalesce(crc % 10 != 0, F.lit(True))).select("doc_id", "text")
+    return whole.unionAll(struck.select("doc_id", F.when(F.col("n") > 0, planted).otherwise("").alias("text")))
+
+
+def run_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_runs, the longest run (ties: smallest start, then period) and the digests of all runs and of the words kept."""
+    found = periodic.find(docs)
+    ordered = F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length")))
+    best = F.array_min(ordered)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.call_function("div", 1000 * F.col("best.length"), F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_suffix_tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(plant_runs(table(spark, sf_dir, "documents")))
