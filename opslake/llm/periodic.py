@@ -90,39 +90,42 @@ class Tree:
     def tour(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The Euler tour with children in order: depths by step, suffixes by leaf, and each leaf's step."""
         n, children, first, stop = len(self.text), self.children, self.first, self.stop
-        depth, steps, suffixes, leaves, todo = [0] * len(first), [], [], [], [0]
+        steps, suffixes, leaves, todo = [], [], [], [0, 0]
+        step, push, pop = steps.append, todo.append, todo.pop
         while todo:
-            node = todo.pop()
+            below, node = pop(), pop()
+            step(below)
             if node < 0:  # back from a child
-                steps.append(depth[~node])
                 continue
-            below = depth[node]
-            if children[node] is None:
-                leaves.append(len(steps))
+            kids = children[node]
+            if kids is None:
+                leaves.append(len(steps) - 1)
                 suffixes.append(n - below)
-            else:
-                for symbol in sorted(children[node], reverse=True):
-                    child = children[node][symbol]
-                    depth[child] = below + stop[child] - first[child]
-                    todo += [~node, child]
-            steps.append(below)
+                continue
+            for symbol in sorted(kids, reverse=True):
+                child = kids[symbol]
+                push(-1), push(below)
+                push(child), push(below + stop[child] - first[child])
         return np.array(steps, np.int64), np.array(suffixes, np.int64), np.array(leaves, np.int64)
 
     def opposite(self) -> np.ndarray:
         """Suffixes in the opposite order of symbols; the end stays the smallest."""
         n, children, first, stop = len(self.text), self.children, self.first, self.stop
-        suffixes, todo = [], [(0, 0)]
+        suffixes, todo = [], [0, 0]
+        push, pop = todo.append, todo.pop
         while todo:
-            node, below = todo.pop()
-            if children[node] is None:
+            below, node = pop(), pop()
+            kids = children[node]
+            if kids is None:
                 suffixes.append(n - below)
                 continue
-            kids = children[node]
+            last = kids.get(_END)
             for symbol in sorted(kids):  # the last to go in comes out first
-                if symbol != _END:
-                    todo.append((kids[symbol], below + stop[kids[symbol]] - first[kids[symbol]]))
-            if _END in kids:
-                todo.append((kids[_END], below + stop[kids[_END]] - first[kids[_END]]))
+                child = kids[symbol]
+                if child != last:
+                    push(child), push(below + stop[child] - first[child])
+            if last is not None:
+                push(last), push(below + stop[last] - first[last])
         return np.array(suffixes, np.int64)
 
 
