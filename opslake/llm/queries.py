@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslake.llm import bpe, decontaminate, extract, language, near_copies, neighbours, periodic, pseudonyms, quotes, repeats, toxicity
+from opslake.llm import bpe, decontaminate, extract, language, near_copies, neighbours, periodic, pseudonyms, quotes, repair, repeats, toxicity
 from opslake.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,32 @@ def run_digest(docs: DataFrame) -> DataFrame:
 @query
 def op13_suffix_tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(plant_runs(table(spark, sf_dir, "documents")))
+
+
+def damage_turns(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text): by crc32 of ``conv_id:turn`` modulo 20 a row is dropped (0), emptied (1), loses its ends
+    of sentences (2), is repeated (3) or becomes a user's (4). Nulls are read as one space, conv_id and turn stay null."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), fate.alias("fate")).where("fate != 0")
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fate") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(1), F.when(F.col("fate") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def repair_digest(conversations: DataFrame, chunk_turns: int = repair.CHUNK_TURNS) -> DataFrame:
+    """A row for each conversation, damaged and repaired; one that lost all rows has zeros, no audit and the digest of nothing."""
+    found = repair.repair(damage_turns(conversations), chunk_turns=chunk_turns)
+    sums = repair.digests(found.turns)
+    every = conversations.select("conv_id").distinct()
+    at = lambda other: every["conv_id"].eqNullSafe(other["conv_id"])
+    rows = every.join(found.audits, at(found.audits), "left").join(sums, at(sums), "left")
+    counts = [F.coalesce(found.audits[c], F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return rows.select(every["conv_id"], *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", nothing).alias("repaired_sha256"))
+
+
+@query
+def op12_persistent_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(table(spark, sf_dir, "conversations"))
