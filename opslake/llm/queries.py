@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslake.llm import bpe, decontaminate, extract, language, near_copies, neighbours, periodic, pseudonyms, quotes, repair, repeats, toxicity
+from opslake.llm import bpe, decontaminate, extract, hnsw, language, near_copies, neighbours, periodic, pseudonyms, quotes, repair, repeats, toxicity
 from opslake.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,8 @@ def repair_digest(conversations: DataFrame, chunk_turns: int = repair.CHUNK_TURN
 @query
 def op12_persistent_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digest(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.classes(table(spark, sf_dir, "embeddings"))

@@ -17,7 +17,8 @@ COLUMNS = {
     "op1": "page_id url text n_chars", "op2": "doc_id class_id", "op3": "doc_id text n_found", "op4": "doc_id held_out lang_pred score",
     "op5": "doc_id held_out score predicted", "op6": "conv_id turn role text reply_to thread position n_quotes n_linked", "op7": "query_id rank vec_id score",
     "op8": "doc_id n_words n_hit n_items items_sha256 contaminated", "op9": "doc_id n_tokens ids_sha256 decoded_sha256", "op10": "doc_id n_bytes n_removed n_spans kept_sha256",
-    "pipeline": "doc_id n_tokens ids decoded",
+    "op11": "vec_id n_links component_id kept", "op12": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op13": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256", "pipeline": "doc_id n_tokens ids decoded",
 }
 NAMES = {name.split("_")[0]: name for name in entry.queries() if name.split("_")[0] in COLUMNS and (name[:2] == "op" or name == "pipeline")}
 
@@ -31,7 +32,7 @@ def test_query(spark, short):
     found = entry.queries()[NAMES[short]](spark, str(SF))
     assert found.columns == COLUMNS[short].split()
     rows = found.collect()
-    whole = {"op1": "pages", "op6": "conversations", "op7": None, "pipeline": None}.get(short, "documents")
+    whole = {"op1": "pages", "op6": "conversations", "op7": None, "op11": "embeddings", "op12": None, "pipeline": None}.get(short, "documents")
     if whole:
         assert len(rows) == spark.read.parquet(f"{SF}/{whole}.parquet").count()
     assert rows
