@@ -17,14 +17,18 @@ SLICE_FILES = 1 << 16
 def sync(store: Store, directory: str, batch: int, now: str) -> DataFrame:
     """Read, check, number and store; returns one result row per file."""
     at = F.lit(now).cast("timestamp")
-    past = store.before(batch)
     checked = session.cut(contracts.check_rules(files.read(store.spark, directory)))
     good = contracts.with_hash(checked.filter(F.col("error").isNull()))
     good = session.cut(scan.numbered(good, ["place"], "file"))
-    numbered = session.cut(
-        contracts.next_versions(good, past.current("contract_version"), ["place"], scan.id_chunk("file", SLICE_FILES))
-    )
-    created = numbered.filter("created").withColumn("effective_from", at)
-    feeds = contracts.merge_feeds(past.current("feed"), good, ["place"])
-    store.commit(batch, {"contract_version": created, "feed": feeds})
-    return contracts.sync_results(checked, numbered)
+    held = {}
+
+    def build(past: Store) -> dict[str, DataFrame]:
+        numbered = session.cut(
+            contracts.next_versions(good, past.current("contract_version"), ["place"], scan.id_chunk("file", SLICE_FILES))
+        )
+        held["numbered"] = numbered
+        created = numbered.filter("created").withColumn("effective_from", at)
+        return {"contract_version": created, "feed": contracts.merge_feeds(past.current("feed"), good, ["place"])}
+
+    store.transact("contracts", batch, build)
+    return contracts.sync_results(checked, held["numbered"])

@@ -34,7 +34,8 @@ def run(
     ``effective_from``. A file is judged by the version that was in force when it came; its feed is
     found by the latest one. ``judged``: arrival_id and arrived_at of the files that were judged
     before; their contents are not read again. A file without a day in its name counts for ``day``.
-    Files of ``day`` are missing once their window has closed, after ``since`` if given.
+    Files of ``day`` are missing once their window has closed. With ``since``, the time of the last run,
+    those of all days are whose window has closed after it.
     Order of checks: name, window, columns, then values. Where the columns drifted, a fixed-width
     file's offsets mean nothing, so its values are not judged; delimited values are matched by name.
     """
@@ -67,7 +68,9 @@ def run(
         .unionByName(_duplicates(whole))
     )
     verdicts = validate.verdicts(came.join(too_late, "arrival_id", "left"), findings)
-    expected = validate.expected_days(feeds, F.lit(day).cast("date"), F.lit(day).cast("date"))
+    own, until = F.lit(day).cast("date"), F.lit(as_of).cast("date")
+    before = F.lit(since).cast("date")
+    expected = validate.expected_days(feeds, F.least(own, before), F.greatest(own, F.when(before.isNotNull(), until)))
     gone = validate.missing(expected, every.filter(F.col("feed_name").isNotNull()), F.lit(as_of).cast("timestamp"))
     if since is not None:
         gone = gone.filter(F.col("closes_at") > F.lit(since).cast("timestamp"))
@@ -75,12 +78,21 @@ def run(
 
 
 def judge(store: Store, root: str, contracts: DataFrame, day: str, as_of: str, batch: int) -> Verdict:
-    """Judge what the store does not know yet, and store the verdict: each file is judged, and raised for, once."""
-    past = store.before(batch)
-    last = past.current("validation").agg(F.max("ran_at").cast("string")).first()[0]
-    verdict = run(store.spark, root, contracts, day, as_of, past.log("arrival"), last)
-    keep(store, batch, as_of, verdict)
-    return verdict
+    """Judge what the store does not know yet, and store the verdict: each file is judged, and raised for, once.
+
+    The time of each run is stored, so the files of all windows that closed since the last run are
+    looked for, whatever their day, and each missing one is said once.
+    """
+    held = {}
+
+    def build(past: Store) -> dict[str, DataFrame]:
+        last = past.current("landing_state").filter(F.col("root") == root).agg(F.max("judged_to").cast("string")).first()[0]
+        held["verdict"] = run(store.spark, root, contracts, day, as_of, past.log("arrival"), last)
+        done = store.spark.range(1).select(F.lit(root).alias("root"), F.greatest(F.lit(as_of).cast("timestamp"), F.lit(last).cast("timestamp")).alias("judged_to"))
+        return {**rows_of(past, batch, as_of, held["verdict"]), "landing_state": done}
+
+    store.transact("landing", batch, build)
+    return held["verdict"]
 
 
 def _latest(specs: DataFrame) -> DataFrame:
@@ -109,8 +121,8 @@ def _json_findings(spark: SparkSession, root: str, came: DataFrame) -> DataFrame
     return landing.json_structure(lines, F.col("declared")).select(*_SHAPE)
 
 
-def keep(store: Store, batch: int, now: str, verdict: Verdict) -> None:
-    """Store arrivals, validations and alerts of a verdict as one batch.
+def rows_of(past: Store, batch: int, now: str, verdict: Verdict) -> dict[str, DataFrame]:
+    """Arrivals, validations and alerts of a verdict, to be one batch on top of ``past``.
 
     Late and missing files raise one alert per feed, drifted columns another; the disposition says
     which files may go on and which are set aside.
@@ -126,8 +138,13 @@ def keep(store: Store, batch: int, now: str, verdict: Verdict) -> None:
         .unionByName(signals.feed_events(drifted, vocab.SCHEMA_DRIFT, at, seq))
     )
     judged = came.filter(F.col("version").isNotNull()).withColumn("ran_at", at)
-    merged = alerts.merge(store.before(batch).touched("alert", events), events)
-    store.commit(batch, {"arrival": came, "validation": judged, "alert": merged})
+    merged = alerts.merge(past.touched("alert", events), events)
+    return {"arrival": came, "validation": judged, "alert": merged}
+
+
+def keep(store: Store, batch: int, now: str, verdict: Verdict) -> None:
+    """Store a verdict as one batch."""
+    store.transact("landing", batch, lambda past: rows_of(past, batch, now, verdict))
 
 
 def _headers(spark: SparkSession, root: str, came: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from opslake.operators import alerts, catalog, health, runs, scan, signals
 from opslake.store import Store
 
 RUN_KEY = ["source_id", "native_run_id"]
-#: Batches that readers put together before a poll folds them into one.
-COMPACT_AFTER = 256
+#: Versions that readers may still look at when old files are deleted, and how often that is looked for.
+KEEP_VERSIONS = 64
 
 
 @dataclass
@@ -48,31 +48,57 @@ def watermark(store: Store, source_id: int) -> str | None:
     return row.watermark if row else None
 
 
+def writer(source_id: int) -> str:
+    """By this name the store tells the batches of sources apart."""
+    return f"source-{source_id}"
+
+
 def cycle(store: Store, source_id: int, source_name: str, batch: int, now: str, collect) -> Result:
     """Collect and persist.
 
     ``collect(watermark)`` gives a ``Collected``. If anything fails, the sync is stored as Failed and
     the watermark stays; alerts that the health checks raised before are kept. ``batch`` names the
-    commit: running a batch again replaces it.
+    commit among those of the source: running a batch again replaces it. Other writers may commit in
+    the meantime; where they changed a row that the poll writes, the poll merges again.
     """
     at = F.lit(now).cast("timestamp")
-    past = store.before(batch)
-    kept: dict[str, DataFrame] = {}
+    held: dict = {}
+
+    def collected(past: Store) -> tuple[Collected, DataFrame, DataFrame]:
+        mark = watermark(past, source_id)
+        if "got" not in held or held["mark"] != mark:
+            got = collect(mark)
+            held.update(mark=mark, got=(got, session.cut(got.jobs), session.cut(got.runs)))
+        return held["got"]
+
+    def build(past: Store) -> dict[str, DataFrame]:
+        kept: dict[str, DataFrame] = {}
+        try:
+            got, jobs, reports = collected(past)
+            job_count = jobs.count()
+            raised = _health_events(past, source_id, source_name, job_count, batch, at, got.purged)
+            if raised is not None:
+                kept["alert"] = alerts.merge(past.touched("alert", raised), raised)
+            tables, result = _merge(past, source_id, batch, at, jobs, reports, raised)
+            result.jobs = job_count
+            held["result"] = result
+            return {**kept, **tables, **_sync(past, source_id, batch, at, vocab.COMPLETED, result, got.watermark)}
+        except Exception as problem:  # noqa: BLE001 - whatever goes wrong is the result of the sync
+            return failed(past, problem, kept)
+
+    def failed(past: Store, problem: Exception, kept: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        held["result"] = Result(False, error=str(problem))
+        return {**kept, **_sync(past, source_id, batch, at, vocab.FAILED, held["result"], None)}
+
     try:
-        got = collect(watermark(past, source_id))
-        jobs, reports = session.cut(got.jobs), session.cut(got.runs)
-        job_count = jobs.count()
-        raised = _health_events(past, source_id, source_name, job_count, batch, at, got.purged)
-        if raised is not None:
-            kept["alert"] = alerts.merge(past.touched("alert", raised), raised)
-        tables, result = _merge(past, source_id, batch, at, jobs, reports, raised)
-        result.jobs = job_count
-        _commit(store, source_id, batch, at, vocab.COMPLETED, result, {**kept, **tables}, got.watermark)
-        return result
-    except Exception as problem:  # noqa: BLE001 - whatever goes wrong is the result of the sync
-        failed = Result(False, error=str(problem))
-        _commit(store, source_id, batch, at, vocab.FAILED, failed, kept, None)
-        return failed
+        store.transact(writer(source_id), batch, build)
+    except Exception as problem:  # noqa: BLE001 - rows that can't be written fail the sync too
+        error = problem
+        store.transact(writer(source_id), batch, lambda past: failed(past, error, {}))
+    store.settle()
+    if batch % KEEP_VERSIONS == 0:
+        store.expire(KEEP_VERSIONS)
+    return held["result"]
 
 
 def _health_events(
@@ -164,13 +190,12 @@ def _alerts(
     return routed.withColumn("routed_to", F.coalesce("routed_to", "__team")).select(*merged.columns)
 
 
-def _commit(
-    store: Store, source_id: int, batch: int, at: Column, status: str, result: Result,
-    tables: dict[str, DataFrame], new_watermark: str | None,
-) -> None:
+def _sync(
+    past: Store, source_id: int, batch: int, at: Column, status: str, result: Result, new_watermark: str | None
+) -> dict[str, DataFrame]:
     """Sync row, heartbeat and watermark join the batch. Without a new watermark the old one stays."""
-    one = store.spark.range(1)
-    mark = F.lit(new_watermark if new_watermark is not None else watermark(store.before(batch), source_id)).cast("string")
+    one = past.spark.range(1)
+    mark = F.lit(new_watermark if new_watermark is not None else watermark(past, source_id)).cast("string")
     sync = one.select(
         F.lit(batch).cast("bigint").alias("sync_id"), F.lit(source_id).alias("source_id"), at.alias("started_at"),
         at.alias("completed_at"), F.lit(status).alias("status"),
@@ -178,7 +203,4 @@ def _commit(
         F.lit(result.error).cast("string").alias("error_text"),
     )
     state = one.select(F.lit(source_id).alias("source_id"), mark.alias("watermark"), at.alias("last_heartbeat"))
-    store.commit(batch, {**tables, "sync": sync, "source_state": state})
-    if len(store.committed()) > COMPACT_AFTER:
-        store.compact()
-        store.expire()
+    return {"sync": sync, "source_state": state}

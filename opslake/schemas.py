@@ -57,7 +57,7 @@ TABLES = {
         "status string, error_text string, fingerprint string",
     ),
     "sync": (
-        ["sync_id"],
+        ["source_id", "sync_id"],
         "sync_id bigint, source_id int, started_at timestamp, completed_at timestamp, status string, "
         "job_count bigint, unowned_count bigint, error_text string",
     ),
@@ -75,6 +75,7 @@ TABLES = {
         "arrival_id string, version bigint, result string, "
         "findings array<struct<check:string, column_name:string, occurrences:bigint>>, ran_at timestamp",
     ),
+    "landing_state": (["root"], "root string, judged_to timestamp"),
     "feed": (["feed_name"], "feed_name string, team_id string, landing_prefix string, is_active boolean"),
     "contract_version": (
         ["feed_id", "version"],

@@ -17,7 +17,7 @@ def cycle_sink(
     """A ``foreachBatch`` sink for run reports that carry ``seq`` and ``reported_at``.
 
     The checkpoint keeps the place in the input, so no watermark is stored; a replayed micro-batch
-    replaces its commit. ``jobs`` reads the catalogue as of now. A failed cycle stops the stream, as
+    replaces its commit. Any number of sources may write to one store. ``jobs`` reads the catalogue as of now. A failed cycle stops the stream, as
     its reports would be lost otherwise.
     """
 
