@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opslake import session, vocab
 from opslake.functions import contract as fn
+from opslake.functions.fingerprint import dedup_key
 from opslake.operators import alerts, signals, validate
 from opslake.operators import contracts as rules
 from opslake.sources import landing
@@ -139,7 +140,16 @@ def rows_of(past: Store, batch: int, now: str, verdict: Verdict) -> dict[str, Da
     )
     judged = came.filter(F.col("version").isNotNull()).withColumn("ran_at", at)
     merged = alerts.merge(past.touched("alert", events), events)
-    return {"arrival": came, "validation": judged, "alert": merged}
+    return {"arrival": came, "validation": judged, "alert": _routed(past, merged)}
+
+
+def _routed(past: Store, merged: DataFrame) -> DataFrame:
+    """Alerts of a feed go to the team that owns it; one that has a team keeps it."""
+    kinds = F.explode(F.array(F.lit(vocab.FEED_LATE), F.lit(vocab.SCHEMA_DRIFT)))
+    owners = past.current("feed").filter(F.col("team_id").isNotNull()).select("team_id", "feed_name", kinds.alias("of"))
+    owners = owners.select("team_id", dedup_key(F.col("of"), F.col("feed_name")).alias("__key"))
+    routed = merged.join(owners, F.col("dedup_key") == F.col("__key"), "left")
+    return routed.withColumn("routed_to", F.coalesce("routed_to", "team_id")).select(*merged.columns)
 
 
 def keep(store: Store, batch: int, now: str, verdict: Verdict) -> None:

@@ -53,6 +53,15 @@ def writer(source_id: int) -> str:
     return f"source-{source_id}"
 
 
+def register(store: Store, wanted: DataFrame, batch: int, writer: str = "registry") -> DataFrame:
+    """Find or create sources (type, name, config) and store them; returns all sources with their ids.
+
+    Workers that register at once agree: the one that comes second takes the ids from what the first left.
+    """
+    store.transact(writer, batch, lambda past: {"source": catalog.register_sources(past.current("source"), wanted)}, reads=("source",))
+    return store.current("source")
+
+
 def cycle(store: Store, source_id: int, source_name: str, batch: int, now: str, collect) -> Result:
     """Collect and persist.
 

@@ -341,3 +341,23 @@ def test_each_file_is_judged_once_by_its_version(spark, tmp_path):
     assert sorted(by["J_20260904.json"][1]) == sorted([*gone, (vocab.V_ADDED, "Extra", 1), ("unreadable", "", 1)])
     late = {r.message: r.occurrences for r in store.current("alert").collect() if r.type == vocab.FEED_LATE}
     assert late["a: FeedLate"] == 1 and late["j: FeedLate"] == 2  # missing on the first and the third day
+    assert {r.routed_to for r in store.current("alert").collect()} == {None}
+
+
+def test_a_missing_file_is_raised_once_and_goes_to_the_owner(spark, tmp_path):
+    texts = tmp_path / "contracts"
+    for name in "ab":
+        put(texts, f"{name}.yaml", yaml(name, dir=name, mask=f"{name.upper()}_{{yyyyMMdd}}.csv"))
+    (tmp_path / "landing").mkdir()
+    store = Store(spark, str(tmp_path / "store"))
+    contract_sync.sync(store, str(texts), 1, "2026-09-01 00:00:00")
+    owner = store.current("feed").filter("feed_name = 'a'").first().team_id
+    specs = contracts.check_rules(files.read(spark, str(texts))).filter("error is null").withColumn("version", F.lit(1).cast("bigint"))
+    late = lambda: {r.message: (r.occurrences, r.routed_to) for r in store.current("alert").collect()}
+    runs = [("2026-09-03", "20:00:00"), ("2026-09-03", "21:00:00"), ("2026-09-03", "22:00:00"), ("2026-09-03", "22:00:00")]
+    for n, (day, clock) in enumerate(runs, 1):
+        landing.judge(store, str(tmp_path), specs, day, f"{day} {clock}", min(n, 3))
+    assert late() == {f"{n}: FeedLate": (1, owner) for n in "ab"}
+    # Nobody looked for two days: the windows that closed since are three.
+    landing.judge(store, str(tmp_path), specs, "2026-09-06", "2026-09-06 23:00:00", 4)
+    assert late() == {f"{n}: FeedLate": (4, owner) for n in "ab"}

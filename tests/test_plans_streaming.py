@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import threading
 import time
 
 import pytest
@@ -239,6 +240,42 @@ def test_cycles_from_a_stream(spark, store, tmp_path):
     assert store.current("sync").count() == 3 and store.current("ownership").count() == 6
 
 
+def test_two_sources_write_to_one_store(spark, store):
+    def collect(status, batch_no, name):
+        end = T0 + dt.timedelta(minutes=5) if status != "Running" else None
+        rows = [(f"job-{name}", f"r-{name}", T0, end, status, "Login failed for user 'x'")]
+        return lambda _: batch(spark, [(f"job-{name}", f"Load {name}", f"Owner: {name}")], rows, f"{name}{batch_no}")
+
+    failed = []
+
+    def work(source, name):
+        try:
+            mine = Store(spark, store.root)
+            for n, status in ((1, "Running"), (2, "Failed")):
+                assert poll.cycle(mine, source, name, n, f"2026-09-03 02:0{n + 4}:00", collect(status, n, name)).ok
+        except Exception as problem:  # noqa: BLE001
+            failed.append(problem)
+
+    threads = [threading.Thread(target=work, args=(k, n)) for k, n in ((7, "x"), (8, "y"))]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert not failed
+    assert {(r.source_id, r.status) for r in store.current("run").collect()} == {(7, "Failed"), (8, "Failed")}
+    assert {(r.source_id, r.sync_id) for r in store.current("sync").collect()} == {(7, 1), (7, 2), (8, 1), (8, 2)}
+    assert [poll.watermark(store, k) for k in (7, 8)] == ["x2", "y2"] and store.current("job").count() == 2
+    (alert,) = store.current("alert").collect()  # both failures have one root cause
+    assert (alert.type, alert.occurrences) == (vocab.JOB_FAILED, 2) and alert.routed_to in ("x", "y")
+
+
+def test_sources_are_registered_and_swept(spark, store):
+    wanted = lambda *names: spark.createDataFrame([("SQLAgent", n, "{}") for n in names], "type string, name string, config string")
+    first = {r.name: r.source_id for r in poll.register(store, wanted("b", "a"), 1).collect()}
+    again = {r.name: r.source_id for r in poll.register(store, wanted("a", "c"), 2, "other").collect()}
+    assert first == {"a": 1, "b": 2} and again == {"a": 1, "b": 2, "c": 3}
+    assert poll.cycle(store, 1, "a", 1, "2026-09-03 02:05:00", lambda _: batch(spark, [("j", "n", "")], [], None)).ok
+    swept = sweep.sweep(store, 1, "2026-09-03 02:06:00", 120).collect()
+    assert sorted(a.message.split()[0] for a in swept) == ["b", "c"]
+
+
 def test_sweep_raises_and_resolves(spark, store):
     sources = [(n, "SQLAgent", name, "{}") for n, name in ((1, "old"), (2, "never"), (3, "fresh"))]
     beats = [(1, None, T0 - dt.timedelta(minutes=10)), (3, None, T0 - dt.timedelta(seconds=30))]
