@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from opslake.llm.common import pieces, single, text_bytes
 
 ROUNDS = 10
+#: Bytes of a value that are permuted as one number; the halves of such numbers are far smaller than a round's digest.
+BLOCK = 64
 #: Stretches of text without white space that are looked at on either side of a digit or sign.
 CONTEXT = 8
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049
@@ -89,9 +91,26 @@ def _alphabet(c: int, hexadecimal: bool) -> bytes:
     return b"0123456789" if 48 <= c <= 57 else b"abcdefghijklmnopqrstuvwxyz" if 97 <= c <= 122 else b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" if 65 <= c <= 90 else b""
 
 
+def _long(p: Permutation, raw: bytes, kind: str, alphabets: list[bytes]) -> bytes:
+    """A long value in blocks, forwards and then backwards: each block's permutation follows from all blocks that went before."""
+    blocks = [(at, min(at + BLOCK, len(raw))) for at in range(0, len(raw), BLOCK)]
+    out = bytearray(raw)
+    for way, order in (("forth", blocks), ("back", blocks[::-1])):
+        told = hashlib.blake2b(f"{kind}|{way}|{len(raw)}".encode(), key=p.key, digest_size=16).digest()
+        for low, high in order:
+            out[low:high] = permute_characters(p, bytes(out[low:high]), f"{kind}|{way}|{told.hex()}", alphabets=alphabets[low:high])
+            told = hashlib.blake2b(told + out[low:high], key=p.key, digest_size=16).digest()
+    return bytes(out)
+
+
 def permute_characters(p: Permutation, raw: bytes, kind: str, fits: Callable[[bytes], bool] = lambda _: True, hexadecimal: bool = False, alphabets: list[bytes] | None = None) -> bytes:
-    """Digits to digits and letters to letters of the same case (or hexadecimal digits to such); the rest stays. ``alphabets``: what each byte may become."""
+    """Digits to digits and letters to letters of the same case (or hexadecimal digits to such); the rest stays.
+
+    ``alphabets``: what each byte may become. What ``fits`` asks of a value holds for those up to ``BLOCK`` bytes.
+    """
     alphabets = alphabets or [_alphabet(c, hexadecimal) for c in raw]
+    if len(raw) > BLOCK:
+        return _long(p, raw, kind, alphabets)
     size, value = 1, 0
     for c, letters in zip(raw, alphabets, strict=True):
         if letters:
@@ -105,7 +124,7 @@ def permute_characters(p: Permutation, raw: bytes, kind: str, fits: Callable[[by
                 out[i] = alphabets[i][at]
         return bytes(out)
 
-    shape = "".join(str(len(a)) for a in alphabets) if len(raw) < 80 else str(len(raw))
+    shape = "".join(str(len(a)) for a in alphabets)
     return spelled(p.of(value, size, f"{kind}|{shape}", lambda v: fits(spelled(v))))
 
 

@@ -95,3 +95,30 @@ def test_pseudonymise(spark, docs):
     assert {r.doc_id: r.n_found for r in other.where("doc_id < 6").collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
     assert other.where("doc_id = 1").first().text not in (same, dict(found)[1])
     assert P.pseudonymise(frame.limit(0), b"key").count() == 0
+
+
+@pytest.mark.parametrize("letters", ["0123456789abcdef", "0123456789ABCxyz", "0123456789"])
+def test_long_secrets_change_from_end_to_end(letters):
+    import random
+    import time
+
+    make, names = random.Random(len(letters)), P.Pseudonyms(b"key")
+    for size in (64, 65, 100, 300, 800, 3600, 100_000):
+        value = "".join(make.choice(letters) for _ in range(size))
+        started = time.perf_counter()
+        texts, counts = P.replace(pa.array([f"password={value} and so on"]), names)
+        made = texts[0].as_py()[9 : 9 + size]
+        assert time.perf_counter() - started < 20 and counts == [{"secret": 1}] and texts[0].as_py()[9 + size :] == " and so on"
+        same = "".join("x" if a == b else " " for a, b in zip(value, made, strict=True))
+        assert max(map(len, same.split()), default=0) <= 8 and same.count("x") < size / 4 + 8
+        assert set(made) <= set("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        other = value[:-1] + ("1" if value[-1] != "1" else "2")
+        again = P.replace(pa.array([f"password={other}"]), names)[0][0].as_py()[9:]
+        assert sum(a == b for a, b in zip(made, again, strict=True)) < size / 3 + 8  # one digit changes all
+
+
+def test_long_values_are_permuted():
+    p, seen = P.Permutation(b"k"), set()
+    for i in range(3000):
+        seen.add(P.permute_characters(p, b"0" * 70 + b"%04d" % i, "secret"))
+    assert len(seen) == 3000
