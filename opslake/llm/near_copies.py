@@ -155,7 +155,7 @@ def _likely(pairs: DataFrame, entries: DataFrame) -> DataFrame:
         one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COMPONENTS) for i in (2, 3))
         yield batch.filter(pa.array((one == two).mean(axis=1) >= LIKELY)).select(["a", "b"])
 
-    return map_batches(joined.select("a", "b", "sketch_a", "sketch_b"), run, "a long, b long")
+    return map_batches(joined.select("a", "b", "sketch_a", "sketch_b"), run, "a long, b long").distinct()
 
 
 def _multisets(ids: DataFrame, rows: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     two = multisets.select(F.col("id").alias("b"), F.col("units").alias("two"))
     joined = pairs.join(two, "b").join(one, "a")
     shared = F.size(F.array_intersect("one", "two"))
-    return joined.where(shared >= THRESHOLD * (F.size("one") + F.size("two") - shared)).select("a", "b")
+    return joined.where(shared >= THRESHOLD * (F.size("one") + F.size("two") - shared)).select("a", "b").distinct()
 
 
 def verified_in_blocks(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -271,9 +271,10 @@ def classes_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     entries_all = session.cut(signed(known))
     copies = entries_all.groupBy("a", "b", "n").agg(F.min("id").alias("rep"))
     membership = session.cut(entries_all.select("id", "a", "b", "n").join(copies, ["a", "b", "n"]).select("id", "rep").distinct())
-    reps = entries_all.join(copies, ["a", "b", "n"]).where("id = rep")
-    entries = session.cut(reps.groupBy("id").agg(F.max(F.struct("n", "a", "b", "bands", "sketch")).alias("e")).select("id", "e.n", "e.bands", "e.sketch"))
-    banded = entries.select("id", F.posexplode("bands").alias("band", "bucket"))
+    # an id that is the first of several multisets has an entry for each of them
+    reps = entries_all.join(copies, ["a", "b", "n"]).where("id = rep").dropDuplicates(["id", "a", "b", "n"])
+    entries = session.cut(reps.select("id", "n", "bands", "sketch"))
+    banded = entries.select("id", F.posexplode("bands").alias("band", "bucket")).distinct()
     hubs = banded.groupBy("band", "bucket").agg(F.min("id").alias("hub"), F.count("*").alias("many")).where("many > 1").select("band", "bucket", "hub")
     buckets = session.cut(banded.join(hubs, ["band", "bucket"]))
     first = session.cut(_likely(buckets.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), entries))
@@ -283,14 +284,15 @@ def classes_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         if more.isEmpty():  # nor does a later round find any
             break
         links = session.cut(links.unionAll(verified_in_blocks(more, known)))
-    several = membership.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    found = components(links.unionAll(several.where("a != b").select("a", "b")))
-    named = several.join(found, F.col("a") == F.col("node"), "left").select("id", F.coalesce("class", "a").alias("class"))
+    first_of = membership.groupBy("id").agg(F.min("rep").alias("a"))
+    several = membership.join(first_of, "id").where("a != rep").select("a", F.col("rep").alias("b"))
+    found = components(links.unionAll(several))
+    named = first_of.join(found, F.col("a") == F.col("node"), "left").select("id", F.coalesce("class", "a").alias("class"))
     joined = docs.select(F.col(key).alias("key")).join(named, F.col("key") == F.col("id"), "left")
     return joined.select(F.col("key").alias(key), F.coalesce("class", F.col("key").cast("long")).alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that aren't near copies of a document with a smaller id, as they are; rows without an id stay."""
-    copies = classes_of(docs, key).where(f"{key} != class_id").select(F.col(key).alias("copy")).distinct()
-    return docs.join(copies, docs[key] == F.col("copy"), "left_anti")
+    copies = classes_of(docs.select(key, "text"), key).where(F.col(key) != F.col("class_id")).select(key).distinct()
+    return docs.join(copies, key, "left_anti").select(*docs.columns)

@@ -135,3 +135,22 @@ def test_links_across_classes_of_a_bucket(spark, docs, monkeypatch):
     expected = brute(rows)
     monkeypatch.setattr(N, "BLOCK", 7)
     assert {r.doc_id: r.class_id for r in N.classes_of(docs(rows)).collect()} == expected
+
+
+def test_an_id_with_several_texts_links_by_each(docs):
+    long = " ".join(f"a{i}" for i in range(200))
+    short = " ".join(f"b{i}" for i in range(60))
+    middle = " ".join(f"c{i}" for i in range(100))
+    rows = [(1, long), (1, short), (1, middle), (2, long + " end"), (3, short + " end"), (4, middle + " end"), (5, "something else that is near to nothing"), (1, short)]
+    got = {r.doc_id: r.class_id for r in N.classes_of(docs(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+
+
+def test_one_of_each_with_names_that_clash(spark, docs):
+    docs([])
+    names = ["copy", "id", "a", "b", "class", "class_id", "rep", "band", "bucket", "key", "hub", "node", "n"]
+    text = " ".join(f"a{i}" for i in range(60))
+    rows = [(i, t, *["v"] * len(names)) for i, t in ((3, text), (1, text + " end"), (2, "other words"), (None, text))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = N.one_of_each(frame)
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {None, 1, 2}
