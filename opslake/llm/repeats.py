@@ -27,11 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake import session
 from opslake.llm.common import Bitmap, map_batches, mix, pieces, single, text_bytes
+from opslake.operators import scan
 
 #: Bytes of a string that counts as repeated, and of a trigger. They differ by less than 127.
 LENGTH, TRIGGER = 100, 32
@@ -39,6 +40,8 @@ LENGTH, TRIGGER = 100, 32
 HOT, HOT_TRIGGERS = 20_000, 1_000_000
 #: Bits of the bitmaps.
 BITS = 25
+#: Texts that one id may have; rows of a table that is broadcast.
+VERSIONS, SMALL = 1 << 25, 1 << 21
 #: Bytes that a task parses at once.
 PIECE_BYTES = 512 << 10
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -114,7 +117,7 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, trigger:
 
 def place(low: np.ndarray, version: np.ndarray, many: np.ndarray) -> np.ndarray:
     """A phrase's first byte, version of the text and strings as one number that sorts by the first."""
-    return low.astype(np.int64) << 23 | version.astype(np.int64) << 7 | many
+    return low.astype(np.int64) << 32 | version.astype(np.int64) << 7 | many
 
 
 def _phrases(batch: pa.RecordBatch, length: int, trigger: int) -> Iterator[tuple[Phrases, np.ndarray, np.ndarray, np.ndarray]]:
@@ -200,7 +203,7 @@ def _suffixes(length: int) -> Callable[[pa.Table], pa.Table]:
         t, s = trigger[block][order], string[order]
         later = np.zeros(len(order), bool)
         later[order[1:]] = (t[1:] == t[:-1]) & (s[1:] == s[:-1])
-        return _spans(ids[block[later]], (places >> 23)[block[later]] + nth[later], (places >> 7 & 0xFFFF)[block[later]], length)
+        return _spans(ids[block[later]], (places >> 32)[block[later]] + nth[later], (places >> 7 & (VERSIONS - 1))[block[later]], length)
 
     return work
 
@@ -255,8 +258,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     if len(split):
         found = found.unionAll(written(_hot_phrases(located(True)), "hot"))
     later = found.where("not shared").select(
-        "id", F.shiftright("place", 7).bitwiseAND(0xFFFF).alias("version"), F.shiftright("place", 23).alias("low"),
-        (F.shiftright("place", 23) + F.col("place").bitwiseAND(127) + (length - 1)).alias("high"),
+        "id", F.shiftright("place", 7).bitwiseAND(VERSIONS - 1).alias("version"), F.shiftright("place", 32).alias("low"),
+        (F.shiftright("place", 32) + F.col("place").bitwiseAND(127) + (length - 1)).alias("high"),
     )
 
     def keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -288,15 +291,15 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
             many = places & 127
             block = np.repeat(np.arange(len(at)), many)
             start = np.repeat(got.low[at], many) + np.arange(len(block)) - np.repeat(np.cumsum(many) - many, many)
-            inside = (places >> 23)[block] + start - got.low[at][block]
+            inside = (places >> 32)[block] + start - got.low[at][block]
             yield pa.RecordBatch.from_arrays(
-                [_signed(got.first.of(start, start + length)), _signed(got.second.of(start, start + length)), pa.array(ids[block]), pa.array(place(inside, (places >> 7 & 0xFFFF)[block], np.ones(len(block), np.int64)))],
+                [_signed(got.first.of(start, start + length)), _signed(got.second.of(start, start + length)), pa.array(ids[block]), pa.array(place(inside, (places >> 7 & (VERSIONS - 1))[block], np.ones(len(block), np.int64)))],
                 names=["a", "b", "id", "place"],
             )
 
     hot_strings = written(map_batches(rows, strings, "a long, b long, id long, place long"), "strings")
     return out.unionByName(_not_first(hot_strings, ["a", "b"]).select(
-        "id", F.shiftright("place", 7).bitwiseAND(0xFFFF).alias("version"), F.shiftright("place", 23).alias("low"), (F.shiftright("place", 23) + length).alias("high")
+        "id", F.shiftright("place", 7).bitwiseAND(VERSIONS - 1).alias("version"), F.shiftright("place", 32).alias("low"), (F.shiftright("place", 32) + length).alias("high")
     ))
 
 
@@ -335,17 +338,43 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """(key, id, version, text) of (key, id, text): a row without an id gets one below all others, the texts of an id are numbered.
+
+    Only ids are looked at, unless some are null or occur more than once.
+    """
+    known, alone = rows.where("id is not null"), rows.where("id is null")
+    several = known.groupBy("id").agg(F.count("*").alias("many")).where("many > 1").select("id")
+    if several.isEmpty():
+        known = known.withColumn("version", F.lit(0).cast("long"))
+    else:
+        told = known.withColumn("told", F.xxhash64("text"))
+        texts = told.join(several, "id", "left_semi").select("id", "told").distinct()
+        version = F.row_number().over(Window.partitionBy("id").orderBy("told")).cast("long") - 1
+        texts = session.cut(texts.withColumn("version", version).where("version > 0"))
+        known = told.join(F.broadcast(texts) if texts.count() <= SMALL else texts, ["id", "told"], "left")
+        known = known.withColumn("version", F.coalesce("version", F.lit(0).cast("long")))
+    if not alone.isEmpty():
+        low = F.lit(-(1 << 63))
+        alone = written(alone.withColumn("id", low + F.monotonically_increasing_id()), "unnamed")
+        bounds = alone.agg(F.max("id")).first()[0], known.agg(F.min("id")).first()[0]
+        if bounds[1] is not None and bounds[1] <= bounds[0]:  # ids as low as that are numbered anew, in order
+            places = session.cut(scan.numbered(known.select("id").distinct(), ["id"], "n"))
+            known = known.join(places, "id").withColumn("id", F.col("n").cast("long"))
+        known = known.select("key", "id", "version", "text").unionAll(alone.select("key", "id", F.lit(0).cast("long"), "text"))
+    return known.select("key", "id", "version", "text")
+
+
 def without_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, trigger: int = TRIGGER, hot: int = HOT, digest: bool = False) -> DataFrame:
     """Per row: ``key``, kept (the bytes that are left), n_bytes, n_removed, n_spans; with ``digest`` kept_sha256 in place of kept.
 
-    A null text is empty. Null ids come before all others. Rows of one id are versions of one document: a string of one
+    A null text is empty. Rows without an id are documents of their own and come before all others. Rows of one id are versions of one document: a string of one
     repeats a string of another that starts earlier, and at equal starts all but one repeat it; equal rows are one
     version. Each row gives a row. Other columns are not looked at.
     """
     if not 0 < length - trigger < 127:
         raise ValueError("strings are longer than triggers by 1 to 126 bytes")
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("key", "id", F.xxhash64("text").bitwiseAND(0xFFFF).alias("version"), "text")
+    rows = numbered(docs.select(F.col(key).alias("key"), F.col(key).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
     spans = written(repeated_spans(rows.select("id", "version", "text").where(F.octet_length("text") >= length), length, trigger, hot), "spans")
     touched = docs.sparkSession.sparkContext.broadcast(Bitmap.of(spans, "id"))
     kind = docs.schema[key].dataType.simpleString()

@@ -69,3 +69,22 @@ def test_rows_and_ids(docs):
     assert R.without_repeats(docs([])).count() == 0
     with pytest.raises(ValueError):
         R.without_repeats(docs(rows), length=200, trigger=32)
+
+
+@pytest.mark.parametrize("lowest", [5, -(1 << 63)])
+def test_many_rows_without_an_id(docs, lowest):
+    pick = random.Random(lowest)
+    text = lambda n: "".join(pick.choice("abcdefghij") for _ in range(n))
+    shared, last = text(40), text(50)
+    rows = [(None, text(60) + (shared if i % 2 else "") + text(60)) for i in range(1500)] + [(lowest, last), (7, last + "!")]
+    got = R.without_repeats(docs(rows).repartition(6), length=30, trigger=8).collect()
+    removed = sorted(r.n_removed for r in got if r.doc_id is None)
+    assert removed[:751] == [0] * 751 and all(40 <= n <= 46 for n in removed[751:])  # letters next to the passage may agree
+    assert {r.doc_id: r.n_removed for r in got if r.doc_id is not None} == {lowest: 0, 7: 50}
+
+
+def test_texts_of_one_id_are_told_apart(docs):
+    pick = random.Random(6)
+    texts = ["".join(pick.choice("abcdefghij") for _ in range(80)) for _ in range(300)]
+    got = R.without_repeats(docs([(1, t) for t in texts] + [(2, texts[7])]), length=30, trigger=8).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0)] * 300 + [(2, 80)]
