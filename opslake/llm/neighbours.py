@@ -227,7 +227,7 @@ def _searched_of(rows: DataFrame, dimension: int, k: int, every: int, curves: in
     near = near.withColumn("place", place).where(F.col("place") <= keep).select("q", "rep", "score")
     ids = entries.select(F.col("rep"), F.explode("ids").alias("vec_id"))
     # copies of the query's own vector are at its own cosine with itself
-    itself = entries.where("asked").select(F.col("rep").alias("q"), "rep", _own_cosine().alias("score"))
+    itself = map_batches(entries.where("asked").select("rep", "vec"), _own_cosine, "q long, rep long, score double")
     offered = near.unionAll(itself).join(ids, "rep").select("q", "vec_id", "score")
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     offered = offered.withColumn("place", best).where(F.col("place") <= 2 * keep).select("q", "vec_id", "score")
@@ -235,7 +235,8 @@ def _searched_of(rows: DataFrame, dimension: int, k: int, every: int, curves: in
     return queries.join(offered, "q").where("query_id != vec_id").select("query_id", "vec_id", "score")
 
 
-def _own_cosine():
-    """A vector's cosine with itself, in the same steps as any other pair's."""
-    square = F.aggregate(F.transform("vec", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return square / (F.sqrt(square) * F.sqrt(square))
+def _own_cosine(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Vectors' cosines with themselves, in the same steps as any other pair's."""
+    vectors = matrix(batch.column(1))
+    own = np.array([cosine(v[None, :], v)[0] for v in vectors])
+    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), pa.array(own)], names=["q", "rep", "score"])

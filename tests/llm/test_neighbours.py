@@ -75,3 +75,15 @@ def test_recall_with_windows(spark):
         score[q] = -9
         hits += len(set(np.argsort(-score)[:5].tolist()) & {j for _, j in got[q]})
     assert len(got) == 120 and hits / (5 * len(got)) >= 0.9
+
+
+def test_copies_and_scaled_copies_tie(spark):
+    make = np.random.default_rng(17)
+    rows = []
+    for q in range(0, 2000, 50):
+        v = make.normal(size=24).astype(np.float32)
+        rows += [(q, v.tolist()), (q + 7, v.tolist()), (q + 3, (2 * v).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in N.search(frame, k=2).collect()}
+    for q in range(0, 2000, 50):
+        assert (got[q, 1][0], got[q, 2][0]) == (q + 3, q + 7) and got[q, 1][1] == got[q, 2][1]
