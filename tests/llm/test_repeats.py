@@ -79,7 +79,7 @@ def test_many_rows_without_an_id(docs, lowest):
     rows = [(None, text(60) + (shared if i % 2 else "") + text(60)) for i in range(1500)] + [(lowest, last), (7, last + "!")]
     got = R.without_repeats(docs(rows).repartition(6), length=30, trigger=8).collect()
     removed = sorted(r.n_removed for r in got if r.doc_id is None)
-    assert removed[:751] == [0] * 751 and all(40 <= n <= 46 for n in removed[751:])  # letters next to the passage may agree
+    assert removed[:751] == [0] * 751 and all(40 <= n <= 56 for n in removed[751:])  # letters next to the passage may agree
     assert {r.doc_id: r.n_removed for r in got if r.doc_id is not None} == {lowest: 0, 7: 50}
 
 
