@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,16 @@ def build(app: str = "opslake", master: str | None = None, **conf: str) -> Spark
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return reach(builder.getOrCreate())
+
+
+def reach(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it."""
+    paths = spark.sparkContext.environment.setdefault("PYTHONPATH", "").split(os.pathsep)
+    here = str(Path(__file__).resolve().parents[1])
+    if here not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([here, *filter(None, paths)])
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -96,7 +96,8 @@ def read(spark: SparkSession, directory: str) -> DataFrame:
         spark.read.format("binaryFile").option("pathGlobFilter", "*.{yaml,yml}")
         .option("recursiveFileLookup", True).load(directory)
     )
-    nothing = empty_files(files).select(F.col("key").alias("path"), F.lit("").cast("binary").alias("content"))
+    empty = empty_files(spark, directory).filter(F.col("key").rlike(r"\.ya?ml\z"))
+    nothing = empty.select(F.col("key").alias("path"), F.lit("").cast("binary").alias("content"))
     return decode(files.select("path", "content").unionByName(nothing)).withColumn("place", F.upper("path"))
 
 

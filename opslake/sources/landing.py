@@ -7,49 +7,27 @@ from pyspark.sql import functions as F
 
 from opslake import vocab
 from opslake.functions import contract as fn
+from opslake.sources import listing
 
 
 def arrivals(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """What lies in the landing zone, files without a byte included. Contents are not read."""
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    )
-    empty = empty_files(listing).withColumn("size_bytes", F.lit(0).cast("bigint"))
-    return as_arrivals(listing).unionByName(empty)
+    """What lies in the landing zone, files without a byte included. Contents are not read; tasks list the folders."""
+    return listing.table(spark, path, glob)
 
 
-def empty_files(listing: DataFrame) -> DataFrame:
-    """arrival_id, key, arrived_at of the zero-byte files, which Spark's readers pass over.
+def empty_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """arrival_id, key, arrived_at of the files without a byte, which Spark's other readers pass over."""
+    return listing.table(spark, path, glob).filter(F.col("size_bytes") == 0).select("arrival_id", "key", "arrived_at")
 
-    They are what the reader's own file listing has beyond the rows it gives: the driver holds one
-    path per file there already.
-    """
-    spark = listing.sparkSession
-    one_slash = F.regexp_replace("path", "^([a-zA-Z0-9]+):///", "$1:/")
-    listed = spark.createDataFrame([(p,) for p in listing.inputFiles()], "path string").select(one_slash.alias("path"))
-    seen = listing.select(F.col("_metadata.file_path").alias("path"))
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for row in listed.join(seen, "path", "left_anti").collect():
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row.path))
-        status = path.getFileSystem(conf).getFileStatus(path)
-        found.append((row.path, path.toString(), status.getModificationTime()))
-    rows = spark.createDataFrame(found, "arrival_id string, key string, modified bigint")
-    return rows.select("arrival_id", "key", F.timestamp_millis("modified").alias("arrived_at"))
-
-
-def arrival_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+
+def arrival_stream(spark: SparkSession, path: str, glob: str = "*", settle: float = 1) -> DataFrame:
     """The same as a stream of new files."""
-    schema = "path string, modificationTime timestamp, length bigint, content binary"
-    listing = (
-        spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob).load(path)
-    )
-    return as_arrivals(listing)
+    return listing.stream(spark, path, glob, settle=settle)
 
 
-def as_arrivals(listing: DataFrame) -> DataFrame:
-    return listing.select(
+def as_arrivals(files: DataFrame) -> DataFrame:
+    """Rows of a binary file reader as arrivals."""
+    return files.select(
         F.col("_metadata.file_path").alias("arrival_id"), F.col("path").alias("key"),
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("arrived_at"),

@@ -364,3 +364,42 @@ def test_window_closes_without_a_file(spark, tmp_path, rocksdb):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     got = drain(timers.window_states(stream), tmp_path, lambda r: len(r) >= 4)
     assert [(r[0], r[2]) for r in got] == [("a", "missing"), ("b", "arrived"), ("c", "missing"), ("d", "late")]
+
+
+def test_a_source_never_heard_becomes_an_alert(spark, store, tmp_path, rocksdb):
+    now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    spark.createDataFrame([(1, now + dt.timedelta(hours=1))], "source_id bigint, at timestamp").write.parquet(str(tmp_path / "in"))
+    beats = spark.readStream.schema("source_id bigint, at timestamp").parquet(str(tmp_path / "in"))
+    registered = spark.createDataFrame([(1, now), (2, now), (3, now + dt.timedelta(hours=1))], "source_id int, at timestamp")
+    said = timers.stale_events(beats, 4, registered)
+    log = ChangeLog(str(tmp_path / "out"), ["source_id"])
+    to_store = timers.alert_sink(store, "heartbeats", timers.stale_alerts)
+
+    def both(rows, batch_id):
+        log.write(rows, batch_id)
+        to_store(rows, batch_id)
+        to_store(rows, batch_id)  # as after a failure
+
+    query = start(said, both, str(tmp_path / "checkpoint"), "append", processingTime="1 second")
+    try:
+        end = time.time() + 90
+        while time.time() < end and query.isActive and not store.committed():
+            time.sleep(1)
+    finally:
+        query.stop()
+    (alert,) = store.current("alert").collect()
+    assert (alert.type, alert.status, alert.occurrences) == (vocab.STALE, vocab.FIRING, 1) and alert.message.startswith("source 2 ")
+
+
+def test_the_calendar_is_awaited_and_forgotten(spark, tmp_path, rocksdb):
+    now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    calendar = [("a", "d", now + dt.timedelta(seconds=3)), ("b", "d", now + dt.timedelta(hours=1)), ("old", "d", now - dt.timedelta(days=9))]
+    planned = spark.createDataFrame(calendar, "feed_name string, day string, closes_at timestamp")
+    schema = "feed_name string, day string, closes_at timestamp, arrived_at timestamp"
+    spark.createDataFrame([("b", "d", None, now)], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got = drain(timers.window_states(stream, planned, keep_seconds=1), tmp_path, lambda r: len(r) >= 3)
+    assert [(r[0], r[2]) for r in got] == [("a", "missing"), ("b", "arrived"), ("old", "missing")]
+    # a and old are forgotten by now: a file that comes for them is new
+    held = spark.read.format("statestore").option("path", str(tmp_path / "checkpoint")).option("stateVarName", "slot").load()
+    assert {r.key.feed_name for r in held.collect()} <= {"a", "b"}
