@@ -4,6 +4,7 @@ from driver import (  # noqa: F401
     catalog_queries,
     contract_queries,
     health_queries,
+    plan_queries,
     run_queries,
     signal_queries,
     store_queries,

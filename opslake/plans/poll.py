@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opslake import session, vocab
 from opslake.functions.fingerprint import dedup_key
 from opslake.operators import alerts, catalog, health, runs, scan, signals
+from opslake.plans import bindings as bindings_plan
 from opslake.store import Store
 
 RUN_KEY = ["source_id", "native_run_id"]
@@ -172,7 +173,8 @@ def _merge(
     )
     seen = merged.filter(F.col("last_seen") == at)
     state = session.cut(runs.merge_lifecycle(events, RUN_KEY, ["job_id"]))
-    tables = {"job": seen, "ownership": ownership, "run": state}
+    found = bindings_plan.points(seen.filter(F.col("first_seen") == at), at)
+    tables = {"job": seen, "binding": found, "ownership": ownership, "run": state}
     alert = _alerts(store, batch, state, touched, ownership, raised)
     return ({**tables, "alert": alert} if alert is not None else tables), result
 

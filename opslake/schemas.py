@@ -47,6 +47,16 @@ TABLES = {
         "source_id int, native_id string, job_id string, name string, is_active boolean, first_seen timestamp, "
         "last_seen timestamp, bound_at timestamp",
     ),
+    "binding": (
+        ["source_id", "native_key", "valid_from", "recorded_at"],
+        "source_id int, native_key string, valid_from timestamp, recorded_at timestamp, native_id string, "
+        "job_id string, command_id string",
+    ),
+    "command": (
+        ["command_id"],
+        "command_id string, job_id string, source_id int, native_id string, native_name string, at timestamp, "
+        "who string, recorded_at timestamp, outcome string",
+    ),
     "ownership": (
         ["job_id", "sync_id"],
         "source_id int, job_id string, sync_id bigint, team_id string, parsed_from string, raw_evidence string",
