@@ -20,6 +20,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -32,6 +33,8 @@ from opslake.commits import SNAPSHOT, Log
 FOLD_AFTER, FILE_ROWS, FAN = 8, 1 << 20, 3
 #: Bits of the Bloom filter per key, and rows up to which it is kept in the record.
 BITS_PER_KEY, INLINE_ROWS = 16, 1 << 14
+#: Tables of a commit that are written at the same time.
+WRITERS = 4
 _INDEX = "file string, slice_bits int, slice int, bits int, word int, mask bigint"
 
 
@@ -247,7 +250,9 @@ class Store:
                 return False
             tables = build(self._view(state.before(own.place) if own else state))
             attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-            added = {name: files for name, df in tables.items() if (files := self._write(name, df, attempt))}
+            with ThreadPoolExecutor(WRITERS) as pool:  # tables are small and many: write some at once
+                written = list(pool.map(lambda name: (name, self._write(name, tables[name], attempt)), tables))
+            added = {name: files for name, files in written if files}
             while True:
                 record = {
                     "version": state.version + 1, "writer": writer, "batch": batch, "attempt": attempt, "base": False,
