@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -64,6 +65,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that no table in use needs any more.
+
+    It does so when the driver's collector has found them; iterative jobs say when that is worth it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lookup(big: DataFrame, small: DataFrame, key: str, row_bytes: Column, limit: int = 128 << 20) -> DataFrame:
     """Join a table with one row per key to a big one whose keys may be hot.
 
