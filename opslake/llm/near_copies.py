@@ -280,6 +280,7 @@ def classes_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     first = session.cut(_likely(buckets.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), entries))
     links = session.cut(verified(first, known))
     for most in ROUNDS:
+        session.release(docs.sparkSession)  # what the rounds before have shuffled
         more = session.cut(_across(buckets, components(links), entries, most))
         if more.isEmpty():  # nor does a later round find any
             break
