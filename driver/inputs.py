@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# What an error text holds that differs from run to run
 VOLATILE_SQL = (
     r"\d{4}-\d{2}-\d{2}|\d{2}:\d{2}:\d{2}|0x[0-9a-fA-F]+|\b\d+(?:\.\d+)?[a-zA-Z]{0,2}\b"
     r"""|''[^'']*''|"[^"]*\""""

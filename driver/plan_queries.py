@@ -160,3 +160,15 @@ def watermark_positions(t):
     polled = F.lit("2026-09-03 02:00:00").cast("timestamp")
     since = F.when(k % 4 == 0, F.lit("2026-09-02 02:00:00").cast("timestamp")).otherwise(time.poll_position(mark, polled))
     return t.orders.select("o_orderkey", time.history_position(mark).alias("position"), i.ts_text(since).alias("since"))
+
+
+@query("ambiguous_masks", """SELECT 'landing/p' || (p_partkey % 50) || '/' AS landing_prefix, 'f' || (p_partkey % 70) || '_{yyyymmdd}.csv' AS mask,
+  string_agg('P' || p_partkey, ',' ORDER BY 'P' || p_partkey) AS feeds FROM part GROUP BY ALL HAVING count(*) > 1""")
+def ambiguous_masks(t):
+    """Feeds whose files can't be told apart by name; masks differ by case only."""
+    k = F.col("p_partkey")
+    feeds = t.part.select(
+        i.text("landing/p", k % 50, "/").alias("landing_prefix"), i.text("P", k).alias("feed_name"),
+        F.concat(F.when(k % 2 == 0, "F").otherwise("f"), (k % 70).cast("string"), F.lit("_{yyyyMMdd}.csv")).alias("file_mask"),
+    )
+    return validate.ambiguous_masks(feeds).withColumn("feeds", F.array_join("feeds", ","))

@@ -109,6 +109,15 @@ def mask_keys(feeds: DataFrame) -> DataFrame:
     )
 
 
+def ambiguous_masks(feeds: DataFrame) -> DataFrame:
+    """landing_prefix, mask and feeds (by name) that no file name can tell apart: same prefix, same mask but for case.
+
+    ``attribute`` gives a file of these to the last of them by name, and the others are missing theirs.
+    """
+    same = feeds.groupBy("landing_prefix", F.lower("file_mask").alias("mask"))
+    return same.agg(F.array_sort(F.collect_set("feed_name")).alias("feeds")).filter(F.size("feeds") > 1)
+
+
 def file_name(key: Column) -> Column:
     return F.regexp_extract(key, r"([^/]*)\z", 1)
 
