@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from driver import inputs as i
 from driver.registry import query
+from opslake import session
 from opslake.functions import fingerprint, time
 from opslake.functions.owner import parse_owner
 from opslake.operators import signals
+from opslake.plans import dependencies
+from opslake.store import Store
 
 MESSAGES = [
     "Could not find file '/landing/x.csv'", "Schema drift: column PolicyDate renamed", "Cannot insert the value NULL into column",
@@ -88,6 +91,25 @@ def downstream_cone(t):
     return signals.cone(edges, t.part.filter(F.col("p_size") == 7).select(k.alias("job_id")))
 
 
+@query("downstream_stored", """WITH RECURSIVE edges AS (
+  SELECT p_partkey AS u, 2 * p_partkey + 1 AS v FROM part WHERE 2 * p_partkey + 1 < (SELECT count(*) FROM part)
+  UNION ALL SELECT p_partkey, 2 * p_partkey + 2 FROM part WHERE 2 * p_partkey + 2 < (SELECT count(*) FROM part)),
+walk(job_id, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_size = 7
+  UNION SELECT v, depth + 1 FROM walk JOIN edges ON u = job_id)
+SELECT 'P' || job_id AS job_id, min(depth) AS depth FROM walk GROUP BY job_id""")
+def downstream_stored(t):
+    """The edges of the cone above declared in two batches, of which the later joins many pieces; the cone is a lookup."""
+    store = Store(t.spark, session.scratch(t.spark, "store"))
+    k, name = F.col("k"), lambda c: F.concat(F.lit("P"), c.cast("string"))
+    n = t.part.agg(F.count(F.lit(1)).alias("n")).scalar()
+    both = t.part.select("p_brand", F.col("p_partkey").alias("k")).withColumn("child", F.explode(F.array(2 * k + 1, 2 * k + 2)))
+    edges = both.filter(F.col("child") < n).select("k", name(k).alias("upstream"), name(F.col("child")).alias("downstream"), F.col("p_brand").alias("declared_by"))
+    dependencies.declare(store, edges.filter(k % 16 != 5), 1, "2026-01-01")
+    dependencies.declare(store, edges, 2, "2026-01-02")
+    failed = t.part.filter(F.col("p_size") == 7).select(name(F.col("p_partkey")).alias("job_id"))
+    return dependencies.downstream_of(store, failed)
+
+
 _KEEP = "chr(57344)"
 _SHAPE = i.shape_sql(f"replace(text, 'ß', {_KEEP})")
 

@@ -147,31 +147,35 @@ def detection_summary(alert_rows: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def cone(edges: DataFrame, failed: DataFrame, max_depth: int | None = None) -> DataFrame:
+def cone(edges: DataFrame, failed: DataFrame, max_depth: int | None = None, hops: int = 4) -> DataFrame:
     """Every job downstream of a failed one with its distance; the failed jobs have distance 0.
 
-    ``edges``: upstream, downstream; ``failed``: job_id. Breadth first: each round joins the newest
-    layer to the edges and keeps jobs not seen before, so cycles end. Layers are written to the
-    shared folder, which keeps the plan short and survives lost executors. One round per layer.
+    ``edges``: upstream, downstream; ``failed``: job_id. Breadth first, ``hops`` layers a round: each
+    round walks on from the last layer and keeps jobs not seen before, so cycles end. What a round finds
+    is written to the shared folder, which keeps the plan short and survives lost executors. Within a
+    round a job is one row after every hop, however many edges lead to it. Where cones are asked for
+    often, ``plans.dependencies`` keeps all distances.
     """
     spark = edges.sparkSession
-    edges = edges.filter(F.col("upstream") != F.col("downstream")).select("upstream", "downstream")
+    edges = edges.filter(F.col("upstream") != F.col("downstream")).select("upstream", "downstream").distinct()
+    # a job stays where it is or goes one edge on
+    one = edges.withColumn("step", F.lit(1))
+    moves = one.unionByName(edges.select("upstream", F.col("upstream").alias("downstream"), F.lit(0).alias("step")).distinct())
     root = session.scratch(spark, "cone")
     layer = failed.select("job_id").distinct().withColumn("depth", F.lit(0))
-    layer.write.parquet(f"{root}/layer=0")
+    layer.write.parquet(f"{root}/round=0")
     schema = layer.schema
-    depth = 0
+    n, depth = 0, 0
     while max_depth is None or depth < max_depth:
-        seen = spark.read.schema(schema).parquet(*[f"{root}/layer={i}" for i in range(depth + 1)])
-        newest = spark.read.schema(schema).parquet(f"{root}/layer={depth}")
-        depth += 1
-        reached = (
-            newest.join(edges, F.col("job_id") == F.col("upstream"))
-            .select(F.col("downstream").alias("job_id")).distinct()
-            .join(seen.select("job_id"), "job_id", "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        reached.write.parquet(f"{root}/layer={depth}")
-        if spark.read.schema(schema).parquet(f"{root}/layer={depth}").isEmpty():
+        seen = spark.read.schema(schema).parquet(*[f"{root}/round={i}" for i in range(n + 1)])
+        walk = spark.read.schema(schema).parquet(f"{root}/round={n}").filter(F.col("depth") == depth)
+        ahead = hops if max_depth is None else min(hops, max_depth - depth)
+        for i in range(ahead):
+            to = walk.join(moves if i else one, F.col("job_id") == F.col("upstream"), "left" if i else "inner")
+            to = to.select(F.coalesce("downstream", "job_id").alias("job_id"), (F.col("depth") + F.coalesce("step", F.lit(0))).alias("depth"))
+            walk = to.groupBy("job_id").agg(F.min("depth").alias("depth"))
+        n, depth = n + 1, depth + ahead
+        walk.join(seen.select("job_id"), "job_id", "left_anti").write.parquet(f"{root}/round={n}")
+        if spark.read.schema(schema).parquet(f"{root}/round={n}").filter(F.col("depth") == depth).isEmpty():
             break
-    return spark.read.schema(schema).parquet(*[f"{root}/layer={i}" for i in range(depth + 1)])
+    return spark.read.schema(schema).parquet(*[f"{root}/round={i}" for i in range(n + 1)])

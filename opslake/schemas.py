@@ -85,6 +85,9 @@ TABLES = {
         "arrival_id string, version bigint, result string, "
         "findings array<struct<check:string, column_name:string, occurrences:bigint>>, ran_at timestamp",
     ),
+    "edge": (["upstream", "downstream"], "upstream string, downstream string, declared_by string, declared_at timestamp"),
+    "reach": (["upstream", "downstream"], "upstream string, downstream string, depth int"),
+    "reached": (["downstream", "upstream"], "downstream string, upstream string, depth int"),
     "landing_state": (["root"], "root string, judged_to timestamp"),
     "feed": (["feed_name"], "feed_name string, team_id string, landing_prefix string, is_active boolean"),
     "contract_version": (
@@ -92,3 +95,10 @@ TABLES = {
         "feed_id string, version bigint, spec_hash string, spec_json string, effective_from timestamp",
     ),
 }
+
+# Tables that are looked up by a part of their key, which their files are then sliced and indexed by.
+LOOKED_UP_BY = {"edge": ["upstream"], "reach": ["upstream"], "reached": ["downstream"]}
+
+
+def lookup_keys(table: str) -> list[str]:
+    return LOOKED_UP_BY.get(table, TABLES[table][0])

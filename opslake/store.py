@@ -184,7 +184,7 @@ class Store:
 
     def _hashed(self, table: str, rows: DataFrame) -> DataFrame:
         """Distinct keys with the hash that slices go by and the one of the Bloom filters."""
-        keys, schema = schemas.TABLES[table]
+        keys, schema = schemas.lookup_keys(table), schemas.TABLES[table][1]
         types = {f.name: f.dataType for f in self.spark.createDataFrame([], schema).schema}
         keyed = rows.select(*[F.col(k).cast(types[k]).alias(k) for k in keys]).distinct()
         return keyed.withColumns({"h": F.xxhash64(*keys), "g": F.xxhash64(F.lit("bloom"), *keys)})
@@ -220,8 +220,8 @@ class Store:
         return index
 
     def touched(self, table: str, rows: DataFrame) -> DataFrame:
-        """The last versions of the rows whose keys occur in ``rows``: what a merge has to read."""
-        keys, _ = schemas.TABLES[table]
+        """The last versions of the rows whose keys, or lookup keys, occur in ``rows``: what a merge has to read."""
+        keys = schemas.lookup_keys(table)
         view = self if self._fixed is not None else self.snapshot()
         log = view._read(table, view.files_for(table, rows), view._fixed)
         return self._last(table, log.join(view._hashed(table, rows).select(*keys), keys, "left_semi"))
@@ -295,13 +295,17 @@ class Store:
 
     def _write(self, table: str, df: DataFrame, attempt: str, level: int = 0, slice_bits: int = 0) -> list[dict]:
         """Write the rows of an attempt, on a level in files by slice, and their index; the entries of its files."""
-        keys, schema = schemas.TABLES[table]
+        (order, schema), keys = schemas.TABLES[table], schemas.lookup_keys(table)
         columns = self.spark.createDataFrame([], schema).columns
         seen = Observation()
         path = f"{self.root}/{table}/attempt={attempt}"
         if level:
             counted = df.select(*columns, F.col("batch").alias("held_batch"), F.col("place").alias("held_place"), _slice(F.xxhash64(*keys), F.lit(slice_bits)).alias("slice"))
-            counted = counted.repartition(1 << FAN if slice_bits else 1, "slice").sortWithinPartitions("slice", *keys)
+            if table in schemas.LOOKED_UP_BY:  # one lookup key may hold a large part of a slice
+                counted = counted.hint("rebalance", F.col("slice"))
+            else:
+                counted = counted.repartition(1 << FAN if slice_bits else 1, "slice")
+            counted = counted.sortWithinPartitions("slice", *order)
             counted.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("slice").parquet(path)
         else:
             # files of a good size, one for a small batch
