@@ -80,6 +80,11 @@ TABLES = {
         ["arrival_id"],
         "arrival_id string, feed_name string, key string, size_bytes bigint, arrived_at timestamp, disposition string",
     ),
+    "move": (
+        ["arrival_id", "arrived_at"],
+        "arrival_id string, arrived_at timestamp, from_path string, to_path string, intended_at timestamp, "
+        "done_at timestamp, outcome string",
+    ),
     "validation": (
         ["arrival_id", "version"],
         "arrival_id string, version bigint, result string, "
