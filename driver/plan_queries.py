@@ -10,7 +10,7 @@ from opslake import session
 from opslake.functions import contract as fn
 from opslake.functions import time
 from opslake.operators import validate
-from opslake.plans import bindings, collect, poll
+from opslake.plans import bindings, collect, poll, quarantine
 from opslake.sources import landing, scheduler
 from opslake.store import Store
 
@@ -172,3 +172,29 @@ def ambiguous_masks(t):
         F.concat(F.when(k % 2 == 0, "F").otherwise("f"), (k % 70).cast("string"), F.lit("_{yyyyMMdd}.csv")).alias("file_mask"),
     )
     return validate.ambiguous_masks(feeds).withColumn("feeds", F.array_join("feeds", ","))
+
+
+@query("quarantine_places", """SELECT 'day=' || strftime(o_orderdate, '%Y-%m') AS folder,
+  CASE WHEN month(o_orderdate) % 3 = 0 THEN 'Aside' ELSE 'Landed' END AS place, count(*) AS lines,
+  CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY ALL""")
+def quarantine_places(t):
+    """Files of every third month set aside, by a run that first died after its intents; lines are read at their places."""
+    store, root = Store(t.spark, session.scratch(t.spark, "store")), session.scratch(t.spark, "landing")
+    aside = session.scratch(t.spark, "aside")
+    lines = t.orders.select(F.col("o_orderkey").cast("string").alias("value"), F.date_format("o_orderdate", "yyyy-MM").alias("day"))
+    lines.repartition("day").write.partitionBy("day").text(root)
+    plain = root.removeprefix("file://")
+    files = landing.relative_key(landing.arrivals(t.spark, root, "*.txt"), plain)
+    folder = F.substring_index("key", "/", 1)
+    bad = F.substring_index(folder, "-", -1).cast("int") % 3 == 0
+    judged = files.select("*", folder.alias("feed_name"), F.when(bad, "Quarantined").otherwise("Validated").alias("disposition"))
+    store.commit(1, {"arrival": judged}, "landing")
+    quarantine.intend(store, plain, aside, 1, "2026-01-01")
+    quarantine.run(store, plain, aside, 2, "2026-01-02")
+    places = quarantine.places(store, plain).select(F.col("feed_name").alias("folder"), "place", "path")
+    one = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/*", "/")
+    read = t.spark.read.text([plain, aside], recursiveFileLookup=True).select(F.col("value").cast("bigint").alias("k"), F.url_decode(one).alias("at"))
+    at = F.regexp_replace("path", "^[a-z]+:/*", "/")
+    return places.withColumn("at", at).join(read, "at").groupBy("folder", "place").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("k").alias("keys")
+    )
