@@ -12,6 +12,7 @@ from opslake.functions import contract as fn
 from opslake.functions.fingerprint import dedup_key
 from opslake.operators import alerts, signals, validate
 from opslake.operators import contracts as rules
+from opslake.plans import quarantine
 from opslake.sources import landing
 from opslake.store import Store
 
@@ -27,7 +28,7 @@ class Verdict:
 
 def run(
     spark: SparkSession, root: str, contracts: DataFrame, day: str, as_of: str,
-    judged: DataFrame | None = None, since: str | None = None,
+    judged: DataFrame | None = None, since: str | None = None, moved: DataFrame | None = None,
 ) -> Verdict:
     """Judge the files below ``root`` that nobody has judged yet.
 
@@ -36,13 +37,18 @@ def run(
     found by the latest one. ``judged``: arrival_id and arrived_at of the files that were judged
     before; their contents are not read again. A file without a day in its name counts for ``day``.
     Files of ``day`` are missing once their window has closed. With ``since``, the time of the last run,
-    those of all days are whose window has closed after it.
+    those of all days are whose window has closed after it. ``moved``: arrival_id, key, size_bytes and
+    arrived_at of judged files that have been set aside; they came, so they are neither missing nor new.
     Order of checks: name, window, columns, then values. Where the columns drifted, a fixed-width
     file's offsets mean nothing, so its values are not judged; delimited values are matched by name.
     """
     specs = contracts.withColumnRenamed("feed_id", "feed_name")
     feeds = _latest(specs).withColumn("is_active", F.lit(True))
-    listed = landing.relative_key(landing.arrivals(spark, root), root).withColumn("listed", F.col("key"))
+    listed = landing.relative_key(landing.arrivals(spark, root), root)
+    if moved is not None:
+        here = ["arrival_id", "arrived_at"]
+        listed = listed.unionByName(moved.join(listed.select(*here), here, "left_anti").select(*listed.columns))
+    listed = listed.withColumn("listed", F.col("key"))
     listed = listed.withColumn("key", validate.without_number("key"))
     every = validate.attribute(validate.landed(listed), feeds)
     mask = feeds.select("feed_name", F.col("file_mask").alias("mask"))
@@ -88,7 +94,7 @@ def judge(store: Store, root: str, contracts: DataFrame, day: str, as_of: str, b
 
     def build(past: Store) -> dict[str, DataFrame]:
         last = past.current("landing_state").filter(F.col("root") == root).agg(F.max("judged_to").cast("string")).first()[0]
-        held["verdict"] = run(store.spark, root, contracts, day, as_of, past.log("arrival"), last)
+        held["verdict"] = run(store.spark, root, contracts, day, as_of, past.log("arrival"), last, quarantine.set_aside(past))
         done = store.spark.range(1).select(F.lit(root).alias("root"), F.greatest(F.lit(as_of).cast("timestamp"), F.lit(last).cast("timestamp")).alias("judged_to"))
         return {**rows_of(past, batch, as_of, held["verdict"]), "landing_state": done}
 

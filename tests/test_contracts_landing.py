@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opslake import vocab
 from opslake.operators import contracts, scan, validate
-from opslake.plans import contract_sync, landing
+from opslake.plans import contract_sync, landing, quarantine
 from opslake.sources import contracts as files
 from opslake.sources import landing as zone
 from opslake.store import Store
@@ -361,3 +361,24 @@ def test_a_missing_file_is_raised_once_and_goes_to_the_owner(spark, tmp_path):
     # Nobody looked for two days: the windows that closed since are three.
     landing.judge(store, str(tmp_path), specs, "2026-09-06", "2026-09-06 23:00:00", 4)
     assert late() == {f"{n}: FeedLate": (4, owner) for n in "ab"}
+
+
+def test_a_file_set_aside_is_neither_missing_nor_judged_again(spark, tmp_path, tmp_path_factory):
+    import os
+
+    texts, aside = tmp_path / "contracts", tmp_path_factory.mktemp("aside")
+    put(texts, "a.yaml", yaml("a", dir="a", mask="A_{yyyyMMdd}.csv"))
+    specs = contracts.check_rules(files.read(spark, str(texts))).filter("error is null").withColumn("version", F.lit(1).cast("bigint"))
+    put(tmp_path / "landing" / "a", "A_20260903.csv", csv("MemberId,Amount", ["M1,1.5"]))
+    stamp = dt.datetime.fromisoformat("2026-09-03 01:00:00+00:00").timestamp()
+    path = next((tmp_path / "landing").rglob("A_*.csv"))
+    os.utime(path, (stamp, stamp))
+    store, root = Store(spark, str(tmp_path / "store")), str(tmp_path)
+    landing.judge(store, root, specs, "2026-09-03", "2026-09-03 01:30:00", 1)
+    assert [r.disposition for r in store.current("arrival").filter("feed_name = 'a'").collect()] == [vocab.QUARANTINED]
+    quarantine.run(store, root, str(aside), 1, "2026-09-03 01:31:00")
+    assert not path.exists() and [p.name for p in aside.rglob("*.csv")] == [path.name]
+    landing.judge(store, root, specs, "2026-09-03", "2026-09-03 23:30:00", 2)
+    assert store.log("validation").count() == 1
+    assert {r.type for r in store.current("alert").collect()} == {vocab.SCHEMA_DRIFT}
+    assert [(r.place, r.path.startswith(str(aside))) for r in quarantine.places(store, root).filter("feed_name = 'a'").collect()] == [(quarantine.ASIDE, True)]
