@@ -172,7 +172,8 @@ class Store:
     def _last(table: str, log: DataFrame, keep: bool = False) -> DataFrame:
         keys, _ = schemas.TABLES[table]
         values = [c for c in log.columns if c not in keys]
-        last = log.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("place")).alias("v")).select(*keys, "v.*")
+        # versions meet before they are sorted: what a task sorts is then bounded by the exchange and not by its files
+        last = log.repartition(*keys).groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("place")).alias("v")).select(*keys, "v.*")
         return last.select(*log.columns) if keep else last.select(*[c for c in log.columns if c not in ("batch", "place")])
 
     def current(self, table: str) -> DataFrame:
@@ -293,18 +294,26 @@ class Store:
                     return True
         return False
 
-    def _write(self, table: str, df: DataFrame, attempt: str, level: int = 0, slice_bits: int = 0) -> list[dict]:
-        """Write the rows of an attempt, on a level in files by slice, and their index; the entries of its files."""
+    def _write(self, table: str, df: DataFrame, attempt: str, level: int = 0, slice_bits: int = 0, most: int = 0) -> list[dict]:
+        """Write the rows of an attempt, on a level in files by slice, and their index; the entries of its files.
+
+        On a level ``most`` bounds the rows. A slice of more than ``FILE_ROWS`` is cut by the next bits of its
+        hashes into several files, each of which a task of its own sorts.
+        """
         (order, schema), keys = schemas.TABLES[table], schemas.lookup_keys(table)
         columns = self.spark.createDataFrame([], schema).columns
         seen = Observation()
         path = f"{self.root}/{table}/attempt={attempt}"
+        parts = 1 << FAN if slice_bits else 1
         if level:
-            counted = df.select(*columns, F.col("batch").alias("held_batch"), F.col("place").alias("held_place"), _slice(F.xxhash64(*keys), F.lit(slice_bits)).alias("slice"))
+            h = F.xxhash64(*keys)
+            counted = df.select(*columns, F.col("batch").alias("held_batch"), F.col("place").alias("held_place"), _slice(h, F.lit(slice_bits)).alias("slice"))
             if table in schemas.LOOKED_UP_BY:  # one lookup key may hold a large part of a slice
                 counted = counted.hint("rebalance", F.col("slice"))
             else:
-                counted = counted.repartition(1 << FAN if slice_bits else 1, "slice")
+                deep = (most // (parts * FILE_ROWS)).bit_length()
+                parts <<= deep
+                counted = counted.repartitionById(parts, _slice(h, F.lit(slice_bits + deep)).bitwiseAND(F.lit(parts - 1)))
             counted = counted.sortWithinPartitions("slice", *order)
             counted.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("slice").parquet(path)
         else:
@@ -314,7 +323,6 @@ class Store:
         n = seen.get["n"]
         if not n:
             return []
-        parts = 1 << FAN if slice_bits else 1
         bits = max(10, min(30, (BITS_PER_KEY * n // parts).bit_length()))
         rows = self.spark.read.schema(f"{schema}, attempt string, slice int").option("basePath", f"{self.root}/{table}").parquet(path)
         short = F.concat(F.lit(f"{table}/attempt="), F.substring_index(F.col("_metadata.file_path"), f"/{table}/attempt=", -1))
@@ -385,7 +393,7 @@ class Store:
         added = {}
         for table, (files, level, slice_bits) in work.items():
             rows = self._last(table, self._read(table, files, state), keep=True)
-            added[table] = self._write(table, rows, attempt, level, slice_bits)
+            added[table] = self._write(table, rows, attempt, level, slice_bits, sum(f["rows"] for f in files))
         drop = sorted(f["path"] for files, _, _ in work.values() for f in files)
         while True:
             record = {

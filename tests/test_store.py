@@ -152,3 +152,20 @@ def test_empty_batches_and_null_keys(spark, store):
     assert store.files_for("source_state", states(spark, [])) == []
     assert store.compact() == 2 and held(store) == {None: "4", 3: "3"}
     assert store.log("source_state").select(F.max("batch")).first()[0] == 3
+
+
+def test_a_large_fold_is_dealt_over_tasks(spark, store, monkeypatch):
+    monkeypatch.setattr(module, "FILE_ROWS", 64)
+    monkeypatch.setattr(module, "INLINE_ROWS", 16)
+    for batch in (1, 2, 3):
+        store.commit(batch, {"source_state": states(spark, [(k, batch) for k in range(0, 1000, batch)])}, "a")
+    want = {k: str(max(b for b in (1, 2, 3) if k % b == 0)) for k in range(1000)}
+    assert store.compact() == 2
+    level = [f for f in store._state().files["source_state"] if f["level"] == 1]
+    assert sum(f["rows"] for f in level) == 1000 and max(f["rows"] for f in level) <= 2 * 64
+    assert held(store) == want
+    assert store.settle() > 0 and held(store) == want
+    below = [f for f in store._state().files["source_state"] if f["level"] > 1]
+    assert below and max(f["rows"] for f in below) <= 2 * 64
+    found = store.touched("source_state", states(spark, [(6, 0), (7, 0), (-1, 0)]))
+    assert {r.source_id: r.watermark for r in found.collect()} == {6: "3", 7: "1"}
