@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -85,26 +86,29 @@ class Phrases:
     high: np.ndarray
     trigger: np.ndarray
     first: Rolling
-    second: Rolling
+    data: np.ndarray
+
+    @cached_property
+    def second(self) -> Rolling:
+        """Only the passes that hash phrases or strings need it."""
+        return Rolling(self.data, 1)
 
 
 def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, trigger: int = TRIGGER) -> Phrases | None:
     starts = len(data) - length + 1
     if starts <= 0:
         return None
-    first, second = Rolling(data, 0), Rolling(data, 1)
+    first = Rolling(data, 0)
     hashes = first.windows(trigger)
     reach = length - trigger + 1
     bits = np.uint64(max(1, int(len(data)).bit_length()))
     key = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
-    # the least key of each ``reach`` in a row: of runs up to and from the borders of blocks of that size
-    blocks = -(-len(key) // reach)
-    padded = np.full(blocks * reach, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(key)] = key
-    padded = padded.reshape(blocks, reach)
-    before = np.minimum.accumulate(padded, axis=1).reshape(-1)
-    after = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    at = (np.minimum(after[:starts], before[reach - 1 : reach - 1 + starts]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    # the least key of each ``reach`` in a row, of stretches that double
+    least, size = key, 1
+    while 2 * size <= reach:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    least = np.minimum(least[:starts], least[reach - size :])
+    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     inside = row[:starts] == row[length - 1 :]
     new = inside.copy()
@@ -112,7 +116,7 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, trigger:
     ends = inside.copy()
     ends[:-1] &= (at[1:] != at[:-1]) | ~inside[1:]
     low, high = np.flatnonzero(new), np.flatnonzero(ends)
-    return Phrases(row[low], low, high, hashes[at[low]], first, second)
+    return Phrases(row[low], low, high, hashes[at[low]], first, data)
 
 
 def place(low: np.ndarray, version: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -256,7 +260,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     cold = located(False).repartition("trigger").sortWithinPartitions(*order)
     found = written(cold.mapInArrow(_groups(_trigger_changes, _sorted_out), _FOUND), "phrases")
     if len(split):
-        found = found.unionAll(written(_hot_phrases(located(True)), "hot"))
+        hot_found = written(_hot_phrases(located(True)), "hot")
+        found = found.unionAll(hot_found)
     later = found.where("not shared").select(
         "id", F.shiftright("place", 7).bitwiseAND(VERSIONS - 1).alias("version"), F.shiftright("place", 32).alias("low"),
         (F.shiftright("place", 32) + F.col("place").bitwiseAND(127) + (length - 1)).alias("high"),
@@ -286,7 +291,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     if not len(split):
         return out
 
+    # few texts hold a phrase of a split trigger that has others: only those are parsed once more
+    holders = spark.sparkContext.broadcast(Bitmap.of(hot_found.where("shared"), "id"))
+
     def strings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = single(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        batch = batch.filter(pa.array(holders.value.has(ids)))
         for got, ids, places, _, at in sharing(batch, True):
             many = places & 127
             block = np.repeat(np.arange(len(at)), many)

@@ -88,3 +88,14 @@ def test_texts_of_one_id_are_told_apart(docs):
     texts = ["".join(pick.choice("abcdefghij") for _ in range(80)) for _ in range(300)]
     got = R.without_repeats(docs([(1, t) for t in texts] + [(2, texts[7])]), length=30, trigger=8).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0)] * 300 + [(2, 80)]
+
+
+def test_a_parse_sums_the_second_lane_only_if_asked(monkeypatch):
+    lanes, rolling = [], R.Rolling
+    monkeypatch.setattr(R, "Rolling", lambda data, lane: lanes.append(lane) or rolling(data, lane))
+    data = np.random.default_rng(5).integers(97, 123, 500).astype(np.uint8)
+    found = R.parse(data, np.array([0, 200, 500]))
+    assert len(found.low) and lanes == [0]
+    phrases = [data[a : b + R.LENGTH] for a, b in zip(found.low, found.high, strict=True)]
+    alone = [int(rolling(p, 1).of(np.array([0]), np.array([len(p)]))[0]) for p in phrases]
+    assert found.second.of(found.low, found.high + R.LENGTH).tolist() == alone and lanes == [0, 1]
