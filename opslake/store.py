@@ -193,9 +193,10 @@ class Store:
     def files_for(self, table: str, rows: DataFrame) -> list[dict]:
         """The entries of the files that may hold a key of ``rows``."""
         files = self._state().files.get(table, [])
-        if not files:
-            return []
-        wanted = session.cut(self._hashed(table, rows).select("h", "g"))
+        return self._holding(table, files, session.cut(self._hashed(table, rows))) if files else []
+
+    def _holding(self, table: str, files: list[dict], wanted: DataFrame) -> list[dict]:
+        """Those of ``files`` that may hold one of the hashed keys."""
         reach = wanted.agg(F.min("h").alias("low"), F.max("h").alias("high")).first()
         if reach.low is None:
             return []
@@ -224,8 +225,12 @@ class Store:
         """The last versions of the rows whose keys, or lookup keys, occur in ``rows``: what a merge has to read."""
         keys = schemas.lookup_keys(table)
         view = self if self._fixed is not None else self.snapshot()
-        log = view._read(table, view.files_for(table, rows), view._fixed)
-        return self._last(table, log.join(view._hashed(table, rows).select(*keys), keys, "left_semi"))
+        files = view._fixed.files.get(table, [])
+        if not files:
+            return self._last(table, view._read(table, [], view._fixed))
+        wanted = session.cut(view._hashed(table, rows))  # ``rows`` may be costly, and are asked for twice
+        log = view._read(table, view._holding(table, files, wanted), view._fixed)
+        return self._last(table, log.join(wanted.select(*keys), keys, "left_semi"))
 
     # Commits
 

@@ -44,6 +44,14 @@ def test_a_job_moves_once_however_often_it_is_told(spark, store):
     assert jobs[2, "X"] == ("ja", True)
 
 
+def test_commands_sent_again_write_nothing(spark, store):
+    send(store, 1, 10, ("m", "ja", 2, "X", DAY(9)))
+    after = known(store)
+    assert send(store, 2, 12, ("m", "ja", 2, "X", DAY(9))) == {"m": "Done"}
+    assert [(c.writer, c.batch, sorted(c.tables)) for c in store.committed()][-1] == ("commands", 2, [])
+    assert known(store) == after and store.last_batch("commands") == 2
+
+
 def test_jobs_change_places(spark, store):
     assert send(store, 1, 10, ("p", "ja", 1, "b", DAY(8)), ("q", "jb", 1, "a", DAY(8))) == {"p": "Done", "q": "Done"}
     assert known(store) == {(1, "A", 1): ("ja", 8), (1, "B", 1): ("jb", 8), (1, "C", 5): ("jc", None), (1, "b", 8): ("ja", None), (1, "a", 8): ("jb", None)}
