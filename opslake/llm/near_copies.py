@@ -175,7 +175,7 @@ def _multisets(ids: DataFrame, rows: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b) of the pairs of ids whose multisets are near copies."""
-    multisets = _multisets(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), rows)
+    multisets = _multisets(pairs.select(F.explode(F.array("a", "b")).alias("id")), rows)
     one = multisets.select(F.col("id").alias("a"), F.col("units").alias("one"))
     two = multisets.select(F.col("id").alias("b"), F.col("units").alias("two"))
     joined = pairs.join(two, "b").join(one, "a")
@@ -193,25 +193,26 @@ def verified_in_blocks(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     block = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col(f"many_{c}") / MULTISETS))
     dealt = session.cut(pairs.join(counts, F.col("main") == F.col("m")).select("main", block("a").alias("of_a"), block("b").alias("of_b"), "a", "b"))
     keys = ["main", "of_a", "of_b"]
-    needed = dealt.select(*keys, F.col("a").alias("id")).unionAll(dealt.select(*keys, "b")).distinct()
-    units_of = _multisets(needed.select("id").distinct(), rows).withColumnRenamed("id", "of")
+    asked = dealt.select(*keys, F.explode(F.array("a", "b")).alias("id"))
+    needed = asked.distinct()
+    units_of = _multisets(asked.select("id"), rows).withColumnRenamed("id", "of")
     held = needed.join(units_of, F.col("id") == F.col("of")).select(*[F.col(k).alias(f"{k}_") for k in keys], "id", "units")
 
     def meet(wanted: pa.Table, have: pa.Table) -> pa.Table:
         multisets: dict[int, list[np.ndarray]] = {}
         for i, u in zip(have["id"].to_pylist(), have["units"].combine_chunks() if have.num_rows else [], strict=True):
             multisets.setdefault(i, []).append(np.sort(u.values.to_numpy()))
-        near = []
-        for a, b in zip(wanted["a"].to_pylist(), wanted["b"].to_pylist(), strict=True):
-            for one in multisets.get(a, []):
-                for two in multisets.get(b, []):
-                    at = np.minimum(np.searchsorted(two, one), len(two) - 1)
-                    shared = int((two[at] == one).sum())
-                    if shared >= THRESHOLD * (len(one) + len(two) - shared):
-                        near.append((a, b))
+
+        def close(one: np.ndarray, two: np.ndarray) -> bool:
+            at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+            shared = int((two[at] == one).sum())
+            return shared >= THRESHOLD * (len(one) + len(two) - shared)
+
+        asked = zip(wanted["a"].to_pylist(), wanted["b"].to_pylist(), strict=True)
+        near = [(a, b) for a, b in asked if any(close(one, two) for one in multisets.get(a, []) for two in multisets.get(b, []))]
         return pa.table([pa.array([x[i] for x in near], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return dealt.groupBy(*keys).cogroup(held.groupBy(*[f"{k}_" for k in keys])).applyInArrow(meet, "a long, b long").distinct()
+    return dealt.groupBy(*keys).cogroup(held.groupBy(*[f"{k}_" for k in keys])).applyInArrow(meet, "a long, b long")
 
 
 def _across(buckets: DataFrame, classes: DataFrame, entries: DataFrame, most: int | None) -> DataFrame:
@@ -261,12 +262,12 @@ def _across(buckets: DataFrame, classes: DataFrame, entries: DataFrame, most: in
     return found.select("main", "a", "b")
 
 
-def classes_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: ``key``, class_id: the smallest id of the documents that links lead to.
+def _classes(docs: DataFrame, key: str) -> DataFrame:
+    """(id, class) of the ids that have a text with words, each once: ``class`` is the smallest id that links lead to.
 
-    Null texts and texts without words are near copies of nothing. Rows of one id are one document, near to what any of
-    its texts is a copy of; rows without an id have no class. Other columns are not looked at.
+    What a step has shuffled or written is released before the next one that shuffles much.
     """
+    spark = docs.sparkSession
     known = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).cast("long").alias("id"), "text")
     entries_all = session.cut(signed(known))
     copies = entries_all.groupBy("a", "b", "n").agg(F.min("id").alias("rep"))
@@ -274,26 +275,41 @@ def classes_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     # an id that is the first of several multisets has an entry for each of them
     reps = entries_all.join(copies, ["a", "b", "n"]).where("id = rep").dropDuplicates(["id", "a", "b", "n"])
     entries = session.cut(reps.select("id", "n", "bands", "sketch"))
+    del entries_all, copies, reps
+    session.release(spark)
     banded = entries.select("id", F.posexplode("bands").alias("band", "bucket"))
     hubs = banded.groupBy("band", "bucket").agg(F.min("id").alias("hub"), F.count("*").alias("many")).where("many > 1").select("band", "bucket", "hub")
     buckets = session.cut(banded.join(hubs, ["band", "bucket"]))
+    session.release(spark)
     first = session.cut(_likely(buckets.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), entries))
-    links = session.cut(verified(first, known))
+    session.release(spark)
+    first_of = membership.groupBy("id").agg(F.min("rep").alias("a"))
+    several = membership.join(first_of, "id").where("a != rep").select("a", F.col("rep").alias("b"))
+    classes = components(verified(first, known).unionAll(several))
     for most in ROUNDS:
-        session.release(docs.sparkSession)  # what the rounds before have shuffled
-        more = session.cut(_across(buckets, components(links), entries, most))
+        session.release(spark)
+        more = session.cut(_across(buckets, classes, entries, most))
         if more.isEmpty():  # nor does a later round find any
             break
-        links = session.cut(links.unionAll(verified_in_blocks(more, known)))
-    first_of = membership.groupBy("id").agg(F.min("rep").alias("a"))
-    several = membership.join(first_of, "id").where("a != rep").select("a", F.col("rep").alias("b"))
-    found = components(links.unionAll(several))
-    named = first_of.join(found, F.col("a") == F.col("node"), "left").select("id", F.coalesce("class", "a").alias("class"))
-    joined = docs.select(F.col(key).alias("key")).join(named, F.col("key") == F.col("id"), "left")
+        session.release(spark)
+        # a node and its class stand for all links that led there
+        held = classes.select(F.col("node").alias("a"), F.col("class").alias("b"))
+        classes = components(held.unionAll(verified_in_blocks(more, known)))
+    session.release(spark)
+    return first_of.join(classes, F.col("a") == F.col("node"), "left").select("id", F.coalesce("class", "a").alias("class"))
+
+
+def classes_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per row of ``docs``: ``key``, class_id: the smallest id of the documents that links lead to.
+
+    Null texts and texts without words are near copies of nothing. Rows of one id are one document, near to what any of
+    its texts is a copy of; rows without an id have no class. Other columns are not looked at.
+    """
+    joined = docs.select(F.col(key).alias("key")).join(_classes(docs, key), F.col("key") == F.col("id"), "left")
     return joined.select(F.col("key").alias(key), F.coalesce("class", F.col("key").cast("long")).alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that aren't near copies of a document with a smaller id, as they are; rows without an id stay."""
-    copies = classes_of(docs.select(key, "text"), key).where(F.col(key) != F.col("class_id")).select(key).distinct()
+    copies = _classes(docs.select(key, "text"), key).where("id != class").select(F.col("id").alias(key))
     return docs.join(copies, key, "left_anti").select(*docs.columns)

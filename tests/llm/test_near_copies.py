@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from opslake import session
 from opslake.llm import near_copies as N
 from opslake.llm import words as W
 from opslake.llm.components import components
@@ -91,6 +92,23 @@ def test_components(spark):
     assert components(frame.limit(0)).count() == 0
 
 
+def tables_between_releases(monkeypatch, run):
+    """The most tables that ``run`` writes between two releases of what is out of use, and how many it writes in all."""
+    cut, release = session.cut, session.release
+    since, written = [0], [0]
+    monkeypatch.setattr(session, "cut", lambda df: (since.__setitem__(-1, since[-1] + 1), written.__setitem__(0, written[0] + 1), cut(df))[-1])
+    monkeypatch.setattr(session, "release", lambda spark: (since.append(0), release(spark)))
+    run()
+    return max(since), written[0]
+
+
+def test_rounds_leave_nothing_behind(spark, monkeypatch):
+    """A chain takes many rounds; each releases what the one before has shuffled and written."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    most, written = tables_between_releases(monkeypatch, lambda: components(links))
+    assert written > 6 and most <= 2
+
+
 def texts_of_families(pick):
     words = [a + b + c for a in "bdgklm" for b in "aeiou" for c in "nrst"]
     rows = []
@@ -137,6 +155,35 @@ def test_links_across_classes_of_a_bucket(spark, docs, monkeypatch):
     assert {r.doc_id: r.class_id for r in N.classes_of(docs(rows)).collect()} == expected
 
 
+def test_steps_leave_nothing_behind(docs, monkeypatch):
+    """What one step of the near copies has shuffled and written is released before the next ones."""
+    pick = random.Random(6)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(20):
+        base[(7 * i) % 300] = f"v{i}"
+        base[(7 * i + 150) % 300] = f"u{pick.random()}"
+        rows.append((i, " ".join(base)))
+    pick.shuffle(rows)
+    frame = docs(rows)
+    most, written = tables_between_releases(monkeypatch, lambda: N.one_of_each(frame))
+    assert written > 12 and most <= 3
+
+
+def test_links_of_an_id_with_several_texts_hold_in_every_round(docs):
+    """Classes that only the texts of one id join are joined from the start, and stay so when later rounds add links."""
+    pick = random.Random(8)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(40):  # a chain: neighbours are near, the ends are not
+        base[(7 * i) % 300] = f"v{i}"
+        base[(7 * i + 150) % 300] = f"u{pick.random()}"
+        rows.append((i + 100, " ".join(base)))
+    other = [f"x{i}" for i in range(200)]
+    rows += [(139, " ".join(other)), (50, " ".join([*other, "end"])), (60, " ".join(f"y{i}" for i in range(100)))]
+    pick.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in N.classes_of(docs(rows)).collect()}
+    assert got == {**{i: 50 for i in range(100, 140)}, 50: 50, 60: 60}
+
+
 def test_an_id_with_several_texts_links_by_each(docs):
     long = " ".join(f"a{i}" for i in range(200))
     short = " ".join(f"b{i}" for i in range(60))
