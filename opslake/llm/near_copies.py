@@ -193,7 +193,7 @@ def verified_in_blocks(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     block = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col(f"many_{c}") / MULTISETS))
     dealt = session.cut(pairs.join(counts, F.col("main") == F.col("m")).select("main", block("a").alias("of_a"), block("b").alias("of_b"), "a", "b"))
     keys = ["main", "of_a", "of_b"]
-    asked = dealt.select(*keys, F.explode(F.array("a", "b")).alias("id"))
+    asked = dealt.select(*keys, F.col("a").alias("id")).unionAll(dealt.select(*keys, "b"))
     needed = asked.distinct()
     units_of = _multisets(asked.select("id"), rows).withColumnRenamed("id", "of")
     held = needed.join(units_of, F.col("id") == F.col("of")).select(*[F.col(k).alias(f"{k}_") for k in keys], "id", "units")
