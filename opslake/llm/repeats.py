@@ -14,9 +14,13 @@ the order of the corpus' strings follows from the two:
   phrases of a trigger are sorted by their suffixes' first ``LENGTH`` bytes (as hashes, so that equal ones are
   neighbours), and among equal ones by place in the parse; all but the first are repeated.
 
-So phrases travel as hashes, bytes travel only for phrases whose trigger has several phrases, and strings travel one
-by one only for triggers of very many phrases, which are split by string. Triggers that occur once are left out by a
-bitmap of fixed size, which changes how much travels and not the result. Equal hashes (128 bits) count as equal bytes.
+So every text is parsed once, and its phrases travel once, as hashes of fixed size. Places of phrases that share a
+trigger go back to their texts by id, and only there bytes are read: those of a trigger's phrases meet in one group, but
+for triggers of very many phrases, whose strings are dealt one by one. What else travels is counted by what repeats;
+bitmaps of ids only spare texts the way that need not go. Equal hashes (128 bits) count as equal bytes.
+
+What travels is packed: a row has up to ``TOGETHER`` records of one bucket, and a bucket has about as many whatever the
+size of the corpus.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +43,20 @@ from opslake.operators import scan
 
 #: Bytes of a string that counts as repeated, and of a trigger. They differ by less than 127.
 LENGTH, TRIGGER = 100, 32
-#: Places that a trigger has at least to be split, and such triggers at most.
-HOT, HOT_TRIGGERS = 20_000, 1_000_000
-#: Bits of the bitmaps.
-BITS = 25
+#: Phrases that a trigger has at least for its strings to be dealt one by one.
+HOT = 20_000
 #: Texts that one id may have; rows of a table that is broadcast.
 VERSIONS, SMALL = 1 << 25, 1 << 21
-#: Bytes that a task parses at once.
-PIECE_BYTES = 512 << 10
+#: Bytes that a task parses at once: its arrays fit a core's cache.
+PIECE_BYTES = 64 << 10
+#: Phrases that a task gathers before it deals them, records of a row, phrases with their bytes of a row, strings compared at once.
+GATHERED, TOGETHER, SPELLED, COMPARED = 1 << 19, 256, 64, 1 << 20
+#: What travels: hashes at a place, a place to be removed, a phrase that shares its trigger.
+_HASHED = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("place", "<i8")])
+_LATER = np.dtype([("id", "<i8"), ("place", "<i8")])
+_SHARED = np.dtype([("a", "<u8"), ("id", "<i8"), ("place", "<i8"), ("hot", "?")])
+_KINDS = [_HASHED, _LATER, _SHARED]
+_DEALT = "bucket int, kind int, head binary, bytes binary"
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _LETTERS = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)).reshape(2, 256)
@@ -140,85 +152,255 @@ def _phrases(batch: pa.RecordBatch, length: int, trigger: int) -> Iterator[tuple
                 yield found, ids[row], place(inside, versions[row], found.high - found.low + 1), part
 
 
-def _keys(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return mix(mix(ids.astype(np.int64).view(np.uint64)) ^ places.view(np.uint64))
+def _records(kind: np.dtype, **columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(columns["id"]), kind)
+    for name, values in columns.items():
+        out[name] = values
+    return out
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix(keys.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
 
+def _cells(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Bytes of ``values`` as binary cells, each from one of ``first`` to the next."""
+    ends = np.append(first, len(values)).astype(np.int64) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
 
+def _runs(new: np.ndarray, limit: int) -> np.ndarray:
+    """Where runs begin, cut after each ``limit`` places."""
+    at = np.arange(len(new))
+    return np.flatnonzero((at - np.maximum.accumulate(np.where(new, at, 0))) % limit == 0)
 
-def _groups(changed: Callable[[pa.RecordBatch], np.ndarray], work: Callable[[pa.Table], pa.Table]) -> Callable:
-    """``work`` on whole groups of sorted rows; the last group of a batch waits for the next batch."""
+
+def _stretches(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches, one after another."""
+    return np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+def _dealt(keys: np.ndarray, buckets: int, rows: np.ndarray, data: np.ndarray | None = None, start: np.ndarray | None = None, sizes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Records as rows of ``_DEALT``, by the bucket of their key; with stretches of ``data`` if those are given."""
+    if not len(rows):
+        return
+    bucket = _bucket(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], rows[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = bucket[1:] != bucket[:-1]
+    first = _runs(new, TOGETHER if data is None else SPELLED)
+    if data is None:
+        spelled = pa.nulls(len(first), pa.binary())
+    else:
+        sizes = sizes[order]
+        spelled = _cells(data[_stretches(start[order], sizes)], (np.cumsum(sizes) - sizes)[first])
+    kind = np.full(len(first), _KINDS.index(rows.dtype), np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(kind), _cells(rows, first), spelled], names=["bucket", "kind", "head", "bytes"])
+
+
+def _read(rows: pa.Table, kind: np.dtype) -> np.ndarray:
+    cells = rows.filter(pc.equal(rows["kind"], _KINDS.index(kind)))["head"]
+    return text_bytes(single(cells))[0].view(kind)
+
+
+def _groups(work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable:
+    """``work`` on whole buckets of sorted rows; the last bucket of a batch waits for the next batch."""
 
     def run(batches):
-        waiting = None
+        waiting = []
         for batch in batches:
-            got = pa.Table.from_batches([batch])
-            got = got if waiting is None else pa.concat_tables([waiting, got])
-            borders = np.flatnonzero(changed(got))
+            bucket = batch.column("bucket").to_numpy()
+            borders = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            if waiting and len(bucket) and bucket[0] != waiting[-1].column("bucket")[0].as_py():
+                borders = np.concatenate([[0], borders])
             if len(borders):
-                yield from work(got.slice(0, int(borders[-1]) + 1)).to_batches()
-                got = got.slice(int(borders[-1]) + 1)
-            waiting = got
-        if waiting is not None and waiting.num_rows:
-            yield from work(waiting).to_batches()
+                at = int(borders[-1])
+                yield from work(pa.Table.from_batches([*waiting, batch.slice(0, at)]))
+                waiting, batch = [], batch.slice(at)
+            if batch.num_rows:
+                waiting.append(batch)
+        if waiting:
+            yield from work(pa.Table.from_batches(waiting))
 
     return run
 
 
-def _trigger_changes(rows: pa.Table) -> np.ndarray:
-    t = rows["trigger"].to_numpy()
-    return t[1:] != t[:-1]
+def _grouped(dealt: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups(work), schema)
 
 
-_FOUND = "shared boolean, trigger long, id long, place long"
+def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of keys that occur once, and of all others."""
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    several = np.zeros(len(keys), bool)
+    several[1:] = same
+    several[:-1] |= same
+    return order[~several], order[several]
 
 
-def _sorted_out(rows: pa.Table) -> pa.Table:
-    """Of sorted (trigger, phrase, id, place): later places of a phrase, and (shared) first places of phrases that share a trigger."""
-    trigger, phrase, ids, places = (rows[c].to_numpy() for c in ("trigger", "phrase", "id", "place"))
-    new = np.ones(len(ids), bool)
-    new[1:] = (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])
+def _apart(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of ``_HASHED`` rows: those whose ``a`` occurs once; the first place of each other (a, b), sorted; its other places."""
+    alone, some = _repeated(rows["a"])
+    some = some[np.lexsort([rows[c][some] for c in ("place", "id", "b", "a")])]
+    a, b, ids, places = (rows[c][some] for c in ("a", "b", "id", "place"))
+    new = np.ones(len(some), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     first = np.flatnonzero(new)
     mine = first[np.cumsum(new) - 1]
-    later = (ids != ids[mine]) | (places != places[mine])
-    _, which, many = np.unique(trigger[first], return_inverse=True, return_counts=True)
-    shared = first[many[which] > 1]
-    at = np.concatenate([np.flatnonzero(later), shared])
-    return pa.table([pa.array(np.repeat([False, True], [len(at) - len(shared), len(shared)])), pa.array(trigger[at]), pa.array(ids[at]), pa.array(places[at])], names=["shared", "trigger", "id", "place"])
-
-
-def _suffixes(length: int) -> Callable[[pa.Table], pa.Table]:
-    """Of sorted (trigger, id, place, bytes): the strings in them that an earlier phrase of the trigger, or the same one, holds."""
-
-    def work(rows: pa.Table) -> pa.Table:
-        trigger, ids, places = (rows[c].to_numpy() for c in ("trigger", "id", "place"))
-        once = np.ones(len(ids), bool)
-        once[1:] = (trigger[1:] != trigger[:-1]) | (ids[1:] != ids[:-1]) | (places[1:] != places[:-1])
-        trigger, ids, places = trigger[once], ids[once], places[once]
-        data, offsets = text_bytes(single(rows["bytes"].filter(pa.array(once))))
-        many = places & 127
-        block = np.repeat(np.arange(len(ids)), many)
-        nth = np.arange(len(block)) - np.repeat(np.cumsum(many) - many, many)
-        at = offsets[:-1][block] + nth
-        string = Rolling(data, 1).of(at, at + length)
-        order = np.lexsort((string, trigger[block]))  # stable: equal strings stay in the order of the parse
-        t, s = trigger[block][order], string[order]
-        later = np.zeros(len(order), bool)
-        later[order[1:]] = (t[1:] == t[:-1]) & (s[1:] == s[:-1])
-        return _spans(ids[block[later]], (places >> 32)[block[later]] + nth[later], (places >> 7 & (VERSIONS - 1))[block[later]], length)
+    return alone, some[first], some[(ids != ids[mine]) | (places != places[mine])]
+
+
+def _removed(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    return _dealt(rows["id"], buckets, _records(_LATER, id=rows["id"], place=rows["place"]))
+
+
+def _hashed(rows: np.ndarray, by: str, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Deals the first place here of each (a, b); later ones can't be the first of all."""
+    alone, first, later = _apart(rows)
+    rest = rows[np.concatenate([alone, first])]
+    yield from _dealt(rest[by], buckets, rest)
+    yield from _removed(rows[later], buckets)
+
+
+def _phrases_told(hot: int, buckets: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
+    """Of hashed phrases: later places of a phrase, and first places of phrases that share a trigger, dealt by id."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from _removed(_read(rows, _LATER), buckets)
+        found = _read(rows, _HASHED)
+        _, first, later = _apart(found)
+        yield from _removed(found[later], buckets)
+        _, which, many = np.unique(found["a"][first], return_inverse=True, return_counts=True)
+        many = many[which]
+        first, many = first[many > 1], many[many > 1]
+        shared = found[first]
+        yield from _dealt(shared["id"], buckets, _records(_SHARED, a=shared["a"], id=shared["id"], place=shared["place"], hot=many > hot))
 
     return work
 
 
-def _spans(ids: np.ndarray, start: np.ndarray, version: np.ndarray, length: int) -> pa.Table:
-    """Strings as (id, version, low, high); runs of starts are one span."""
+def _by_text(ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by id, version and place; where a text begins; the versions, in order."""
+    version = places >> 7 & (VERSIONS - 1)
+    order = np.lexsort((places, version, ids))
+    ids, version = ids[order], version[order]
     new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (version[1:] != version[:-1]) | (start[1:] != start[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(ids))[: len(first)] - 1
-    return pa.table([pa.array(ids[first]), pa.array(version[first]), pa.array(start[first]), pa.array(start[last] + length)], names=["id", "version", "low", "high"])
+    new[1:] = (ids[1:] != ids[:-1]) | (version[1:] != version[:-1])
+    return order, new, version
+
+
+_LISTS = "i long, v long, head binary"
+
+
+def _shared_lists(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The phrases of each text that share a trigger."""
+    found = _read(rows, _SHARED)
+    order, new, version = _by_text(found["id"], found["place"])
+    found, first = found[order], np.flatnonzero(new)
+    yield pa.RecordBatch.from_arrays([pa.array(found["id"][first]), pa.array(version[first]), _cells(found, first)], names=["i", "v", "head"])
+
+
+def _span_lists(length: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
+    """Maximal runs of the bytes of each text that are removed, as pairs of numbers."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        found = _read(rows, _LATER)
+        order, new, version = _by_text(found["id"], found["place"])
+        ids, places = found["id"][order], found["place"][order]
+        low = places >> 32
+        # the end of what is removed so far in a text; texts are in order, so that one maximum runs over all
+        text = np.cumsum(new) << 32
+        high = np.maximum.accumulate(text + low + (places & 127) + (length - 1))
+        begins = new.copy()
+        begins[1:] |= text[1:] + low[1:] > high[:-1]
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], len(ids))[: len(first)] - 1
+        spans = np.ascontiguousarray(np.stack([low[first], high[last] - text[last]], axis=1)).ravel()
+        texts = np.flatnonzero(new)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[texts]), pa.array(version[texts]), _cells(spans, 2 * np.searchsorted(first, texts))], names=["i", "v", "head"])
+
+    return work
+
+
+def _spelled(length: int, buckets: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """Of (text, phrases of it that share a trigger): phrases with their bytes, dealt by trigger; the strings of hot ones, dealt one by one."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for begin, end in pieces(single(batch.column(0))):
+            data, offsets = text_bytes(single(batch.column(0))[begin:end])
+            heads, ends = text_bytes(single(batch.column(1))[begin:end])
+            every = heads.view(_SHARED)
+            texts = np.repeat(offsets[:-1], np.diff(ends) // _SHARED.itemsize)
+            for at in range(0, len(every), GATHERED >> 4):
+                found = every[at : at + (GATHERED >> 4)]
+                start, many = texts[at : at + len(found)] + (found["place"] >> 32), found["place"] & 127
+                cold = ~found["hot"]
+                yield from _dealt(found["a"][cold], buckets, found[cold], data, start[cold], many[cold] + length - 1)
+                if not cold.all():
+                    yield from _hashed(_strings(found[~cold], data[_stretches(start[~cold], many[~cold] + length - 1)], length), "b", buckets)
+
+    return run
+
+
+def _strings(found: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+    """All strings of some phrases, whose bytes are ``data``, as ``_HASHED`` rows."""
+    many = found["place"] & 127
+    sizes = many + length - 1
+    at = _stretches(np.cumsum(sizes) - sizes, many)
+    block = np.repeat(np.arange(len(found)), many)
+    places = place(_stretches(found["place"] >> 32, many), (found["place"] >> 7 & (VERSIONS - 1))[block], np.ones(len(block), np.int64))
+    return _records(_HASHED, a=Rolling(data, 0).of(at, at + length), b=Rolling(data, 1).of(at, at + length), id=found["id"][block], place=places)
+
+
+def _compared(found: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+    """Of phrases in the order of trigger, id and place, whose bytes are ``data``: strings that an earlier phrase of the trigger, or the same one, holds."""
+    many = found["place"] & 127
+    sizes = many + length - 1
+    at = _stretches(np.cumsum(sizes) - sizes, many)
+    block = np.repeat(np.arange(len(found)), many)
+    string, trigger = Rolling(data, 1).of(at, at + length), found["a"][block]
+    _, some = _repeated(string ^ mix(trigger))
+    some = np.sort(some)
+    some = some[np.lexsort((string[some], trigger[some]))]  # stable: equal strings stay in the order of the parse
+    t, s = trigger[some], string[some]
+    later = np.sort(some[1:][(t[1:] == t[:-1]) & (s[1:] == s[:-1])])
+    new = np.ones(len(later), bool)
+    new[1:] = (later[1:] != later[:-1] + 1) | (block[later[1:]] != block[later[:-1]])
+    first = later[new]
+    runs = np.diff(np.append(np.flatnonzero(new), len(later)))
+    of = found[block[first]]
+    nth = first - (np.cumsum(many) - many)[block[first]]
+    return _records(_LATER, id=of["id"], place=place((of["place"] >> 32) + nth, of["place"] >> 7 & (VERSIONS - 1), runs))
+
+
+def _strings_told(length: int, buckets: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
+    """Of phrases with their bytes, and of hashed strings: the strings that are not the first, dealt by id."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from _removed(_read(rows, _LATER), buckets)
+        strings = _read(rows, _HASHED)
+        yield from _removed(strings[_apart(strings)[2]], buckets)
+        found = _read(rows, _SHARED)
+        data = text_bytes(single(rows.filter(pc.equal(rows["kind"], _KINDS.index(_SHARED)))["bytes"]))[0]
+        sizes = (found["place"] & 127) + length - 1
+        start = np.cumsum(sizes) - sizes
+        order = np.lexsort((found["place"], found["id"], found["a"]))
+        found, start, sizes = found[order], start[order], sizes[order]
+        once = np.ones(len(found), bool)
+        once[1:] = found[1:] != found[:-1]
+        found, start, sizes = found[once], start[once], sizes[once]
+        new = np.ones(len(found), bool)
+        new[1:] = found["a"][1:] != found["a"][:-1]
+        triggers = np.flatnonzero(new)
+        many = found["place"] & 127
+        nth = (np.cumsum(many) - many)[triggers] // COMPARED  # whole triggers together, until they have that many strings
+        cuts = np.append(triggers[np.flatnonzero(np.diff(nth, prepend=-1))], len(found))
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            yield from _removed(_compared(found[at:to], data[_stretches(start[at:to], sizes[at:to])], length), buckets)
+
+    return work
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -228,124 +410,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def holders(lists: DataFrame) -> Broadcast:
+    return lists.sparkSession.sparkContext.broadcast(Bitmap.of(lists, "i"))
+
+
+def holding(rows: DataFrame, ids: Broadcast, wanted: bool = True) -> DataFrame:
+    """Rows whose id is among ``ids``, and perhaps some others; or the rest of them."""
+    at = rows.columns.index("id")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(ids.value.has(single(batch.column(at)).to_numpy(zero_copy_only=False).view(np.uint64)) == wanted))
+
+    return map_batches(rows, run, rows.schema)
+
+
+def with_lists(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    return rows.join(lists, (F.col("id") == F.col("i")) & (F.col("version") == F.col("v")), how)
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, hot: int = HOT) -> DataFrame:
-    """(id, version, low, high): stretches of bytes to remove, of (id, version, text) without nulls. They may overlap."""
-    spark = rows.sparkSession
-
-    def counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for found, *_ in _phrases(batch, length, trigger):
-            keys, many = np.unique(found.trigger, return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(many)], names=["trigger", "many"])
-
-    triggers = map_batches(rows, counted, "trigger long, many long").groupBy("trigger").agg(F.sum("many").alias("many")).where("many > 1")
-    triggers = written(triggers, "triggers")
-    total = triggers.agg(F.coalesce(F.sum("many"), F.lit(0)).cast("long")).first()[0]
-    many = max(hot, -(-total // HOT_TRIGGERS))
-    # at most HOT_TRIGGERS numbers, as each has more than its share of the places
-    split = np.sort(np.array([r.trigger for r in triggers.where(F.col("many") > many).select("trigger").collect()], np.int64))
-    repeated = spark.sparkContext.broadcast((Bitmap.of(triggers, "trigger", BITS), split.view(np.uint64)))
-
-    def located(want_hot: bool):
-        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            bitmap, split = repeated.value
+    """(i, v, head): id, version and stretches of bytes to remove, pairs of numbers in order, of (id, version, text) without nulls."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
+    phrases = 2 * total // (length - trigger + 2)
+    buckets = max(16, min(phrases >> 16, 1 << 13), phrases >> 20)
+    fewer = max(16, buckets // 4)  # for what is a small part of all phrases
+
+    def located(batches):
+        waiting, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             for found, ids, places, _ in _phrases(batch, length, trigger):
-                keep = bitmap.has(found.trigger)
-                keep &= np.isin(found.trigger, split) == want_hot
-                phrase = found.second.of(found.low[keep], found.high[keep] + length)
-                yield pa.RecordBatch.from_arrays([_signed(found.trigger[keep]), _signed(phrase), pa.array(ids[keep]), pa.array(places[keep])], names=["trigger", "phrase", "id", "place"])
-
-        return map_batches(rows, run, "trigger long, phrase long, id long, place long")
-
-    order = ["trigger", "phrase", "id", "place"]
-    cold = located(False).repartition("trigger").sortWithinPartitions(*order)
-    found = written(cold.mapInArrow(_groups(_trigger_changes, _sorted_out), _FOUND), "phrases")
-    if len(split):
-        hot_found = written(_hot_phrases(located(True)), "hot")
-        found = found.unionAll(hot_found)
-    later = found.where("not shared").select(
-        "id", F.shiftright("place", 7).bitwiseAND(VERSIONS - 1).alias("version"), F.shiftright("place", 32).alias("low"),
-        (F.shiftright("place", 32) + F.col("place").bitwiseAND(127) + (length - 1)).alias("high"),
-    )
-
-    def keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, places = (single(batch.column(i)).to_numpy(zero_copy_only=False) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([_signed(_keys(ids, places))], names=["key"])
-
-    shared = spark.sparkContext.broadcast(Bitmap.of(map_batches(found.where("shared").select("id", "place"), keyed, "key long"), "key", BITS))
-
-    def sharing(batch: pa.RecordBatch, want_hot: bool) -> Iterator[tuple]:
-        _, split = repeated.value
-        for got, ids, places, data in _phrases(batch, length, trigger):
-            at = np.flatnonzero(shared.value.has(_keys(ids, places)) & (np.isin(got.trigger, split) == want_hot))
-            if len(at):
-                yield got, ids[at], places[at], data, at
-
-    def spelled(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for got, ids, places, data, at in sharing(batch, False):
-            raw = pa.array([data[a:b].tobytes() for a, b in zip(got.low[at], got.high[at] + length, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([_signed(got.trigger[at]), pa.array(ids), pa.array(places), raw], names=["trigger", "id", "place", "bytes"])
-
-    spans = "id long, version long, low long, high long"
-    suffixes = map_batches(rows, spelled, "trigger long, id long, place long, bytes binary").repartition("trigger").sortWithinPartitions("trigger", "id", "place")
-    out = later.unionByName(suffixes.mapInArrow(_groups(_trigger_changes, _suffixes(length)), spans))
-    if not len(split):
-        return out
-
-    # few texts hold a phrase of a split trigger that has others: only those are parsed once more
-    holders = spark.sparkContext.broadcast(Bitmap.of(hot_found.where("shared"), "id"))
-
-    def strings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = single(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        batch = batch.filter(pa.array(holders.value.has(ids)))
-        for got, ids, places, _, at in sharing(batch, True):
-            many = places & 127
-            block = np.repeat(np.arange(len(at)), many)
-            start = np.repeat(got.low[at], many) + np.arange(len(block)) - np.repeat(np.cumsum(many) - many, many)
-            inside = (places >> 32)[block] + start - got.low[at][block]
-            yield pa.RecordBatch.from_arrays(
-                [_signed(got.first.of(start, start + length)), _signed(got.second.of(start, start + length)), pa.array(ids[block]), pa.array(place(inside, (places >> 7 & (VERSIONS - 1))[block], np.ones(len(block), np.int64)))],
-                names=["a", "b", "id", "place"],
-            )
-
-    hot_strings = written(map_batches(rows, strings, "a long, b long, id long, place long"), "strings")
-    return out.unionByName(_not_first(hot_strings, ["a", "b"]).select(
-        "id", F.shiftright("place", 7).bitwiseAND(VERSIONS - 1).alias("version"), F.shiftright("place", 32).alias("low"), (F.shiftright("place", 32) + length).alias("high")
-    ))
-
-
-def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The first place of each key, and whether it has others."""
-    at = F.struct("id", "place")
-    return rows.groupBy(*keys).agg(F.min(at).alias("first"), (F.min(at) != F.max(at)).alias("more"))
-
-
-def _not_first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    firsts = _first(rows, keys).where("more").select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("first.id").alias("id_"), F.col("first.place").alias("place_"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"{k}_"))
-    return rows.join(firsts, same).where("id != id_ or place != place_").select(*rows.columns)
-
-
-def _hot_phrases(rows: DataFrame) -> DataFrame:
-    """``_sorted_out`` by joins, which split triggers and phrases of very many places."""
-    rows = written(rows, "places")
-    later = _not_first(rows, ["trigger", "phrase"]).select(F.lit(False).alias("shared"), "trigger", "id", "place")
-    firsts = _first(rows, ["trigger", "phrase"])
-    several = firsts.groupBy("trigger").agg(F.count("*").alias("many")).where("many > 1").select(F.col("trigger").alias("t"))
-    shared = firsts.join(several, F.col("trigger") == F.col("t")).select(F.lit(True).alias("shared"), "trigger", "first.id", "first.place")
-    return later.unionAll(shared)
-
-
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    """Maximal runs of the union of spans."""
-    out: list[list[int]] = []
-    for low, high in sorted((s["low"], s["high"]) for s in spans):
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    return [(a, b) for a, b in out]
+                waiting.append(_records(_HASHED, a=found.trigger, b=found.second.of(found.low, found.high + length), id=ids, place=places))
+                n += len(ids)
+                if n >= GATHERED:
+                    yield from _hashed(np.concatenate(waiting), "a", buckets)
+                    waiting, n = [], 0
+        if waiting:
+            yield from _hashed(np.concatenate(waiting), "a", buckets)
+
+    found = written(_grouped(rows.mapInArrow(located, _DEALT), _phrases_told(hot, fewer), _DEALT), "phrases")
+    session.release(rows.sparkSession)
+    lists = written(_grouped(found.where(F.col("kind") == _KINDS.index(_SHARED)), _shared_lists, _LISTS), "shared")
+    texts = with_lists(holding(rows, holders(lists)), lists, "inner").select("text", "head")
+    strings = _grouped(map_batches(texts, _spelled(length, fewer), _DEALT), _strings_told(length, fewer), _DEALT)
+    later = found.where(F.col("kind") == _KINDS.index(_LATER)).unionAll(strings)
+    return _grouped(later, _span_lists(length), _LISTS)
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -386,15 +496,15 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
         raise ValueError("strings are longer than triggers by 1 to 126 bytes")
     rows = numbered(docs.select(F.col(key).alias("key"), F.col(key).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
     spans = written(repeated_spans(rows.select("id", "version", "text").where(F.octet_length("text") >= length), length, trigger, hot), "spans")
-    touched = docs.sparkSession.sparkContext.broadcast(Bitmap.of(spans, "id"))
+    session.release(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     out = f"{key} {kind}, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
 
-    def told(keys: pa.Array, texts: pa.Array, lists: list[list[dict] | None]) -> pa.RecordBatch:
+    def told(keys: pa.Array, texts: pa.Array, lists: list[bytes | None]) -> pa.RecordBatch:
         sizes, removed, runs, kept = [], [], [], []
         for text, found in zip(texts, lists, strict=True):
             raw, at, left = text.as_py().encode(), 0, []
-            cuts = merged(found or [])
+            cuts = np.frombuffer(found or b"", np.int64).reshape(-1, 2).tolist()
             for low, high in cuts:
                 left.append(raw[at:low])
                 at = high
@@ -414,12 +524,6 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
         for low, high in pieces(single(batch.column(1))):
             yield told(single(batch.column(0))[low:high], batch.column(1)[low:high], batch.column(2)[low:high].to_pylist())
 
-    def side(wanted: bool):
-        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            yield batch.filter(pa.array(touched.value.has(single(batch.column(1)).to_numpy(zero_copy_only=False).view(np.uint64)) == wanted))
-
-        return map_batches(rows, run, rows.schema)
-
-    lists = spans.groupBy(F.col("id").alias("i"), F.col("version").alias("v")).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    joined = side(True).join(lists, (F.col("id") == F.col("i")) & (F.col("version") == F.col("v")), "left")
-    return map_batches(side(False).select("key", "text"), whole, out).unionAll(map_batches(joined.select("key", "text", "spans"), cut, out))
+    touched = holders(spans)
+    joined = with_lists(holding(rows, touched), spans, "left")
+    return map_batches(holding(rows, touched, wanted=False).select("key", "text"), whole, out).unionAll(map_batches(joined.select("key", "text", "head"), cut, out))

@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from opslake.llm import repeats as R
 
@@ -99,3 +101,54 @@ def test_a_parse_sums_the_second_lane_only_if_asked(monkeypatch):
     phrases = [data[a : b + R.LENGTH] for a, b in zip(found.low, found.high, strict=True)]
     alone = [int(rolling(p, 1).of(np.array([0]), np.array([len(p)]))[0]) for p in phrases]
     assert found.second.of(found.low, found.high + R.LENGTH).tolist() == alone and lanes == [0, 1]
+
+
+def test_bytes_travel_only_for_phrases_that_share_a_trigger(spark, docs, monkeypatch):
+    pick = random.Random(8)
+    text = lambda n: "".join(pick.choice("abcdefghij") for _ in range(n))
+    near = text(300)
+    texts = [text(400) for _ in range(200)] + [near, near[:150] + "xyz" + near[153:]]
+    frame, sent = type(spark.range(0)), []
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: sent.append(plain(self, *a, **k)) or sent[-1])
+    monkeypatch.setattr(R, "BITS", 6, raising=False)  # filters of fixed size fill up as a corpus grows
+    got = {r.doc_id: r.n_removed for r in R.without_repeats(docs(list(enumerate(texts))), length=30, trigger=8).collect()}
+    assert [i for i, n in got.items() if n] == [201] and got[201] == 297
+    spelled = sum(df.agg({"n": "sum"}).first()[0] or 0 for df in [d.selectExpr("octet_length(bytes) AS n") for d in sent if "bytes" in d.columns])
+    assert 0 < spelled < 2000
+
+
+def test_places_of_a_phrase_are_gathered_before_they_are_dealt():
+    at = R._records(R._HASHED, a=np.array([5, 5, 5, 9, 7, 7], np.uint64), b=np.array([1, 1, 2, 1, 1, 1], np.uint64), id=np.array([3, 2, 1, 1, 4, 4]), place=np.array([1, 1, 1, 1, 8, 8]))
+    alone, first, later = R._apart(at)
+    assert alone.tolist() == [3] and later.tolist() == [0]
+    assert first[:2].tolist() == [1, 2] and first[2] in (4, 5)  # the same row twice is one place
+
+
+@pytest.mark.parametrize(("together", "compared", "hot"), [(1, 1, 4), (3, 50, 20_000), (2, 300, 1)])
+def test_small_rows_and_steps(monkeypatch, together, compared, hot):
+    """The steps in this process, as a worker has its own constants."""
+    for name, value in (("TOGETHER", together), ("SPELLED", together), ("COMPARED", compared), ("PIECE_BYTES", 150), ("GATHERED", 64)):
+        monkeypatch.setattr(R, name, value)
+    texts = [(i, t or "") for i, t in enumerate(corpus(random.Random(together)))]
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in texts], "version": [0] * len(texts), "text": [t for _, t in texts]})
+
+    def grouped(dealt, work):
+        rows = pa.Table.from_batches(dealt).sort_by("bucket")
+        return list(R._groups(work)(rows.to_batches(max_chunksize=2)))
+
+    def of(kind):
+        return [b.filter(pc.equal(b["kind"], R._KINDS.index(kind))) for b in found]
+
+    parts = [R._records(R._HASHED, a=p.trigger, b=p.second.of(p.low, p.high + 20), id=ids, place=places) for p, ids, places, _ in R._phrases(batch, 20, 6)]
+    dealt = [b for part in parts for b in R._hashed(part, "a", 5)]
+    assert max(len(x) for b in dealt for x in b["head"].to_pylist() if b["kind"][0].as_py() == 0) <= together * R._HASHED.itemsize
+    found = grouped(dealt, R._phrases_told(hot, 5))
+    heads = {r["i"]: r["head"] for b in grouped(of(R._SHARED), R._shared_lists) for r in b.to_pylist()}
+    held = pa.RecordBatch.from_pydict({"text": [t for i, t in texts if i in heads], "head": [heads[i] for i, _ in texts if i in heads]})
+    strings = grouped(list(R._spelled(20, 5)(held)), R._strings_told(20, 5))
+    spans = {r["i"]: np.frombuffer(r["head"], np.int64).reshape(-1, 2).tolist() for b in grouped(of(R._LATER) + strings, R._span_lists(20)) for r in b.to_pylist()}
+    for (i, text), (left, removed, runs) in zip(texts, brute(texts, 20), strict=True):
+        raw, cuts = text.encode(), spans.get(i, [])
+        assert (sum(b - a for a, b in cuts), len(cuts)) == (removed, runs)
+        assert b"".join(raw[a:b] for a, b in zip([0, *[c[1] for c in cuts]], [*[c[0] for c in cuts], len(raw)], strict=True)) == left
