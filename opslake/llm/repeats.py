@@ -50,7 +50,9 @@ VERSIONS, SMALL = 1 << 25, 1 << 21
 #: Bytes that a task parses at once: its arrays fit a core's cache.
 PIECE_BYTES = 64 << 10
 #: Phrases that a task gathers before it deals them, records of a row, phrases with their bytes of a row, strings compared at once.
-GATHERED, TOGETHER, SPELLED, COMPARED = 1 << 19, 256, 64, 1 << 20
+GATHERED, TOGETHER, SPELLED, COMPARED = 1 << 18, 256, 64, 1 << 18
+#: Bytes of texts, and phrases with their bytes, that a task deals at once.
+TEXT_BYTES, BYTES_OF = 8 << 20, 1 << 13
 #: What travels: hashes at a place, a place to be removed, a phrase that shares its trigger.
 _HASHED = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("place", "<i8")])
 _LATER = np.dtype([("id", "<i8"), ("place", "<i8")])
@@ -328,13 +330,13 @@ def _spelled(length: int, buckets: int) -> Callable[[pa.RecordBatch], Iterator[p
     """Of (text, phrases of it that share a trigger): phrases with their bytes, dealt by trigger; the strings of hot ones, dealt one by one."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for begin, end in pieces(single(batch.column(0))):
+        for begin, end in pieces(single(batch.column(0)), TEXT_BYTES):
             data, offsets = text_bytes(single(batch.column(0))[begin:end])
             heads, ends = text_bytes(single(batch.column(1))[begin:end])
             every = heads.view(_SHARED)
             texts = np.repeat(offsets[:-1], np.diff(ends) // _SHARED.itemsize)
-            for at in range(0, len(every), GATHERED >> 4):
-                found = every[at : at + (GATHERED >> 4)]
+            for at in range(0, len(every), BYTES_OF):
+                found = every[at : at + BYTES_OF]
                 start, many = texts[at : at + len(found)] + (found["place"] >> 32), found["place"] & 127
                 cold = ~found["hot"]
                 yield from _dealt(found["a"][cold], buckets, found[cold], data, start[cold], many[cold] + length - 1)
@@ -432,8 +434,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     """(i, v, head): id, version and stretches of bytes to remove, pairs of numbers in order, of (id, version, text) without nulls."""
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
     phrases = 2 * total // (length - trigger + 2)
-    buckets = max(16, min(phrases >> 16, 1 << 13), phrases >> 20)
-    fewer = max(16, buckets // 4)  # for what is a small part of all phrases
+    buckets = max(16, min(phrases >> 17, 1 << 12), phrases >> 20)
+    fewer = max(16, buckets // 2)  # for what is a small part of all phrases
 
     def located(batches):
         waiting, n = [], 0
